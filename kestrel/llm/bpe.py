@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from kestrel.llm.common import ready, text_or_empty
 
 #: White space as Unicode defines it (Python's own \s also takes U+001C to U+001F).
-SPACE = "\t-\r \x85\xa0  -     　"
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 FOREVER = 1 << 40
 
