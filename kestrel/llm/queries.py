@@ -20,6 +20,18 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(manifest)
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kestrel.llm import warc
+
+    return warc.read(warc.write(_table(spark, sf_dir, "pages"), least=0))
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kestrel.llm import secrets
+
+    return secrets.report(_table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -29,7 +41,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_files": op1_token_files, "op6_bpe": op6_bpe}
+    return {"op1_token_files": op1_token_files, "op2_warc": op2_warc, "op3_secrets": op3_secrets, "op6_bpe": op6_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
