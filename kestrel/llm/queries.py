@@ -32,6 +32,18 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(_table(spark, sf_dir, "documents"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kestrel.llm import fingerprints
+
+    return fingerprints.compare_with_next(_table(spark, sf_dir, "documents"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kestrel.llm import language
+
+    return language.identify(_table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -41,7 +53,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_files": op1_token_files, "op2_warc": op2_warc, "op3_secrets": op3_secrets, "op6_bpe": op6_bpe}
+    return {"op1_token_files": op1_token_files, "op2_warc": op2_warc, "op3_secrets": op3_secrets, "op5_fingerprints": op5_fingerprints, "op6_bpe": op6_bpe, "op10_language": op10_language}
 
 
 def oracle_sql() -> dict[str, str]:
