@@ -101,16 +101,12 @@ def _put(uri: str, data: bytes) -> None:
 
 
 def _dictionary(docs: DataFrame, path: str, end: int | None) -> bytes:
-    """Trained on a bounded sample: the documents of the smallest hashes among those that are not too long."""
+    """Trained on a bounded sample of the documents that are not too long: DICTIONARY_DOCS of them in the mean, twice that at most."""
     import zstandard
 
-    rows = (
-        docs.where(F.octet_length("text") <= DICTIONARY_DOC_BYTES)
-        .orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id", F.xxhash64("text"))
-        .limit(DICTIONARY_DOCS)
-        .select("text")
-        .collect()
-    )
+    n = docs.count()
+    short = docs.where(F.octet_length("text") <= DICTIONARY_DOC_BYTES)
+    rows = short.sample(fraction=min(1.0, DICTIONARY_DOCS / max(1, n)), seed=17).limit(2 * DICTIONARY_DOCS).select("text").collect()
     samples = [x for x in word_encoder(path).encode([r[0] for r in rows], end) if x]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
