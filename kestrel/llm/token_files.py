@@ -55,10 +55,28 @@ class WordEncoder:
         probe = ["a b", "a \n\tb", "ab  c. d"]
         ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
         self.by_words = all(ids(p) == [i for w in p.split() for i in ids(w)] for p in probe)
+        plain = [t for t in self.tokenizer.get_added_tokens_decoder().items() if t[1].special and not (t[1].lstrip or t[1].rstrip or t[1].single_word or t[1].normalized)]
+        self.border = next(((i, t.content) for i, t in plain if ids(f"a{t.content}b") == [*ids("a"), i, *ids("b")]), None)
 
     def _pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The packed ids of each word.  Words go to the library many at once, a special token between any two: it splits text before all else."""
+        if self.border is None or any(self.border[1] in w for w in words):
+            return [self._pack(e.ids) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        border, mark = self.border
+        out = []
+        texts = [mark.join(words[i : i + 200]) for i in range(0, len(words), 200)]
+        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            ids = np.array(e.ids, self.dtype)
+            packed, at = ids.tobytes(), 0
+            for stop in (np.flatnonzero(ids == border) * self.width).tolist():
+                out.append(packed[at:stop])
+                at = stop + self.width
+            out.append(packed[at:])
+        return out
+
     def encode(self, texts: list[str], end: int | None) -> list[bytes]:
         tail = b"" if end is None else self._pack([end])
         out: list[bytes | None] = [None] * len(texts)
@@ -80,8 +98,7 @@ class WordEncoder:
         new = list(set().union(*words.values()).difference(known)) if words else []
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = self._pack(e.ids)
+            known.update(zip(part, self._words(part), strict=True))
         for i, w in words.items():
             out[i] = b"".join(map(known.__getitem__, w)) + tail
         for w in new:
