@@ -32,6 +32,18 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(_table(spark, sf_dir, "documents"))
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kestrel.llm import neighbours
+
+    return neighbours.search(_table(spark, sf_dir, "embeddings"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kestrel.llm import packing
+
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kestrel.llm import fingerprints
 
@@ -53,7 +65,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_files": op1_token_files, "op2_warc": op2_warc, "op3_secrets": op3_secrets, "op5_fingerprints": op5_fingerprints, "op6_bpe": op6_bpe, "op10_language": op10_language}
+    return {"op1_token_files": op1_token_files, "op2_warc": op2_warc, "op3_secrets": op3_secrets, "op4_neighbours": op4_neighbours, "op8_packing": op8_packing, "op5_fingerprints": op5_fingerprints, "op6_bpe": op6_bpe, "op10_language": op10_language}
 
 
 def oracle_sql() -> dict[str, str]:
