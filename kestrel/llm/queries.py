@@ -38,6 +38,12 @@ def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(_table(spark, sf_dir, "embeddings"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kestrel.llm import jaccard_join
+
+    return jaccard_join.join(_table(spark, sf_dir, "documents")).drop("row_key")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kestrel.llm import packing
 
@@ -65,7 +71,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_files": op1_token_files, "op2_warc": op2_warc, "op3_secrets": op3_secrets, "op4_neighbours": op4_neighbours, "op8_packing": op8_packing, "op5_fingerprints": op5_fingerprints, "op6_bpe": op6_bpe, "op10_language": op10_language}
+    return {"op1_token_files": op1_token_files, "op2_warc": op2_warc, "op3_secrets": op3_secrets, "op4_neighbours": op4_neighbours, "op7_jaccard_join": op7_jaccard_join, "op8_packing": op8_packing, "op5_fingerprints": op5_fingerprints, "op6_bpe": op6_bpe, "op10_language": op10_language}
 
 
 def oracle_sql() -> dict[str, str]:
