@@ -72,16 +72,20 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def id_ranges(docs: DataFrame, n: int) -> tuple[list[int], DataFrame]:
-    """(bounds, documents with _range): ranges of doc_id with about as many rows each, from the id column alone; null ids are in range 0."""
-    bounds = sorted({int(x) for x in docs.select("doc_id").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n)})
+def id_bounds(docs: DataFrame, n: int) -> list[int]:
+    """Bounds between ranges of doc_id with about as many rows each, from the id column alone.  They are estimates and may differ from call to call."""
+    return sorted({int(x) for x in docs.select("doc_id").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n)})
+
+
+def with_range(docs: DataFrame, bounds: list[int]) -> DataFrame:
+    """Adds _range, the number of bounds up to the id; null ids are in range 0."""
     limits = np.array(bounds, np.int64)
 
     @F.pandas_udf("int")
     def range_of(ids: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(limits, ids.fillna(np.iinfo(np.int64).min).to_numpy(np.int64), "right").astype(np.int32))
 
-    return bounds, docs.withColumn("_range", range_of("doc_id"))
+    return docs.withColumn("_range", range_of("doc_id"))
 
 
 def compare_with_next(docs: DataFrame, bins: int = 256, bits: int = 4, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -93,8 +97,8 @@ def compare_with_next(docs: DataFrame, bins: int = 256, bits: int = 4, words: in
     spark = docs.sparkSession
     ready(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(F.col(text_col)).alias("text"))
-    _, ranged = id_ranges(docs, 2 * partitions(spark))
-    _, of_ids = id_ranges(docs.select("doc_id"), 2 * partitions(spark))
+    bounds = id_bounds(docs, 2 * partitions(spark))
+    ranged, of_ids = with_range(docs, bounds), with_range(docs.select("doc_id"), bounds)
     # The first id of each range, a row per range: its rows are also sent to the range before, as what follows the last row there.
     first = of_ids.groupBy("_range").agg(F.min("doc_id").alias("first"), (F.count("*") > F.count("doc_id")).alias("has_null")).orderBy("_range").collect()
     before = {r["_range"]: first[i - 1]["_range"] for i, r in enumerate(first)}
