@@ -30,6 +30,7 @@ class OnePermutation:
             raise ValueError("bins must be a power of two from 8 on, bits one of 1, 2, 4, 8")
         self.bins, self.bits, self.words, self.hashes = bins, bits, words, WordHashes()
         self.shift = np.uint64(64 - (bins.bit_length() - 1))
+        self.probes = np.stack([self._probe(np.arange(bins), a) for a in range(64)])
 
     def _probe(self, bins: np.ndarray, attempt: int) -> np.ndarray:
         """The bin that an empty bin looks at in this attempt."""
@@ -44,7 +45,12 @@ class OnePermutation:
         np.minimum.at(least, at, shingles)
         full = np.zeros(self.bins, bool)
         full[at] = True
-        out, empty, attempt = least.copy(), np.flatnonzero(~full), 0
+        out, empty, attempt = least.copy(), np.flatnonzero(~full), len(self.probes)
+        if len(empty):
+            tried = full[self.probes[:, empty]]
+            hit = tried.any(axis=0)
+            out[empty[hit]] = least[self.probes[tried[:, hit].argmax(axis=0), empty[hit]]]
+            empty = empty[~hit]
         while len(empty):
             probe = self._probe(empty, attempt)
             hit = full[probe]
