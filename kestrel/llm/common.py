@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -42,6 +43,12 @@ def stash(df: DataFrame, folder: str, name: str, codec: str = "zstd") -> DataFra
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of plans that are done with, instead of at its next chance collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def open_fs(uri: str):
     """(file system, path) for a folder that executors and the driver share."""
     from pyarrow import fs
