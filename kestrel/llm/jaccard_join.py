@@ -7,9 +7,9 @@ class is a point, its counts of tokens by hash group.  The summed minima of two
 overlap of the sets, those of two rectangles' upper corners bound it for all pairs below: pairs of
 R-tree nodes that can't reach the threshold are passed over.  What survives is verified on the sets.
 
-A first round links each class to some neighbour in the bucket of its first token, which joins
-copies to groups; the second looks at all pairs, but only of classes that are not joined yet.
-Groups of copies therefore cost their size, not its square.  Sets are of 64-bit hashes.
+First rounds link each class to some neighbour with the same MinHash value, which joins copies to
+groups; then all pairs are looked at, but only of classes that are not joined yet.  Groups of
+copies therefore cost their size, not its square.  Sets are of 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -17,20 +17,22 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from kestrel.llm.common import WordHashes, partitions, ready, shared_dir, shingle_hashes, stash, text_or_empty
+from kestrel.llm.common import WordHashes, mix, partitions, ready, release, shared_dir, shingle_hashes, stash, text_or_empty
 from kestrel.llm.graph import components
 
 #: Production parameters: words to a shingle, and the threshold in hundredths.
 WORDS, HUNDREDTHS = 3, 90
 GROUPS = 64
-#: Tokens that are put last in the order, at most; and how often one occurs among the prefixes of a task to be counted.
-FREQUENT, OFTEN = 1 << 16, 8
-#: Classes to a unit of comparison, children to an R-tree node, earlier neighbours that the first round tries.
-UNIT, FANOUT, TRIES = 1024, 32, 8
-#: Width of the bands of set sizes that a large bucket is cut into.
-BAND = 0.05
+#: Tokens that are put last in the order, at most; and how often one occurs in a task to be counted.
+FREQUENT, OFTEN = 1 << 20, 2
+#: Classes to a unit of comparison, and children to an R-tree node.
+UNIT, FANOUT = 1024, 32
+#: First rounds; in each, the earlier neighbours that a class is tried with, and before them those that most have linked to.
+ROUNDS, TRIES, LEADERS, FIRST_UNIT = 3, 8, 4, 4096
+#: Width of the bands of set sizes, and bands between sizes that can link at most.
+BAND, REACH = 0.05, 3
 
 
 def shingle_set(text: str, hashes: WordHashes, words: int) -> np.ndarray:
@@ -43,23 +45,34 @@ def _least_overlap(a, b, hundredths: int):
     return -(-(hundredths * (a + b)) // (100 + hundredths))
 
 
+def _prefix_size(n: int, hundredths: int) -> int:
+    return n - -(-hundredths * n // 100) + 1
+
+
 def _prefix(tokens: np.ndarray, frequent: np.ndarray, hundredths: int) -> np.ndarray:
-    n = len(tokens)
-    size = n - -(-hundredths * n // 100) + 1
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
-        last = frequent[at] == tokens
-        if last.any():
-            tokens = np.concatenate([tokens[~last], tokens[last]])
-    return tokens[:size]
+    size = _prefix_size(len(tokens), hundredths)
+    if not len(frequent):
+        return tokens[:size]
+
+    def known(some):
+        return frequent[np.minimum(np.searchsorted(frequent, some), len(frequent) - 1)] == some
+
+    # Most often the first few tokens hold enough that are not frequent.
+    near = tokens[: 2 * size + 8]
+    rare = near[~known(near)]
+    if len(rare) < size and len(near) < len(tokens):
+        rest = tokens[len(near) :]
+        rare = np.concatenate([rare, rest[~known(rest)]])
+    if len(rare) < size:
+        rare = np.concatenate([rare, tokens[known(tokens)]])
+    return rare[:size]
 
 
-def _frequent_tokens(docs: DataFrame, words: int, hundredths: int) -> np.ndarray:
-    """The commonest prefix tokens, FREQUENT at most.  Any choice gives the same links; a good one gives small buckets."""
+def _frequent_tokens(docs: DataFrame, words: int, hundredths: int, folder: str) -> np.ndarray:
+    """The commonest of the tokens that come first by hash, FREQUENT at most.  Any choice gives the same links; a good one gives small buckets."""
 
     def count(batches):
         hashes, held, n = WordHashes(), [], 0
-        none = np.array([], np.uint64)
 
         def often():
             tokens, times = np.unique(np.concatenate(held), return_counts=True)
@@ -68,7 +81,9 @@ def _frequent_tokens(docs: DataFrame, words: int, hundredths: int) -> np.ndarray
 
         for batch in batches:
             for text in batch.column(0):
-                held.append(_prefix(shingle_set(text.as_py(), hashes, words), none, hundredths))
+                s = shingle_set(text.as_py(), hashes, words)
+                # Twice the prefix: what moves up when frequent tokens go last is counted too.
+                held.append(s[: 2 * _prefix_size(len(s), hundredths)])
                 n += len(held[-1])
                 if n >= 1 << 22:
                     yield often()
@@ -77,7 +92,15 @@ def _frequent_tokens(docs: DataFrame, words: int, hundredths: int) -> np.ndarray
             yield often()
 
     found = docs.select("text").mapInArrow(count, "token long, times long").groupBy("token").agg(F.sum("times").alias("times"))
-    top = found.orderBy(F.desc("times"), "token").limit(FREQUENT).select("token").toArrow()["token"].to_numpy()
+    found = stash(found, folder, "frequent")
+    steps = found.groupBy(F.floor(F.log2("times") * 8).cast("int").alias("step")).agg(F.count("*").alias("n")).collect()  # a few hundred rows
+    least, n = 1 << 30, 0
+    for r in sorted(steps, key=lambda r: -r["step"]):
+        n += r["n"]
+        if n > FREQUENT:
+            break
+        least = r["step"]
+    top = found.where(F.floor(F.log2("times") * 8) >= least).select("token").toArrow()["token"].to_numpy()
     return np.sort(top.astype(np.int64).view(np.uint64))
 
 
@@ -123,12 +146,15 @@ class Tree:
 
 
 def _sets(docs: DataFrame, words: int, hundredths: int, frequent) -> DataFrame:
-    """(doc_id, row_key, n_shingles, class, counts, tokens) per document; class and what follows are null for empty sets."""
+    """(doc_id, row_key, n_shingles, class, counts, tokens, firsts) per document; class and what follows are null for empty sets.
+
+    tokens: the prefix; firsts: a MinHash value for each first round.
+    """
 
     def run(batches):
         hashes, often = WordHashes(), frequent.value
         for batch in batches:
-            ns, classes, counts, tokens = [], [], [], []
+            ns, classes, counts, tokens, firsts = [], [], [], [], []
             for text in batch.column(2):
                 s = shingle_set(text.as_py(), hashes, words)
                 ns.append(len(s))
@@ -136,14 +162,16 @@ def _sets(docs: DataFrame, words: int, hundredths: int, frequent) -> DataFrame:
                     classes.append(int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64))))
                     counts.append(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype("<u4" if len(s) >= 1 << 16 else "<u2").tobytes())
                     tokens.append(_prefix(s, often, hundredths).view(np.int64))
+                    firsts.append(np.array([mix(s + np.uint64(r)).min() for r in range(ROUNDS)], np.uint64).view(np.int64))
                 else:
                     classes.append(None)
                     counts.append(None)
                     tokens.append(None)
-            arrays = [batch.column(0), batch.column(1), pa.array(ns, pa.int64()), pa.array(classes, pa.int64()), pa.array(counts, pa.binary()), pa.array(tokens, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "row_key", "n_shingles", "class", "counts", "tokens"])
+                    firsts.append(None)
+            arrays = [batch.column(0), batch.column(1), pa.array(ns, pa.int64()), pa.array(classes, pa.int64()), pa.array(counts, pa.binary()), pa.array(tokens, pa.list_(pa.int64())), pa.array(firsts, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "row_key", "n_shingles", "class", "counts", "tokens", "firsts"])
 
-    return docs.mapInArrow(run, "doc_id long, row_key long, n_shingles long, class long, counts binary, tokens array<long>")
+    return docs.mapInArrow(run, "doc_id long, row_key long, n_shingles long, class long, counts binary, tokens array<long>, firsts array<long>")
 
 
 def _counts(packed: list[bytes]) -> np.ndarray:
@@ -157,53 +185,74 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _first_round(members: DataFrame, hundredths: int) -> DataFrame:
-    """Verified links of each class to earlier ones of like size with the same first token.
+    """Verified links of classes with the same token: each to one of the earlier classes that most have linked to, else of those just before it in order of size.
 
-    Rows are dealt by ranges, so a token that many share is spread over tasks; a link that is missed
-    at the border of a range is found in the second round.
+    A link that is missed here is found later.
     """
 
     def run(batches):
-        token, before = None, []
+        token, before, leaders = None, [], []
         for batch in batches:
             a, b = [], []
-            for first, cls, packed in zip(*(batch.column(i) for i in (0, 2, 3)), strict=True):
-                first, cls, s = first.as_py(), cls.as_py(), np.frombuffer(packed.as_py(), np.uint64)
-                if first != token:
-                    token, before = first, []
-                for other, t in reversed(before):
-                    if _overlap(s, t) >= _least_overlap(len(s), len(t), hundredths):
+            for now, cls, packed in zip(*(batch.column(i) for i in (0, 2, 3)), strict=True):
+                now, cls, s = now.as_py(), cls.as_py(), np.frombuffer(packed.as_py(), np.uint64)
+                if now != token:
+                    token, before, leaders = now, [], []
+                one = [0, cls, s]  # links to it, class, set
+                for other in [*leaders, *(x for x in reversed(before) if not x[0])]:
+                    if _overlap(s, other[2]) >= _least_overlap(len(s), len(other[2]), hundredths):
                         a.append(cls)
-                        b.append(other)
+                        b.append(other[1])
+                        other[0] += 1
+                        if other[0] == 1:
+                            leaders.append(other)
+                        leaders = sorted(leaders, key=lambda x: -x[0])[:LEADERS]
                         break
-                before = [*before[1 - TRIES :], (cls, s)]
+                before = [*before[1 - TRIES :], one]
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     n = partitions(members.sparkSession)
-    dealt = members.repartitionByRange(n, "token", "n_shingles", "class").sortWithinPartitions("token", "n_shingles", "class")
+    dealt = members.repartition(n, "token").sortWithinPartitions("token", "n_shingles", "class")
     return dealt.select("token", "n_shingles", "class", "tokens").mapInArrow(run, "a long, b long")
 
 
+def _band() -> Column:
+    """Number of the band of set sizes; sizes that link (from 90 hundredths on) lie at most REACH bands apart."""
+    return F.floor(F.log(F.col("n_shingles").cast("double")) / -np.log(1 - BAND)).cast("int")
+
+
+def _near(keyed: DataFrame, hundredths: int, folder: str, name: str) -> DataFrame:
+    """Rows (token, n_shingles, ...) that share the token with another row of a size that could link."""
+    keyed = keyed.withColumn("band", _band())
+    bands = keyed.groupBy("token", "band").agg(F.count("*").alias("rows"), F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
+    # A row per band of a token: bounded by the number of bands.
+    by_band = Window.partitionBy("token").orderBy("band")
+    below = F.max("most").over(by_band.rangeBetween(-REACH, -1))
+    above = F.min("least").over(by_band.rangeBetween(1, REACH))
+    bands = bands.select("token", "band", "rows", "most", "least", below.alias("below"), above.alias("above"))
+    with_others = (F.col("rows") > 1) | (F.col("below") * 100 >= hundredths * F.col("least")) | (F.col("most") * 100 >= hundredths * F.col("above"))
+    bands = stash(bands.where(with_others).select("token", "band", "rows", "below", "above"), folder, f"near-{name}")
+    own = (F.col("rows") > 1) | (F.col("below") * 100 >= hundredths * F.col("n_shingles")) | (F.col("n_shingles") * 100 >= hundredths * F.col("above"))
+    return keyed.join(bands.hint("merge"), ["token", "band"]).where(own).drop("band", "rows", "below", "above")
+
+
 def _units(rows: DataFrame, folder: str) -> DataFrame:
     """Rows (token, ...) with unit and side: a bucket of up to UNIT classes is a unit, its rows on side 0.
 
     A larger one is cut into tiles, by bands of set sizes and within a band by hash; each pair of
-    tiles whose sizes can link is a unit, with a tile on either side.
+    tiles whose sizes can link is a unit, with a tile on either side (1 and 2).
     """
     sized = rows.groupBy("token").agg(F.count("*").alias("rows"))
     large = stash(sized.where(F.col("rows") > UNIT).select("token"), folder, "large")
     small = rows.join(large, "token", "left_anti").select("*", F.lit("").alias("unit"), F.lit(0).alias("side"))
-    band = F.floor(F.log(F.col("n_shingles").cast("double")) / -np.log(1 - BAND)).cast("int")
-    in_large = rows.join(large, "token", "left_semi").withColumn("band", band)
+    in_large = rows.join(large, "token", "left_semi").withColumn("band", _band())
     parts = stash(in_large.groupBy("token", "band").agg(F.ceil(F.count("*") / UNIT).cast("int").alias("parts")), folder, "bands")
     tiled = in_large.join(parts, ["token", "band"]).withColumn("part", F.pmod(F.xxhash64("class"), "parts"))
-    # Sizes that link lie within 10:9, that is within three bands of a twentieth (for thresholds from 0.9 on).
-    reach = 3
     others = parts.select("token", F.col("band").alias("other_band"), F.col("parts").alias("other_parts"))
-    met = tiled.join(others, "token").where(F.abs(F.col("band") - F.col("other_band")) <= reach)
+    met = tiled.join(others, "token").where(F.abs(F.col("band") - F.col("other_band")) <= REACH)
     met = met.withColumn("other_part", F.explode(F.sequence(F.lit(0), F.col("other_parts") - 1)))
-    other = F.struct(F.col("other_band").alias("band"), F.col("other_part").cast("long").alias("part"))
     own = F.struct("band", F.col("part").cast("long").alias("part"))
+    other = F.struct(F.col("other_band").alias("band"), F.col("other_part").cast("long").alias("part"))
     name = lambda x, y: F.concat_ws(":", x["band"].cast("string"), x["part"].cast("string"), y["band"].cast("string"), y["part"].cast("string"))
     met = met.withColumn("unit", F.when((own < other) | (own == other), name(own, other)).otherwise(name(other, own)))
     met = met.withColumn("side", F.when(own == other, 0).when(own < other, 1).otherwise(2))
@@ -211,47 +260,73 @@ def _units(rows: DataFrame, folder: str) -> DataFrame:
 
 
 def _candidates(units: DataFrame, hundredths: int) -> DataFrame:
-    """Pairs of classes of different groups that the bounds allow.  Side 0 is compared with itself, side 1 with side 2."""
+    """Pairs of classes of different groups that the bounds allow, each in the bucket of the first token they share only.
+
+    Side 0 is compared with itself, side 1 with side 2.
+    """
 
-    def unit(rows):
+    def few(token, rows):
+        """A small unit of side 0 without a tree: the same tests pair by pair."""
+        _, classes, groups, sizes, counts, opens = rows
+        found = []
+        for i in range(len(classes)):
+            for k in range(i):
+                small, large = sorted((sizes[i], sizes[k]))
+                if groups[i] == groups[k] or small * 100 < hundredths * large:
+                    continue
+                if int(np.minimum(*_counts([counts[i], counts[k]])).sum()) < _least_overlap(small, large, hundredths):
+                    continue
+                if {t for t in opens[i].as_py() if t < token}.isdisjoint(opens[k].as_py()):
+                    found.append(sorted((classes[i], classes[k])))
+        return np.array(found, np.int64).T if found else None
+
+    def unit(token, rows):
+        if len(rows[0]) <= 6 and not any(rows[0]):
+            return few(token, rows)
         sides, classes, groups, sizes = (np.array(x, np.int64) for x in (rows[0], rows[1], rows[2], rows[3]))
-        if len(classes) == 2 and (groups[0] == groups[1] or sizes.min() * 100 < hundredths * sizes.max()):
-            return None
         counts = _counts(rows[4])
         a, b = np.flatnonzero(sides < 2), np.flatnonzero(sides != 1)
         if not len(a) or not len(b):
             return None
         left = Tree(sizes[a], counts[a])
         right = left if sides[0] == 0 else Tree(sizes[b], counts[b])
-        found = []
+        found, before = [], {}
+
+        def earlier(k):
+            if k not in before:
+                before[k] = {t for t in rows[5][k].as_py() if t < token}
+            return before[k]
+
         for x, y in left.pairs(right, hundredths):
             x, y = a[x], b[y]
             keep = groups[x] != groups[y]
             if sides[0] == 0:
                 keep &= classes[x] < classes[y]
+            x, y = x[keep], y[keep]
+            keep = np.array([earlier(i).isdisjoint(earlier(k)) for i, k in zip(x.tolist(), y.tolist(), strict=True)], bool)
             found.append(np.stack([np.minimum(classes[x[keep]], classes[y[keep]]), np.maximum(classes[x[keep]], classes[y[keep]])]))
         return np.concatenate(found, axis=1) if found else None
 
     def run(batches):
-        name, rows = None, [[], [], [], [], []]
+        name, rows = None, [[], [], [], [], [], []]
         for batch in batches:
             out = []
             columns = [batch.column(i).to_pylist() for i in range(7)]
-            for token, key, *row in zip(*columns, strict=True):
+            for token, key, *row in zip(*columns, batch.column(7), strict=True):
                 if (token, key) != name:
-                    if len(rows[0]) > 1 and (found := unit(rows)) is not None:
+                    if len(rows[0]) > 1 and (found := unit(name[0], rows)) is not None:
                         out.append(found)
-                    name, rows = (token, key), [[], [], [], [], []]
+                    name, rows = (token, key), [[], [], [], [], [], []]
                 for x, y in zip(rows, row, strict=True):
                     x.append(y)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(np.concatenate(out, axis=1), axis=1)], ["a", "b"])
-        if len(rows[0]) > 1 and (found := unit(rows)) is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(out, axis=1)], ["a", "b"])
+        if len(rows[0]) > 1 and (found := unit(name[0], rows)) is not None:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["a", "b"])
 
     n = partitions(units.sparkSession)
     dealt = units.repartition(n, "token", "unit").sortWithinPartitions("token", "unit")
-    return dealt.select("token", "unit", "side", "class", "group", "n_shingles", "counts").mapInArrow(run, "a long, b long").distinct()
+    return dealt.select("token", "unit", "side", "class", "group", "n_shingles", "counts", "open").mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, hundredths: int) -> DataFrame:
@@ -284,40 +359,61 @@ def join(docs: DataFrame, words: int = WORDS, hundredths: int = HUNDREDTHS, id_c
     folder = shared_dir(spark, "jaccard")
     text = text_or_empty(F.col(text_col))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("row_key"), text.alias("text"))
-    frequent = spark.sparkContext.broadcast(_frequent_tokens(source, words, hundredths))  # FREQUENT tokens at most
+    frequent = spark.sparkContext.broadcast(_frequent_tokens(source, words, hundredths, folder))  # FREQUENT tokens at most
     of_docs = stash(_sets(source, words, hundredths, frequent), folder, "documents")
     some = of_docs.where("class is not null")
     classes = stash(
-        some.groupBy("class").agg(F.min("doc_id").alias("least_id"), F.min("row_key").alias("row_key"), F.first("n_shingles").alias("n_shingles"), F.first("counts").alias("counts"), F.first("tokens").alias("tokens")),
+        some.groupBy("class").agg(F.min("doc_id").alias("least_id"), F.min("row_key").alias("row_key"), F.first("n_shingles").alias("n_shingles"), F.first("counts").alias("counts"), F.first("tokens").alias("tokens"), F.first("firsts").alias("firsts")),
         folder, "classes",
     )
-    keyed = classes.select("class", F.explode("tokens").alias("token"))
-    shared = keyed.groupBy("token").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("token")
-    shared = stash(shared, folder, "tokens")
-    buckets = stash(keyed.join(shared, "token"), folder, "buckets")
-
-    # The sets of the classes that share a token with another one, from one document each.
-    wanted = buckets.select("class").distinct().join(classes.select("class", "row_key", "n_shingles", F.element_at("tokens", 1).alias("token")), "class")
+    buckets = stash(_near(classes.select("class", "n_shingles", F.explode("tokens").alias("token")), hundredths, folder, "buckets").select("class", "token"), folder, "buckets")
+    release(spark)
+
+    # The sets of the classes that may link, from one document each; a first round's token is null where no other class shares it.
+    firsts = classes.select("class", "n_shingles", F.posexplode("firsts").alias("round", "token"))
+    firsts = firsts.select("class", "n_shingles", "round", F.xxhash64("round", "token").alias("token"))
+    firsts = stash(_near(firsts, hundredths, folder, "firsts"), folder, "firsts")
+    # A token that many share is cut into parts, in each round in another way, so that groups of any size grow together.
+    sized = firsts.groupBy("token").agg(F.ceil(F.count("*") / FIRST_UNIT).cast("int").alias("parts")).where("parts > 1")
+    part = F.pmod(F.xxhash64("class", "round"), "parts")
+    firsts = firsts.join(stash(sized, folder, "large-firsts"), "token", "left").withColumn("token", F.when(F.col("parts") > 1, F.xxhash64("token", part)).otherwise(F.col("token")))
+    firsts = firsts.groupBy("class").agg(*(F.max(F.when(F.col("round") == r, F.col("token"))).alias(f"token_{r}") for r in range(ROUNDS)))
+    wanted = buckets.select("class").distinct().join(classes.select("class", "row_key"), "class").join(firsts, "class", "left")
+    wanted = stash(wanted, folder, "wanted")
+    tokens = [f"token_{r}" for r in range(ROUNDS)]
 
     def sets_of(batches):
         hashes = WordHashes()
         for batch in batches:
-            packed = [shingle_set(t.as_py(), hashes, words).tobytes() for t in batch.column(3)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(packed, pa.binary())], ["class", "n_shingles", "token", "tokens"])
-
-    wanted_texts = source.select("row_key", "text").join(wanted, "row_key").select("class", "n_shingles", "token", "text")
-    sets = wanted_texts.mapInArrow(sets_of, "class long, n_shingles long, token long, tokens binary")
-    sets = stash(sets.groupBy("class").agg(F.first("n_shingles").alias("n_shingles"), F.first("token").alias("token"), F.first("tokens").alias("tokens")), folder, "sets")
-
-    first_shared = stash(sets.groupBy("token").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("token"), folder, "first")
-    links = stash(_first_round(sets.join(first_shared, "token"), hundredths), folder, "links-1")
+            sets = [shingle_set(t.as_py(), hashes, words) for t in batch.column(ROUNDS + 1)]
+            arrays = [*batch.columns[: ROUNDS + 1], pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["class", *tokens, "n_shingles", "tokens"])
+
+    texts = source.select("row_key", "text").join(wanted.hint("merge"), "row_key").groupBy("row_key").agg(*(F.first(c).alias(c) for c in ("class", *tokens, "text")))
+    sets = texts.select("class", *tokens, "text").mapInArrow(sets_of, "class long, " + "".join(f"{t} long, " for t in tokens) + "n_shingles long, tokens binary")
+    sets = stash(sets, folder, "sets", "none")
+    release(spark)
+    links = None
+    for r, t in enumerate(tokens):
+        members = sets.where(F.col(t).isNotNull()).select(F.col(t).alias("token"), "n_shingles", "class", "tokens")
+        found = stash(_first_round(members, hundredths), folder, f"links-{r}")
+        links = found if links is None else links.unionByName(found)
+        release(spark)
+    links = stash(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), folder, "links")
     groups = components(links, f"{folder}/components-1")
     grouped = buckets.join(groups.withColumnRenamed("node", "class"), "class", "left").withColumn("group", F.coalesce("component", "class")).drop("component")
     grouped = stash(grouped, folder, "grouped")
     open_tokens = stash(grouped.groupBy("token").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y").select("token"), folder, "open")
-    rows = stash(grouped.join(open_tokens, "token").join(classes.select("class", "n_shingles", "counts"), "class"), folder, "rows")
+    still = grouped.join(open_tokens, "token").groupBy("class").agg(F.first("group").alias("group"), F.sort_array(F.collect_list("token")).alias("open"))
+    points = stash(still.join(classes.select("class", "n_shingles", "counts"), "class"), folder, "points")
+    rows = points.withColumn("token", F.explode("open"))
     pairs = stash(_candidates(_units(rows, folder), hundredths), folder, "pairs")
-    more = stash(_verified(pairs, sets, hundredths), folder, "links-2")
+    release(spark)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    sets = stash(sets.select("class", "tokens").join(ends.hint("merge"), "class"), folder, "pair-sets", "none")
+    release(spark)
+    more = stash(_verified(pairs, sets, hundredths), folder, "links-more")
+    release(spark)
     final = components(links.unionByName(more), f"{folder}/components-2")
 
     named = classes.select("class", "least_id").join(final.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
@@ -326,3 +422,18 @@ def join(docs: DataFrame, words: int = WORDS, hundredths: int = HUNDREDTHS, id_c
     by_class = stash(named.join(names, "component").select("class", "component_id"), folder, "by-class")
     placed = some.select("doc_id", "row_key", "n_shingles", "class").join(by_class, "class").select("doc_id", "n_shingles", "component_id", "row_key")
     return placed.unionByName(of_docs.where("class is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "row_key"))
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
+    """One document of each group, that of the smallest id; all columns as they were.
+
+    Rows that repeat an id and text are one document.  Of documents of one id that are alike one
+    stays; groups in which no row has an id lose only repeated rows.
+    """
+    spark = docs.sparkSession
+    groups = join(docs, id_col=id_col, text_col=text_col, **parameters)
+    named = groups.where("doc_id = component_id").groupBy("component_id").agg(F.min("row_key").alias("_row_key")).select("_row_key")
+    unnamed = groups.where("component_id is null").select(F.col("row_key").alias("_row_key")).distinct()
+    kept = stash(named.unionByName(unnamed), shared_dir(spark, "kept"), "kept")
+    keyed = docs.withColumn("_row_key", F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)))
+    return keyed.join(kept.hint("merge"), "_row_key").dropDuplicates(["_row_key"]).drop("_row_key")
