@@ -156,7 +156,9 @@ def write(docs: DataFrame, path: str, end: int | None = 2, id_col: str = "doc_id
         import zstandard
 
         words = word_encoder(path)
-        pack = zstandard.ZstdCompressor(level=3, dict_data=_dict(content))
+        shared = zstandard.ZstdCompressionDict(content)
+        shared.precompute_compress(level=3)  # else every frame digests the dictionary again
+        pack = zstandard.ZstdCompressor(dict_data=shared)
         for batch in batches:
             ids = words.encode(batch.column(1).to_pylist(), end)
             docs_ids = batch.column(0)
