@@ -43,6 +43,12 @@ def stash(df: DataFrame, folder: str, name: str, codec: str = "zstd") -> DataFra
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(folder: str, name: str) -> None:
+    """Deletes a stash that nothing reads any more."""
+    fs, path = open_fs(f"{folder}/{name}")
+    fs.delete_dir(path)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of plans that are done with, instead of at its next chance collection."""
     gc.collect()

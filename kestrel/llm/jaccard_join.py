@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from kestrel.llm.common import WordHashes, mix, partitions, ready, release, shared_dir, shingle_hashes, stash, text_or_empty
+from kestrel.llm.common import WordHashes, discard, mix, partitions, ready, release, shared_dir, shingle_hashes, stash, text_or_empty
 from kestrel.llm.graph import components
 
 #: Production parameters: words to a shingle, and the threshold in hundredths.
@@ -360,12 +360,15 @@ def join(docs: DataFrame, words: int = WORDS, hundredths: int = HUNDREDTHS, id_c
     text = text_or_empty(F.col(text_col))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("row_key"), text.alias("text"))
     frequent = spark.sparkContext.broadcast(_frequent_tokens(source, words, hundredths, folder))  # FREQUENT tokens at most
-    of_docs = stash(_sets(source, words, hundredths, frequent), folder, "documents")
+    full = stash(_sets(source, words, hundredths, frequent), folder, "features")
+    of_docs = stash(full.select("doc_id", "row_key", "n_shingles", "class"), folder, "documents")
     some = of_docs.where("class is not null")
     classes = stash(
-        some.groupBy("class").agg(F.min("doc_id").alias("least_id"), F.min("row_key").alias("row_key"), F.first("n_shingles").alias("n_shingles"), F.first("counts").alias("counts"), F.first("tokens").alias("tokens"), F.first("firsts").alias("firsts")),
+        full.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least_id"), F.min("row_key").alias("row_key"), F.first("n_shingles").alias("n_shingles"), F.first("counts").alias("counts"), F.first("tokens").alias("tokens"), F.first("firsts").alias("firsts")),
         folder, "classes",
     )
+    discard(folder, "features")
+    release(spark)
     buckets = stash(_near(classes.select("class", "n_shingles", F.explode("tokens").alias("token")), hundredths, folder, "buckets").select("class", "token"), folder, "buckets")
     release(spark)
 
@@ -411,6 +414,7 @@ def join(docs: DataFrame, words: int = WORDS, hundredths: int = HUNDREDTHS, id_c
     release(spark)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     sets = stash(sets.select("class", "tokens").join(ends.hint("merge"), "class"), folder, "pair-sets", "none")
+    discard(folder, "sets")
     release(spark)
     more = stash(_verified(pairs, sets, hundredths), folder, "links-more")
     release(spark)
