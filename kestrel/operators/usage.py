@@ -38,3 +38,48 @@ def cost_by_model(records: DataFrame, rates: DataFrame) -> DataFrame:
     sums = records.groupBy("model").agg(*(F.sum(c).alias(c) for c in COUNTERS), F.count("*").alias("calls"))
     priced = sum((F.col(c) * _rate(c.removesuffix("_tokens")) for c in COUNTERS), F.lit(0.0)) / 1e6
     return sums.join(F.broadcast(rates), "model", "left").select("model", *COUNTERS, "calls", F.round(priced, 4).alias("cost_usd"))
+
+
+def by_session_model(records: DataFrame) -> DataFrame:
+    """Counters and calls per session and model (A1)."""
+    return records.groupBy("session_id", "model").agg(*(F.sum(c).alias(c) for c in COUNTERS), F.count("*").alias("calls"))
+
+
+def model_totals(records: DataFrame) -> DataFrame:
+    """Totals per model, and of all models under 'ALL' (A2)."""
+    sums = [F.sum(c).alias(c) for c in COUNTERS]
+    return records.rollup("model").agg(*sums).select(F.coalesce("model", F.lit("ALL")).alias("model"), *COUNTERS)
+
+
+def project_breakdown(records: DataFrame) -> DataFrame:
+    """Billable tokens (no cache reads) and sessions per project (A3, Q4)."""
+    billable = F.col("input_tokens") + F.col("output_tokens") + F.col("cache_write")
+    return records.groupBy("project").agg(F.sum(billable).alias("billable"), F.countDistinct("session_id").alias("sessions"))
+
+
+def cache_efficiency(records: DataFrame, rates: DataFrame) -> DataFrame:
+    """Share of cache reads among input tokens in percent, 0 without any, and what they saved in USD (A4, A5)."""
+    sums = records.groupBy("model").agg(*(F.sum(c).alias(c) for c in COUNTERS))
+    seen = F.col("cache_read") + F.col("input_tokens") + F.col("cache_write")
+    saved = F.col("cache_read") * (_rate("input") - _rate("cache_read")) / 1e6
+    rows = sums.join(F.broadcast(rates), "model", "left")
+    return rows.select("model", F.round(F.coalesce(F.try_divide(F.col("cache_read") * 100.0, seen), F.lit(0.0)), 4).alias("efficiency"), F.round(saved, 6).alias("saved_usd"))
+
+
+def what_if(records: DataFrame, rates: DataFrame) -> DataFrame:
+    """All tokens priced at each model of the rate card (A7); the card has a few rows."""
+    total = records.agg(*(F.sum(c).alias(c) for c in COUNTERS))
+    cost = sum((F.col(c) * _rate(c.removesuffix("_tokens")) for c in COUNTERS), F.lit(0.0)) / 1e6
+    return F.broadcast(rates).join(total).select("model", F.round(cost, 4).alias("cost_usd"))
+
+
+def active_sessions(records: DataFrame, history: DataFrame) -> DataFrame:
+    """Records of sessions that the history lists (J2): a session counts whole, as the history names it (Q1)."""
+    return records.join(history.select("session_id").distinct(), "session_id", "left_semi")
+
+
+def daily_series(daily: DataFrame, value: str, first: str, last: str) -> DataFrame:
+    """A row for each day of the period, zero where nothing was recorded."""
+    spark = daily.sparkSession
+    days = spark.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("day"))
+    return days.join(daily, "day", "left").select("day", F.coalesce(value, F.lit(0)).alias(value))

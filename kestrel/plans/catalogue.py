@@ -4,19 +4,334 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kestrel.operators import usage
+from kestrel.operators import graph, state, text, usage
 
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
 
-def _usage_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return usage.cost_by_model(usage.records_from_sales(read("lineitem"), read("part")), usage.rate_card(spark))
 
+def _query(sql: str | None = None):
+    def add(f):
+        name = f.__name__.lstrip("_")
+        _QUERIES[name] = lambda spark, sf_dir: f(spark, lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+        if sql:
+            _SQL[name] = sql
+        return f
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"usage_cost": _usage_cost}
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _records(read) -> DataFrame:
+    return usage.records_from_sales(read("lineitem"), read("part"))
+
+
+#: The same records and rate card in SQL.
+RECORDS = """records AS (SELECT l_orderkey AS session_id, p_brand AS model, l_suppkey AS project_key, CAST(l_quantity AS BIGINT) AS input_tokens,
+  CAST(floor(l_extendedprice) AS BIGINT) AS output_tokens, CAST(round(l_discount * 100) AS BIGINT) AS cache_read, CAST(round(l_tax * 100) AS BIGINT) AS cache_write
+  FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+RATES = """rates(model, ri, ro, rr, rw) AS (VALUES ('Brand#11', 3.0::DOUBLE, 15.0::DOUBLE, 0.3::DOUBLE, 3.75::DOUBLE), ('Brand#12', 15.0, 75.0, 1.5, 18.75), ('Brand#13', 0.8, 4.0, 0.08, 1.0))"""
+SUMS = "sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, sum(cache_read)::BIGINT AS cache_read, sum(cache_write)::BIGINT AS cache_write"
+COST = "(input_tokens * coalesce(ri, 5.0::DOUBLE) + output_tokens * coalesce(ro, 25.0::DOUBLE) + cache_read * coalesce(rr, 0.5::DOUBLE) + cache_write * coalesce(rw, 6.25::DOUBLE)) / 1e6"
+
+
+@_query(f"WITH {RECORDS}, {RATES}, s AS (SELECT model, {SUMS}, count(*) AS calls FROM records GROUP BY model) SELECT s.*, round({COST}, 4) AS cost_usd FROM s LEFT JOIN rates USING (model)")
+def _usage_cost(spark, read):
+    return usage.cost_by_model(_records(read), usage.rate_card(spark))
+
+
+@_query(f"WITH {RECORDS} SELECT session_id, model, {SUMS}, count(*) AS calls FROM records GROUP BY ALL")
+def _usage_by_session_model(spark, read):
+    return usage.by_session_model(_records(read))
+
+
+@_query(f"WITH {RECORDS} SELECT coalesce(model, 'ALL') AS model, {SUMS} FROM records GROUP BY ROLLUP (model)")
+def _usage_model_totals(spark, read):
+    return usage.model_totals(_records(read))
+
+
+@_query(
+    f"WITH {RECORDS} SELECT n_name AS project, sum(input_tokens + output_tokens + cache_write)::BIGINT AS billable, count(DISTINCT session_id) AS sessions "
+    "FROM records JOIN supplier ON project_key = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name"
+)
+def _usage_project_breakdown(spark, read):
+    owner = read("supplier").join(read("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("project_key"), F.col("n_name").alias("project"))
+    return usage.project_breakdown(_records(read).join(owner, "project_key"))
+
+
+@_query(
+    f"WITH {RECORDS}, {RATES}, s AS (SELECT model, {SUMS} FROM records GROUP BY model) SELECT model, round(coalesce(cache_read * 100.0::DOUBLE / nullif(cache_read + input_tokens + cache_write, 0), 0), 4) AS efficiency, "
+    "round(cache_read * (coalesce(ri, 5.0::DOUBLE) - coalesce(rr, 0.5::DOUBLE)) / 1e6, 6) AS saved_usd FROM s LEFT JOIN rates USING (model)"
+)
+def _usage_cache_efficiency(spark, read):
+    return usage.cache_efficiency(_records(read), usage.rate_card(spark))
+
+
+@_query(f"WITH {RECORDS}, {RATES}, s AS (SELECT {SUMS} FROM records) SELECT model, round({COST}, 4) AS cost_usd FROM s, rates")
+def _usage_what_if(spark, read):
+    return usage.what_if(_records(read), usage.rate_card(spark))
+
+
+@_query(
+    f"WITH {RECORDS} SELECT model, {SUMS} FROM records WHERE session_id IN (SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1996-01-01') GROUP BY model"
+)
+def _usage_active_sessions(spark, read):
+    history = read("orders").where("o_orderdate >= '1995-01-01' AND o_orderdate < '1996-01-01'").select(F.col("o_orderkey").alias("session_id"))
+    return usage.active_sessions(_records(read), history).groupBy("model").agg(*(F.sum(c).alias(c) for c in usage.COUNTERS))
+
+
+@_query(
+    "SELECT strftime(d, '%Y-%m-%d') AS day, coalesce(n, 0)::BIGINT AS sessions FROM generate_series(DATE '1994-12-01', DATE '1995-03-01', INTERVAL 1 DAY) g(d) "
+    "LEFT JOIN (SELECT o_orderdate::DATE AS day, count(*) AS n FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1) o ON o.day = d::DATE"
+)
+def _usage_daily_series(spark, read):
+    daily = read("orders").where("o_orderpriority = '1-URGENT'").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count("*").alias("sessions"))
+    return usage.daily_series(daily, "sessions", "1994-12-01", "1995-03-01").withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
+@_query(
+    "WITH t AS (SELECT event_id, user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM events) "
+    "SELECT event_id, user_id, event_type, previous FROM t WHERE previous IS NULL OR previous <> event_type"
+)
+def _state_transitions(spark, read):
+    return state.transitions(read("events"), "user_id", "event_type", ["ts", "event_id"]).select("event_id", "user_id", "event_type", "previous")
+
+
+@_query("SELECT event_id, user_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 5")
+def _keep_latest_n(spark, read):
+    return state.latest_n(read("events"), "user_id", [F.desc("ts"), F.desc("event_id")], 5).select("event_id", "user_id")
+
+
+HALVES = "old AS (SELECT user_id, arg_max(value, event_id) AS v FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY 1), new AS (SELECT user_id, arg_max(value, event_id) AS v FROM events WHERE ts >= TIMESTAMP '2024-01-16' AND event_type = 'error' GROUP BY 1)"
+
+
+def _halves(read):
+    last = lambda df: df.groupBy("user_id").agg(F.max_by("value", "event_id").alias("v"))
+    events = read("events")
+    return last(events.where("ts < '2024-01-16'")), last(events.where("ts >= '2024-01-16' AND event_type = 'error'"))
+
+
+@_query(f"WITH {HALVES} SELECT * FROM new UNION ALL SELECT * FROM old WHERE user_id NOT IN (SELECT user_id FROM new)")
+def _upsert_latest(spark, read):
+    return state.upsert(*_halves(read), ["user_id"])
+
+
+@_query(f"WITH {HALVES} SELECT * FROM old UNION ALL SELECT * FROM new WHERE user_id NOT IN (SELECT user_id FROM old)")
+def _insert_ignore(spark, read):
+    return state.insert_missing(*_halves(read), ["user_id"])
+
+
+@_query(f"WITH {HALVES} SELECT user_id, coalesce(new.v, old.v) AS v FROM old FULL JOIN new USING (user_id)")
+def _upsert_partial(spark, read):
+    return state.upsert_partial(*_halves(read), ["user_id"], ["v"])
+
+
+@_query(
+    f"WITH {HALVES} SELECT user_id, CASE WHEN old.v IS NULL THEN 'added' WHEN new.v IS NULL THEN 'removed' ELSE 'changed' END AS change, old.v AS old, new.v AS new "
+    "FROM old FULL JOIN new USING (user_id) WHERE old.v IS DISTINCT FROM new.v"
+)
+def _snapshot_diff(spark, read):
+    return state.diff(*_halves(read), "user_id", "v")
+
+
+@_query(
+    f"WITH {HALVES} SELECT user_id, TIMESTAMP '2024-02-01' AS first_seen, CASE WHEN new.user_id IS NULL THEN TIMESTAMP '2024-02-01' END AS resolved_at FROM new FULL JOIN old USING (user_id) WHERE old.user_id IS NULL "
+    "UNION ALL SELECT old.user_id, TIMESTAMP '2024-01-01', CASE WHEN new.user_id IS NULL THEN TIMESTAMP '2024-02-01' END FROM old LEFT JOIN new ON old.user_id = new.user_id"
+)
+def _scd2_findings(spark, read):
+    old, new = _halves(read)
+    at = lambda day: F.lit(f"2024-{day}").cast("timestamp_ntz")
+    return state.merge_open(old.select("user_id", at("01-01").alias("first_seen")), new, ["user_id"], at("02-01"))
+
+
+@_query(
+    "WITH o AS (SELECT user_id, ts, event_id, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), "
+    "g AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM o) SELECT user_id, count(*) AS events, min(ts) AS first, max(ts) AS last FROM g GROUP BY user_id, k"
+)
+def _debounce_sessions(spark, read):
+    return state.debounce(read("events"), "user_id", "ts", "6 hours")
+
+
+@_query(
+    "WITH RECURSIVE fired AS (SELECT user_id, event_type, min(ts) AS ts FROM events GROUP BY 1, 2 UNION ALL "
+    "SELECT user_id, event_type, n.ts FROM fired f, LATERAL (SELECT min(e.ts) AS ts FROM events e WHERE e.user_id = f.user_id AND e.event_type = f.event_type AND e.ts > f.ts + INTERVAL 86400 SECOND) n WHERE n.ts IS NOT NULL) "
+    "SELECT user_id, event_type, ts FROM fired"
+)
+def _alert_cooldown(spark, read):
+    return state.cooldown(read("events").select("user_id", "event_type", "ts"), ["user_id", "event_type"], "ts", 86400)
+
+
+@_query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS events, round(avg(value), 4) AS mean_value FROM events GROUP BY 1, 2")
+def _hourly_rollup(spark, read):
+    return read("events").groupBy(F.date_trunc("hour", "ts").alias("hour"), "event_type").agg(F.count("*").alias("events"), F.round(F.avg("value"), 4).alias("mean_value"))
+
+
+SEVERITY = "CASE WHEN value >= 90 THEN 'critical' WHEN value >= 70 THEN 'high' WHEN value >= 40 THEN 'medium' ELSE 'low' END"
+
+
+@_query(f"SELECT event_type, {SEVERITY} AS severity, count(*) AS n FROM events GROUP BY 1, 2")
+def _severity_histogram(spark, read):
+    return read("events").groupBy("event_type", state.severity(F.col("value")).alias("severity")).agg(F.count("*").alias("n"))
+
+
+@_query(f"SELECT user_id, greatest(0, 100 - sum(CASE {SEVERITY} WHEN 'critical' THEN 20 WHEN 'high' THEN 10 WHEN 'medium' THEN 3 ELSE 1 END))::BIGINT AS score FROM events WHERE event_type = 'error' GROUP BY 1")
+def _security_score(spark, read):
+    return state.security_score(read("events").where("event_type = 'error'").withColumn("severity", state.severity(F.col("value"))), "user_id")
+
+
+@_query("SELECT (hour(ts) * 60 + minute(ts) >= 1320 OR hour(ts) * 60 + minute(ts) < 450) AS quiet, count(*) AS n FROM events GROUP BY 1")
+def _quiet_hours(spark, read):
+    return read("events").groupBy(state.quiet_hours(F.col("ts"), 1320, 450).alias("quiet")).agg(F.count("*").alias("n"))
+
+
+LINES = r"lines AS (SELECT doc_id, unnest(range(1, len(a) + 1)) AS line_no, unnest(a) AS line FROM (SELECT doc_id, string_split_regex(regexp_replace(text, '\r?\n$', ''), '\r?\n') AS a FROM documents))"
+NORMALIZED = r"""normalized AS (SELECT doc_id, line_no, line, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS seq FROM
+  (SELECT doc_id, line_no, trim(regexp_replace(line, '[ \t]+', ' ', 'g')) AS line FROM lines) WHERE NOT regexp_matches(line, '^(#|//|import |from )') AND strlen(line) >= 3)"""
+WINDOWS = """windows AS (SELECT doc_id, seq, line_no, md5(array_to_string(run, chr(10))) AS hash FROM
+  (SELECT doc_id, seq, line_no, list(line) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS run FROM normalized) WHERE len(run) = 3)"""
+
+
+@_query(f"WITH {LINES} SELECT doc_id, line_no, line FROM lines")
+def _text_lines(spark, read):
+    return text.lines(read("documents"))
+
+
+@_query(f"WITH {LINES}, {NORMALIZED} SELECT doc_id, line_no, line, seq FROM normalized")
+def _text_normalized(spark, read):
+    return text.normalized(text.lines(read("documents")))
+
+
+@_query(f"WITH {LINES}, {NORMALIZED}, {WINDOWS} SELECT doc_id, seq, line_no, hash FROM windows")
+def _dup_windows(spark, read):
+    return text.windows(text.normalized(text.lines(read("documents"))), 3)
+
+
+@_query(f"WITH {LINES}, {NORMALIZED}, {WINDOWS} SELECT hash, count(DISTINCT doc_id) AS files, min(doc_id) AS first, count(*) AS places FROM windows GROUP BY hash HAVING count(DISTINCT doc_id) > 1")
+def _dup_groups(spark, read):
+    return text.duplicate_windows(text.windows(text.normalized(text.lines(read("documents"))), 3))
+
+
+PATTERNS = [("license", "(?i)licen[sc]e"), ("credential", "(?i)(password|token|api_key) *="), ("mail", "[a-z.]+@[a-z0-9.]+"), ("number", "[0-9]{3}")]
+PATTERN_CASE = " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{n}'" for n, p in PATTERNS)
+
+
+@_query(f"SELECT doc_id, CASE {PATTERN_CASE} ELSE 'none' END AS pattern FROM documents")
+def _priority_pattern_match(spark, read):
+    return read("documents").select("doc_id", text.first_match(F.col("text"), PATTERNS, "none").alias("pattern"))
+
+
+@_query(" UNION ALL ".join(f"SELECT doc_id, '{n}' AS pattern FROM documents WHERE regexp_matches(text, '{p}')" for n, p in PATTERNS))
+def _all_pattern_match(spark, read):
+    return text.all_matches(read("documents"), PATTERNS)
+
+
+@_query(
+    f"WITH {LINES}, h AS (SELECT doc_id, line_no, CASE WHEN contains(lower(line), 'license') THEN 'license' WHEN contains(lower(line), 'token') THEN 'token' WHEN contains(lower(line), 'mail') THEN 'mail' END AS keyword FROM lines) "
+    "SELECT keyword, row_number() OVER (PARTITION BY keyword ORDER BY doc_id, line_no) AS n, doc_id, line_no FROM h WHERE keyword IS NOT NULL QUALIFY n <= 20"
+)
+def _keyword_search(spark, read):
+    return text.keyword_hits(text.lines(read("documents")), ["license", "token", "mail"], 20)
+
+
+@_query(
+    f"WITH {LINES}, r AS (SELECT doc_id, line_no, line_no - row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS island FROM lines WHERE strlen(line) >= 80) "
+    "SELECT doc_id, min(line_no) AS first_line, count(*) AS length FROM r GROUP BY doc_id, island HAVING count(*) >= 3"
+)
+def _line_islands(spark, read):
+    return text.islands(text.lines(read("documents")), F.octet_length("line") >= 80, 3)
+
+
+@_query("SELECT lang AS ext, count(*) AS files, sum(strlen(text))::BIGINT AS bytes, max(strlen(text)) AS largest FROM documents GROUP BY 1")
+def _file_tree_summary(spark, read):
+    size = F.octet_length("text").cast("long")
+    return read("documents").groupBy(F.col("lang").alias("ext")).agg(F.count("*").alias("files"), F.sum(size).alias("bytes"), F.max(size).alias("largest"))
+
+
+@_query("SELECT source, count(*) AS files FROM documents GROUP BY 1 ORDER BY files DESC, source LIMIT 5")
+def _top_dirs(spark, read):
+    return read("documents").groupBy("source").agg(F.count("*").alias("files")).orderBy(F.desc("files"), "source").limit(5)
+
+
+@_query("SELECT doc_id, sha256(text) AS hash FROM documents")
+def _content_hash(spark, read):
+    return read("documents").select("doc_id", F.sha2("text", 256).alias("hash"))
+
+
+@_query(
+    r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) AS text FROM pages"
+)
+def _html_text(spark, read):
+    return read("pages").select("page_id", text.html_text(F.col("html")).alias("text"))
+
+
+@_query(
+    """WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '<([a-z0-9]+ class="[^"]*")', 1)) AS pattern FROM pages) SELECT pattern, count(*) AS uses, count(DISTINCT page_id) AS pages FROM t GROUP BY 1 HAVING count(*) >= 3 AND count(DISTINCT page_id) >= 3"""
+)
+def _reusable_markup(spark, read):
+    return text.reusable_markup(read("pages"))
+
+
+#: Customers and suppliers of one number stand for a module: who buys imports whom it buys from.
+EDGES = "edges AS (SELECT DISTINCT o_custkey AS src, l_suppkey AS dst FROM orders JOIN lineitem ON l_orderkey = o_orderkey)"
+
+
+def _edges(read) -> DataFrame:
+    sold = read("orders").join(read("lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return sold.select(F.col("o_custkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
+
+
+@_query(f"WITH {EDGES} SELECT dst, count(DISTINCT src) AS importers FROM edges GROUP BY 1 ORDER BY importers DESC, dst LIMIT 5")
+def _graph_hubs(spark, read):
+    return graph.hubs(_edges(read), 5)
+
+
+@_query(f"WITH {EDGES} SELECT e.src AS a, e.dst AS b FROM edges e JOIN edges f ON e.src = f.dst AND e.dst = f.src WHERE e.src < e.dst")
+def _graph_circular(spark, read):
+    return graph.mutual(_edges(read))
+
+
+@_query(f"WITH {EDGES} SELECT c_custkey AS node FROM customer WHERE c_custkey NOT IN (SELECT dst FROM edges) AND c_mktsegment <> 'BUILDING'")
+def _graph_orphans(spark, read):
+    entries = read("customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("node"))
+    return graph.orphans(read("customer").select(F.col("c_custkey").alias("node")), _edges(read), entries)
+
+
+@_query(
+    "SELECT conv_id, count(*) AS turns, arg_min(text, turn) FILTER (WHERE role = 'user') AS first_text, sum(length(text))::BIGINT AS chars FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations) "
+    "GROUP BY conv_id HAVING count(*) = count(DISTINCT turn)"
+)
+def _session_summary(spark, read):
+    rows = read("conversations").select("conv_id", "turn", "role", "text").distinct()
+    user = F.when(F.col("role") == "user", F.col("turn"))
+    found = rows.groupBy("conv_id").agg(F.count("*").alias("turns"), F.min_by("text", user).alias("first_text"), F.sum(F.length("text")).cast("long").alias("chars"), F.countDistinct("turn").alias("t"))
+    return found.where("turns = t").drop("t")
+
+
+@_query("SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events")
+def _json_props(spark, read):
+    return read("events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+@_query(
+    "SELECT DISTINCT p_brand AS name FROM part WHERE levenshtein(lower(p_brand), 'brand#15') BETWEEN 1 AND 1 AND lower(p_brand) <> 'brand#11'"
+)
+def _typosquat(spark, read):
+    low = F.lower("p_brand")
+    near = F.levenshtein(low, F.lit("brand#15"), 1)
+    return read("part").where((near == 1) & (low != "brand#11")).select(F.col("p_brand").alias("name")).distinct()
+
+
+@_query("SELECT o_orderkey, coalesce(c_name, '') AS label FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey")
+def _left_join_label(spark, read):
+    good = read("customer").where("c_acctbal > 0").select("c_custkey", "c_name")
+    return read("orders").join(good, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", F.coalesce("c_name", F.lit("")).alias("label"))
