@@ -160,7 +160,7 @@ def search(vectors: DataFrame, is_query=None, k: int = 10, id_col: str = "vec_id
         packed = dealt.groupBy("list", "part").agg(F.collect_list("vec_id").alias("ids"), F.collect_list("v").alias("vs"))
         return packed.select("list", F.col("ids").alias(f"{name}_ids"), F.col("vs").alias(f"{name}_vs"))
 
-    pairs = blocks(queries, QUERY_BLOCK, "q").join(blocks(postings, BLOCK, "p"), "list")
+    pairs = blocks(queries, QUERY_BLOCK, "q").hint("merge").join(blocks(postings, BLOCK, "p"), "list")
 
     def compare(batches):
         for batch in batches:
