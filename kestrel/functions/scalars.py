@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
+def stripped(text: Column | str) -> Column:
+    """Text without white space at its ends."""
+    return F.trim(F.col(text) if isinstance(text, str) else text, F.lit(" \t\r\n\f\x0b"))
+
+
 # ---- paths
 
 

@@ -386,7 +386,7 @@ def _lines(files: DataFrame) -> DataFrame:
 
 def hardcoded(files: DataFrame) -> DataFrame:
     """(project, path, line_no, kind, value) of quoted addresses, long sleeps and long timeouts."""
-    lines = _lines(files).where(~F.ltrim("line").rlike(r"^(#|//|\*|assert|expect\()"))
+    lines = _lines(files).where(~S.stripped("line").rlike(r"^(#|//|\*|assert|expect\()"))
     pick = lambda kind, pattern: F.transform(F.regexp_extract_all("line", F.lit(pattern), F.lit(1)), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
     found = F.concat(pick("url", "[\"'](https?://[^\"']+)[\"']"), pick("sleep", r"sleep\((\d+)\)"), pick("timeout", r"setTimeout\([^,]+,\s*(\d+)\)"))
     rows = lines.select("project", "path", "line_no", F.inline(found))
@@ -397,10 +397,10 @@ def hardcoded(files: DataFrame) -> DataFrame:
 
 def todos(files: DataFrame) -> DataFrame:
     """(project, path, line_no, kind, text) of the first marker on each comment line."""
-    line = F.trim("line")
+    line = S.stripped("line")
     lines = _lines(files).withColumn("line", line).where(F.col("line").rlike(r"^#|^//|# |// "))
     pattern = r"(?i)\b(TODO|FIXME|HACK|XXX|TEMP)\b(.*)"
-    text = F.trim(F.regexp_replace(F.trim(F.regexp_extract("line", pattern, 2)), "^:+", ""))
+    text = S.stripped(F.regexp_replace(S.stripped(F.regexp_extract("line", pattern, 2)), "^:+", ""))
     return lines.where(F.col("line").rlike(pattern)).select("project", "path", "line_no", F.upper(F.regexp_extract("line", pattern, 1)).alias("kind"), text.alias("text"))
 
 
@@ -424,7 +424,7 @@ def error_gaps(files: DataFrame, found: DataFrame) -> DataFrame:
 
 def large_files(files: DataFrame, found: DataFrame, **limits: int) -> DataFrame:
     """(project, path, lines, functions, classes, severity) of files with many non-blank lines."""
-    text = F.filter(F.split("content", "\r?\n"), lambda x: F.trim(x) != "")
+    text = F.filter(F.split("content", "\r?\n"), lambda x: S.stripped(x) != "")
     sizes = files.select("project", "path", F.size(text).cast("long").alias("lines")).withColumn("severity", S.size_severity(F.col("lines"), **limits)).where("severity IS NOT NULL")
     defined = found.groupBy("project", "path").agg(F.count_if(F.col("kind").isin("function", "method")).alias("functions"), F.count_if(F.col("kind") == "class").alias("classes"))
     return sizes.join(defined, ["project", "path"], "left").na.fill(0, ["functions", "classes"]).select("project", "path", "lines", "functions", "classes", "severity")
@@ -438,7 +438,7 @@ def overengineered(files: DataFrame, found: DataFrame) -> DataFrame:
     framework = framework | name.rlike("|".join(e.replace(".", r"\.") + "$" for e in SINGLE_METHOD_ENDINGS))
     plain = ~S.is_test_path(path) & ~S.is_generated(path) & ~framework
     single = found.where((F.col("kind") == "single_method") & plain).select("project", "path", "line", F.lit("single_method_class").alias("kind"))
-    lines = F.size(F.filter(F.split("content", "\r?\n"), lambda x: F.trim(x) != ""))
+    lines = F.size(F.filter(F.split("content", "\r?\n"), lambda x: S.stripped(x) != ""))
     top = found.where("top AND NOT coalesce(flag, false)").groupBy("project", "path").agg(F.count_if(F.col("kind") == "function").alias("f"), F.count_if(F.col("kind") == "class").alias("c"))
     tiny = files.where(plain & path.endswith(".py") & ~path.endswith("__init__.py")).where(lines.between(1, 14)).join(top.where("f = 1 AND c = 0"), ["project", "path"], "left_semi")
     counts = files.groupBy("project", S.parent(path).alias("folder")).agg(F.count("*").alias("n"))

@@ -167,9 +167,9 @@ def scheduled(df: DataFrame, key: str = "source", command: str = "command") -> D
     return _rows(df, key, [_first(F.col(command), SCHEDULED, "scheduled.command")])
 
 
-def credentials(df: DataFrame, key: str, text: str) -> DataFrame:
-    """The first vendor credential in each text."""
-    return _rows(df, key, [F.coalesce(*(F.when(F.col(text).rlike(p), _hit("credential", "high", n)) for n, p in CREDENTIALS))])
+def credentials(df: DataFrame, key: str, text: str, more: list[tuple[str, str]] = ()) -> DataFrame:
+    """The first vendor credential in each text, or else of more (name, pattern) shapes."""
+    return _rows(df, key, [F.coalesce(*(F.when(F.col(text).rlike(p), _hit("credential", "high", n)) for n, p in [*CREDENTIALS, *more]))])
 
 
 def lock_files(files: DataFrame) -> DataFrame:

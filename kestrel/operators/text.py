@@ -31,6 +31,33 @@ def duplicate_windows(found: DataFrame, key: str = "doc_id") -> DataFrame:
     return groups.where("files > 1")
 
 
+def duplicate_blocks(found: DataFrame, size: int, key: str = "doc_id") -> DataFrame:
+    """(first, key, first_line, line, length): the longest runs that a file shares with the first file that holds them.
+
+    Each window meets only the first place of its hash, so a passage that stands in n files gives n - 1
+    blocks and not all pairs; windows on one diagonal join to a block, measured in normalized lines (Q32).
+    """
+    places = found.groupBy("hash").agg(F.min(F.struct(F.col(key).alias("first"), F.col("seq").alias("first_seq"), F.col("line_no").alias("first_line"))).alias("p"))
+    met = found.join(places, "hash").where(F.col(key) != F.col("p.first")).select(key, "seq", "line_no", "p.*")
+    w = Window.partitionBy("first", key, "diagonal").orderBy("seq")
+    met = met.withColumn("diagonal", F.col("seq") - F.col("first_seq")).withColumn("island", F.col("seq") - F.row_number().over(w))
+    runs = met.groupBy("first", key, "diagonal", "island").agg(F.min("first_line").alias("first_line"), F.min("line_no").alias("line"), (F.count("*") + size - 1).alias("length"))
+    return runs.select("first", key, "first_line", "line", "length")
+
+
+def section_fill(rows: DataFrame, heading: Column, key: str = "doc_id") -> DataFrame:
+    """Lines with the last heading at or before them (W9); lines before the first have none."""
+    w = Window.partitionBy(key).orderBy("line_no")
+    return rows.withColumn("section", F.last(F.when(heading, F.col("line")), ignorenulls=True).over(w))
+
+
+def lookahead_missing(rows: DataFrame, opening: str, closing: str, ahead: int = 3, key: str = "doc_id") -> DataFrame:
+    """Lines with the opening word and the closing one neither on them nor on the next few."""
+    w = Window.partitionBy(key).orderBy("line_no").rowsBetween(0, ahead)
+    near = F.max(F.col("line").contains(closing)).over(w)
+    return rows.withColumn("_near", near).where(F.col("line").contains(opening) & ~F.col("_near")).drop("_near")
+
+
 def first_match(text: Column, patterns: list[tuple[str, str]], default: str | None = None) -> Column:
     """Name of the first pattern of an ordered table that matches (J10, Q8): one native expression, no join."""
     out = F.when(text.rlike(patterns[0][1]), patterns[0][0])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 COUNTERS = ("input_tokens", "output_tokens", "cache_read", "cache_write")
 #: USD per million tokens for models that the rate card doesn't list.
@@ -78,6 +78,16 @@ def active_sessions(records: DataFrame, history: DataFrame) -> DataFrame:
     return records.join(history.select("session_id").distinct(), "session_id", "left_semi")
 
 
+def trend(daily: DataFrame, value: str, day: str = "day") -> DataFrame:
+    """Each day's change against the day before in percent, and its bar's length in percent of the greatest value.
+
+    The table has a row per day, so one ordered window holds it.
+    """
+    before = F.lag(value).over(Window.orderBy(day))
+    change = F.round(F.try_divide((F.col(value) - before) * 100.0, before), 4)
+    return daily.select(day, value, change.alias("change"), F.round(F.col(value) * 100.0 / F.max(value).over(Window.partitionBy()), 4).alias("bar"))
+
+
 def daily_series(daily: DataFrame, value: str, first: str, last: str) -> DataFrame:
     """A row for each day of the period, zero where nothing was recorded."""
     spark = daily.sparkSession

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from kestrel.operators import graph, state, text, usage
+from kestrel.functions import scalars
+from kestrel.operators import code, graph, incremental, reports, security, state, text, usage
+from kestrel.sources import files as trees, parsed
+from kestrel.streaming import alerts
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -335,3 +338,253 @@ def _typosquat(spark, read):
 def _left_join_label(spark, read):
     good = read("customer").where("c_acctbal > 0").select("c_custkey", "c_name")
     return read("orders").join(good, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", F.coalesce("c_name", F.lit("")).alias("label"))
+
+
+# ---- the parts below read documents as source files, events as samples and suppliers as hosts
+
+
+@_query(
+    "WITH d AS (SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, count(*) AS orders FROM orders GROUP BY 1) SELECT day, orders, "
+    "round((orders - lag(orders) OVER (ORDER BY day)) * 100.0::DOUBLE / lag(orders) OVER (ORDER BY day), 4) AS change, round(orders * 100.0::DOUBLE / max(orders) OVER (), 4) AS bar FROM d"
+)
+def _usage_trend_dod(spark, read):
+    return usage.trend(read("orders").groupBy(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("orders")), "orders")
+
+
+def _billable(read) -> DataFrame:
+    return read("lineitem").groupBy("l_suppkey").agg(F.sum(F.floor("l_extendedprice")).cast("long").alias("tokens"))
+
+
+BILLABLE = "billable AS (SELECT l_suppkey, sum(CAST(floor(l_extendedprice) AS BIGINT))::BIGINT AS tokens FROM lineitem GROUP BY 1)"
+
+
+@_query(f"WITH {BILLABLE} SELECT l_suppkey, tokens, CASE WHEN tokens <= 50000 THEN 1 WHEN tokens <= 150000 THEN 2 WHEN tokens <= 500000 THEN 3 ELSE 4 END AS level FROM billable")
+def _usage_levels(spark, read):
+    return _billable(read).withColumn("level", scalars.usage_level(F.col("tokens")))
+
+
+@_query(f"WITH {BILLABLE} SELECT l_suppkey AS subject, 'usage' AS rule, s AS severity, tokens::VARCHAR AS detail FROM billable, (VALUES ('warning', 800000), ('critical', 2000000)) t(s, n) WHERE tokens > n")
+def _usage_thresholds(spark, read):
+    return security.usage_alerts(_billable(read), "l_suppkey", "tokens")
+
+
+@_query("SELECT conv_id, turn, text FROM conversations WHERE role = 'user' ORDER BY conv_id DESC, turn DESC, text LIMIT 50")
+def _prompts_recent(spark, read):
+    return reports.capped(read("conversations").where("role = 'user'").select("conv_id", "turn", "text"), 50, [F.desc("conv_id"), F.desc("turn"), F.col("text")])
+
+
+@_query("SELECT conv_id, turn, role FROM (SELECT DISTINCT conv_id, turn, role FROM conversations) QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC) <= 3")
+def _tail_of_stream(spark, read):
+    rows = read("conversations").select("conv_id", "turn", "role").distinct().withColumn("at", F.struct("turn", "role"))
+    return parsed.tail(rows, "conv_id", "at", 3).drop("at")
+
+
+def _files(read, content: Column | None = None) -> DataFrame:
+    content = F.col("text") if content is None else content
+    return read("documents").select(F.col("source").alias("project"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), content.alias("content"))
+
+
+FILES = "files AS (SELECT source AS project, doc_id || '.txt' AS path, text AS content FROM documents)"
+FILE_LINES = r"file_lines AS (SELECT project, path, unnest(range(1, len(a) + 1)) AS line_no, unnest(a) AS line FROM (SELECT project, path, string_split_regex(regexp_replace(content, '\r?\n$', ''), '\r?\n') AS a FROM files))"
+
+
+@_query(
+    f"WITH {FILES}, n AS (SELECT project, path, len(list_filter(string_split_regex(content, '\\r?\\n'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '')) AS lines FROM files) "
+    "SELECT project, path, lines, 0::BIGINT AS functions, 0::BIGINT AS classes, CASE WHEN lines > 40 THEN 'critical' WHEN lines > 20 THEN 'high' ELSE 'medium' END AS severity FROM n WHERE lines > 10"
+)
+def _monster_docs(spark, read):
+    none = spark.createDataFrame([], code.FACTS)
+    return code.large_files(_files(read), none, critical=40, high=20, medium=10)
+
+
+@_query(
+    f"WITH files AS (SELECT source AS project, doc_id || '.txt' AS path, CASE WHEN lang = 'de' THEN '# TODO: ' ELSE '// see fixme ' END || text AS content FROM documents), {FILE_LINES}, t AS (SELECT project, path, line_no, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM file_lines) SELECT project, path, line_no, upper(regexp_extract(line, '(?i)\\b(TODO|FIXME|HACK|XXX|TEMP)\\b(.*)', 1)) AS kind, "
+    "trim(regexp_replace(trim(regexp_extract(line, '(?i)\\b(TODO|FIXME|HACK|XXX|TEMP)\\b(.*)', 2)), '^:+', '')) AS text FROM t WHERE regexp_matches(line, '^#|^//|# |// ') AND regexp_matches(line, '(?i)\\b(TODO|FIXME|HACK|XXX|TEMP)\\b')"
+)
+def _marker_scan(spark, read):
+    mark = F.when(F.col("lang") == "de", "# TODO: ").otherwise("// see fixme ")  # the texts hold no markers of their own
+    return code.todos(_files(read, F.concat(mark, "text")))
+
+
+PLAIN = "|".join(h.replace(".", "[.]") for h in code.PLAIN_HOSTS)
+
+
+@_query(
+    f"SELECT 'pages' AS project, page_id || '.js' AS path, 1::BIGINT AS line_no, 'url' AS kind, url AS value FROM pages WHERE NOT regexp_matches(url, '{PLAIN}') "
+    "UNION ALL SELECT 'pages', page_id || '.js', 1, 'sleep', (page_id % 40)::VARCHAR FROM pages WHERE page_id % 40 > 10 "
+    "UNION ALL SELECT 'pages', page_id || '.js', 2, 'timeout', (page_id * 100)::VARCHAR FROM pages WHERE page_id * 100 > 10000"
+)
+def _hardcoded_values(spark, read):
+    script = F.format_string("fetch('%s'); sleep(%d)\nsetTimeout(f, %d)\n// fetch('http://left.out')", "url", F.col("page_id") % 40, F.col("page_id") * 100)
+    return code.hardcoded(read("pages").select(F.lit("pages").alias("project"), F.concat(F.col("page_id").cast("string"), F.lit(".js")).alias("path"), script.alias("content")))
+
+
+#: A generic shape besides the vendors': the tables hold made-up credentials.
+GENERIC = ("Assigned secret", "(?i)(password|token|api_key) *=")
+CREDENTIAL_CASE = " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{n}'" for n, p in [*security.CREDENTIALS, GENERIC])
+CREDENTIALS_SQL = f"c AS (SELECT doc_id, CASE {CREDENTIAL_CASE} END AS detail FROM documents)"
+
+
+@_query(f"WITH {CREDENTIALS_SQL} SELECT doc_id AS subject, 'credential' AS rule, 'high' AS severity, detail FROM c WHERE detail IS NOT NULL")
+def _secrets_scan(spark, read):
+    return security.credentials(read("documents"), "doc_id", "text", [GENERIC])
+
+
+@_query(f"WITH {CREDENTIALS_SQL} SELECT quality, toxic, count(*) AS docs, count(detail) AS found FROM labels JOIN c USING (doc_id) GROUP BY 1, 2")
+def _detector_accuracy(spark, read):
+    found = security.credentials(read("documents"), "doc_id", "text", [GENERIC]).select(F.col("subject").alias("doc_id"), "detail")
+    known = read("labels").join(read("documents").select("doc_id"), "doc_id").join(found, "doc_id", "left")
+    return known.groupBy("quality", "toxic").agg(F.count("*").alias("docs"), F.count("detail").alias("found"))
+
+
+@_query("SELECT doc_id, CASE WHEN regexp_matches(text, '[Ѐ-ӿ]') THEN 'uk' ELSE 'en' END AS language FROM documents")
+def _lang_detect(spark, read):
+    return read("documents").select("doc_id", scalars.language(F.col("text")).alias("language"))
+
+
+@_query(
+    f"WITH {LINES}, {NORMALIZED}, {WINDOWS}, p AS (SELECT hash, doc_id AS first, seq AS first_seq, line_no AS first_line FROM windows QUALIFY row_number() OVER (PARTITION BY hash ORDER BY doc_id, seq) = 1), "
+    "m AS (SELECT doc_id, seq, line_no, first, first_line, seq - first_seq AS diagonal, seq - row_number() OVER (PARTITION BY first, doc_id, seq - first_seq ORDER BY seq) AS island FROM windows JOIN p USING (hash) WHERE doc_id <> first) "
+    "SELECT first, doc_id, min(first_line) AS first_line, min(line_no) AS line, count(*) + 2 AS length FROM m GROUP BY first, doc_id, diagonal, island"
+)
+def _dup_blocks(spark, read):
+    return text.duplicate_blocks(text.windows(text.normalized(text.lines(read("documents"))), 3), 3)
+
+
+@_query(f"WITH {LINES} SELECT doc_id, line_no, last_value(CASE WHEN length(line) < 60 THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no) AS section FROM lines")
+def _section_forward_fill(spark, read):
+    return text.section_fill(text.lines(read("documents")), F.length("line") < 60).select("doc_id", "line_no", "section")
+
+
+@_query(f"WITH {LINES}, n AS (SELECT *, max(contains(line, 'token')) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS near FROM lines) SELECT doc_id, line_no FROM n WHERE contains(line, 'License') AND NOT near")
+def _lookahead_missing(spark, read):
+    return text.lookahead_missing(text.lines(read("documents")), "License", "token").select("doc_id", "line_no")
+
+
+WORDS = "SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS name FROM"
+
+
+@_query(f"SELECT name FROM ({WORDS} benchmark) WHERE name NOT IN ({WORDS} documents)")
+def _unused_definitions(spark, read):
+    words = lambda t: read(t).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))).alias("name"))
+    return text.unused(words("benchmark").distinct(), words("documents"), ["name"])
+
+
+@_query("SELECT event_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-23'")
+def _retention_filter(spark, read):
+    return alerts.retained(read("events"), F.lit("2024-01-30").cast("timestamp_ntz"), 7).select("event_id", "ts")
+
+
+DAYS = "old AS (SELECT DISTINCT user_id FROM events WHERE ts < TIMESTAMP '2024-01-01 06:00:00'), new AS (SELECT DISTINCT user_id FROM events WHERE ts >= TIMESTAMP '2024-01-30 18:00:00')"
+
+
+@_query(f"WITH {DAYS} SELECT user_id, 'up' AS event FROM new WHERE user_id NOT IN (FROM old) UNION ALL SELECT user_id, 'down' FROM old WHERE user_id NOT IN (FROM new)")
+def _up_down_events(spark, read):
+    return reports.up_down(read("events").where("ts < '2024-01-01 06:00:00'"), read("events").where("ts >= '2024-01-30 18:00:00'"), ["user_id"])
+
+
+@_query("SELECT event_id FROM events WHERE event_type = 'error' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 95)")
+def _new_findings_only(spark, read):
+    seen = read("events").where("event_type = 'purchase' AND value > 95")
+    return reports.new_only(read("events").where("event_type = 'error'"), seen, ["user_id"]).select("event_id")
+
+
+@_query(f"SELECT {SEVERITY} AS severity, event_type AS category, count(*) AS n FROM events GROUP BY 1, 2")
+def _action_plan(spark, read):
+    return reports.action_plan(read("events").select(state.severity(F.col("value")).alias("severity"), F.concat("event_type", F.lit(".x")).alias("check_id")))
+
+
+@_query("SELECT user_id, event_type, event_id, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1")
+def _dedup_first_wins(spark, read):
+    return reports.first_of(read("events"), ["user_id", "event_type"], [F.col("ts"), F.col("event_id")]).select("user_id", "event_type", "event_id", "ts")
+
+
+@_query("SELECT c_custkey AS id, c_name AS name FROM customer UNION ALL SELECT (SELECT max(c_custkey) FROM customer) + row_number() OVER (ORDER BY s_name, s_suppkey), s_name FROM supplier")
+def _append_identity(spark, read):
+    base = read("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    return reports.append_numbered(base, read("supplier").select(F.col("s_name").alias("name"), "s_suppkey"), "id", [F.col("name"), F.col("s_suppkey")])
+
+
+@_query("SELECT (value * 10)::BIGINT AS port, count(*) AS listeners FROM (SELECT floor(value) AS value FROM events) GROUP BY 1 HAVING count(*) > 1")
+def _port_conflicts(spark, read):
+    return security.port_conflicts(read("events").select((F.floor("value") * 10).cast("long").alias("port")))
+
+
+@_query(
+    "SELECT user_id AS name, 'container.exited' AS rule, event_id FROM events WHERE event_type = 'error' UNION ALL SELECT user_id, 'container.cpu', event_id FROM events WHERE event_type <> 'error' AND value > 80 "
+    "UNION ALL SELECT user_id, 'container.ram', event_id FROM events WHERE event_type <> 'error' AND value * 100.0 / 100 > 85"
+)
+def _container_alerts(spark, read):
+    samples = read("events").select(
+        F.struct("user_id", "event_id").alias("name"), F.when(F.col("event_type") == "error", "exited").otherwise("running").alias("status"), F.lit(1).alias("exit_code"), F.col("value").alias("cpu_percent"),
+        F.col("value").alias("mem_usage"), F.lit(100).alias("mem_limit"), F.lit("healthy").alias("health"), F.lit(0).alias("restart_count"),
+    )
+    return security.container_alerts(samples).select(F.col("subject.user_id").alias("name"), "rule", F.col("subject.event_id").alias("event_id"))
+
+
+REMOTE = ", ".join(f"({p}, '{s}')" for p, s in security.REMOTE_PORTS.items())
+LISTENERS = ", ".join(f"({p}, '{s}')" for p, s in security.RISKY_LISTENERS.items())
+
+
+@_query(
+    f"WITH r(port, severity) AS (VALUES {REMOTE}), l(port, service) AS (VALUES {LISTENERS}), s AS (SELECT s_suppkey * 111 AS port, '8.8.0.' || s_nationkey AS ip FROM supplier) "
+    "SELECT DISTINCT ip || ':' || port AS subject, 'network.remote_port' AS rule, severity, port::VARCHAR AS detail FROM s JOIN r USING (port) "
+    "UNION ALL SELECT DISTINCT '0.0.0.0:' || p, 'network.listener', 'high', service FROM (SELECT s_suppkey * 100 AS p FROM supplier) JOIN l ON p = port"
+)
+def _network_findings(spark, read):
+    at = read("supplier").select("s_suppkey", F.concat(F.lit("8.8.0."), F.col("s_nationkey").cast("string")).alias("remote_ip"))
+    out = at.select(F.lit("10.0.0.1").alias("local_ip"), F.lit(1).cast("long").alias("local_port"), "remote_ip", (F.col("s_suppkey") * 111).alias("remote_port"), F.lit("01").alias("state"))
+    heard = at.select(F.lit("0.0.0.0"), F.col("s_suppkey") * 100, F.lit("0.0.0.0"), F.lit(0).cast("long"), F.lit("0A"))
+    return security.connections(out.union(heard))
+
+
+@_query("SELECT s_suppkey, (s_suppkey % 256) || '.' || (s_suppkey // 256 % 256) || '.' || (s_suppkey // 65536 % 256) || '.' || (s_suppkey // 16777216 % 256) AS ip, s_nationkey::BIGINT AS port FROM supplier")
+def _hex_addr_decode(spark, read):
+    address = F.format_string("%08X:%04X", "s_suppkey", "s_nationkey")
+    return read("supplier").select("s_suppkey", scalars.hex_address(address).alias("a")).select("s_suppkey", "a.ip", "a.port")
+
+
+@_query("SELECT s_suppkey, (s_suppkey & 2) <> 0 AS writable, (s_suppkey & 4) <> 0 AS readable FROM supplier")
+def _permission_bits(spark, read):
+    return read("supplier").select("s_suppkey", scalars.has_bits(F.col("s_suppkey"), 2).alias("writable"), scalars.has_bits(F.col("s_suppkey"), 4).alias("readable"))
+
+
+@_query(
+    "WITH v AS (SELECT p_partkey, p_size // 10 AS a, p_size % 10 AS b FROM part) SELECT p_partkey, CASE WHEN a < 3 THEN 'high' WHEN a = 3 AND b < 5 THEN 'medium' WHEN a = 3 AND b = 5 THEN 'low' END AS gap FROM v"
+)
+def _version_gap(spark, read):
+    current = F.concat(F.lit("^"), F.floor(F.col("p_size") / 10).cast("string"), F.lit("."), (F.col("p_size") % 10).cast("string"), F.lit(".0"))
+    return read("part").select("p_partkey", scalars.version_gap(current, F.lit("3.5.1")).alias("gap"))
+
+
+#: Two versions of the documents: before, Spanish ones were missing and German ones in capitals.
+def _versions(read) -> tuple[DataFrame, DataFrame]:
+    docs = read("documents")
+    of = lambda df, content: df.select(F.col("source").alias("project"), F.col("doc_id").cast("string").alias("path"), content.alias("content"))
+    return of(docs.where("lang <> 'es'"), F.when(F.col("lang") == "de", F.upper("text")).otherwise(F.col("text"))), of(docs, F.col("text"))
+
+
+@_query(
+    "SELECT source AS project, doc_id::VARCHAR AS path, CASE WHEN lang = 'de' THEN 'modified' ELSE 'added' END AS change FROM documents WHERE lang IS NULL OR lang = 'es' OR (lang = 'de' AND upper(text) <> text)"
+)
+def _delta_plan(spark, read):
+    old, new = _versions(read)
+    return incremental.plan(incremental.digests(old), new)
+
+
+@_query("SELECT source AS project, doc_id::VARCHAR AS path, sha256(coalesce(text, '')) AS digest FROM documents")
+def _delta_carry_over(spark, read):
+    old, new = _versions(read)
+    state_before = incremental.digests(old)
+    return incremental.carry_over(state_before, incremental.plan(state_before, new), new, incremental.digests)
+
+
+@_query("SELECT source AS feature, count(*) AS files FROM documents GROUP BY 1")
+def _feature_groups(spark, read):
+    return trees.features(read("documents").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path")))
+
+
+@_query(f"SELECT user_id AS path, count(*) AS n, arg_min(s, r) AS worst FROM (SELECT user_id, {SEVERITY} AS s, CASE {SEVERITY} WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END AS r FROM events) GROUP BY 1")
+def _findings_by_file(spark, read):
+    found = read("events").select(F.col("user_id").alias("path"), state.severity(F.col("value")).alias("severity"), F.col("event_type").alias("title"))
+    return reports.by_file(found).select("path", "n", "worst")

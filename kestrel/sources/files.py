@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kestrel.functions import scalars as S
@@ -28,15 +33,34 @@ def glob_regex(pattern: str) -> str:
     return "^" + "".join(parts.get(c) or (c if c.isalnum() or c in "/_-" else f"[{c}]") for c in pattern) + "$"
 
 
+def _store(root: str) -> tuple[fs.FileSystem, str]:
+    found, path = fs.FileSystem.from_uri(root if re.match("[a-z0-9]+:", root) else f"file://{Path(root).absolute()}")
+    return found, path.rstrip("/")
+
+
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """(path, content, modified) of all files below a root that Spark can read; bytes that are no UTF-8 are replaced.
+    """(path, content, modified) of all files below a root; bytes that are no UTF-8 are replaced.
 
-    Reads through Spark's own file source, so any store it knows will do; files are dealt over tasks by size.
+    Spark's file sources hide names that begin with a dot or an underscore and leave out empty files, so
+    the tree is read with pyarrow's file systems (any store they know; all machines must reach it).  The
+    driver lists the top folder only; each task walks folders of its own and holds a file at a time.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    path = F.regexp_replace(F.col("path"), "^[a-z0-9]+:/*", "/")
-    top = "/" + root.split(":", 1)[-1].strip("/") + "/"
-    return found.select(F.replace(path, F.lit(top), F.lit("")).alias("path"), F.decode("content", "UTF-8").alias("content"), F.col("modificationTime").alias("modified"))
+    store, base = _store(root)
+    top = [(i.path, i.type == fs.FileType.Directory) for i in store.get_file_info(fs.FileSelector(base))]
+    schema = pa.schema([("path", pa.string()), ("content", pa.string()), ("modified", pa.timestamp("us", "UTC"))])
+
+    def read(batches):
+        store, base = _store(root)
+        for batch in batches:
+            for entry in batch.to_pylist():
+                found = store.get_file_info(fs.FileSelector(entry["path"], recursive=True)) if entry["folder"] else [store.get_file_info(entry["path"])]
+                for i in (i for i in found if i.type == fs.FileType.File):
+                    with store.open_input_stream(i.path, compression=None) as stream:
+                        row = {"path": i.path[len(base) + 1 :], "content": stream.read().decode("utf-8", "replace"), "modified": i.mtime}
+                    yield pa.RecordBatch.from_pylist([row], schema=schema)
+
+    tasks = max(1, min(len(top), 4 * spark.sparkContext.defaultParallelism))
+    return spark.createDataFrame(top, "path string, folder boolean").repartition(tasks).mapInArrow(read, "path string, content string, modified timestamp")
 
 
 def ignored_by(path: Column, patterns: list[str]) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from kestrel.functions import scalars as S
+
 USAGE = "struct<input_tokens: long, output_tokens: long, cache_read_input_tokens: long, cache_creation_input_tokens: long>"
 ENTRY = f"type string, sessionId string, timestamp string, durationMs long, message struct<model: string, content: string, usage: {USAGE}>"
 BLOCKS = "array<struct<type: string, text: string>>"
@@ -42,7 +44,7 @@ def entries(lines: DataFrame) -> DataFrame:
 
 def project_name(folder: Column) -> Column:
     """The last part of an encoded project folder (Q3)."""
-    return F.substring_index(F.trim(F.lit("-"), folder), "-", -1)
+    return F.substring_index(F.trim(folder, F.lit("-")), "-", -1)
 
 
 def assistant_records(rows: DataFrame) -> DataFrame:
@@ -55,9 +57,9 @@ def assistant_records(rows: DataFrame) -> DataFrame:
 def text_of(content: Column) -> Column:
     """What a user typed (X24): a string, or the text blocks joined by line ends; '' if any block is a tool's result."""
     blocks = F.from_json(content, BLOCKS)
-    texts = F.filter(F.transform(F.filter(blocks, lambda b: b.type == "text"), lambda b: F.trim(b.text)), lambda t: t != "")
+    texts = F.filter(F.transform(F.filter(blocks, lambda b: b.type == "text"), lambda b: S.stripped(b.text)), lambda t: t != "")
     listed = F.when(F.exists(blocks, lambda b: b.type == "tool_result"), "").otherwise(F.array_join(texts, "\n"))
-    return F.coalesce(F.when(content.rlike(r"^\s*\[\s*[\{\]]"), listed).otherwise(F.trim(content)), F.lit(""))
+    return F.coalesce(F.when(content.rlike(r"^\s*\[\s*[\{\]]"), listed).otherwise(S.stripped(content)), F.lit(""))
 
 
 def user_prompts(rows: DataFrame, limit: int | None = None) -> DataFrame:

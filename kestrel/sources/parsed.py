@@ -23,7 +23,7 @@ def _lines(df: DataFrame, key: list[str], text: str = "content") -> DataFrame:
 def requirement(spec: Column) -> Column:
     """struct(name, version) of a requirement such as `requests>=2.28,<3; marker` (X13); null if it has no name."""
     pattern = r"^([A-Za-z0-9_.\-]+)\s*(.*?)\s*(?:;|$)"
-    found = F.struct(F.lower(F.regexp_extract(spec, pattern, 1)).alias("name"), F.nullif(F.trim(F.regexp_extract(spec, pattern, 2)), F.lit("")).alias("version"))
+    found = F.struct(F.lower(F.regexp_extract(spec, pattern, 1)).alias("name"), F.nullif(S.stripped(F.regexp_extract(spec, pattern, 2)), F.lit("")).alias("version"))
     return F.when(spec.rlike(pattern), found)
 
 
@@ -59,13 +59,13 @@ def dependencies(files: DataFrame) -> DataFrame:
     sections = [F.from_json(F.get_json_object("content", f"$.{s}"), "map<string, string>") for s in ("dependencies", "devDependencies", "peerDependencies")]
     pairs = F.concat(*(F.coalesce(F.map_entries(s), F.array().cast("array<struct<key: string, value: string>>")) for s in sections))
     npm = files.where(name == "package.json").select("path", F.explode(pairs).alias("p")).select("path", F.col("p.key").alias("name"), F.nullif("p.value", F.lit("")).alias("version"), F.lit("npm").alias("ecosystem"))
-    text = _lines(files.where(name.rlike("^requirements.*[.]txt$")), ["path"]).select("path", F.trim("line").alias("line")).where(~F.col("line").rlike("^(#|-|$)"))
+    text = _lines(files.where(name.rlike("^requirements.*[.]txt$")), ["path"]).select("path", S.stripped("line").alias("line")).where(~F.col("line").rlike("^(#|-|$)"))
     pypi = text.select("path", requirement(F.col("line")).alias("r"))
     project = files.where(name == "pyproject.toml").select("path", F.explode(_toml_libs(F.col("content"), False)).alias("l"))
     pypi = pypi.union(project.select("path", F.when(F.col("l.version").isNull(), requirement(F.col("l.name"))).otherwise(F.struct(F.col("l.name").alias("name"), F.nullif("l.version", F.lit("")).alias("version")))))
     pypi = pypi.where("r IS NOT NULL").select("path", "r.name", "r.version", F.lit("pypi"))
     cargo = files.where(name == "Cargo.toml").select("path", F.explode(_toml_libs(F.col("content"), True)).alias("l")).select("path", "l.name", F.nullif("l.version", F.lit("")), F.lit("cargo"))
-    lines = _lines(files.where(name == "go.mod"), ["path"]).withColumn("line", F.trim("line"))
+    lines = _lines(files.where(name == "go.mod"), ["path"]).withColumn("line", S.stripped("line"))
     mark = F.when(F.col("line").startswith("require ("), True).when(F.col("line") == ")", False)
     inside = F.coalesce(F.last(mark, ignorenulls=True).over(Window.partitionBy("path").orderBy("line_no")), F.lit(False))
     part = F.split(F.regexp_replace("line", "^require ", ""), r"\s+")
@@ -119,11 +119,11 @@ def commits(lines: DataFrame, repo: str = "repo", order: str = "line_no", line:
     """(repo, line_no, hash, message, changed, vague, big) of a one-line log with short stats."""
     after = F.lead(line).over(Window.partitionBy(repo).orderBy(order))
     number = lambda word: F.coalesce(F.regexp_extract("_after", rf"(\d+) {word}", 1).try_cast("bigint"), F.lit(0))
-    rows = lines.where(F.trim(line) != "").withColumn("_after", F.trim(after)).where(~F.col(line).rlike(r"^\s*\d+ files? changed") & F.trim(line).contains(" "))
+    rows = lines.where(S.stripped(line) != "").withColumn("_after", S.stripped(after)).where(~F.col(line).rlike(r"^\s*\d+ files? changed") & S.stripped(line).contains(" "))
     changed = F.when(F.col("_after").rlike(r"^\d+ files? changed"), number("insertion") + number("deletion")).otherwise(0)
-    message = F.trim(F.regexp_extract(F.trim(line), r"^\S+\s(.*)$", 1))
+    message = S.stripped(F.regexp_extract(S.stripped(line), r"^\S+\s(.*)$", 1))
     vague = F.lower(message).isin(VAGUE) | (F.length(message) < 4)
-    return rows.select(repo, order, F.substring_index(F.trim(line), " ", 1).alias("hash"), message.alias("message"), changed.alias("changed"), vague.alias("vague"), (changed > 300).alias("big"))
+    return rows.select(repo, order, F.substring_index(S.stripped(line), " ", 1).alias("hash"), message.alias("message"), changed.alias("changed"), vague.alias("vague"), (changed > 300).alias("big"))
 
 
 def scope_creep(changes: DataFrame, since: Column, most: int = 5) -> DataFrame:
@@ -137,7 +137,7 @@ def scope_creep(changes: DataFrame, since: Column, most: int = 5) -> DataFrame:
 
 def listening_ports(lines: DataFrame, line: str = "value") -> DataFrame:
     """(ip, port, pid, process, exposed, conflict) of `ss -tlnp` lines (S12, A24); a port that stands twice conflicts."""
-    part = F.split(F.trim(line), r"\s+")
+    part = F.split(S.stripped(line), r"\s+")
     local, info = F.get(part, F.lit(3)), F.element_at(part, -1)
     port = F.regexp_extract(local, r":(\d+)$", 1).try_cast("int")
     ip = F.regexp_replace(F.regexp_replace(local, r":[^:]*$", ""), r"[\[\]]", "")
@@ -150,13 +150,13 @@ def listening_ports(lines: DataFrame, line: str = "value") -> DataFrame:
 
 def markdown_items(docs: DataFrame, key: str = "path") -> DataFrame:
     """(key, line_no, section, group, title, url, description) of `- [title](url) - text` items below `## ` and `### ` headings."""
-    lines = _lines(docs, [key]).withColumn("line", F.trim("line"))
-    section = F.when(F.col("line").startswith("## "), F.trim(F.expr("substring(line, 4)")))
-    group = F.when(F.col("line").startswith("### "), F.trim(F.expr("substring(line, 5)"))).when(section.isNotNull(), "")
+    lines = _lines(docs, [key]).withColumn("line", S.stripped("line"))
+    section = F.when(F.col("line").startswith("## "), S.stripped(F.expr("substring(line, 4)")))
+    group = F.when(F.col("line").startswith("### "), S.stripped(F.expr("substring(line, 5)"))).when(section.isNotNull(), "")
     w = Window.partitionBy(key).orderBy("line_no")
     rows = lines.withColumn("section", F.last(section, ignorenulls=True).over(w)).withColumn("group", F.nullif(F.last(group, ignorenulls=True).over(w), F.lit("")))
     pattern = r"^-\s+\[(.+?)\]\((.+?)\)\s*[—–\-]\s*(.*)$"
-    part = lambda i: F.trim(F.regexp_extract("line", pattern, i))
+    part = lambda i: S.stripped(F.regexp_extract("line", pattern, i))
     return rows.where(F.col("section").isNotNull() & F.col("line").rlike(pattern)).select(key, "line_no", "section", "group", part(1).alias("title"), part(2).alias("url"), part(3).alias("description"))
 
 
