@@ -7,8 +7,15 @@ where a hash of two neighbouring words is the least among CUT positions in a row
 nothing outside the passage: a passage that was put into the middle of a line has the same windows
 wherever it stands, so equal windows are equal passages (similarity 1).
 
+Cut points closer than WINDOW_WORDS are joined over: from each cut a window goes to the next one that
+far away, and to each cut a window comes from the last one that far before it.  So windows leave no
+gap between the first and the last cut of a passage, which are at most CUT - 1 and CUT + 1 words from its
+ends: a passage of RUN_WORDS + 2 CUT = 50 words or more always has a run of RUN_WORDS.
+
 Of each cluster that lies in two documents or more the first occurrence (smallest doc_id) stays and
-the others are removed, where they join to a run of RUN_WORDS words or more.
+the others are removed, where they join to a run of RUN_WORDS words or more.  Such a run is then
+extended word by word, as far as the words beside its outermost windows stand beside an equal window
+of an earlier occurrence too.
 """
 
 from __future__ import annotations
@@ -26,7 +33,9 @@ from kestrel.llm.graph import components
 WORDS, HUNDREDTHS = 5, 80
 #: Bands and rows: lines at the threshold collide with probability 1 - (1 - 0.8^3)^8 = 0.997.
 BANDS, ROWS = 8, 3
-LINE_WORDS, CUT, WINDOW_WORDS, RUN_WORDS = 20, 20, 4, 20
+LINE_WORDS, CUT, WINDOW_WORDS, RUN_WORDS = 20, 15, 4, 20
+#: A passage goes on beyond its last cut by so many words at most.
+BESIDE = CUT + 1
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 UNIT = "row_key long, doc_id long, start int, n_words int, class long, bands array<long>"
 
@@ -77,12 +86,23 @@ class Units:
         two = mix(h[:-1] * np.uint64(3) + h[1:])
         view = np.lib.stride_tricks.sliding_window_view(two, CUT)
         at = np.unique(view.argmin(axis=1) + np.arange(len(view)))
-        s, e = at[:-1], at[1:]
-        keep = e - s >= WINDOW_WORDS
-        s, e = s[keep], e[keep]
+        onward, back = np.searchsorted(at, at + WINDOW_WORDS), np.searchsorted(at, at - WINDOW_WORDS, "right") - 1
+        some, others = np.flatnonzero(onward < len(at)), np.flatnonzero(back >= 0)
+        found = np.unique(np.concatenate([some * len(at) + onward[some], back[others] * len(at) + others]))
+        s, e = at[found // len(at)], at[found % len(at)]
         return lines, (s, e - s, name(s, e, 0))
 
 
+def beside(h: np.ndarray, at: np.ndarray, step: int, room: np.ndarray) -> np.ndarray:
+    """For each position the hashes of the next 1 to BESIDE words (step 1) or of those before it (step -1); what lies beyond its room counts for nothing."""
+    out, sofar = np.zeros((len(at), BESIDE), np.uint64), np.zeros(len(at), np.uint64)
+    for k in range(BESIDE):
+        place = at + k if step > 0 else at - 1 - k
+        sofar = mix(sofar * np.uint64(3) + h[np.where(k < room, place, 0)] + np.uint64(1))
+        out[:, k] = sofar
+    return out
+
+
 def _units(source: DataFrame) -> DataFrame:
     def run(batches):
         units = Units()
@@ -171,7 +191,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     near = stash(_near_lines(units, source, folder), folder, "near-lines")
     # Lines of one component go by its name; windows and all other lines by their own class.
     lines = units.where("bands is not null").drop("bands").join(near, "class", "left").withColumn("cluster", F.coalesce("component", "class")).drop("component")
-    named = units.where("bands is null").drop("bands").withColumn("cluster", F.col("class")).unionByName(lines).drop("class")
+    named = units.where("bands is null").drop("bands").withColumn("cluster", F.col("class")).withColumn("window", F.lit(True)).unionByName(lines.withColumn("window", F.lit(False))).drop("class")
     many = named.groupBy("cluster").agg(F.min("row_key").alias("x"), F.max("row_key").alias("y")).where("x <> y").select("cluster")
     many = stash(many, folder, "clusters")
     release(spark)
@@ -186,9 +206,79 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     reach = F.max(end).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
     begins = F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0)
     runs = judged.dropDuplicates(["row_key", "start", "n_words", "cluster"]).withColumn("begins", begins).withColumn("run", F.sum("begins").over(ordered))
-    runs = runs.groupBy("row_key", "removed", "run").agg(F.min("doc_id").alias("doc_id"), F.min("start").alias("start_word"), F.max(end).alias("stop"), F.min("cluster").alias("cluster"))
-    runs = runs.withColumn("n_words", F.col("stop") - F.col("start_word")).where(F.col("n_words") >= RUN_WORDS)
-    return runs.select("doc_id", "start_word", "n_words", "removed", "cluster", "row_key")
+    # The outermost windows: the shortest, which the most occurrences equal; a line's ends are its own.
+    at_left = F.min(F.struct("start", "n_words", (~F.col("window")).alias("line"), F.col("cluster").alias("of"))).alias("l")
+    at_right = F.min(F.struct((-end).alias("end"), "n_words", (~F.col("window")).alias("line"), F.col("cluster").alias("of"))).alias("r")
+    runs = runs.groupBy("row_key", "removed", "run").agg(F.min("doc_id").alias("doc_id"), F.min("start").alias("start_word"), F.max(end).alias("stop"), F.min("cluster").alias("cluster"), at_left, at_right)
+    runs = stash(runs.where(F.col("stop") - F.col("start_word") >= RUN_WORDS), folder, "runs")
+    release(spark)
+    sides = [("l", -1, F.col("l.start")), ("r", 1, -F.col("r.end") - F.col("r.n_words"))]
+    ends = None
+    for name, side, start in sides:
+        one = runs.where(~F.col(f"{name}.line")).select("row_key", "removed", "run", F.lit(side).alias("side"), start.alias("start"), F.col(f"{name}.n_words").alias("n_words"), F.col(f"{name}.of").alias("cluster"))
+        ends = one if ends is None else ends.unionByName(one)
+    ends = stash(ends, folder, "ends")
+    more = _extensions(ends, found.where("window"), source, folder)
+    more = more.groupBy("row_key", "removed", "run").agg(*(F.max(F.when(F.col("side") == side, F.col("more"))).alias(f"more_{name}") for name, side, _ in sides))
+    runs = runs.join(more, ["row_key", "removed", "run"], "left")
+    start, stop = F.col("start_word") - F.coalesce("more_l", F.lit(0)), F.col("stop") + F.coalesce("more_r", F.lit(0))
+    runs = runs.select("doc_id", start.alias("start_word"), (stop - start).alias("n_words"), "removed", "cluster", "row_key")
+    return _joined(runs)
+
+
+def _joined(runs: DataFrame) -> DataFrame:
+    """The runs of a document that overlap or adjoin once they are extended, as one."""
+    end = F.col("start_word") + F.col("n_words")
+    ordered = Window.partitionBy("row_key", "removed").orderBy("start_word", "n_words", "cluster")
+    reach = F.max(end).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.withColumn("begins", F.when(reach.isNull() | (F.col("start_word") > reach), 1).otherwise(0)).withColumn("run", F.sum("begins").over(ordered))
+    whole = runs.groupBy("row_key", "removed", "run").agg(F.min("doc_id").alias("doc_id"), F.min("start_word").alias("from"), F.max(end).alias("stop"), F.min("cluster").alias("cluster"))
+    return whole.select("doc_id", F.col("from").alias("start_word"), (F.col("stop") - F.col("from")).cast("int").alias("n_words"), "removed", "cluster", "row_key")
+
+
+def _extensions(ends: DataFrame, found: DataFrame, source: DataFrame, folder: str) -> DataFrame:
+    """(row_key, removed, run, side, more): the words by which a run goes on beyond its outermost window.
+
+    Occurrences of that window are grouped by the 1 to BESIDE words beside it; a group that lies in two
+    documents goes on so far.  All but its first occurrence are removed, as with windows.
+    """
+    wanted = stash(ends.select("cluster", "side").distinct(), folder, "end-clusters")
+    occurrences = found.select("row_key", "doc_id", "start", "n_words", "cluster").distinct().join(wanted, "cluster")
+    per_text = stash(occurrences.groupBy("row_key").agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.struct("start", "n_words", "cluster", "side")).alias("at")), folder, "end-places")
+    texts = source.select("row_key", "text").join(per_text, "row_key").groupBy("row_key").agg(F.first("doc_id").alias("doc_id"), F.first("at").alias("at"), F.first("text").alias("text"))
+
+    def run(batches):
+        units = Units()
+        for batch in batches:
+            for i in range(batch.num_rows):
+                h, _ = units.words(batch.column(3)[i].as_py())
+                at = batch.column(2)[i].values
+                start, n, side = (at.field(x).to_numpy() for x in ("start", "n_words", "side"))
+                hashes, room = np.zeros((len(at), BESIDE), np.uint64), np.where(side < 0, start, len(h) - start - n)
+                for step, place in ((-1, start), (1, start + n)):
+                    own = side == step
+                    if own.any():
+                        hashes[own] = beside(h, place[own], step, room[own])
+                room = np.minimum(room, BESIDE)
+                keep = np.arange(BESIDE) < room[:, None]
+                row = pa.array(np.repeat(np.arange(len(at)), room))
+                which = pa.array(np.full(len(row), i))
+                own = [at.field(x).take(row) for x in ("start", "n_words", "cluster", "side")]
+                more = pa.array(np.broadcast_to(np.arange(1, BESIDE + 1, dtype=np.int32), keep.shape)[keep])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(1).take(which), *own, more, pa.array(hashes[keep].view(np.int64))], names)
+
+    names = ["row_key", "doc_id", "start", "n_words", "cluster", "side", "more", "words"]
+    beyond = texts.select("row_key", "doc_id", "at", "text").mapInArrow(run, "row_key long, doc_id long, start int, n_words int, cluster long, side int, more int, words long")
+    beyond = stash(beyond, folder, "beside")
+    release(source.sparkSession)
+    key = ["cluster", "side", "more", "words"]
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key", "start")
+    groups = beyond.groupBy(key).agg(F.min(place).alias("first"), F.min("row_key").alias("x"), F.max("row_key").alias("y")).where("x <> y").drop("x", "y")
+    groups = stash(groups, folder, "beside-groups")
+    release(source.sparkSession)
+    own = beyond.join(ends, ["row_key", "start", "n_words", "cluster", "side"]).join(groups, key)
+    first = (F.col("row_key") == F.col("first.row_key")) & (F.col("start") == F.col("first.start"))
+    return own.where(F.col("removed") != first).groupBy("row_key", "removed", "run", "side").agg(F.max("more").alias("more"))
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:

@@ -214,6 +214,16 @@ def test_substrings_find_near_lines(spark):
     assert [(r.start_word, r.n_words) for r in substring_dedup.repeats(table).collect() if r.removed and r.doc_id == 2] == [(30, 120)]
 
 
+def test_substrings_find_every_passage_of_50_words(spark):
+    rows, passages = [], {}
+    for i in range(150):
+        passages[i] = words(1000 + i, 50)
+        rows += [(2 * i + k, f"{words(3000 + 2 * i + k, 40)} {passages[i]} {words(5000 + 2 * i + k, 40)}", 0) for k in (0, 1)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    runs = {(r.doc_id, r.start_word, r.n_words) for r in substring_dedup.repeats(table).collect() if r.removed}
+    assert runs == {(2 * i + 1, 40, 50) for i in range(150)}
+
+
 def test_language(spark, empty):
     pick = np.random.default_rng(0)
     kinds = {"aa": "abcde", "bb": "cdefg", "cc": "vwxyz"}
