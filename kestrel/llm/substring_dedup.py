@@ -2,7 +2,8 @@
 
 Two kinds of paragraphs are looked at.  Lines of LINE_WORDS words or more get MinHash bands; lines
 that collide in a band are joined to a leader of the bucket, verified by the exact Jaccard
-similarity of their word shingles, and clustered by components.  Windows are cut inside the text
+similarity of their word shingles, and clustered by components.  Then all lines of a bucket that are
+not in one component yet are compared with each other, in tiles of bounded size.  Windows are cut inside the text
 where a hash of two neighbouring words is the least among CUT positions in a row, which depends on
 nothing outside the passage: a passage that was put into the middle of a line has the same windows
 wherever it stands, so equal windows are equal passages (similarity 1).
@@ -26,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from kestrel.llm.common import WordHashes, mix, ready, release, shared_dir, shingle_hashes, stash, text_or_empty
+from kestrel.llm.common import WordHashes, mix, partitions, ready, release, shared_dir, shingle_hashes, stash, text_or_empty
 from kestrel.llm.graph import components
 
 #: Words to a shingle, and the similarity in hundredths.
@@ -34,14 +35,16 @@ WORDS, HUNDREDTHS = 5, 80
 #: Bands and rows: lines at the threshold collide with probability 1 - (1 - 0.8^3)^8 = 0.997.
 BANDS, ROWS = 8, 3
 LINE_WORDS, CUT, WINDOW_WORDS, RUN_WORDS = 20, 15, 4, 20
+#: Lines to a tile of a bucket.
+TILE = 512
 #: A passage goes on beyond its last cut by so many words at most.
 BESIDE = CUT + 1
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-UNIT = "row_key long, doc_id long, start int, n_words int, class long, bands array<long>"
+UNIT = "row_key long, doc_id long, start int, n_words int, class long, bands array<long>, before short, after short"
 
 
 class Units:
-    """Cuts a text into its lines and windows: (start, n_words, class, band keys or None), in words."""
+    """Cuts a text into its lines (start, n_words, class, band keys) and windows (start, n_words, class, 16 bits of the word before and of the one after), in words."""
 
     def __init__(self):
         self.hashes = WordHashes()
@@ -82,7 +85,7 @@ class Units:
                     keys[:, b] = mix(keys[:, b] + least + np.uint64(b + 1))
         lines = (s, e - s, name(s, e, 1), keys)
         if n <= CUT:
-            return lines, (s[:0], s[:0], keys[:0, 0])
+            return lines, (s[:0], s[:0], keys[:0, 0], np.zeros(0, np.int16), np.zeros(0, np.int16))
         two = mix(h[:-1] * np.uint64(3) + h[1:])
         view = np.lib.stride_tricks.sliding_window_view(two, CUT)
         at = np.unique(view.argmin(axis=1) + np.arange(len(view)))
@@ -90,7 +93,8 @@ class Units:
         some, others = np.flatnonzero(onward < len(at)), np.flatnonzero(back >= 0)
         found = np.unique(np.concatenate([some * len(at) + onward[some], back[others] * len(at) + others]))
         s, e = at[found // len(at)], at[found % len(at)]
-        return lines, (s, e - s, name(s, e, 0))
+        near = (np.concatenate([h, np.zeros(1, np.uint64)]) >> np.uint64(48)).astype(np.uint16).view(np.int16)
+        return lines, (s, e - s, name(s, e, 0), near[s - 1], near[e])
 
 
 def beside(h: np.ndarray, at: np.ndarray, step: int, room: np.ndarray) -> np.ndarray:
@@ -109,17 +113,19 @@ def _units(source: DataFrame) -> DataFrame:
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
                 part = batch.slice(first, 500)
-                which, starts, sizes, classes, bands = [], [], [], [], []
+                which, starts, sizes, classes, bands, before, after = [], [], [], [], [], [], []
                 for i, text in enumerate(part.column(2)):
                     for s, n, c, *keys in units.of(text.as_py()):
                         which.append(np.full(len(s), i))
                         starts.append(s)
                         sizes.append(n)
                         classes.append(c)
-                        bands += list(keys[0].view(np.int64)) if keys else [None] * len(s)
+                        bands += list(keys[0].view(np.int64)) if len(keys) == 1 else [None] * len(s)
+                        before.append(keys[0] if len(keys) == 2 else np.zeros(len(s), np.int16))
+                        after.append(keys[1] if len(keys) == 2 else np.zeros(len(s), np.int16))
                 which = pa.array(np.concatenate(which))
                 columns = [part.column(0).take(which), part.column(1).take(which), *(pa.array(np.concatenate(x).astype(np.int32)) for x in (starts, sizes))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(classes).astype(np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))], [x.split()[0] for x in UNIT.split(", ")])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(classes).astype(np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array(np.concatenate(before)), pa.array(np.concatenate(after))], [x.split()[0] for x in UNIT.split(", ")])
 
     return source.select("row_key", "doc_id", "text").mapInArrow(run, UNIT)
 
@@ -151,6 +157,7 @@ def _near_lines(units: DataFrame, source: DataFrame, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(sets, pa.binary())], ["class", "shingles"])
 
     texts = source.select("row_key", "text").join(wanted, "row_key").groupBy("row_key").agg(F.first("text").alias("text"), F.first("lines").alias("lines"))
+    # Every line of a bucket is in a pair with its leader, so all lines that the tiles need are here.
     sets = stash(texts.select("text", "lines").mapInArrow(shingles, "class long, shingles binary"), folder, "line-sets")
     release(source.sparkSession)
 
@@ -168,7 +175,68 @@ def _near_lines(units: DataFrame, source: DataFrame, folder: str) -> DataFrame:
     both = pairs.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("s")), "a").join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("t")), "b")
     links = stash(both.select("a", "b", "s", "t").mapInArrow(verify, "a long, b long"), folder, "line-links")
     release(source.sparkSession)
-    return components(links, f"{folder}/line-components").withColumnRenamed("node", "class")
+    groups = components(links, f"{folder}/line-groups").withColumnRenamed("node", "class")
+    members = keyed.join(buckets.select("band", "key"), ["band", "key"]).join(groups, "class", "left").withColumn("group", F.coalesce("component", "class")).drop("component")
+    more = stash(_links_of_tiles(stash(members, folder, "line-members"), sets, folder), folder, "line-links-more")
+    release(source.sparkSession)
+    return components(links.unionByName(more), f"{folder}/line-components").withColumnRenamed("node", "class")
+
+
+def _links_of_tiles(members: DataFrame, sets: DataFrame, folder: str) -> DataFrame:
+    """Links (a, b) between lines of a bucket that are in different groups: enough of them to join all that are alike.
+
+    A bucket is dealt into tiles of about TILE lines by hash, and each pair of its tiles is one unit of
+    work (side 0: a tile with itself, 1 and 2: with another), so no task gets a bucket whole.
+    """
+    open_buckets = members.groupBy("band", "key").agg(F.min("group").alias("x"), F.max("group").alias("y"), F.ceil(F.count("*") / TILE).cast("int").alias("tiles")).where("x <> y").select("band", "key", "tiles")
+    rows = members.join(stash(open_buckets, folder, "line-open"), ["band", "key"])
+    own, other = F.col("own"), F.col("other")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("class"), "tiles").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    unit = F.xxhash64("band", "key", F.least(own, other), F.greatest(own, other))
+    rows = rows.select(unit.alias("unit"), F.when(own == other, 0).when(own < other, 1).otherwise(2).alias("side"), "class", "group")
+    rows = rows.join(sets, "class")
+
+    def links(rows):
+        """Verified links of one unit; lines that earlier links of the unit join are passed over."""
+        sides, classes, groups = (np.array(x, np.int64) for x in rows[:3])
+        tokens = [np.frombuffer(x.as_py(), np.uint64) for x in rows[3]]
+        sizes = np.array([len(x) for x in tokens])
+        _, number = np.unique(np.concatenate(tokens), return_inverse=True)
+        owner = np.repeat(np.arange(len(tokens)), sizes)
+        by_number = owner[np.argsort(number, kind="stable")]
+        stops = np.concatenate([[0], np.cumsum(np.bincount(number))])
+        numbers, found = np.split(number, np.cumsum(sizes)[:-1]), []
+        for i in np.flatnonzero(sides < 2).tolist():
+            others = groups != groups[i]
+            others[: i + 1] &= sides[0] != 0
+            if sides[0] != 0:
+                others &= sides == 2
+            if not others.any():
+                continue
+            holders = np.concatenate([by_number[stops[t] : stops[t + 1]] for t in numbers[i].tolist()])
+            both = np.bincount(holders, minlength=len(tokens))
+            for k in np.flatnonzero(others & (100 * both >= HUNDREDTHS * (sizes + sizes[i] - both))).tolist():
+                if groups[k] != groups[i]:
+                    found.append(sorted((int(classes[i]), int(classes[k]))))
+                    groups[groups == groups[k]] = groups[i]
+        return found
+
+    def run(batches):
+        now, rows = None, [[], [], [], []]
+        for batch in batches:
+            out = []
+            for unit, side, cls, group, tokens in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4), strict=True):
+                if unit != now:
+                    out += links(rows) if len(rows[0]) > 1 else []
+                    now, rows = unit, [[], [], [], []]
+                for x, y in zip(rows, (side, cls, group, tokens), strict=True):
+                    x.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+        out = links(rows) if len(rows[0]) > 1 else []
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    dealt = rows.repartition(partitions(members.sparkSession), "unit").sortWithinPartitions("unit", "side")
+    return dealt.select("unit", "side", "class", "group", "shingles").mapInArrow(run, "a long, b long").distinct()
 
 
 def row_key(id_col: str, text_col: str):
@@ -207,15 +275,15 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     begins = F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0)
     runs = judged.dropDuplicates(["row_key", "start", "n_words", "cluster"]).withColumn("begins", begins).withColumn("run", F.sum("begins").over(ordered))
     # The outermost windows: the shortest, which the most occurrences equal; a line's ends are its own.
-    at_left = F.min(F.struct("start", "n_words", (~F.col("window")).alias("line"), F.col("cluster").alias("of"))).alias("l")
-    at_right = F.min(F.struct((-end).alias("end"), "n_words", (~F.col("window")).alias("line"), F.col("cluster").alias("of"))).alias("r")
+    at_left = F.min(F.struct("start", "n_words", (~F.col("window")).alias("line"), F.col("cluster").alias("of"), F.col("before").alias("beside"))).alias("l")
+    at_right = F.min(F.struct((-end).alias("end"), "n_words", (~F.col("window")).alias("line"), F.col("cluster").alias("of"), F.col("after").alias("beside"))).alias("r")
     runs = runs.groupBy("row_key", "removed", "run").agg(F.min("doc_id").alias("doc_id"), F.min("start").alias("start_word"), F.max(end).alias("stop"), F.min("cluster").alias("cluster"), at_left, at_right)
     runs = stash(runs.where(F.col("stop") - F.col("start_word") >= RUN_WORDS), folder, "runs")
     release(spark)
     sides = [("l", -1, F.col("l.start")), ("r", 1, -F.col("r.end") - F.col("r.n_words"))]
     ends = None
     for name, side, start in sides:
-        one = runs.where(~F.col(f"{name}.line")).select("row_key", "removed", "run", F.lit(side).alias("side"), start.alias("start"), F.col(f"{name}.n_words").alias("n_words"), F.col(f"{name}.of").alias("cluster"))
+        one = runs.where(~F.col(f"{name}.line")).select("row_key", "removed", "run", F.lit(side).alias("side"), start.alias("start"), F.col(f"{name}.n_words").alias("n_words"), F.col(f"{name}.of").alias("cluster"), F.col(f"{name}.beside").alias("beside"))
         ends = one if ends is None else ends.unionByName(one)
     ends = stash(ends, folder, "ends")
     more = _extensions(ends, found.where("window"), source, folder)
@@ -242,8 +310,14 @@ def _extensions(ends: DataFrame, found: DataFrame, source: DataFrame, folder: st
     Occurrences of that window are grouped by the 1 to BESIDE words beside it; a group that lies in two
     documents goes on so far.  All but its first occurrence are removed, as with windows.
     """
-    wanted = stash(ends.select("cluster", "side").distinct(), folder, "end-clusters")
-    occurrences = found.select("row_key", "doc_id", "start", "n_words", "cluster").distinct().join(wanted, "cluster")
+    # Most ends are told from all other occurrences by the word beside them: texts are read for the rest only.
+    wanted = stash(ends.select("cluster", "side", "beside").distinct(), folder, "end-clusters")
+    occurrences = found.select("row_key", "doc_id", "start", "n_words", "cluster", "before", "after").distinct()
+    sided = occurrences.withColumn("s", F.explode(F.array(F.struct(F.lit(-1).alias("side"), F.col("before").alias("beside")), F.struct(F.lit(1).alias("side"), F.col("after").alias("beside")))))
+    key = ["cluster", "side", "beside"]
+    occurrences = stash(sided.select("row_key", "doc_id", "start", "n_words", "cluster", "s.*").join(wanted, key), folder, "end-occurrences")
+    shared = occurrences.groupBy(key).agg(F.min("row_key").alias("x"), F.max("row_key").alias("y")).where("x <> y").select(key)
+    occurrences = occurrences.join(stash(shared, folder, "end-shared"), key)
     per_text = stash(occurrences.groupBy("row_key").agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.struct("start", "n_words", "cluster", "side")).alias("at")), folder, "end-places")
     texts = source.select("row_key", "text").join(per_text, "row_key").groupBy("row_key").agg(F.first("doc_id").alias("doc_id"), F.first("at").alias("at"), F.first("text").alias("text"))
 
@@ -276,7 +350,7 @@ def _extensions(ends: DataFrame, found: DataFrame, source: DataFrame, folder: st
     groups = beyond.groupBy(key).agg(F.min(place).alias("first"), F.min("row_key").alias("x"), F.max("row_key").alias("y")).where("x <> y").drop("x", "y")
     groups = stash(groups, folder, "beside-groups")
     release(source.sparkSession)
-    own = beyond.join(ends, ["row_key", "start", "n_words", "cluster", "side"]).join(groups, key)
+    own = beyond.join(ends.drop("beside"), ["row_key", "start", "n_words", "cluster", "side"]).join(groups, key)
     first = (F.col("row_key") == F.col("first.row_key")) & (F.col("start") == F.col("first.start"))
     return own.where(F.col("removed") != first).groupBy("row_key", "removed", "run", "side").agg(F.max("more").alias("more"))
 

@@ -10,7 +10,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from kestrel.llm import bpe, fingerprints, jaccard_join, language, neighbours, packing, secrets, substring_dedup, token_files, warc
-from kestrel.llm.common import WordHashes
+from kestrel.llm.common import WordHashes, shared_dir
 from kestrel.llm.graph import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row_key string, n_tokens int"
@@ -224,6 +224,31 @@ def test_substrings_find_every_passage_of_50_words(spark):
     assert runs == {(2 * i + 1, 40, 50) for i in range(150)}
 
 
+def test_substrings_join_lines_that_are_unlike_their_leaders(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "TILE", 16, raising=False)  # large buckets are cut into tiles
+    pick = np.random.default_rng(8)
+    template, rows = words(71, 120).split(), []
+    for i in range(60):  # pairs alike, each unlike all others
+        w = list(template)
+        for at in pick.choice(range(5, 105), 2, replace=False):
+            w[at] = f"pair{i}"
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([*w[:113], f"own{i}", *w[114:]]))]
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    table = spark.createDataFrame(rows, "row_key long, text string").selectExpr("row_key", "row_key as doc_id", "text")
+    units = substring_dedup._units(table).cache()
+    cluster = dict(substring_dedup._near_lines(units, table, shared_dir(spark, "test")).collect())
+    lines = {r.row_key: r for r in units.where("bands is not null").collect()}
+    held = [cluster.get(lines[i]["class"], lines[i]["class"]) for i in range(len(rows))]
+    checked = 0
+    for i in range(len(rows)):
+        for k in range(i):
+            alike = 100 * len(sets[i] & sets[k]) >= 80 * len(sets[i] | sets[k])
+            if alike and set(zip(range(8), lines[i].bands)) & set(zip(range(8), lines[k].bands)):
+                checked += 1
+                assert held[i] == held[k]
+    assert checked > 0
+
+
 def test_language(spark, empty):
     pick = np.random.default_rng(0)
     kinds = {"aa": "abcde", "bb": "cdefg", "cc": "vwxyz"}
