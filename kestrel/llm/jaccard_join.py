@@ -31,8 +31,8 @@ FREQUENT, OFTEN = 1 << 20, 2
 UNIT, FANOUT = 1024, 32
 #: First rounds; in each, the earlier neighbours that a class is tried with, and before them those that most have linked to.
 ROUNDS, TRIES, LEADERS, FIRST_UNIT = 3, 8, 4, 4096
-#: Width of the bands of set sizes, and bands between sizes that can link at most.
-BAND, REACH = 0.05, 3
+#: Width of the bands of set sizes.
+BAND = 0.05
 
 
 def shingle_set(text: str, hashes: WordHashes, words: int) -> np.ndarray:
@@ -217,18 +217,24 @@ def _first_round(members: DataFrame, hundredths: int) -> DataFrame:
 
 
 def _band() -> Column:
-    """Number of the band of set sizes; sizes that link (from 90 hundredths on) lie at most REACH bands apart."""
+    """Number of the band of set sizes; sizes that link lie at most _reach bands apart."""
     return F.floor(F.log(F.col("n_shingles").cast("double")) / -np.log(1 - BAND)).cast("int")
 
 
+def _reach(hundredths: int) -> int:
+    """Bands between sizes that can link at most: 3 at 90 hundredths, 5 at 80."""
+    return int(np.ceil(np.log(hundredths / 100) / np.log(1 - BAND) - 1e-9)) if hundredths < 100 else 1
+
+
 def _near(keyed: DataFrame, hundredths: int, folder: str, name: str) -> DataFrame:
     """Rows (token, n_shingles, ...) that share the token with another row of a size that could link."""
     keyed = keyed.withColumn("band", _band())
     bands = keyed.groupBy("token", "band").agg(F.count("*").alias("rows"), F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
     # A row per band of a token: bounded by the number of bands.
     by_band = Window.partitionBy("token").orderBy("band")
-    below = F.max("most").over(by_band.rangeBetween(-REACH, -1))
-    above = F.min("least").over(by_band.rangeBetween(1, REACH))
+    reach = _reach(hundredths)
+    below = F.max("most").over(by_band.rangeBetween(-reach, -1))
+    above = F.min("least").over(by_band.rangeBetween(1, reach))
     bands = bands.select("token", "band", "rows", "most", "least", below.alias("below"), above.alias("above"))
     with_others = (F.col("rows") > 1) | (F.col("below") * 100 >= hundredths * F.col("least")) | (F.col("most") * 100 >= hundredths * F.col("above"))
     bands = stash(bands.where(with_others).select("token", "band", "rows", "below", "above"), folder, f"near-{name}")
@@ -236,7 +242,7 @@ def _near(keyed: DataFrame, hundredths: int, folder: str, name: str) -> DataFram
     return keyed.join(bands.hint("merge"), ["token", "band"]).where(own).drop("band", "rows", "below", "above")
 
 
-def _units(rows: DataFrame, folder: str) -> DataFrame:
+def _units(rows: DataFrame, hundredths: int, folder: str) -> DataFrame:
     """Rows (token, ...) with unit and side: a bucket of up to UNIT classes is a unit, its rows on side 0.
 
     A larger one is cut into tiles, by bands of set sizes and within a band by hash; each pair of
@@ -249,7 +255,7 @@ def _units(rows: DataFrame, folder: str) -> DataFrame:
     parts = stash(in_large.groupBy("token", "band").agg(F.ceil(F.count("*") / UNIT).cast("int").alias("parts")), folder, "bands")
     tiled = in_large.join(parts, ["token", "band"]).withColumn("part", F.pmod(F.xxhash64("class"), "parts"))
     others = parts.select("token", F.col("band").alias("other_band"), F.col("parts").alias("other_parts"))
-    met = tiled.join(others, "token").where(F.abs(F.col("band") - F.col("other_band")) <= REACH)
+    met = tiled.join(others, "token").where(F.abs(F.col("band") - F.col("other_band")) <= _reach(hundredths))
     met = met.withColumn("other_part", F.explode(F.sequence(F.lit(0), F.col("other_parts") - 1)))
     own = F.struct("band", F.col("part").cast("long").alias("part"))
     other = F.struct(F.col("other_band").alias("band"), F.col("other_part").cast("long").alias("part"))
@@ -352,8 +358,8 @@ def join(docs: DataFrame, words: int = WORDS, hundredths: int = HUNDREDTHS, id_c
     equal sets and so are in one group.  A null id is in its group's component but never names one,
     unless the whole group has none.  An empty table gives an empty result.
     """
-    if hundredths < 90:
-        raise ValueError("thresholds are from 90 hundredths on")
+    if not 80 <= hundredths <= 100:
+        raise ValueError("thresholds are from 80 hundredths on")
     spark = docs.sparkSession
     ready(spark)
     folder = shared_dir(spark, "jaccard")
@@ -410,7 +416,7 @@ def join(docs: DataFrame, words: int = WORDS, hundredths: int = HUNDREDTHS, id_c
     still = grouped.join(open_tokens, "token").groupBy("class").agg(F.first("group").alias("group"), F.sort_array(F.collect_list("token")).alias("open"))
     points = stash(still.join(classes.select("class", "n_shingles", "counts"), "class"), folder, "points")
     rows = points.withColumn("token", F.explode("open"))
-    pairs = stash(_candidates(_units(rows, folder), hundredths), folder, "pairs")
+    pairs = stash(_candidates(_units(rows, hundredths, folder), hundredths), folder, "pairs")
     release(spark)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     sets = stash(sets.select("class", "tokens").join(ends.hint("merge"), "class"), folder, "pair-sets", "none")

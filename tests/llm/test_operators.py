@@ -174,6 +174,27 @@ def test_jaccard_join_of_near_copies(spark, monkeypatch):
     assert sorted(map(tuple, jaccard_join.join(table).drop("row_key").collect()), key=repr) == brute_components(rows)
 
 
+def test_near_duplicates_of_the_pipeline(spark, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(jaccard_join, "UNIT", 20)  # large buckets are cut into tiles
+    pick = np.random.default_rng(6)
+    base, rows = words(12, 250).split(), []
+    for i in range(80):
+        w = list(base)
+        for at in pick.integers(0, len(w), pick.integers(0, 10)):
+            w[at] = f"edit{i}"
+        rows.append((i, " ".join(w[: len(w) - int(pick.integers(0, 30))])))
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    name = list(range(len(rows)))
+    for i in range(len(rows)):
+        for k in range(i):
+            if 100 * len(sets[i] & sets[k]) >= 80 * len(sets[i] | sets[k]):
+                name = [name[k] if x == name[i] else x for x in name]
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert {r.doc_id for r in kept} == {name.index(n) for n in name}
+
+
 def test_packing(docs, empty):
     got = packing.pack(docs.drop("n_tokens"), buckets=3, budget=500).toPandas()
     assert sorted(got.n_tokens) == sorted(len(t.encode().split()) for _, t in all_rows(docs))
