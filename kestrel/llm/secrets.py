@@ -1,7 +1,7 @@
 """Secret scans, and how widely each candidate is copied over the corpus; DataFrame functions only.
 
-A candidate that many owners hold is an example that was copied around; one that a single owner
-holds in few repositories and that looks random is taken for a live credential and gets a span of
+A candidate that many owners hold is an example that was copied around; one that fewer hold, in
+however many repositories, and that looks random is taken for a live credential and gets a span of
 its own (kind "live") over the value.
 """
 
@@ -18,8 +18,8 @@ HEX = r"[0-9a-f]{24,}+"
 KINDS = ("assign", "access", "hex", "live")
 LEAST_VALUE = 6
 PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|your[-_]|xxxx|1234567|abcdef"
-#: A live credential: length and distinct characters of its value at least; owners and repositories at most.
-LIVE_LENGTH, LIVE_CHARS, LIVE_OWNERS, LIVE_REPOSITORIES = 16, 8, 1, 3
+#: A live-looking value: length and distinct characters at least; a shorter one has letters, digits and distinct characters for half its length.
+LIVE_LENGTH, LIVE_CHARS = 16, 8
 #: Owners from which on a candidate is an example that was copied around.
 EXAMPLE_OWNERS = 3
 
@@ -68,7 +68,9 @@ def scan(docs: DataFrame, text_col: str = "text", owner_col: str = "source", rep
     sofar = Window.partitionBy("_row", "no").orderBy("pos")
     stop = F.sum(F.col("gap").cast("long")).over(sofar) + F.sum(F.col("len").cast("long")).over(sofar)
     hits = pieces.withColumn("end", stop).where((F.col("no") > 0) | (F.length("value") >= LEAST_VALUE))
-    looks = (F.length("value") >= LIVE_LENGTH) & (F.size(F.array_distinct(F.split("value", ""))) >= LIVE_CHARS) & ~F.col("value").rlike(PLACEHOLDER)
+    distinct = F.size(F.array_distinct(F.split("value", "")))
+    short = F.col("value").rlike("[A-Za-z]") & F.col("value").rlike("[0-9]") & (distinct * 2 >= F.length("value"))
+    looks = F.when(F.length("value") >= LIVE_LENGTH, distinct >= LIVE_CHARS).otherwise(short) & ~F.col("value").rlike(PLACEHOLDER)
     hits = hits.select(*own, "no", (F.col("end") - F.col("len")).alias("start"), "end", F.length("value").alias("width"), looks.alias("looks"), F.sha2("value", 256).alias("secret"))
     hits = stash(hits, folder, "hits")
     # Distinct holders first, then owners, then candidates: each step sums on the map side, so no candidate meets in one task.
@@ -78,7 +80,7 @@ def scan(docs: DataFrame, text_col: str = "text", owner_col: str = "source", rep
     spread = stash(spread, folder, "spread")
     verdict = (
         F.when(F.col("owners") >= EXAMPLE_OWNERS, "example")
-        .when(F.col("looks") & (F.col("owners") <= LIVE_OWNERS) & (F.col("repositories") <= LIVE_REPOSITORIES), "live")
+        .when(F.col("looks"), "live")
         .otherwise("shared")
     )
     judged = hits.join(spread, "secret").withColumn("verdict", verdict)

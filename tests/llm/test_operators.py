@@ -87,6 +87,17 @@ def test_secrets(docs, empty):
     assert secrets.report(empty).count() == 0
 
 
+def test_secrets_judged_by_owners(spark):
+    many, two, short, copied = "f3Zt9LmP1xVb5Rk8QwYc", "h7Kd2NsW4pJg6TyB0uXe", "pa55Wurd", "m4Cv8HqR2zLf6DnS0aGt"
+    rows = [(i, "a", f"token = '{many}' end") for i in range(6)] + [(10, "a", f"secret={two}"), (11, "b", f"secret={two}"), (12, "c", f"password: {short}")]
+    rows += [(20 + i, f"owner{i}", f"token={copied}") for i in range(3)] + [(30, "d", "password: unspecified")]
+    table = spark.createDataFrame([(i, t, s, len(t)) for i, s, t in rows], "doc_id long, text string, source string, n_chars long")
+    texts = {r.doc_id: r.text for r in secrets.redact(table).collect()}
+    assert all(texts[i] == "token = '[SECRET]' end" for i in range(6)) and texts[10] == texts[11] == "secret=[SECRET]" and texts[12] == "password: [SECRET]"
+    assert all(texts[i] == t for i, _, t in rows if i >= 20)
+    assert {r.doc_id: (r.n_live, r.n_example) for r in secrets.report(table).collect() if r.doc_id in (0, 20)} == {0: (1, 0), 20: (0, 1)}
+
+
 def test_neighbours(spark):
     pick = np.random.default_rng(0)
     x = pick.normal(size=(1500, 16))
