@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kestrel.llm import jaccard_join, language, packing, secrets, substring_dedup
+from kestrel.llm import jaccard_join, language, packing, secrets, substring_dedup, token_files
 from kestrel.llm.common import shared_dir, stash
 
 
@@ -29,8 +29,10 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's length bucket, batch and slot."""
-    return packing.pack(docs)
+    """Each document's length bucket, batch and slot; lengths are token ids."""
+    import public_tokenizers
+
+    return packing.pack(token_files.counts(docs, public_tokenizers.path("word_bpe_49k.json")), length_col="n_tokens")
 
 
 STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("secret_scans", secret_scans), ("packing", packed)]

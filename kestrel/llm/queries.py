@@ -45,9 +45,12 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from kestrel.llm import packing
+    import public_tokenizers
+
+    from kestrel.llm import packing, token_files
 
-    return packing.pack(_table(spark, sf_dir, "documents"))
+    counted = token_files.counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(counted, length_col="n_tokens")
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,6 +111,22 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id and n_tokens, the number of token ids of its text; null text has none."""
+    ready(docs.sparkSession)
+
+    def run(batches):
+        own = word_encoder(path)
+        for batch in batches:
+            for first in range(0, batch.num_rows, 256):
+                part = batch.slice(first, 256)
+                sizes = [len(x) // own.width for x in own.encode(part.column(1).to_pylist(), None)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64())], ["doc_id", "n_tokens"])
+
+    source = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(F.col(text_col)).alias("text"))
+    return source.mapInArrow(run, f"doc_id {dict(source.dtypes)['doc_id']}, n_tokens long")
+
+
 def _put(uri: str, data: bytes) -> None:
     fs, path = open_fs(uri)
     with fs.open_output_stream(path) as f:

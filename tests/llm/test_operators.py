@@ -214,6 +214,17 @@ def test_packing(docs, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_packing_counts_token_ids(spark, docs, tmp_path):
+    import corpus_pipeline
+    from kestrel.llm import queries
+
+    own = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = sorted(len(own.encode(t, add_special_tokens=False).ids) for _, t in all_rows(docs))
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    for got in (queries.op8_packing(spark, f"file://{tmp_path}"), corpus_pipeline.packed(spark, docs, "")):
+        assert sorted(r.n_tokens for r in got.collect()) == want
+
+
 def test_packing_boundaries_are_optimal():
     from itertools import combinations
 
