@@ -351,7 +351,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, hundredths: int) -> DataFrame:
 
 
 def join(docs: DataFrame, words: int = WORDS, hundredths: int = HUNDREDTHS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest id that links lead to), row_key (of id and text).
+    """The rows of grouped without the group."""
+    return grouped(docs, words, hundredths, id_col, text_col).drop("group")
+
+
+def grouped(docs: DataFrame, words: int = WORDS, hundredths: int = HUNDREDTHS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (smallest id that links lead to), row_key (of id and text), group (null for empty sets).
+
+    Two groups have one component_id where rows repeat an id with unlike texts.
 
     A text with fewer words than a shingle is one shingle of all of them.  Null, empty and wordless
     texts have no shingles and are in no group: their component is their own id.  Repeated rows are
@@ -410,10 +417,10 @@ def join(docs: DataFrame, words: int = WORDS, hundredths: int = HUNDREDTHS, id_c
         release(spark)
     links = stash(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), folder, "links")
     groups = components(links, f"{folder}/components-1")
-    grouped = buckets.join(groups.withColumnRenamed("node", "class"), "class", "left").withColumn("group", F.coalesce("component", "class")).drop("component")
-    grouped = stash(grouped, folder, "grouped")
-    open_tokens = stash(grouped.groupBy("token").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y").select("token"), folder, "open")
-    still = grouped.join(open_tokens, "token").groupBy("class").agg(F.first("group").alias("group"), F.sort_array(F.collect_list("token")).alias("open"))
+    by_group = buckets.join(groups.withColumnRenamed("node", "class"), "class", "left").withColumn("group", F.coalesce("component", "class")).drop("component")
+    by_group = stash(by_group, folder, "grouped")
+    open_tokens = stash(by_group.groupBy("token").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y").select("token"), folder, "open")
+    still = by_group.join(open_tokens, "token").groupBy("class").agg(F.first("group").alias("group"), F.sort_array(F.collect_list("token")).alias("open"))
     points = stash(still.join(classes.select("class", "n_shingles", "counts"), "class"), folder, "points")
     rows = points.withColumn("token", F.explode("open"))
     pairs = stash(_candidates(_units(rows, hundredths, folder), hundredths), folder, "pairs")
@@ -429,9 +436,9 @@ def join(docs: DataFrame, words: int = WORDS, hundredths: int = HUNDREDTHS, id_c
     named = classes.select("class", "least_id").join(final.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     named = stash(named, folder, "named")
     names = stash(named.groupBy("component").agg(F.min("least_id").alias("component_id")), folder, "names")
-    by_class = stash(named.join(names, "component").select("class", "component_id"), folder, "by-class")
-    placed = some.select("doc_id", "row_key", "n_shingles", "class").join(by_class, "class").select("doc_id", "n_shingles", "component_id", "row_key")
-    return placed.unionByName(of_docs.where("class is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "row_key"))
+    by_class = stash(named.join(names, "component").select("class", "component_id", F.col("component").alias("group")), folder, "by-class")
+    placed = some.select("doc_id", "row_key", "n_shingles", "class").join(by_class, "class").select("doc_id", "n_shingles", "component_id", "row_key", "group")
+    return placed.unionByName(of_docs.where("class is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "row_key", F.lit(None).cast("long").alias("group")))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
@@ -441,8 +448,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stays; groups in which no row has an id lose only repeated rows.
     """
     spark = docs.sparkSession
-    groups = join(docs, id_col=id_col, text_col=text_col, **parameters)
-    named = groups.where("doc_id = component_id").groupBy("component_id").agg(F.min("row_key").alias("_row_key")).select("_row_key")
+    groups = grouped(docs, id_col=id_col, text_col=text_col, **parameters)
+    named = groups.where("doc_id = component_id").groupBy("component_id", "group").agg(F.min("row_key").alias("_row_key")).select("_row_key")
     unnamed = groups.where("component_id is null").select(F.col("row_key").alias("_row_key")).distinct()
     kept = stash(named.unionByName(unnamed), shared_dir(spark, "kept"), "kept")
     keyed = docs.withColumn("_row_key", F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)))

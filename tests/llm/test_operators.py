@@ -172,6 +172,12 @@ def test_jaccard_join(spark, docs, empty):
     assert kept.columns == docs.columns and kept.where("doc_id in (5, 6, 7)").count() == 1
 
 
+def test_keep_first_of_repeated_ids(spark):
+    rows = [(1, words(81, 40)), (1, words(82, 40)), (2, words(81, 40)), (3, words(83, 40))]
+    kept = jaccard_join.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept)) == sorted([rows[0], rows[1], rows[3]])
+
+
 def test_jaccard_join_of_near_copies(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "UNIT", 20)  # large buckets are cut into tiles
     pick = np.random.default_rng(4)
