@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from kestrel.llm.common import WordHashes, mix, partitions, ready, release, shared_dir, shingle_hashes, stash, text_or_empty
+from kestrel.llm.common import WordHashes, discard, mix, partitions, ready, release, shared_dir, shingle_hashes, stash, text_or_empty
 from kestrel.llm.graph import components
 
 #: Words to a shingle, and the similarity in hundredths.
@@ -257,6 +257,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     source = docs.select(row_key(id_col, text_col).alias("row_key"), F.col(id_col).cast("long").alias("doc_id"), text_or_empty(F.col(text_col)).alias("text"))
     units = stash(_units(source), folder, "units")
     near = stash(_near_lines(units, source, folder), folder, "near-lines")
+    for name in ("lines", "line-buckets", "line-pairs", "line-places", "line-sets", "line-links", "line-members", "line-links-more"):
+        discard(folder, name)
     # Lines of one component go by its name; windows and all other lines by their own class.
     lines = units.where("bands is not null").drop("bands").join(near, "class", "left").withColumn("cluster", F.coalesce("component", "class")).drop("component")
     named = units.where("bands is null").drop("bands").withColumn("cluster", F.col("class")).withColumn("window", F.lit(True)).unionByName(lines.withColumn("window", F.lit(False))).drop("class")
@@ -264,6 +266,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     many = stash(many, folder, "clusters")
     release(spark)
     found = stash(named.join(many, "cluster"), folder, "repeated")
+    discard(folder, "units")
     release(spark)
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key", "start")
     firsts = stash(found.groupBy("cluster").agg(F.min(place).alias("first")), folder, "firsts")
@@ -344,6 +347,8 @@ def _extensions(ends: DataFrame, found: DataFrame, source: DataFrame, folder: st
     names = ["row_key", "doc_id", "start", "n_words", "cluster", "side", "more", "words"]
     beyond = texts.select("row_key", "doc_id", "at", "text").mapInArrow(run, "row_key long, doc_id long, start int, n_words int, cluster long, side int, more int, words long")
     beyond = stash(beyond, folder, "beside")
+    discard(folder, "end-places")
+    discard(folder, "end-occurrences")
     release(source.sparkSession)
     key = ["cluster", "side", "more", "words"]
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key", "start")
