@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def transitions(samples: DataFrame, key: str, state: str, order: list[str]) -> DataFrame:
-    """Samples whose state differs from the one before it in the same entity; the first one counts."""
-    before = F.lag(state).over(Window.partitionBy(key).orderBy(*order))
-    return samples.withColumn("previous", before).where(F.col("previous").isNull() | (F.col("previous") != F.col(state)))
+    """Samples whose state differs from the one before it in the same entity; the first one counts.
+
+    Null is a state of its own: a change to or from it counts, nulls in a row are one state.
+    """
+    w = Window.partitionBy(key).orderBy(*order)
+    numbered = samples.withColumns({"previous": F.lag(state).over(w), "_nth": F.row_number().over(w)})
+    return numbered.where((F.col("_nth") == 1) | ~F.col("previous").eqNullSafe(F.col(state))).drop("_nth")
 
 
 def latest_n(rows: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:
@@ -19,19 +22,32 @@ def latest_n(rows: DataFrame, key: str, order: list[Column], n: int) -> DataFram
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
 
 
-def upsert(base: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of changes replace those of the same keys, others are added (K1)."""
+def one_of(changes: DataFrame, keys: list[str], order: list[Column] | None) -> DataFrame:
+    """One row of each key: the first by `order`; without one the keys must not repeat."""
+    if not order:
+        return changes
+    return latest_n(changes.withColumn("_key", F.struct(*keys)), "_key", order, 1).drop("_key")
+
+
+def upsert(base: DataFrame, changes: DataFrame, keys: list[str], newest: list[Column] | None = None) -> DataFrame:
+    """Rows of changes replace those of the same keys, others are added (K1).
+
+    `newest` orders the changes of one key, the one to stay first; without it a key must not repeat in them.
+    """
+    changes = one_of(changes, keys, newest)
     return base.join(changes.select(keys), keys, "left_anti").unionByName(changes.select(base.columns))
 
 
-def upsert_partial(base: DataFrame, changes: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Only these columns are replaced; rows that base lacks are added (K2)."""
+def upsert_partial(base: DataFrame, changes: DataFrame, keys: list[str], columns: list[str], newest: list[Column] | None = None) -> DataFrame:
+    """Only these columns are replaced; rows that base lacks are added (K2).  `newest` is as in upsert."""
+    changes = one_of(changes, keys, newest)
     new = changes.select(*keys, *(F.col(c).alias(f"_{c}") for c in columns))
     return base.join(new, keys, "full_outer").select(*keys, *(F.coalesce(f"_{c}", c).alias(c) if c in columns else F.col(c) for c in base.columns if c not in keys))
 
 
-def insert_missing(base: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose keys base lacks are added (K3)."""
+def insert_missing(base: DataFrame, rows: DataFrame, keys: list[str], first: list[Column] | None = None) -> DataFrame:
+    """Rows whose keys base lacks are added (K3); of those of one key the first by `first`, without which a key must not repeat in them."""
+    rows = one_of(rows, keys, first)
     return base.unionByName(rows.join(base.select(keys), keys, "left_anti").select(base.columns))
 
 
@@ -56,26 +72,37 @@ def debounce(events: DataFrame, key: str, ts: str, quiet: str) -> DataFrame:
 def cooldown(alerts: DataFrame, key: list[str], ts: str, seconds: int) -> DataFrame:
     """Alerts that fire: more than `seconds` after the last one of the key that fired.
 
-    Each decision hangs on the one before, so a key's alerts are walked in order; rows arrive sorted
-    and only the last time fired is held.
+    Alerts without a time never fire.  Each decision hangs on the one before, so a key's alerts are
+    walked in order: rows arrive sorted, the walk leaps from one that fires to the first that is late
+    enough by binary search, and only the last time fired is held between batches.
     """
     names, schema = alerts.columns, alerts.schema
     at = [names.index(k) for k in key]
 
     def walk(batches):
-        last: dict = {"key": None, "fired": None}
+        held, fired = None, None
         for pdf in batches:
+            times = pdf[ts].to_numpy("datetime64[us]")
+            keys = pdf.iloc[:, at]
+            starts = [0, *(((keys != keys.shift()) & ~(keys.isna() & keys.shift().isna())).any(axis=1).to_numpy()[1:].nonzero()[0] + 1).tolist(), len(pdf)] if len(pdf) else [0]
             keep = []
-            for k, t in zip(zip(*(pdf.iloc[:, i] for i in at), strict=True), pdf[ts], strict=True):
-                if k != last["key"]:
-                    last["key"], last["fired"] = k, None
-                fires = last["fired"] is None or t - last["fired"] > dt.timedelta(seconds=seconds)
-                if fires:
-                    last["fired"] = t
-                keep.append(fires)
-            yield pdf[pd.Series(keep, index=pdf.index, dtype=bool)]
-
-    return alerts.repartition(*key).sortWithinPartitions(*key, ts).mapInPandas(walk, schema)
+            for first, stop in zip(starts[:-1], starts[1:], strict=True):
+                own = tuple(None if pd.isna(x) else x for x in keys.iloc[first])
+                if own != held:
+                    held, fired = own, None
+                i = first
+                while True:
+                    if fired is not None:
+                        i = max(i, first + int(times[first:stop].searchsorted(fired + pause, "right")))
+                    if i >= stop:
+                        break
+                    fired = times[i]
+                    keep.append(i)
+                    i += 1
+            yield pdf.iloc[keep]
+
+    pause = np.timedelta64(seconds, "s")
+    return alerts.where(F.col(ts).isNotNull()).repartition(*key).sortWithinPartitions(*key, ts).mapInPandas(walk, schema)
 
 
 def severity(score: Column) -> Column:

@@ -10,25 +10,25 @@ import datetime as dt
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from kestrel.operators import reports
+from kestrel.operators import reports, state
 
 
 def _by_key(events: DataFrame, keys: list[str], ts: str, keep: Callable[[object, object], tuple[bool, object]], schema: str, value: str) -> DataFrame:
     """Rows for which `keep(last, value)` says so; it also gives the value to remember."""
     names = events.columns
 
-    def walk(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
+    def walk(key, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        last = held.get[0] if held.exists else None
         rows = pd.concat(list(frames)).sort_values(ts, kind="stable")
         kept = []
         for v in rows[value]:
             fires, last = keep(last, v)
             kept.append(fires)
         if last is not None:
-            state.update((last,))
+            held.update((last,))
         yield rows[pd.Series(kept, index=rows.index, dtype=bool)][names]
 
     return events.groupBy(*keys).applyInPandasWithState(walk, events.schema, schema, "append", GroupStateTimeout.NoTimeout)
@@ -52,7 +52,7 @@ def cooldown(alerts: DataFrame, keys: list[str], ts: str = "ts", seconds: int =
 
 
 def transitions(samples: DataFrame, keys: list[str], value: str, ts: str = "ts") -> DataFrame:
-    """Samples whose value differs from the one before it of the same key; the first one counts (R2)."""
+    """Samples whose value differs from the one before it of the same key; the first one counts (R2).  Samples without a value are left aside."""
     return _by_key(samples.where(F.col(value).isNotNull()), keys, ts, lambda last, now: (now != last, now), "last string", value)
 
 
@@ -82,6 +82,20 @@ def coalesced(starts: list[tuple[float, float]]) -> list[float]:
     return [*out, busy_until] if pending is not None else out
 
 
+def _snapshots_before(spark: SparkSession, path: str, number: int) -> list[str]:
+    """Folders of the snapshots before a batch, in order; a batch that failed for good has none."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    names = sorted(f.getPath().getName() for f in found)
+    return [n for n in names if n.startswith("batch=") and int(n.removeprefix("batch=")) < number]
+
+
+def _drop(spark: SparkSession, path: str, names: list[str]) -> None:
+    for name in names:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def diff_sink(path: str, keys: list[str], emit: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
     """A foreachBatch sink (R3): each batch is a snapshot; `emit` gets its up and down events against the last one.
 
@@ -93,17 +107,23 @@ def diff_sink(path: str, keys: list[str], emit: Callable[[DataFrame], None]) ->
         spark = batch.sparkSession
         batch.select(keys).distinct().write.mode("overwrite").parquet(f"{path}/batch={number:012d}")
         new = spark.read.parquet(f"{path}/batch={number:012d}")
-        old = spark.read.parquet(f"{path}/batch={number - 1:012d}") if number else new.limit(0)
+        last = _snapshots_before(spark, path, number)
+        old = spark.read.parquet(f"{path}/{last[-1]}") if last else new.limit(0)
         emit(reports.up_down(old, new, keys))
+        _drop(spark, path, last[:-1])  # a batch that runs again needs its predecessor only
 
     return sink
 
 
-def upsert_sink(path: str, keys: list[str], day: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink (R10): each day's rows of a batch replace those of the same keys, other days are not touched."""
+def upsert_sink(path: str, keys: list[str], day: str, newest: list[Column] | None = None) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink (R10): each day's rows of a batch replace those of the same keys, other days are not touched.
+
+    `newest` orders the rows of one key in a batch, the one to stay first; without it a key must not repeat in a batch.
+    """
 
     def sink(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        batch = state.one_of(batch, keys, newest)
         days = [r[0] for r in batch.select(day).distinct().collect()]  # days in one micro-batch: a handful
         try:
             base = spark.read.schema(batch.schema).parquet(path).where(F.col(day).isin(days))

@@ -18,6 +18,49 @@ def test_transitions_keep_the_first(spark):
     assert [r.i for r in state.transitions(rows, "k", "s", ["i"]).orderBy("i").collect()] == [0, 2, 4]
 
 
+def test_cooldown_leaves_null_times_aside(spark):
+    rows = [("a", None), ("a", T0), ("a", T0 + dt.timedelta(hours=50)), (None, T0), (None, T0 + dt.timedelta(seconds=1))]
+    fired = state.cooldown(spark.createDataFrame(rows, "k string, ts timestamp"), ["k"], "ts", 300).collect()
+    assert sorted(((r.k, (r.ts - T0).total_seconds()) for r in fired), key=repr) == sorted([("a", 0), ("a", 180_000), (None, 0)], key=repr)
+
+
+def test_cooldown_over_many_batches(spark):
+    pick = __import__("random").Random(4)
+    rows = [(i % 3, T0 + dt.timedelta(seconds=pick.randrange(90_000))) for i in range(4000)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        fired = state.cooldown(spark.createDataFrame(rows, "k int, ts timestamp"), ["k"], "ts", 300).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = []
+    for k in range(3):
+        last = None
+        for t in sorted(t for j, t in rows if j == k):
+            if last is None or t - last > dt.timedelta(seconds=300):
+                want.append((k, t))
+                last = t
+    assert sorted((r.k, r.ts) for r in fired) == want
+
+
+def test_transitions_to_and_from_null(spark):
+    rows = spark.createDataFrame([(1, i, s) for i, s in enumerate(["x", None, None, "x", "x"])] + [(2, 0, None), (2, 1, None)], "k int, i int, s string")
+    assert sorted((r.k, r.i) for r in state.transitions(rows, "k", "s", ["i"]).collect()) == [(1, 0), (1, 1), (1, 3), (2, 0)]
+
+
+def test_upserts_of_repeated_keys(spark):
+    base = spark.createDataFrame([(1, "old"), (2, "old")], "k int, v string")
+    changes = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (3, "c", 1), (3, "d", 2)], "k int, v string, at int")
+    newest = [F.desc("at")]
+    assert sorted(map(tuple, state.upsert(base, changes, ["k"], newest).collect())) == [(1, "b"), (2, "old"), (3, "d")]
+    assert sorted(map(tuple, state.upsert_partial(base, changes, ["k"], ["v"], newest).collect())) == [(1, "b"), (2, "old"), (3, "d")]
+    assert sorted(map(tuple, state.insert_missing(base, changes, ["k"], [F.col("at")]).collect())) == [(1, "old"), (2, "old"), (3, "c")]
+
+
+def test_html_text(spark):
+    page = spark.createDataFrame([("<title> A &amp; B </title><!-- x > y --><p>a &amp; b&nbsp;&lt;c&gt;</p><script>no()</script>",)], "html string")
+    assert page.select(text.html_title(F.col("html")), text.html_text(F.col("html")), text.html_text(F.col("html"), 3)).first()[:] == ("A & B", "A & B a & b <c>", "A &")
+
+
 def test_quiet_hours_wrap(spark):
     rows = spark.createDataFrame([(T0 + dt.timedelta(hours=h),) for h in (23, 3, 12)], "ts timestamp")
     assert [r[0] for r in rows.select(state.quiet_hours(F.col("ts"), 1320, 420)).collect()] == [True, True, False]
@@ -30,4 +73,4 @@ def test_mutual_imports(spark):
 
 def test_lines_and_windows_of_empty_input(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
-    assert text.windows(text.normalized(text.lines(empty)), 3).count() == 0
+    assert text.windows(empty, 3).count() == 0
