@@ -74,11 +74,23 @@ def hex_number(digits: Column) -> Column:
     return F.conv(digits, 16, 10).cast("long")
 
 
+def _ipv6(digits: Column) -> Column:
+    """32 hexadecimal digits, four little-endian words, as an address with its longest run of zeros cut short."""
+    byte = lambda i: F.substring(digits, 8 * (i // 4) + 2 * (3 - i % 4) + 1, 2)
+    text = F.concat_ws(":", *(F.regexp_replace(F.lower(F.concat(byte(2 * g), byte(2 * g + 1))), "^0{1,3}", "") for g in range(8)))
+    out = text
+    for n in range(2, 9):  # the longest run comes last and wins
+        run = f"^(.*?)(^|:)0(:0){{{n - 1}}}(:|$)(.*)$"
+        out = F.when(text.rlike(run), F.regexp_replace(text, run, "$1::$5")).otherwise(out)
+    return out
+
+
 def hex_address(address: Column) -> Column:
-    """`0100007F:1F90` as struct(ip, port): four bytes of IPv4, little-endian (X22); null if it is none."""
-    octets = [hex_number(F.substring(address, at, 2)).cast("string") for at in (7, 5, 3, 1)]
-    found = F.struct(F.concat_ws(".", *octets).alias("ip"), hex_number(F.substring(address, 10, 4)).alias("port"))
-    return F.when(address.rlike("^[0-9A-Fa-f]{8}:[0-9A-Fa-f]{4}$"), found)
+    """`0100007F:1F90` as struct(ip, port): bytes of IPv4, or words of IPv6, little-endian (X22); null if it is none."""
+    digits, port = F.substring_index(address, ":", 1), hex_number(F.substring_index(address, ":", -1)).alias("port")
+    octets = [hex_number(F.substring(digits, at, 2)).cast("string") for at in (7, 5, 3, 1)]
+    four = F.struct(F.concat_ws(".", *octets).alias("ip"), port)
+    return F.when(address.rlike("^[0-9A-Fa-f]{8}:[0-9A-Fa-f]{4}$"), four).when(address.rlike("^[0-9A-Fa-f]{32}:[0-9A-Fa-f]{4}$"), F.struct(_ipv6(digits).alias("ip"), port))
 
 
 def is_private_ip(ip: Column) -> Column:
@@ -114,8 +126,9 @@ def version_gap(current: Column, latest: Column) -> Column:
 
 
 def token_count(n: Column) -> Column:
-    """1.2M, 3.4K or the number itself."""
-    return F.when(n >= 1_000_000, F.format_string("%.1fM", n / 1e6)).when(n >= 1000, F.format_string("%.1fK", n / 1e3)).otherwise(n.cast("string"))
+    """1.2M, 3.4K or the number itself, rounded from the exact binary value."""
+    short = lambda by, mark: F.concat(F.call_function("format_number", n / by, F.lit("0.0")), F.lit(mark))
+    return F.when(n >= 1_000_000, short(1e6, "M")).when(n >= 1000, short(1e3, "K")).otherwise(n.cast("string"))
 
 
 def usage_level(tokens: Column) -> Column:

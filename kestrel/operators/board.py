@@ -1,0 +1,194 @@
+"""Small aggregates, look-ups and texts behind overview boards and tool views."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from kestrel.functions import scalars as S
+
+#: Names of files and folders that are no work of their own.
+JUNK = ["__pycache__", ".pyc", ".pyo", ".DS_Store", "Thumbs.db", ".idea", ".vscode", "node_modules", ".pytest_cache", ".mypy_cache", ".ruff_cache", "dist", "build", ".egg-info"]
+#: What a file is for: patterns on its path in order, then its extension.
+PURPOSES = [
+    (r"(^|/)test_[^/]*$|_test\.[a-z]+$|\.(test|spec)\.[a-z]+$", "Test"),
+    (r"(^|/)(conftest\.py|pytest\.ini)$", "Test settings"),
+    (r"(^|/)requirements[^/]*\.txt$|(^|/)(pyproject\.toml|setup\.py|setup\.cfg|Pipfile)$", "Python dependencies"),
+    (r"(^|/)package\.json$", "JavaScript dependencies"),
+    (r"(package-lock\.json|yarn\.lock|pnpm-lock\.yaml|poetry\.lock|Cargo\.lock)$", "Exact versions of dependencies"),
+    (r"(^|/)Dockerfile[^/]*$|(^|/)docker-compose[^/]*\.ya?ml$", "Container settings"),
+    (r"(^|/)\.env[^/]*$", "Environment variables"),
+    (r"(^|/)\.gitignore$", "Files that git ignores"),
+    (r"(^|/)\.github/workflows/", "Continuous integration"),
+    (r"(^|/)migrations/", "Database migration"),
+    (r"(?i)(^|/)readme[^/]*$", "Project description"),
+    (r"(?i)(^|/)licen[sc]e[^/]*$", "License"),
+]
+PURPOSES_BY_EXTENSION = {
+    "py": "Python source", "js": "JavaScript source", "jsx": "React component", "ts": "TypeScript source", "tsx": "React component", "rs": "Rust source", "go": "Go source", "java": "Java source",
+    "css": "Styles", "scss": "Styles", "html": "Page", "md": "Text", "json": "Data", "yaml": "Settings", "yml": "Settings", "toml": "Settings", "sql": "Database queries", "sh": "Shell script",
+}
+
+
+def counts(rows: DataFrame, keys: list[str], name: str = "n") -> DataFrame:
+    """Rows by key."""
+    return rows.groupBy(*keys).agg(F.count("*").alias(name))
+
+
+def lookup(rows: DataFrame, **keys) -> DataFrame:
+    """The row of a key, if there is one (F17); the keys reach the scan."""
+    return rows.where(reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.lit(v)) for k, v in keys.items()))).limit(1)
+
+
+def labelled(rows: DataFrame, labels: DataFrame, key: str, label: str = "label") -> DataFrame:
+    """Rows with the label of their key, '' without one (J1); a key has one label."""
+    return rows.join(labels.select(key, label), key, "left").withColumn(label, F.coalesce(label, F.lit("")))
+
+
+def value_of(mapping: Column, key: str, default) -> Column:
+    """A map's value or a default."""
+    return F.coalesce(F.try_element_at(mapping, F.lit(key)), F.lit(default))
+
+
+def merged_maps(base: Column, over: Column) -> Column:
+    """Entries of both, those of the second where both have a key."""
+    return F.map_concat(F.map_filter(base, lambda k, _: ~F.array_contains(F.map_keys(over), k)), over)
+
+
+def deep_merge(defaults: dict, over: dict) -> dict:
+    """Settings over their defaults, table by table."""
+    both = lambda k: deep_merge(defaults[k], over[k]) if isinstance(defaults.get(k), dict) and isinstance(over[k], dict) else over[k]
+    return defaults | {k: both(k) for k in over}
+
+
+def load_settings(text: str, defaults: dict) -> dict:
+    """TOML settings over their defaults; a text that does not parse gives the defaults."""
+    import tomllib
+
+    try:
+        return deep_merge(defaults, tomllib.loads(text))
+    except tomllib.TOMLDecodeError:
+        return defaults
+
+
+def json_value(text: Column, path: str, default: str) -> Column:
+    """The value at a path of names in a JSON text, or a default."""
+    return F.coalesce(F.get_json_object(text, f"$.{path}"), F.lit(default))
+
+
+def message(template: str, *names: str) -> Column:
+    """A text with {name} places filled from columns."""
+    out = F.lit(template)
+    for name in names:
+        out = F.replace(out, F.lit(f"{{{name}}}"), F.col(name).cast("string"))
+    return out
+
+
+def without_junk(files: DataFrame) -> DataFrame:
+    """Files that are work: none of the junk names is a part of the path or its ending."""
+    names = "|".join(n.replace(".", r"\.") for n in JUNK if not n.startswith(".py") and n != ".egg-info")
+    return files.where(~F.col("path").rlike(rf"(^|/)({names})(/|$)|\.py[co]$|\.egg-info(/|$)"))
+
+
+def explanation(path: Column) -> Column:
+    """What a file is for: the first pattern that its path matches, else by extension, else `File`."""
+    by_extension = F.element_at(F.create_map(*(F.lit(x) for pair in PURPOSES_BY_EXTENSION.items() for x in pair)), S.extension(path))
+    return F.coalesce(*(F.when(path.rlike(p), F.lit(what)) for p, what in PURPOSES), by_extension, F.lit("File"))
+
+
+def traffic(containers: DataFrame, networks: str = "networks") -> DataFrame:
+    """(name, received, sent) bytes over all interfaces of a container."""
+    each = F.map_values(F.from_json(networks, "map<string, struct<rx_bytes: long, tx_bytes: long>>"))
+    total = lambda field: F.aggregate(F.coalesce(each, F.array().cast("array<struct<rx_bytes: long, tx_bytes: long>>")), F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x[field], F.lit(0)))
+    return containers.select("name", total("rx_bytes").alias("received"), total("tx_bytes").alias("sent"))
+
+
+def container_counts(containers: DataFrame) -> DataFrame:
+    """One row: containers, running, exited and unhealthy running ones."""
+    running = F.col("status") == "running"
+    return containers.agg(F.count("*").alias("containers"), F.count_if(running).alias("running"), F.count_if(F.col("status") == "exited").alias("exited"), F.count_if(running & (F.col("health") == "unhealthy")).alias("unhealthy"))
+
+
+def week_sums(daily: DataFrame, day: str, columns: list[str]) -> DataFrame:
+    """Sums by week, from Monday on, and the rows in it."""
+    return daily.groupBy(F.to_date(F.date_trunc("week", day)).alias("week")).agg(*(F.sum(c).alias(c) for c in columns), F.count("*").alias("days"))
+
+
+def line_totals(files: DataFrame) -> DataFrame:
+    """(project, files, lines) of tracked files."""
+    return files.groupBy("project").agg(F.count("*").alias("files"), F.sum(F.size(F.split("content", "\r?\n")).cast("long")).alias("lines"))
+
+
+def style_results(results: DataFrame, json: str) -> DataFrame:
+    """(source, errors, warnings) of a style checker's JSON."""
+    parsed = F.explode(F.from_json(json, "array<struct<source: string, warnings: array<struct<severity: string>>>>"))
+    found = results.select(parsed.alias("r")).select("r.source", F.explode_outer("r.warnings.severity").alias("severity"))
+    return found.groupBy("source").agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
+
+
+def npm_audit(results: DataFrame, key: str, json: str) -> DataFrame:
+    """(key, package, severity) of an audit's JSON."""
+    entries = F.explode(F.from_json(F.get_json_object(json, "$.vulnerabilities"), "map<string, struct<severity: string>>")).alias("package", "v")
+    return results.select(key, entries).select(key, "package", F.col("v.severity").alias("severity"))
+
+
+def pip_audit(results: DataFrame, key: str, json: str) -> DataFrame:
+    """(key, package, version, advisory) of an audit's JSON."""
+    kind = "array<struct<name: string, version: string, vulns: array<struct<id: string>>>>"
+    found = results.select(key, F.explode(F.from_json(F.get_json_object(json, "$.dependencies"), kind)).alias("d"))
+    return found.select(key, F.col("d.name").alias("package"), F.col("d.version").alias("version"), F.explode("d.vulns.id").alias("advisory"))
+
+
+def with_queries(findings: DataFrame, queries: dict[str, str], rule: str = "rule") -> DataFrame:
+    """Findings with what to look up about their rule, null for other rules."""
+    table = F.create_map(*(F.lit(x) for pair in queries.items() for x in pair))
+    return findings.withColumn("query", F.element_at(table, F.col(rule)))
+
+
+def security_alerts(findings: DataFrame, by: str) -> DataFrame:
+    """(by, critical, high) open findings of these severities, where there are any."""
+    found = findings.where(~F.col("resolved")).groupBy(by).agg(F.count_if(F.col("severity") == "critical").alias("critical"), F.count_if(F.col("severity") == "high").alias("high"))
+    return found.where("critical + high > 0")
+
+
+def test_alerts(runs: DataFrame) -> DataFrame:
+    """(project, run, alert) of projects whose last run failed or timed out."""
+    last = runs.groupBy("project").agg(F.max_by(F.struct(*runs.columns), "run").alias("r")).select("r.*")
+    alert = F.when(F.col("timed_out"), "timeout").when((F.col("failed") > 0) | (F.col("errors") > 0), "failed")
+    return last.select("project", "run", alert.alias("alert")).where("alert IS NOT NULL")
+
+
+def version_changes(seen: DataFrame, tool: str, version: str, order: str, dismissed: DataFrame) -> DataFrame:
+    """Rows whose version differs from the one before it of the tool, without dismissed (tool, version) pairs."""
+    before = F.lag(version).over(Window.partitionBy(tool).orderBy(order))
+    changed = seen.withColumn("previous", before).where(F.col("previous") != F.col(version))
+    return changed.join(dismissed.select(tool, version).distinct(), [tool, version], "left_anti")
+
+
+def branches(lines: DataFrame, days: int = 30, line: str = "line") -> DataFrame:
+    """(repo, branch, current, age_days, stale) of `git branch` lines `* name|age` (S10, D29); the current branch is never stale."""
+    current = F.col(line).startswith("*")
+    name = S.stripped(F.substring_index(F.expr(f"substring({line}, 3)"), "|", 1))
+    age = F.substring_index(line, "|", -1).try_cast("int")
+    return lines.select("repo", name.alias("branch"), current.alias("current"), age.alias("age_days"), (~current & (age > days)).alias("stale"))
+
+
+def blame(lines: DataFrame, path: str, order: str, line: str = "line") -> DataFrame:
+    """(path, line_no, day) of porcelain blame lines in order (S10, D14): a heading names the line, its author's time follows."""
+    w = Window.partitionBy(path).orderBy(order)
+    number = F.regexp_extract(line, r"^[0-9a-f]{40} \d+ (\d+)", 1).try_cast("long")
+    rows = lines.withColumn("line_no", F.last(number, ignorenulls=True).over(w))
+    seconds = F.regexp_extract(line, r"^author-time (\d+)$", 1).try_cast("long")
+    return rows.where(seconds.isNotNull()).select(path, "line_no", F.to_date(F.timestamp_seconds(seconds)).alias("day"))
+
+
+def tracked(lines: DataFrame, line: str = "line") -> DataFrame:
+    """(path) of `git ls-files` lines; quoted names lose their quotes."""
+    return lines.where(F.col(line) != "").select(F.regexp_replace(line, '^"|"$', "").alias("path"))
+
+
+def ancestors(lines: DataFrame, project: str = "project", order: str = "line_no", line: str = "line") -> DataFrame:
+    """(project, hash, depth) of first-parent `git rev-list` lines, the head at 0."""
+    depth = F.row_number().over(Window.partitionBy(project).orderBy(order)) - 1
+    return lines.where(F.col(line).rlike("^[0-9a-f]{7,64}$")).select(project, F.col(line).alias("hash"), depth.alias("depth"))

@@ -20,3 +20,8 @@ def mutual(edges: DataFrame) -> DataFrame:
 def orphans(nodes: DataFrame, edges: DataFrame, entry_points: DataFrame) -> DataFrame:
     """Nodes that nothing imports and that are no entry point."""
     return nodes.join(edges.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").join(entry_points, "node", "left_anti")
+
+
+def merged(edges: DataFrame) -> DataFrame:
+    """Distinct (src, dst) edges; top where any of them is."""
+    return edges.groupBy("src", "dst").agg(F.bool_or("top").alias("top"))

@@ -145,7 +145,7 @@ def processes(df: DataFrame) -> DataFrame:
 
 
 def sockets(lines: DataFrame, line: str = "value") -> DataFrame:
-    """(local_ip, local_port, remote_ip, remote_port, state) of /proc/net/tcp lines; headings and others go."""
+    """(local_ip, local_port, remote_ip, remote_port, state) of /proc/net/tcp and tcp6 lines; headings and others go."""
     part = F.split(F.trim(line), r"\s+")
     parsed = lines.select(S.hex_address(F.get(part, F.lit(1))).alias("l"), S.hex_address(F.get(part, F.lit(2))).alias("r"), F.upper(F.get(part, F.lit(3))).alias("state"))
     return parsed.where("l is not null and r is not null").select(*(F.col(f"{a}.{b}").alias(f"{n}_{b}") for a, n in (("l", "local"), ("r", "remote")) for b in ("ip", "port")), "state")
@@ -162,6 +162,12 @@ def connections(df: DataFrame) -> DataFrame:
     return out.unionByName(listening).distinct()
 
 
+def socket_owners(sockets: DataFrame, links: DataFrame, processes: DataFrame) -> DataFrame:
+    """Sockets of an inode with the name of the (pid, inode) link's process, null where none is known."""
+    named = links.select(F.col("pid").alias("_pid"), "inode").join(processes.select(F.col("pid").alias("_pid"), F.col("name").alias("process")), "_pid")
+    return sockets.join(named.groupBy("inode").agg(F.min("process").alias("process")), "inode", "left")
+
+
 def scheduled(df: DataFrame, key: str = "source", command: str = "command") -> DataFrame:
     """The first table entry in each scheduled command."""
     return _rows(df, key, [_first(F.col(command), SCHEDULED, "scheduled.command")])
@@ -204,6 +210,39 @@ def permissions(meta: DataFrame) -> DataFrame:
     return _rows(seen, "path", [F.when(writable | readable, _hit("file.permissions", F.when(writable, "high").otherwise("medium"), mode))])
 
 
+def odd_files(meta: DataFrame, hours: int = 24) -> DataFrame:
+    """Set-user-id files outside the system's folders, and executables of the last hours in folders of short-lived files, of (path, mode, age_hours)."""
+    path, mode = F.col("path"), F.col("mode")
+    name = S.basename(path)
+    system = path.rlike("^/(usr|bin|sbin|lib|lib64|opt|snap)/")
+    suid = F.when(S.has_bits(mode, 0o4000) & ~system, _hit("file.suid", "high", name))
+    fresh = F.when(_any(path, TEMP_FOLDERS, "startswith") & S.has_bits(mode, 0o111) & (F.col("age_hours") < hours), _hit("file.temp_executable", "medium", name))
+    return _rows(meta, "path", [suid, fresh])
+
+
+def autostart(files: DataFrame) -> DataFrame:
+    """Findings on (path, content) of shell start files, units and desktop entries.
+
+    The first scheduled-command entry, PATH folders for short-lived files, a start from one, and entries
+    that are both hidden and not displayed.
+    """
+    text = F.col("content")
+    on_path = F.regexp_extract(text, r"(?m)^\s*(?:export\s+)?PATH=[\"']?(?:[^\n\"']*:)?((?:/tmp|/dev/shm|/var/tmp)[^:\n\"']*)", 1)
+    starts = F.regexp_extract(text, r"(?m)^\s*Exec(?:Start)?=((?:/tmp|/dev/shm|/var/tmp)/\S*)", 1)
+    unseen = text.rlike(r"(?mi)^\s*Hidden\s*=\s*true") & text.rlike(r"(?mi)^\s*NoDisplay\s*=\s*true")
+    elsewhere = (on_path == "") & (starts == "")
+    return _rows(
+        files,
+        "path",
+        [
+            F.when(elsewhere, _first(text, SCHEDULED, "autostart.command")),
+            F.when(on_path != "", _hit("autostart.path", "high", on_path)),
+            F.when(starts != "", _hit("autostart.temp_exec", "critical", starts)),
+            F.when(unseen, _hit("autostart.hidden", "medium", "Hidden and NoDisplay")),
+        ],
+    )
+
+
 def containers(df: DataFrame) -> DataFrame:
     """Risky settings of (name, privileged, binds, network_mode, user, image) (D54); a row for each socket mount."""
     image = F.coalesce("image", F.lit(""))

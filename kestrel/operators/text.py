@@ -11,18 +11,35 @@ def lines(files: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     return split.select(key, (F.col("pos") + 1).cast("long").alias("line_no"), "line")
 
 
+def _plain(line: Column) -> Column:
+    """A line with white space collapsed."""
+    return F.trim(F.regexp_replace(line, "[ \t]+", " "))
+
+
+def _counts(line: Column) -> Column:
+    """Whether a collapsed line is no comment, import or trivial one."""
+    return ~line.rlike("^(#|//|import |from )") & (F.octet_length(line) >= 3)
+
+
 def normalized(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     """Lines without comments, imports and trivial ones, white space collapsed, numbered anew."""
-    line = F.trim(F.regexp_replace("line", "[ \t]+", " "))
-    kept = rows.withColumn("line", line).where(~F.col("line").rlike("^(#|//|import |from )") & (F.octet_length("line") >= 3))
+    kept = rows.withColumn("line", _plain(F.col("line"))).where(_counts(F.col("line")))
     return kept.withColumn("seq", F.row_number().over(Window.partitionBy(key).orderBy("line_no")).cast("long"))
 
 
-def windows(rows: DataFrame, size: int, key: str = "doc_id") -> DataFrame:
-    """(key, seq, line_no, hash) of each run of `size` normalized lines."""
-    w = Window.partitionBy(key).orderBy("seq").rowsBetween(0, size - 1)
-    run = rows.withColumn("run", F.collect_list("line").over(w)).where(F.size("run") == size)
-    return run.select(key, "seq", "line_no", F.md5(F.array_join("run", "\n")).alias("hash"))
+def windows(files: DataFrame, size: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, seq, line_no, hash) of each run of `size` normalized lines of a file.
+
+    A file's lines are split, normalized and joined in arrays of its own row; only hashes leave it.
+    The hash is MD5: it names groups only.
+    """
+    split = F.split(F.regexp_replace(text, "\r?\n$", ""), "\r?\n")
+    kept = F.filter(F.transform(split, lambda x, i: F.struct((i + 1).cast("long").alias("line_no"), _plain(x).alias("line"))), lambda x: _counts(x["line"]))
+    rows = files.select(key, kept.alias("kept")).where(F.size("kept") >= size)
+    last = F.size("kept") - size + 1
+    run = lambda i: F.array_join(F.slice(F.col("kept.line"), i, size), "\n")
+    found = F.transform(F.sequence(F.lit(1), last), lambda i: F.struct(i.cast("long").alias("seq"), F.element_at("kept", i)["line_no"].alias("line_no"), F.md5(run(i)).alias("hash")))
+    return rows.select(key, F.inline(found))
 
 
 def duplicate_windows(found: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -31,16 +48,21 @@ def duplicate_windows(found: DataFrame, key: str = "doc_id") -> DataFrame:
     return groups.where("files > 1")
 
 
+def duplicate_places(found: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(hash, first, first_seq, first_line, key, seq, line_no): each window beside the first place of its hash in another file (J19): n places give n - 1 rows and not all pairs."""
+    places = found.groupBy("hash").agg(F.min(F.struct(F.col(key).alias("first"), F.col("seq").alias("first_seq"), F.col("line_no").alias("first_line"))).alias("p"), F.max(key).alias("_last"))
+    places = places.where(F.col("_last") != F.col("p.first")).select("hash", "p.*")
+    return found.join(places, "hash").where(F.col(key) != F.col("first")).select("hash", "first", "first_seq", "first_line", key, "seq", "line_no")
+
+
 def duplicate_blocks(found: DataFrame, size: int, key: str = "doc_id") -> DataFrame:
     """(first, key, first_line, line, length): the longest runs that a file shares with the first file that holds them.
 
     Each window meets only the first place of its hash, so a passage that stands in n files gives n - 1
     blocks and not all pairs; windows on one diagonal join to a block, measured in normalized lines (Q32).
     """
-    places = found.groupBy("hash").agg(F.min(F.struct(F.col(key).alias("first"), F.col("seq").alias("first_seq"), F.col("line_no").alias("first_line"))).alias("p"))
-    met = found.join(places, "hash").where(F.col(key) != F.col("p.first")).select(key, "seq", "line_no", "p.*")
     w = Window.partitionBy("first", key, "diagonal").orderBy("seq")
-    met = met.withColumn("diagonal", F.col("seq") - F.col("first_seq")).withColumn("island", F.col("seq") - F.row_number().over(w))
+    met = duplicate_places(found, key).withColumn("diagonal", F.col("seq") - F.col("first_seq")).withColumn("island", F.col("seq") - F.row_number().over(w))
     runs = met.groupBy("first", key, "diagonal", "island").agg(F.min("first_line").alias("first_line"), F.min("line_no").alias("line"), (F.count("*") + size - 1).alias("length"))
     return runs.select("first", key, "first_line", "line", "length")
 
@@ -88,10 +110,27 @@ def islands(rows: DataFrame, test: Column, least: int, key: str = "doc_id") -> D
     return runs.where(F.col("length") >= least).drop("island")
 
 
-def html_text(html: Column) -> Column:
-    """Text of a page: scripts, styles and tags go, white space collapses."""
-    bare = F.regexp_replace(F.regexp_replace(html, "(?is)<(script|style)[^>]*>.*?</(script|style)>", " "), "<[^>]*>", " ")
-    return F.trim(F.regexp_replace(bare, "[ \t\r\n]+", " "))
+#: Entities that stand for one character.
+ENTITIES = [("&nbsp;", " "), ("&#160;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")]
+HTML_LIMIT = 50_000
+
+
+def _decoded(text: Column) -> Column:
+    for entity, char in ENTITIES:  # the ampersand comes last: what it uncovers is text
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    return text
+
+
+def html_text(html: Column, limit: int | None = HTML_LIMIT) -> Column:
+    """Text of a page (S25, X25): comments, scripts, styles and tags go, entities become characters, white space collapses; at most `limit` code points."""
+    bare = F.regexp_replace(F.regexp_replace(html, "(?s)<!--.*?-->", " "), "(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
+    text = F.trim(F.regexp_replace(_decoded(F.regexp_replace(bare, "<[^>]*>", " ")), "[ \t\r\n]+", " "))
+    return F.substring(text, 1, limit) if limit else text
+
+
+def html_title(html: Column) -> Column:
+    """A page's title, '' without one."""
+    return F.trim(F.regexp_replace(_decoded(F.regexp_extract(html, "(?is)<title[^>]*>(.*?)</title>", 1)), "[ \t\r\n]+", " "))
 
 
 def reusable_markup(pages: DataFrame, least_pages: int = 3, least_uses: int = 3, key: str = "page_id", html: str = "html") -> DataFrame:

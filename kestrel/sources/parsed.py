@@ -83,8 +83,8 @@ def outdated(deps: DataFrame, latest: DataFrame, now: Column, hours: int = 24) -
 
 def unused_requirements(deps: DataFrame, imported: DataFrame, standard: list[str]) -> DataFrame:
     """(missing) top-level modules that are imported and neither required nor of the standard library."""
-    known = deps.select(F.regexp_replace(F.lower("name"), "-", "_").alias("missing"))
-    return imported.select(F.substring_index("module", ".", 1).alias("missing")).distinct().where(~F.col("missing").isin(standard) & (F.col("missing") != "")).join(known, F.lower(F.col("missing")) == known["missing"], "left_anti")
+    known = deps.select(F.regexp_replace(F.lower("name"), "-", "_").alias("known")).distinct()
+    return imported.select(F.substring_index("module", ".", 1).alias("missing")).distinct().where(~F.col("missing").isin(standard) & (F.col("missing") != "")).join(known, F.lower("missing") == F.col("known"), "left_anti")
 
 
 # ---- git
