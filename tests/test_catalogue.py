@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from kestrel.plans import catalogue
+from kestrel.plans import catalogue, derived  # noqa: F401  (derived registers its queries)
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
