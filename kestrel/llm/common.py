@@ -25,10 +25,12 @@ def ready(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset (tests), under a local temporary folder."""
+    """A new folder under spark.checkpoint.dir; where that is unset and all runs on one machine (tests), under a local temporary folder."""
     ready(spark)
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = "file://" + tempfile.mkdtemp(prefix="kestrel-")
         spark.conf.set("spark.checkpoint.dir", base)
     if "://" not in base:
@@ -64,6 +66,18 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def free_name(df: DataFrame, *names: str):
+    """Names for helping columns that df has no column of, in any case: one, or a list where several are asked for."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out if len(out) > 1 else out[0]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

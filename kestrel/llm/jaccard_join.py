@@ -7,20 +7,27 @@ class is a point, its counts of tokens by hash group.  The summed minima of two
 overlap of the sets, those of two rectangles' upper corners bound it for all pairs below: pairs of
 R-tree nodes that can't reach the threshold are passed over.  What survives is verified on the sets.
 
-First rounds link each class to some neighbour with the same MinHash value, which joins copies to
-groups; then all pairs are looked at, but only of classes that are not joined yet.  Groups of
-copies therefore cost their size, not its square.  Sets are of 64-bit hashes.
+All links come from the trees, which are gone down three times.  First they tell which classes have
+any partner that the bounds allow; only their sets are made (those of large buckets count as such).
+Then, in ROUNDS rounds, each of those stands in one of its buckets, with its set, and pairs are
+verified on the spot; pairs that links of the unit join already are passed over, which makes groups
+of copies.  Last come all buckets, but only with classes that are not joined yet.  Groups of copies
+therefore cost their size, not its square.  Sets are of 64-bit hashes; texts are hashed anew where
+sets are needed, since stored sets would take twice the input.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from kestrel.llm.common import WordHashes, discard, mix, partitions, ready, release, shared_dir, shingle_hashes, stash, text_or_empty
+from kestrel.llm.common import discard, free_name, partitions, ready, release, shared_dir, stash, text_or_empty
 from kestrel.llm.graph import components
+from kestrel.llm.words import ragged, shingle_sets, together
 
 #: Production parameters: words to a shingle, and the threshold in hundredths.
 WORDS, HUNDREDTHS = 3, 90
@@ -28,51 +35,55 @@ GROUPS = 64
 #: Tokens that are put last in the order, at most; and how often one occurs in a task to be counted.
 FREQUENT, OFTEN = 1 << 20, 2
 #: Classes to a unit of comparison, and children to an R-tree node.
-UNIT, FANOUT = 1024, 32
-#: First rounds; in each, the earlier neighbours that a class is tried with, and before them those that most have linked to.
-ROUNDS, TRIES, LEADERS, FIRST_UNIT = 3, 8, 4, 4096
+UNIT, FANOUT = 512, 32
+#: First rounds, and classes to a unit there.
+ROUNDS, FIRST_UNIT = 2, 256
 #: Width of the bands of set sizes.
 BAND = 0.05
 
 
-def shingle_set(text: str, hashes: WordHashes, words: int) -> np.ndarray:
-    """Ascending hashes of the distinct shingles; ASCII letters in lower case, words between ASCII white space."""
-    return np.unique(shingle_hashes(hashes.of(text.encode().lower().split()), words))
-
-
 def _least_overlap(a, b, hundredths: int):
     """Smallest overlap with which sets of these sizes link: 100 o >= h (a + b - o)."""
     return -(-(hundredths * (a + b)) // (100 + hundredths))
 
 
-def _prefix_size(n: int, hundredths: int) -> int:
+def _prefix_size(n, hundredths: int):
     return n - -(-hundredths * n // 100) + 1
 
 
-def _prefix(tokens: np.ndarray, frequent: np.ndarray, hundredths: int) -> np.ndarray:
-    size = _prefix_size(len(tokens), hundredths)
+def _known(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     if not len(frequent):
-        return tokens[:size]
+        return np.zeros(len(tokens), bool)
+    return frequent[np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)] == tokens
 
-    def known(some):
-        return frequent[np.minimum(np.searchsorted(frequent, some), len(frequent) - 1)] == some
 
+def _prefixes(tokens: np.ndarray, stops: np.ndarray, frequent: np.ndarray, hundredths: int) -> tuple[np.ndarray, np.ndarray]:
+    """(prefix tokens of each set, bounds between sets), of sets that lie one after another."""
+    n = np.diff(stops)
+    sizes = np.where(n > 0, _prefix_size(n, hundredths), 0)
     # Most often the first few tokens hold enough that are not frequent.
-    near = tokens[: 2 * size + 8]
-    rare = near[~known(near)]
-    if len(rare) < size and len(near) < len(tokens):
-        rest = tokens[len(near) :]
-        rare = np.concatenate([rare, rest[~known(rest)]])
-    if len(rare) < size:
-        rare = np.concatenate([rare, tokens[known(tokens)]])
-    return rare[:size]
+    heads = np.minimum(n, 2 * sizes + 8)
+    at = np.concatenate([[0], np.cumsum(heads)])
+    near = tokens[ragged(stops[:-1], heads)]
+    rare = ~_known(near, frequent)
+    sofar = np.concatenate([[0], np.cumsum(rare)])
+    enough = sofar[at[1:]] - sofar[at[:-1]] >= sizes
+    nth = sofar[:-1] - np.repeat(sofar[at[:-1]], heads)
+    out_stops = np.concatenate([[0], np.cumsum(sizes)])
+    out = np.empty(int(out_stops[-1]), np.uint64)
+    out[np.repeat(enough, sizes)] = near[rare & (nth < np.repeat(sizes, heads)) & np.repeat(enough, heads)]
+    for i in np.flatnonzero(~enough).tolist():
+        own = tokens[stops[i] : stops[i + 1]]
+        known = _known(own, frequent)
+        out[out_stops[i] : out_stops[i + 1]] = np.concatenate([own[~known], own[known]])[: sizes[i]]
+    return out, out_stops
 
 
 def _frequent_tokens(docs: DataFrame, words: int, hundredths: int, folder: str) -> np.ndarray:
     """The commonest of the tokens that come first by hash, FREQUENT at most.  Any choice gives the same links; a good one gives small buckets."""
 
     def count(batches):
-        hashes, held, n = WordHashes(), [], 0
+        held, n = [], 0
 
         def often():
             tokens, times = np.unique(np.concatenate(held), return_counts=True)
@@ -80,10 +91,11 @@ def _frequent_tokens(docs: DataFrame, words: int, hundredths: int, folder: str)
             return pa.RecordBatch.from_arrays([pa.array(tokens[keep].view(np.int64)), pa.array(times[keep].astype(np.int64))], ["token", "times"])
 
         for batch in batches:
-            for text in batch.column(0):
-                s = shingle_set(text.as_py(), hashes, words)
+            for _, texts in together(batch.column(0)):
+                tokens, stops = shingle_sets(texts, words)
+                sizes = np.diff(stops)
                 # Twice the prefix: what moves up when frequent tokens go last is counted too.
-                held.append(s[: 2 * _prefix_size(len(s), hundredths)])
+                held.append(tokens[ragged(stops[:-1], np.minimum(sizes, 2 * _prefix_size(sizes, hundredths)))])
                 n += len(held[-1])
                 if n >= 1 << 22:
                     yield often()
@@ -101,6 +113,7 @@ def _frequent_tokens(docs: DataFrame, words: int, hundredths: int, folder: str)
             break
         least = r["step"]
     top = found.where(F.floor(F.log2("times") * 8) >= least).select("token").toArrow()["token"].to_numpy()
+    discard(folder, "frequent")
     return np.sort(top.astype(np.int64).view(np.uint64))
 
 
@@ -122,60 +135,70 @@ class Tree:
                 break
 
     def pairs(self, other: Tree, hundredths: int):
-        """Pairs (own row, other's row) whose bounds allow a link; both trees are gone down together."""
+        """Pairs (own row, other's row) whose bounds allow a link; both trees are gone down together.  Of a tree with itself each pair comes once."""
         height = max(len(self.levels), len(other.levels)) - 1
+        once = other is self
+
+        def below(tree, k, level):
+            return range(k * FANOUT, min((k + 1) * FANOUT, len(tree.levels[level - 1][1]))) if level < len(tree.levels) else (k,)
+
         todo = [(0, 0)]
         for level in range(height, -1, -1):
             a_corner, a_least, a_largest = self.levels[min(level, len(self.levels) - 1)]
             b_corner, b_least, b_largest = other.levels[min(level, len(other.levels) - 1)]
-            below = []
+            near = []
             for i, j in todo:
-                near = (a_largest[i] * 100 >= hundredths * b_least[j]) & (b_largest[j] * 100 >= hundredths * a_least[i])
-                if near and np.minimum(a_corner[i], b_corner[j]).sum() >= _least_overlap(a_least[i], b_least[j], hundredths):
-                    below.append((i, j))
-            if level == 0:
-                todo = below
-                break
-            span = lambda tree, k: range(k * FANOUT, min((k + 1) * FANOUT, len(tree.levels[level - 1][1]))) if level <= len(tree.levels) - 1 else (k,)  # noqa: E731, B023
-            todo = [(x, y) for i, j in below for x in span(self, i) for y in span(other, j)]
+                sizes = (a_largest[i] * 100 >= hundredths * b_least[j]) & (b_largest[j] * 100 >= hundredths * a_least[i])
+                if sizes and np.minimum(a_corner[i], b_corner[j]).sum() >= _least_overlap(a_least[i], b_least[j], hundredths):
+                    near.append((i, j))
+            todo = near if level == 0 else [(x, y) for i, j in near for x in below(self, i, level) for y in below(other, j, level) if not once or x <= y]
         for i, j in todo:
             a, b = slice(i * FANOUT, (i + 1) * FANOUT), slice(j * FANOUT, (j + 1) * FANOUT)
-            bound = np.minimum(self.counts[a][:, None], other.counts[b][None]).sum(axis=2)
-            x, y = np.nonzero(bound >= _least_overlap(self.sizes[a][:, None], other.sizes[b][None], hundredths))
+            x, y = _allowed(self.sizes[a], self.counts[a], other.sizes[b], other.counts[b], hundredths)
+            if once and i == j:
+                x, y = x[x < y], y[x < y]
             yield self.order[x + i * FANOUT], other.order[y + j * FANOUT]
 
 
-def _sets(docs: DataFrame, words: int, hundredths: int, frequent) -> DataFrame:
-    """(doc_id, row_key, n_shingles, class, counts, tokens, firsts) per document; class and what follows are null for empty sets.
+def _allowed(a_sizes, a_counts, b_sizes, b_counts, hundredths: int):
+    """Pairs of two leaves' points whose summed minima allow a link."""
+    bound = np.minimum(a_counts[:, None], b_counts[None]).sum(axis=2)
+    return np.nonzero(bound >= _least_overlap(a_sizes[:, None], b_sizes[None], hundredths))
 
-    tokens: the prefix; firsts: a MinHash value for each first round.
-    """
+
+def _sets(docs: DataFrame, words: int, hundredths: int, frequent) -> DataFrame:
+    """(doc_id, row_key, n_shingles, class, counts, tokens) per document; class and what follows are null for empty sets.  tokens: the prefix."""
 
     def run(batches):
-        hashes, often = WordHashes(), frequent.value
+        often = frequent.value
         for batch in batches:
-            ns, classes, counts, tokens, firsts = [], [], [], [], []
-            for text in batch.column(2):
-                s = shingle_set(text.as_py(), hashes, words)
-                ns.append(len(s))
-                if len(s):
-                    classes.append(int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64))))
-                    counts.append(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype("<u4" if len(s) >= 1 << 16 else "<u2").tobytes())
-                    tokens.append(_prefix(s, often, hundredths).view(np.int64))
-                    firsts.append(np.array([mix(s + np.uint64(r)).min() for r in range(ROUNDS)], np.uint64).view(np.int64))
-                else:
-                    classes.append(None)
-                    counts.append(None)
-                    tokens.append(None)
-                    firsts.append(None)
-            arrays = [batch.column(0), batch.column(1), pa.array(ns, pa.int64()), pa.array(classes, pa.int64()), pa.array(counts, pa.binary()), pa.array(tokens, pa.list_(pa.int64())), pa.array(firsts, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "row_key", "n_shingles", "class", "counts", "tokens", "firsts"])
-
-    return docs.mapInArrow(run, "doc_id long, row_key long, n_shingles long, class long, counts binary, tokens array<long>, firsts array<long>")
+            for first, texts in together(batch.column(2)):
+                tokens, stops = shingle_sets(texts, words)
+                n = np.diff(stops)
+                prefix, prefix_stops = _prefixes(tokens, stops, often, hundredths)
+                classes = [xxhash.xxh3_64_intdigest(tokens[a:b]) if b > a else 0 for a, b in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True)]
+                counts = _counts_of(tokens, stops)
+                packed = [c.astype("<u4" if k >= 1 << 16 else "<u2").tobytes() for c, k in zip(counts, n.tolist(), strict=True)]
+                none = n == 0
+                arrays = [batch.column(0).slice(first, len(n)), batch.column(1).slice(first, len(n)), pa.array(n, pa.int64())]
+                arrays += [pa.array(np.array(classes, np.uint64).view(np.int64), mask=none), pa.array(packed, pa.binary(), mask=none), pa.ListArray.from_arrays(pa.array(prefix_stops, pa.int32()), pa.array(prefix.view(np.int64)), mask=pa.array(none))]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "row_key", "n_shingles", "class", "counts", "tokens"])
+
+    return docs.mapInArrow(run, "doc_id long, row_key long, n_shingles long, class long, counts binary, tokens array<long>")
+
+
+def _counts_of(tokens: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Points: each set's counts of tokens by hash group."""
+    n = len(stops) - 1
+    owner = np.repeat(np.arange(n), np.diff(stops))
+    return np.bincount(owner * GROUPS + (tokens >> np.uint64(58)).astype(np.int64), minlength=n * GROUPS).reshape(n, GROUPS)
 
 
 def _counts(packed: list[bytes]) -> np.ndarray:
-    return np.stack([np.frombuffer(x, "<u4" if len(x) == 4 * GROUPS else "<u2").astype(np.int64) for x in packed])
+    narrow, wide = 2 * GROUPS, 4 * GROUPS
+    if all(len(x) == narrow for x in packed):
+        return np.frombuffer(b"".join(packed), "<u2").reshape(-1, GROUPS).astype(np.int32)
+    return np.stack([np.frombuffer(x, "<u4" if len(x) == wide else "<u2").astype(np.int64) for x in packed])
 
 
 def _overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -185,35 +208,42 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _first_round(members: DataFrame, hundredths: int) -> DataFrame:
-    """Verified links of classes with the same token: each to one of the earlier classes that most have linked to, else of those just before it in order of size.
+    """Verified links of classes in one unit, enough of them to join all that link there: the pairs of the unit's tree, without those that earlier links join.
 
-    A link that is missed here is found later.
+    Links of classes in different units are found later.
     """
 
+    def links(classes, sets):
+        stops = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+        tree = Tree(np.diff(stops), _counts_of(np.concatenate(sets), stops))
+        group, found = np.arange(len(sets)), []
+        for x, y in tree.pairs(tree, hundredths):
+            for i, k in zip(x.tolist(), y.tolist(), strict=True):
+                if group[i] != group[k] and _overlap(sets[i], sets[k]) >= _least_overlap(len(sets[i]), len(sets[k]), hundredths):
+                    found.append((classes[i], classes[k]))
+                    group[group == group[k]] = group[i]
+        return found
+
     def run(batches):
-        token, before, leaders = None, [], []
+        now, classes, sets = None, [], []
+
+        def done():
+            out = links(classes, sets) if len(sets) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+
         for batch in batches:
-            a, b = [], []
-            for now, cls, packed in zip(*(batch.column(i) for i in (0, 2, 3)), strict=True):
-                now, cls, s = now.as_py(), cls.as_py(), np.frombuffer(packed.as_py(), np.uint64)
-                if now != token:
-                    token, before, leaders = now, [], []
-                one = [0, cls, s]  # links to it, class, set
-                for other in [*leaders, *(x for x in reversed(before) if not x[0])]:
-                    if _overlap(s, other[2]) >= _least_overlap(len(s), len(other[2]), hundredths):
-                        a.append(cls)
-                        b.append(other[1])
-                        other[0] += 1
-                        if other[0] == 1:
-                            leaders.append(other)
-                        leaders = sorted(leaders, key=lambda x: -x[0])[:LEADERS]
-                        break
-                before = [*before[1 - TRIES :], one]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            for token, cls, packed in zip(*(batch.column(i) for i in range(3)), strict=True):
+                token = token.as_py()
+                if token != now:
+                    yield done()
+                    now, classes, sets = token, [], []
+                classes.append(cls.as_py())
+                sets.append(np.frombuffer(packed.as_py(), np.uint64))
+        yield done()
 
     n = partitions(members.sparkSession)
-    dealt = members.repartition(n, "token").sortWithinPartitions("token", "n_shingles", "class")
-    return dealt.select("token", "n_shingles", "class", "tokens").mapInArrow(run, "a long, b long")
+    dealt = members.repartition(n, "token").sortWithinPartitions("token", "class")
+    return dealt.select("token", "class", "tokens").mapInArrow(run, "a long, b long")
 
 
 def _band() -> Column:
@@ -250,7 +280,7 @@ def _units(rows: DataFrame, hundredths: int, folder: str) -> DataFrame:
     """
     sized = rows.groupBy("token").agg(F.count("*").alias("rows"))
     large = stash(sized.where(F.col("rows") > UNIT).select("token"), folder, "large")
-    small = rows.join(large, "token", "left_anti").select("*", F.lit("").alias("unit"), F.lit(0).alias("side"))
+    small = rows.join(large, "token", "left_anti").select("*", F.lit(0).cast("long").alias("unit"), F.lit(0).alias("side"))
     in_large = rows.join(large, "token", "left_semi").withColumn("band", _band())
     parts = stash(in_large.groupBy("token", "band").agg(F.ceil(F.count("*") / UNIT).cast("int").alias("parts")), folder, "bands")
     tiled = in_large.join(parts, ["token", "band"]).withColumn("part", F.pmod(F.xxhash64("class"), "parts"))
@@ -259,80 +289,97 @@ def _units(rows: DataFrame, hundredths: int, folder: str) -> DataFrame:
     met = met.withColumn("other_part", F.explode(F.sequence(F.lit(0), F.col("other_parts") - 1)))
     own = F.struct("band", F.col("part").cast("long").alias("part"))
     other = F.struct(F.col("other_band").alias("band"), F.col("other_part").cast("long").alias("part"))
-    name = lambda x, y: F.concat_ws(":", x["band"].cast("string"), x["part"].cast("string"), y["band"].cast("string"), y["part"].cast("string"))
-    met = met.withColumn("unit", F.when((own < other) | (own == other), name(own, other)).otherwise(name(other, own)))
+    met = met.withColumn("unit", F.xxhash64(F.least(own, other), F.greatest(own, other)))
     met = met.withColumn("side", F.when(own == other, 0).when(own < other, 1).otherwise(2))
     return small.unionByName(met.select(*small.columns))
 
 
-def _candidates(units: DataFrame, hundredths: int) -> DataFrame:
-    """Pairs of classes of different groups that the bounds allow, each in the bucket of the first token they share only.
+def _candidates(units: DataFrame, hundredths: int, ends: bool = False) -> DataFrame:
+    """Pairs of classes of different groups that the bounds allow, each in the bucket of the first token they share only; or just the classes that are in such pairs (a = b).
 
-    Side 0 is compared with itself, side 1 with side 2.
+    before: the tokens of a class's open buckets that are less than this one, null if only classes are asked for.
+    Side 0 is compared with itself, side 1 with side 2.  A unit of up to FANOUT classes is a tree
+    with one leaf; many of those are compared at once.
     """
 
-    def few(token, rows):
-        """A small unit of side 0 without a tree: the same tests pair by pair."""
-        _, classes, groups, sizes, counts, opens = rows
-        found = []
-        for i in range(len(classes)):
-            for k in range(i):
-                small, large = sorted((sizes[i], sizes[k]))
-                if groups[i] == groups[k] or small * 100 < hundredths * large:
-                    continue
-                if int(np.minimum(*_counts([counts[i], counts[k]])).sum()) < _least_overlap(small, large, hundredths):
-                    continue
-                if {t for t in opens[i].as_py() if t < token}.isdisjoint(opens[k].as_py()):
-                    found.append(sorted((classes[i], classes[k])))
-        return np.array(found, np.int64).T if found else None
-
-    def unit(token, rows):
-        if len(rows[0]) <= 6 and not any(rows[0]):
-            return few(token, rows)
-        sides, classes, groups, sizes = (np.array(x, np.int64) for x in (rows[0], rows[1], rows[2], rows[3]))
-        counts = _counts(rows[4])
-        a, b = np.flatnonzero(sides < 2), np.flatnonzero(sides != 1)
-        if not len(a) or not len(b):
-            return None
-        left = Tree(sizes[a], counts[a])
-        right = left if sides[0] == 0 else Tree(sizes[b], counts[b])
-        found, before = [], {}
-
-        def earlier(k):
-            if k not in before:
-                before[k] = {t for t in rows[5][k].as_py() if t < token}
-            return before[k]
+    def few(rows, starts, size):
+        """Pairs of rows in one-leaf trees of one size, each from a row of starts."""
+        i, k = np.triu_indices(size, 1)
+        for first in range(0, len(starts), 1 + (1 << 17) // len(i)):
+            at = starts[first : first + 1 + (1 << 17) // len(i), None]
+            x, y = (at + i).ravel(), (at + k).ravel()
+            n, m = rows["sizes"][x], rows["sizes"][y]
+            keep = (rows["groups"][x] != rows["groups"][y]) & (np.minimum(n, m) * 100 >= hundredths * np.maximum(n, m))
+            x, y = x[keep], y[keep]
+            keep = np.minimum(rows["counts"][x], rows["counts"][y]).sum(axis=1) >= _least_overlap(rows["sizes"][x], rows["sizes"][y], hundredths)
+            yield x[keep], y[keep]
 
+    def many(rows, first, stop):
+        sides = rows["sides"][first:stop]
+        a, b = first + np.flatnonzero(sides < 2), first + np.flatnonzero(sides != 1)
+        if not len(a) or not len(b):
+            return
+        left = Tree(rows["sizes"][a], rows["counts"][a])
+        right = left if sides[0] == 0 else Tree(rows["sizes"][b], rows["counts"][b])
         for x, y in left.pairs(right, hundredths):
             x, y = a[x], b[y]
-            keep = groups[x] != groups[y]
-            if sides[0] == 0:
-                keep &= classes[x] < classes[y]
-            x, y = x[keep], y[keep]
-            keep = np.array([earlier(i).isdisjoint(earlier(k)) for i, k in zip(x.tolist(), y.tolist(), strict=True)], bool)
-            found.append(np.stack([np.minimum(classes[x[keep]], classes[y[keep]]), np.maximum(classes[x[keep]], classes[y[keep]])]))
-        return np.concatenate(found, axis=1) if found else None
+            keep = rows["groups"][x] != rows["groups"][y]
+            yield x[keep], y[keep]
+
+    def pairs(rows, cuts):
+        """Pairs of rows of one unit; units lie between cuts."""
+        sizes = np.diff(cuts)
+        small = (sizes <= FANOUT) & (rows["sides"][cuts[:-1]] == 0)
+        for size in np.unique(sizes[small & (sizes > 1)]).tolist():
+            yield from few(rows, cuts[:-1][small & (sizes == size)], size)
+        for first, stop in zip(cuts[:-1][~small].tolist(), cuts[1:][~small].tolist(), strict=True):
+            yield from many(rows, first, stop)
+
+    def found(table, cuts):
+        columns = {x: table.column(x).to_numpy() for x in ("class", "group", "n_shingles", "side")}
+        rows = {"sizes": columns["n_shingles"], "groups": columns["group"], "sides": columns["side"], "counts": _counts(table.column("counts").to_pylist())}
+        out = [np.zeros((2, 0), np.int64)]
+        before = table.column("before").combine_chunks()
+        values, stops = before.flatten().to_numpy(), np.concatenate([[0], np.cumsum(before.value_lengths().fill_null(0).to_numpy())])
+        earlier = lru_cache(maxsize=None)(lambda i: set(values[stops[i] : stops[i + 1]].tolist()))
+        for x, y in pairs(rows, cuts):
+            if not ends:
+                keep = np.array([earlier(i).isdisjoint(earlier(k)) for i, k in zip(x.tolist(), y.tolist(), strict=True)], bool)
+                x, y = x[keep], y[keep]
+            a, b = columns["class"][x], columns["class"][y]
+            out.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+        out = np.concatenate(out, axis=1)
+        out = np.stack([np.unique(out)] * 2) if ends else out
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["a", "b"])
 
     def run(batches):
-        name, rows = None, [[], [], [], [], [], []]
+        held = None
         for batch in batches:
-            out = []
-            columns = [batch.column(i).to_pylist() for i in range(7)]
-            for token, key, *row in zip(*columns, batch.column(7), strict=True):
-                if (token, key) != name:
-                    if len(rows[0]) > 1 and (found := unit(name[0], rows)) is not None:
-                        out.append(found)
-                    name, rows = (token, key), [[], [], [], [], [], []]
-                for x, y in zip(rows, row, strict=True):
-                    x.append(y)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(out, axis=1)], ["a", "b"])
-        if len(rows[0]) > 1 and (found := unit(name[0], rows)) is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["a", "b"])
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            held = pa.concat_tables([held, table]) if held is not None else table
+            # The last unit may go on in the next batch.
+            token, unit = held.column("token").to_numpy(), held.column("unit").to_numpy()
+            cuts = np.flatnonzero((token[1:] != token[:-1]) | (unit[1:] != unit[:-1])) + 1
+            if len(cuts):
+                cuts = np.concatenate([[0], cuts])
+                yield found(held.slice(0, cuts[-1]), cuts)
+                held = held.slice(cuts[-1])
+        if held is not None:
+            yield found(held, np.array([0, held.num_rows]))
 
     n = partitions(units.sparkSession)
     dealt = units.repartition(n, "token", "unit").sortWithinPartitions("token", "unit")
-    return dealt.select("token", "unit", "side", "class", "group", "n_shingles", "counts", "open").mapInArrow(run, "a long, b long")
+    return dealt.select("token", "unit", "side", "class", "group", "n_shingles", "counts", "before").mapInArrow(run, "a long, b long")
+
+
+def _hopeful(rows: DataFrame, hundredths: int, folder: str) -> DataFrame:
+    """(class) of rows (token, class, n_shingles, counts) that have a partner in one of their buckets, as far as the bounds tell; all of buckets of more than UNIT classes."""
+    large = stash(rows.groupBy("token").agg(F.count("*").alias("rows")).where(F.col("rows") > UNIT).select("token"), folder, "large-buckets")
+    small = rows.join(large, "token", "left_anti").select("*", F.lit(0).cast("long").alias("unit"), F.lit(0).alias("side"), F.col("class").alias("group"), F.lit(None).cast("array<long>").alias("before"))
+    found = _candidates(small, hundredths, ends=True).select(F.col("a").alias("class"))
+    return found.unionByName(rows.join(large, "token", "left_semi").select("class")).distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, hundredths: int) -> DataFrame:
@@ -377,41 +424,53 @@ def grouped(docs: DataFrame, words: int = WORDS, hundredths: int = HUNDREDTHS, i
     of_docs = stash(full.select("doc_id", "row_key", "n_shingles", "class"), folder, "documents")
     some = of_docs.where("class is not null")
     classes = stash(
-        full.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least_id"), F.min("row_key").alias("row_key"), F.first("n_shingles").alias("n_shingles"), F.first("counts").alias("counts"), F.first("tokens").alias("tokens"), F.first("firsts").alias("firsts")),
+        full.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least_id"), F.min("row_key").alias("row_key"), F.first("n_shingles").alias("n_shingles"), F.first("counts").alias("counts"), F.first("tokens").alias("tokens")),
         folder, "classes",
     )
     discard(folder, "features")
     release(spark)
-    buckets = stash(_near(classes.select("class", "n_shingles", F.explode("tokens").alias("token")), hundredths, folder, "buckets").select("class", "token"), folder, "buckets")
+    shared = stash(_near(classes.select("class", "n_shingles", F.explode("tokens").alias("token")), hundredths, folder, "buckets").select("class", "token"), folder, "shared")
+    classes = stash(classes.drop("tokens"), folder, "points")
+    for name in ("classes", "near-buckets"):
+        discard(folder, name)
+    release(spark)
+    hopeful = stash(_hopeful(shared.join(classes.select("class", "n_shingles", "counts"), "class"), hundredths, folder), folder, "hopeful")
+    release(spark)
+    buckets = stash(shared.join(hopeful, "class", "left_semi"), folder, "buckets")
+    discard(folder, "shared")
     release(spark)
 
-    # The sets of the classes that may link, from one document each; a first round's token is null where no other class shares it.
-    firsts = classes.select("class", "n_shingles", F.posexplode("firsts").alias("round", "token"))
-    firsts = firsts.select("class", "n_shingles", "round", F.xxhash64("round", "token").alias("token"))
-    firsts = stash(_near(firsts, hundredths, folder, "firsts"), folder, "firsts")
-    # A token that many share is cut into parts, in each round in another way, so that groups of any size grow together.
-    sized = firsts.groupBy("token").agg(F.ceil(F.count("*") / FIRST_UNIT).cast("int").alias("parts")).where("parts > 1")
-    part = F.pmod(F.xxhash64("class", "round"), "parts")
-    firsts = firsts.join(stash(sized, folder, "large-firsts"), "token", "left").withColumn("token", F.when(F.col("parts") > 1, F.xxhash64("token", part)).otherwise(F.col("token")))
-    firsts = firsts.groupBy("class").agg(*(F.max(F.when(F.col("round") == r, F.col("token"))).alias(f"token_{r}") for r in range(ROUNDS)))
-    wanted = buckets.select("class").distinct().join(classes.select("class", "row_key"), "class").join(firsts, "class", "left")
-    wanted = stash(wanted, folder, "wanted")
+    # The sets of the classes that may link, from one document each, and the bucket of each first round: that of the least hash, which copies share.
     tokens = [f"token_{r}" for r in range(ROUNDS)]
+    firsts = buckets.groupBy("class").agg(*(F.min_by("token", F.xxhash64("token", F.lit(r))).alias(t) for r, t in enumerate(tokens)))
+    firsts = stash(firsts, folder, "firsts")
+    alone = None
+    for t in tokens:
+        met = firsts.groupBy(F.col(t).alias("token")).agg(F.count("*").alias("n"), F.min("class").alias("class")).where("n = 1").select("class", F.lit(t).alias("round"))
+        alone = met if alone is None else alone.unionByName(met)
+    alone = alone.groupBy("class").agg(*(F.max(F.col("round") == t).alias(f"alone_{t}") for t in tokens))
+    firsts = firsts.join(alone, "class", "left").select("class", *(F.when(~F.coalesce(f"alone_{t}", F.lit(False)), F.col(t)).alias(t) for t in tokens))
+    wanted = stash(firsts.join(classes.select("class", "row_key"), "class"), folder, "wanted")
 
     def sets_of(batches):
-        hashes = WordHashes()
         for batch in batches:
-            sets = [shingle_set(t.as_py(), hashes, words) for t in batch.column(ROUNDS + 1)]
-            arrays = [*batch.columns[: ROUNDS + 1], pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["class", *tokens, "n_shingles", "tokens"])
+            for first, texts in together(batch.column(ROUNDS + 1)):
+                values, stops = shingle_sets(texts, words)
+                packed = [values[a:b].tobytes() for a, b in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(first, len(packed)) for i in range(ROUNDS + 1)), pa.array(packed, pa.binary())], ["class", *tokens, "tokens"])
 
     texts = source.select("row_key", "text").join(wanted.hint("merge"), "row_key").groupBy("row_key").agg(*(F.first(c).alias(c) for c in ("class", *tokens, "text")))
-    sets = texts.select("class", *tokens, "text").mapInArrow(sets_of, "class long, " + "".join(f"{t} long, " for t in tokens) + "n_shingles long, tokens binary")
+    sets = texts.select("class", *tokens, "text").mapInArrow(sets_of, "class long, " + "".join(f"{t} long, " for t in tokens) + "tokens binary")
     sets = stash(sets, folder, "sets", "none")
     release(spark)
     links = None
     for r, t in enumerate(tokens):
-        members = sets.where(F.col(t).isNotNull()).select(F.col(t).alias("token"), "n_shingles", "class", "tokens")
+        # A bucket that many share is cut into parts, in each round in another way, so that groups of any size grow together.
+        sized = wanted.where(F.col(t).isNotNull()).groupBy(F.col(t).alias("token")).agg(F.ceil(F.count("*") / FIRST_UNIT).cast("int").alias("parts")).where("parts > 1")
+        sized = stash(sized, folder, f"large-firsts-{r}")
+        part = F.pmod(F.xxhash64("class", F.lit(r)), "parts")
+        members = sets.where(F.col(t).isNotNull()).select(F.col(t).alias("token"), "class", "tokens").join(sized, "token", "left")
+        members = members.withColumn("token", F.when(F.col("parts") > 1, F.xxhash64("token", part)).otherwise(F.col("token")))
         found = stash(_first_round(members, hundredths), folder, f"links-{r}")
         links = found if links is None else links.unionByName(found)
         release(spark)
@@ -420,9 +479,11 @@ def grouped(docs: DataFrame, words: int = WORDS, hundredths: int = HUNDREDTHS, i
     by_group = buckets.join(groups.withColumnRenamed("node", "class"), "class", "left").withColumn("group", F.coalesce("component", "class")).drop("component")
     by_group = stash(by_group, folder, "grouped")
     open_tokens = stash(by_group.groupBy("token").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y").select("token"), folder, "open")
-    still = by_group.join(open_tokens, "token").groupBy("class").agg(F.first("group").alias("group"), F.sort_array(F.collect_list("token")).alias("open"))
-    points = stash(still.join(classes.select("class", "n_shingles", "counts"), "class"), folder, "points")
-    rows = points.withColumn("token", F.explode("open"))
+    still = stash(by_group.join(open_tokens, "token"), folder, "still")
+    discard(folder, "grouped")
+    points = still.groupBy("class").agg(F.first("group").alias("group"), F.sort_array(F.collect_list("token")).alias("open"))
+    points = stash(points.join(classes.select("class", "n_shingles", "counts"), "class"), folder, "points-open")
+    rows = points.select("class", "group", "n_shingles", "counts", "open", F.posexplode("open").alias("at", "token")).withColumn("before", F.slice("open", F.lit(1), F.col("at"))).drop("open", "at")
     pairs = stash(_candidates(_units(rows, hundredths, folder), hundredths), folder, "pairs")
     release(spark)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
@@ -449,8 +510,9 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     groups = grouped(docs, id_col=id_col, text_col=text_col, **parameters)
-    named = groups.where("doc_id = component_id").groupBy("component_id", "group").agg(F.min("row_key").alias("_row_key")).select("_row_key")
-    unnamed = groups.where("component_id is null").select(F.col("row_key").alias("_row_key")).distinct()
+    key = free_name(docs, "row_key")
+    named = groups.where("doc_id = component_id").groupBy("component_id", "group").agg(F.min("row_key").alias(key)).select(key)
+    unnamed = groups.where("component_id is null").select(F.col("row_key").alias(key)).distinct()
     kept = stash(named.unionByName(unnamed), shared_dir(spark, "kept"), "kept")
-    keyed = docs.withColumn("_row_key", F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)))
-    return keyed.join(kept.hint("merge"), "_row_key").dropDuplicates(["_row_key"]).drop("_row_key")
+    keyed = docs.withColumn(key, F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")))
+    return keyed.join(kept.hint("merge"), key).dropDuplicates([key]).drop(key)
