@@ -3,20 +3,18 @@
 Two kinds of paragraphs are looked at.  Lines of LINE_WORDS words or more get MinHash bands; lines
 that collide in a band are joined to a leader of the bucket, verified by the exact Jaccard
 similarity of their word shingles, and clustered by components.  Then all lines of a bucket that are
-not in one component yet are compared with each other, in tiles of bounded size.  Windows are cut inside the text
-where a hash of two neighbouring words is the least among CUT positions in a row, which depends on
-nothing outside the passage: a passage that was put into the middle of a line has the same windows
-wherever it stands, so equal windows are equal passages (similarity 1).
+not in one component yet are compared with each other, in tiles of bounded size.
 
-Cut points closer than WINDOW_WORDS are joined over: from each cut a window goes to the next one that
-far away, and to each cut a window comes from the last one that far before it.  So windows leave no
-gap between the first and the last cut of a passage, which are at most CUT - 1 and CUT + 1 words from its
-ends: a passage of RUN_WORDS + 2 CUT = 50 words or more always has a run of RUN_WORDS.
+A passage that was put into the middle of a line is no paragraph of its own.  For those a window of
+WINDOW words starts wherever a hash of two neighbouring words is the least of CUT in a row, which
+depends on nothing outside the passage, so that equal passages have equal windows (similarity 1).
+The first such place of a passage is among its first CUT words: one of WINDOW + CUT = 50 words or
+more always has a window.
 
 Of each cluster that lies in two documents or more the first occurrence (smallest doc_id) stays and
-the others are removed, where they join to a run of RUN_WORDS words or more.  Such a run is then
-extended word by word, as far as the words beside its outermost windows stand beside an equal window
-of an earlier occurrence too.
+the others are removed.  Those of a document that overlap or adjoin make a run, which is extended
+word by word as far as the words beside its outermost windows equal those beside their first
+occurrence.
 """
 
 from __future__ import annotations
@@ -27,105 +25,98 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from kestrel.llm.common import WordHashes, discard, mix, partitions, ready, release, shared_dir, shingle_hashes, stash, text_or_empty
+from kestrel.llm.common import discard, free_name, mix, partitions, ready, release, shared_dir, stash, text_or_empty
 from kestrel.llm.graph import components
+from kestrel.llm.words import BASE, Words, ragged, runs_of, together
 
 #: Words to a shingle, and the similarity in hundredths.
 WORDS, HUNDREDTHS = 5, 80
 #: Bands and rows: lines at the threshold collide with probability 1 - (1 - 0.8^3)^8 = 0.997.
 BANDS, ROWS = 8, 3
-LINE_WORDS, CUT, WINDOW_WORDS, RUN_WORDS = 20, 15, 4, 20
+LINE_WORDS, CUT, WINDOW = 20, 30, 20
 #: Lines to a tile of a bucket.
 TILE = 512
-#: A passage goes on beyond its last cut by so many words at most.
-BESIDE = CUT + 1
+#: A passage goes on beyond its outermost window by fewer words, or another window would be there.
+BESIDE = CUT + WINDOW
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-UNIT = "row_key long, doc_id long, start int, n_words int, class long, bands array<long>, before short, after short"
-
-
-class Units:
-    """Cuts a text into its lines (start, n_words, class, band keys) and windows (start, n_words, class, 16 bits of the word before and of the one after), in words."""
-
-    def __init__(self):
-        self.hashes = WordHashes()
-        self.odd = (mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)).reshape(BANDS, ROWS)
-        self._grow(1 << 14)
-
-    def _grow(self, n: int) -> None:
-        base = 0x9E3779B97F4A7C15
-        self.power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, base, np.uint64)]), dtype=np.uint64)
-        self.inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, pow(base, -1, 1 << 64), np.uint64)]), dtype=np.uint64)
-
-    def words(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Word hashes (ASCII letters in lower case), and the number of words up to the end of each line."""
-        words, ends = [], []
-        for line in text.encode().lower().split(b"\n"):
-            words += line.split()
-            ends.append(len(words))
-        return self.hashes.of(words), np.array(ends)
-
-    def of(self, text: str):
-        h, ends = self.words(text)
-        n = len(h)
-        while n >= len(self.power):
-            self._grow(2 * len(self.power))
-        sofar = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h) * self.power[:n], dtype=np.uint64)])
-        name = lambda s, e, salt: mix((sofar[e] - sofar[s]) * self.inverse[s] + (e - s).astype(np.uint64) * np.uint64(2) + np.uint64(salt))
-        starts = np.concatenate([[0], ends[:-1]])
-        long = ends - starts >= LINE_WORDS
-        s, e = starts[long], ends[long]
-        keys = np.zeros((len(s), BANDS), np.uint64)
-        if len(s):
-            shingles = shingle_hashes(h, WORDS)
-            # Least values over each line's shingles: from its start to WORDS - 1 before its end.
-            cuts = np.stack([s, e - WORDS + 1], axis=1).ravel()
-            for b in range(BANDS):
-                for r in range(ROWS):
-                    least = np.minimum.reduceat(np.append(shingles * self.odd[b, r], np.uint64((1 << 64) - 1)), cuts)[::2]
-                    keys[:, b] = mix(keys[:, b] + least + np.uint64(b + 1))
-        lines = (s, e - s, name(s, e, 1), keys)
-        if n <= CUT:
-            return lines, (s[:0], s[:0], keys[:0, 0], np.zeros(0, np.int16), np.zeros(0, np.int16))
-        two = mix(h[:-1] * np.uint64(3) + h[1:])
-        view = np.lib.stride_tricks.sliding_window_view(two, CUT)
-        at = np.unique(view.argmin(axis=1) + np.arange(len(view)))
-        onward, back = np.searchsorted(at, at + WINDOW_WORDS), np.searchsorted(at, at - WINDOW_WORDS, "right") - 1
-        some, others = np.flatnonzero(onward < len(at)), np.flatnonzero(back >= 0)
-        found = np.unique(np.concatenate([some * len(at) + onward[some], back[others] * len(at) + others]))
-        s, e = at[found // len(at)], at[found % len(at)]
-        near = (np.concatenate([h, np.zeros(1, np.uint64)]) >> np.uint64(48)).astype(np.uint16).view(np.int16)
-        return lines, (s, e - s, name(s, e, 0), near[s - 1], near[e])
-
-
-def beside(h: np.ndarray, at: np.ndarray, step: int, room: np.ndarray) -> np.ndarray:
-    """For each position the hashes of the next 1 to BESIDE words (step 1) or of those before it (step -1); what lies beyond its room counts for nothing."""
-    out, sofar = np.zeros((len(at), BESIDE), np.uint64), np.zeros(len(at), np.uint64)
-    for k in range(BESIDE):
-        place = at + k if step > 0 else at - 1 - k
-        sofar = mix(sofar * np.uint64(3) + h[np.where(k < room, place, 0)] + np.uint64(1))
-        out[:, k] = sofar
-    return out
+UNIT = "row_key long, doc_id long, start int, n_words int, class long, bands array<long>"
+ODD = (mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)).reshape(BANDS, ROWS)
+FACTORS = mix(np.arange(1, WINDOW + 1, dtype=np.uint64)) | np.uint64(1)
+MOST = np.uint64((1 << 64) - 1)
+
+
+def lines_of(found: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, word after the last) of each line that has words, over all texts."""
+    newlines = np.flatnonzero(found.data == 10)
+    cuts = np.unique(np.concatenate([found.bounds, np.searchsorted(found.starts, newlines)]))
+    return cuts[:-1], cuts[1:]
+
+
+def _between(values: np.ndarray, fold: np.ufunc, starts: np.ndarray, ends: np.ndarray, nothing) -> np.ndarray:
+    """fold over values[start:end] of each pair; ends lie after starts."""
+    return fold.reduceat(np.append(values, nothing), np.stack([starts, ends], axis=1).ravel())[::2]
+
+
+def line_units(found: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, class, band keys) of the lines of LINE_WORDS words or more; lines of one class are equal."""
+    starts, ends = lines_of(found)
+    long = ends - starts >= LINE_WORDS
+    starts, ends, h = starts[long], ends[long], found.hashes
+    keys = np.zeros((len(starts), BANDS), np.uint64)
+    if not len(starts):
+        return starts, ends, keys[:, 0], keys
+    power = np.cumprod(np.full(len(h), BASE, np.uint64), dtype=np.uint64)
+    inverse = np.cumprod(np.full(len(h), pow(BASE, -1, 1 << 64), np.uint64), dtype=np.uint64)
+    classes = mix(_between(h * power, np.add, starts, ends, np.uint64(0)) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+    shingles = runs_of(h, WORDS)
+    for b in range(BANDS):
+        for r in range(ROWS):
+            keys[:, b] = mix(keys[:, b] + _between(shingles * ODD[b, r], np.minimum, starts, ends - WORDS + 1, MOST) + np.uint64(b + 1))
+    return starts, ends, classes, keys
+
+
+def window_units(found: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(start, class) of the windows, WINDOW words each."""
+    h, bounds = found.hashes, found.bounds
+    sizes = np.diff(bounds)
+    if not (sizes >= WINDOW).any():
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    # The upper half of a hash of two words, and the place: the least of both is the first of the least.
+    key = (runs_of(h, 2) >> np.uint64(32) << np.uint64(32)) | np.arange(len(h) - 1, dtype=np.uint64)
+    at = []
+    if len(key) >= CUT:
+        least, width = key, 1
+        while width * 2 <= CUT:
+            least, width = np.minimum(least[:-width], least[width:]), width * 2
+        least = np.minimum(least[: len(key) - CUT + 1], least[CUT - width : CUT - width + len(key) - CUT + 1])
+        # CUT pairs of words from here on lie in one text.
+        inside = np.ones(len(least), bool)
+        over = (bounds[1:, None] + np.arange(-CUT, 0)[None, :]).ravel()
+        inside[over[(over >= 0) & (over < len(least))]] = False
+        at.append(least[inside])
+    short = (sizes >= WINDOW) & (sizes <= CUT)
+    if short.any():
+        at.append(_between(key, np.minimum, bounds[:-1][short], bounds[1:][short] - 1, MOST))
+    at = np.unique(np.concatenate(at) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    at = at[at + WINDOW <= bounds[np.searchsorted(bounds, at, "right")]]
+    return at, mix((h[at[:, None] + np.arange(WINDOW)] * FACTORS).sum(axis=1, dtype=np.uint64))
 
 
 def _units(source: DataFrame) -> DataFrame:
     def run(batches):
-        units = Units()
         for batch in batches:
-            for first in range(0, batch.num_rows, 500):
-                part = batch.slice(first, 500)
-                which, starts, sizes, classes, bands, before, after = [], [], [], [], [], [], []
-                for i, text in enumerate(part.column(2)):
-                    for s, n, c, *keys in units.of(text.as_py()):
-                        which.append(np.full(len(s), i))
-                        starts.append(s)
-                        sizes.append(n)
-                        classes.append(c)
-                        bands += list(keys[0].view(np.int64)) if len(keys) == 1 else [None] * len(s)
-                        before.append(keys[0] if len(keys) == 2 else np.zeros(len(s), np.int16))
-                        after.append(keys[1] if len(keys) == 2 else np.zeros(len(s), np.int16))
-                which = pa.array(np.concatenate(which))
-                columns = [part.column(0).take(which), part.column(1).take(which), *(pa.array(np.concatenate(x).astype(np.int32)) for x in (starts, sizes))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(classes).astype(np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array(np.concatenate(before)), pa.array(np.concatenate(after))], [x.split()[0] for x in UNIT.split(", ")])
+            for first, texts in together(batch.column(2)):
+                found = Words(texts)
+                starts, ends, classes, keys = line_units(found)
+                at, window_classes = window_units(found)
+                starts, ends, classes = np.concatenate([starts, at]), np.concatenate([ends, at + WINDOW]), np.concatenate([classes, window_classes])
+                text = np.searchsorted(found.bounds, starts, "right") - 1
+                which = pa.array(text + first)
+                stops = np.minimum(np.arange(len(starts) + 1), len(keys)) * BANDS
+                bands = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(keys.ravel().view(np.int64)), mask=pa.array(np.arange(len(starts)) >= len(keys)))
+                columns = [batch.column(0).take(which), batch.column(1).take(which), *(pa.array(x.astype(np.int32)) for x in (starts - found.bounds[text], ends - starts)), pa.array(classes.view(np.int64)), bands]
+                table = pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in UNIT.split(", ")])
+                yield from (table.slice(i, 20_000) for i in range(0, len(starts), 20_000))
 
     return source.select("row_key", "doc_id", "text").mapInArrow(run, UNIT)
 
@@ -134,27 +125,27 @@ def _near_lines(units: DataFrame, source: DataFrame, folder: str) -> DataFrame:
     """(class, component) of lines that are like another line but not equal to it."""
     lines = units.where("bands is not null").groupBy("class").agg(F.min(F.struct("row_key", "start", "n_words")).alias("at"), F.first("bands").alias("bands"))
     lines = stash(lines, folder, "lines")
-    keyed = lines.select("class", F.posexplode("bands").alias("band", "key"))
+    keyed = lines.select("class", F.explode("bands").alias("key"))  # the band is part of its key
     # Each bucket has a leader, another one from band to band.
-    leader = F.min(F.struct(F.xxhash64("class", "band").alias("order"), F.col("class").alias("leader")))
-    buckets = keyed.groupBy("band", "key").agg(leader.alias("l"), F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("band", "key", F.col("l.leader").alias("leader"))
+    leader = F.min_by("class", F.xxhash64("class", "key"))
+    buckets = keyed.groupBy("key").agg(leader.alias("leader"), F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("key", "leader")
     buckets = stash(buckets, folder, "line-buckets")
     release(source.sparkSession)
-    pairs = keyed.join(buckets, ["band", "key"]).where("class <> leader").select(F.least("class", "leader").alias("a"), F.greatest("class", "leader").alias("b")).distinct()
+    pairs = keyed.join(buckets, "key").where("class <> leader").select(F.least("class", "leader").alias("a"), F.greatest("class", "leader").alias("b")).distinct()
     pairs = stash(pairs, folder, "line-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(lines, "class")
     wanted = stash(wanted.select("class", "at.*").groupBy("row_key").agg(F.collect_list(F.struct("class", "start", "n_words")).alias("lines")), folder, "line-places")
 
     def shingles(batches):
-        units = Units()
         for batch in batches:
-            classes, sets = [], []
-            for text, lines_of in zip(batch.column(0), batch.column(1), strict=True):
-                h, _ = units.words(text.as_py())
-                for line in lines_of.as_py():
-                    classes.append(line["class"])
-                    sets.append(np.unique(shingle_hashes(h[line["start"] : line["start"] + line["n_words"]], WORDS)).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(sets, pa.binary())], ["class", "shingles"])
+            for first, texts in together(batch.column(0)):
+                found, of = Words(texts), batch.column(1).slice(first, len(texts))
+                at = of.flatten()
+                start, n = at.field("start").to_numpy(), at.field("n_words").to_numpy()
+                start = start + np.repeat(found.bounds[:-1], of.value_lengths().to_numpy())
+                every = runs_of(found.hashes, WORDS)
+                sets = [np.unique(every[a : a + k - WORDS + 1]).tobytes() for a, k in zip(start.tolist(), n.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([at.field("class"), pa.array(sets, pa.binary())], ["class", "shingles"])
 
     texts = source.select("row_key", "text").join(wanted, "row_key").groupBy("row_key").agg(F.first("text").alias("text"), F.first("lines").alias("lines"))
     # Every line of a bucket is in a pair with its leader, so all lines that the tiles need are here.
@@ -176,7 +167,7 @@ def _near_lines(units: DataFrame, source: DataFrame, folder: str) -> DataFrame:
     links = stash(both.select("a", "b", "s", "t").mapInArrow(verify, "a long, b long"), folder, "line-links")
     release(source.sparkSession)
     groups = components(links, f"{folder}/line-groups").withColumnRenamed("node", "class")
-    members = keyed.join(buckets.select("band", "key"), ["band", "key"]).join(groups, "class", "left").withColumn("group", F.coalesce("component", "class")).drop("component")
+    members = keyed.join(buckets.select("key"), "key").join(groups, "class", "left").withColumn("group", F.coalesce("component", "class")).drop("component")
     more = stash(_links_of_tiles(stash(members, folder, "line-members"), sets, folder), folder, "line-links-more")
     release(source.sparkSession)
     return components(links.unionByName(more), f"{folder}/line-components").withColumnRenamed("node", "class")
@@ -188,11 +179,11 @@ def _links_of_tiles(members: DataFrame, sets: DataFrame, folder: str) -> DataFra
     A bucket is dealt into tiles of about TILE lines by hash, and each pair of its tiles is one unit of
     work (side 0: a tile with itself, 1 and 2: with another), so no task gets a bucket whole.
     """
-    open_buckets = members.groupBy("band", "key").agg(F.min("group").alias("x"), F.max("group").alias("y"), F.ceil(F.count("*") / TILE).cast("int").alias("tiles")).where("x <> y").select("band", "key", "tiles")
-    rows = members.join(stash(open_buckets, folder, "line-open"), ["band", "key"])
+    open_buckets = members.groupBy("key").agg(F.min("group").alias("x"), F.max("group").alias("y"), F.ceil(F.count("*") / TILE).cast("int").alias("tiles")).where("x <> y").select("key", "tiles")
+    rows = members.join(stash(open_buckets, folder, "line-open"), "key")
     own, other = F.col("own"), F.col("other")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("class"), "tiles").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    unit = F.xxhash64("band", "key", F.least(own, other), F.greatest(own, other))
+    unit = F.xxhash64("key", F.least(own, other), F.greatest(own, other))
     rows = rows.select(unit.alias("unit"), F.when(own == other, 0).when(own < other, 1).otherwise(2).alias("side"), "class", "group")
     rows = rows.join(sets, "class")
 
@@ -240,7 +231,7 @@ def _links_of_tiles(members: DataFrame, sets: DataFrame, folder: str) -> DataFra
 
 
 def row_key(id_col: str, text_col: str):
-    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
+    return F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`"))
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -248,20 +239,22 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Words are runs without ASCII white space, counted from 0 over the whole text.  A run with
     removed = false holds first occurrences and stays.  Documents without a repeated passage have
-    no row, so null, empty and wordless texts have none.  Rows that repeat an id and text are one
-    document; null ids come last in the choice of first occurrences.
+    no row, so null, empty and wordless texts have none, nor has an empty table.  Rows that repeat an
+    id and text are one document; null ids come last in the choice of first occurrences, ties go by
+    content.
     """
     spark = docs.sparkSession
     ready(spark)
     folder = shared_dir(spark, "substrings")
-    source = docs.select(row_key(id_col, text_col).alias("row_key"), F.col(id_col).cast("long").alias("doc_id"), text_or_empty(F.col(text_col)).alias("text"))
+    source = docs.select(row_key(id_col, text_col).alias("row_key"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_or_empty(F.col(f"`{text_col}`")).alias("text"))
     units = stash(_units(source), folder, "units")
     near = stash(_near_lines(units, source, folder), folder, "near-lines")
-    for name in ("lines", "line-buckets", "line-pairs", "line-places", "line-sets", "line-links", "line-members", "line-links-more"):
+    for name in ("lines", "line-buckets", "line-pairs", "line-places", "line-sets", "line-links", "line-members", "line-open", "line-links-more"):
         discard(folder, name)
     # Lines of one component go by its name; windows and all other lines by their own class.
-    lines = units.where("bands is not null").drop("bands").join(near, "class", "left").withColumn("cluster", F.coalesce("component", "class")).drop("component")
-    named = units.where("bands is null").drop("bands").withColumn("cluster", F.col("class")).withColumn("window", F.lit(True)).unionByName(lines.withColumn("window", F.lit(False))).drop("class")
+    windows = units.where("bands is null").drop("bands").withColumnRenamed("class", "cluster").withColumn("window", F.lit(True))
+    lines = units.where("bands is not null").drop("bands").join(near, "class", "left").withColumn("cluster", F.coalesce("component", "class")).drop("component", "class").withColumn("window", F.lit(False))
+    named = windows.unionByName(lines)
     many = named.groupBy("cluster").agg(F.min("row_key").alias("x"), F.max("row_key").alias("y")).where("x <> y").select("cluster")
     many = stash(many, folder, "clusters")
     release(spark)
@@ -269,32 +262,32 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     discard(folder, "units")
     release(spark)
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key", "start")
-    firsts = stash(found.groupBy("cluster").agg(F.min(place).alias("first")), folder, "firsts")
-    judged = found.join(firsts, "cluster").withColumn("removed", ~((F.col("row_key") == F.col("first.row_key")) & (F.col("start") == F.col("first.start"))))
+    firsts = found.groupBy("cluster").agg(F.min(place).alias("first")).select("cluster", F.col("first.row_key").alias("first_key"), F.col("first.start").alias("first_start"))
+    firsts = stash(firsts, folder, "firsts")
+    is_first = (F.col("row_key") == F.col("first_key")) & (F.col("start") == F.col("first_start"))
+    judged = stash(found.join(firsts, "cluster").withColumn("removed", ~is_first), folder, "judged")
+    discard(folder, "repeated")
+    release(spark)
     # Overlapping and adjoining passages of a document make a run.
     end = F.col("start") + F.col("n_words")
     ordered = Window.partitionBy("row_key", "removed").orderBy("start", "n_words", "cluster")
     reach = F.max(end).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
-    begins = F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0)
-    runs = judged.dropDuplicates(["row_key", "start", "n_words", "cluster"]).withColumn("begins", begins).withColumn("run", F.sum("begins").over(ordered))
-    # The outermost windows: the shortest, which the most occurrences equal; a line's ends are its own.
-    at_left = F.min(F.struct("start", "n_words", (~F.col("window")).alias("line"), F.col("cluster").alias("of"), F.col("before").alias("beside"))).alias("l")
-    at_right = F.min(F.struct((-end).alias("end"), "n_words", (~F.col("window")).alias("line"), F.col("cluster").alias("of"), F.col("after").alias("beside"))).alias("r")
+    runs = judged.withColumn("begins", F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0)).withColumn("run", F.sum("begins").over(ordered))
+    # The outermost windows and their first occurrences; a line's ends are its own.
+    first = [F.col("window").alias("window"), F.col("first_key").alias("key"), F.col("first_start").alias("at")]
+    at_left = F.min(F.struct("start", "n_words", *first)).alias("l")
+    at_right = F.min(F.struct((-end).alias("end"), "n_words", *first)).alias("r")
     runs = runs.groupBy("row_key", "removed", "run").agg(F.min("doc_id").alias("doc_id"), F.min("start").alias("start_word"), F.max(end).alias("stop"), F.min("cluster").alias("cluster"), at_left, at_right)
-    runs = stash(runs.where(F.col("stop") - F.col("start_word") >= RUN_WORDS), folder, "runs")
+    runs = stash(runs, folder, "runs")
+    discard(folder, "judged")
     release(spark)
-    sides = [("l", -1, F.col("l.start")), ("r", 1, -F.col("r.end") - F.col("r.n_words"))]
-    ends = None
-    for name, side, start in sides:
-        one = runs.where(~F.col(f"{name}.line")).select("row_key", "removed", "run", F.lit(side).alias("side"), start.alias("start"), F.col(f"{name}.n_words").alias("n_words"), F.col(f"{name}.of").alias("cluster"), F.col(f"{name}.beside").alias("beside"))
-        ends = one if ends is None else ends.unionByName(one)
-    ends = stash(ends, folder, "ends")
-    more = _extensions(ends, found.where("window"), source, folder)
-    more = more.groupBy("row_key", "removed", "run").agg(*(F.max(F.when(F.col("side") == side, F.col("more"))).alias(f"more_{name}") for name, side, _ in sides))
-    runs = runs.join(more, ["row_key", "removed", "run"], "left")
+    left = F.struct(F.lit(-1).alias("side"), F.col("start_word").alias("at"), F.col("l.key").alias("first_key"), F.col("l.at").alias("first_at"), F.col("l.window").alias("window"))
+    right = F.struct(F.lit(1).alias("side"), F.col("stop").alias("at"), F.col("r.key").alias("first_key"), (F.col("r.at") + F.col("r.n_words")).alias("first_at"), F.col("r.window").alias("window"))
+    ends = runs.where("removed").select("row_key", "run", F.explode(F.array(left, right)).alias("e")).select("row_key", "run", "e.*").where("window").drop("window")
+    more = _extensions(stash(ends, folder, "ends"), source, folder).groupBy("row_key", "run").agg(*(F.sum(F.when(F.col("side") == side, F.col("more"))).cast("int").alias(name) for side, name in ((-1, "more_l"), (1, "more_r"))))
     start, stop = F.col("start_word") - F.coalesce("more_l", F.lit(0)), F.col("stop") + F.coalesce("more_r", F.lit(0))
-    runs = runs.select("doc_id", start.alias("start_word"), (stop - start).alias("n_words"), "removed", "cluster", "row_key")
-    return _joined(runs)
+    extended = runs.where("removed").join(more, ["row_key", "run"], "left")
+    return _joined(extended.unionByName(runs.where("not removed"), allowMissingColumns=True).select("doc_id", start.alias("start_word"), (stop - start).alias("n_words"), "removed", "cluster", "row_key"))
 
 
 def _joined(runs: DataFrame) -> DataFrame:
@@ -307,57 +300,39 @@ def _joined(runs: DataFrame) -> DataFrame:
     return whole.select("doc_id", F.col("from").alias("start_word"), (F.col("stop") - F.col("from")).cast("int").alias("n_words"), "removed", "cluster", "row_key")
 
 
-def _extensions(ends: DataFrame, found: DataFrame, source: DataFrame, folder: str) -> DataFrame:
-    """(row_key, removed, run, side, more): the words by which a run goes on beyond its outermost window.
+def _extensions(ends: DataFrame, source: DataFrame, folder: str) -> DataFrame:
+    """(row_key, run, side, more): the words by which a run goes on beyond its outermost window, as its first occurrence does.
 
-    Occurrences of that window are grouped by the 1 to BESIDE words beside it; a group that lies in two
-    documents goes on so far.  All but its first occurrence are removed, as with windows.
+    Both places' next BESIDE words are hashed from the texts and compared.
     """
-    # Most ends are told from all other occurrences by the word beside them: texts are read for the rest only.
-    wanted = stash(ends.select("cluster", "side", "beside").distinct(), folder, "end-clusters")
-    occurrences = found.select("row_key", "doc_id", "start", "n_words", "cluster", "before", "after").distinct()
-    sided = occurrences.withColumn("s", F.explode(F.array(F.struct(F.lit(-1).alias("side"), F.col("before").alias("beside")), F.struct(F.lit(1).alias("side"), F.col("after").alias("beside")))))
-    key = ["cluster", "side", "beside"]
-    occurrences = stash(sided.select("row_key", "doc_id", "start", "n_words", "cluster", "s.*").join(wanted, key), folder, "end-occurrences")
-    shared = occurrences.groupBy(key).agg(F.min("row_key").alias("x"), F.max("row_key").alias("y")).where("x <> y").select(key)
-    occurrences = occurrences.join(stash(shared, folder, "end-shared"), key)
-    per_text = stash(occurrences.groupBy("row_key").agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.struct("start", "n_words", "cluster", "side")).alias("at")), folder, "end-places")
-    texts = source.select("row_key", "text").join(per_text, "row_key").groupBy("row_key").agg(F.first("doc_id").alias("doc_id"), F.first("at").alias("at"), F.first("text").alias("text"))
+    places = ends.select("row_key", "at", "side").unionByName(ends.select(F.col("first_key").alias("row_key"), F.col("first_at").alias("at"), "side")).distinct()
+    per_text = stash(places.groupBy("row_key").agg(F.collect_list(F.struct("at", "side")).alias("places")), folder, "end-places")
+    texts = source.select("row_key", "text").join(per_text, "row_key").groupBy("row_key").agg(F.first("places").alias("places"), F.first("text").alias("text"))
 
     def run(batches):
-        units = Units()
         for batch in batches:
-            for i in range(batch.num_rows):
-                h, _ = units.words(batch.column(3)[i].as_py())
-                at = batch.column(2)[i].values
-                start, n, side = (at.field(x).to_numpy() for x in ("start", "n_words", "side"))
-                hashes, room = np.zeros((len(at), BESIDE), np.uint64), np.where(side < 0, start, len(h) - start - n)
-                for step, place in ((-1, start), (1, start + n)):
-                    own = side == step
-                    if own.any():
-                        hashes[own] = beside(h, place[own], step, room[own])
-                room = np.minimum(room, BESIDE)
-                keep = np.arange(BESIDE) < room[:, None]
-                row = pa.array(np.repeat(np.arange(len(at)), room))
-                which = pa.array(np.full(len(row), i))
-                own = [at.field(x).take(row) for x in ("start", "n_words", "cluster", "side")]
-                more = pa.array(np.broadcast_to(np.arange(1, BESIDE + 1, dtype=np.int32), keep.shape)[keep])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(1).take(which), *own, more, pa.array(hashes[keep].view(np.int64))], names)
-
-    names = ["row_key", "doc_id", "start", "n_words", "cluster", "side", "more", "words"]
-    beyond = texts.select("row_key", "doc_id", "at", "text").mapInArrow(run, "row_key long, doc_id long, start int, n_words int, cluster long, side int, more int, words long")
-    beyond = stash(beyond, folder, "beside")
+            for first, texts in together(batch.column(2)):
+                found, of = Words(texts), batch.column(1).slice(first, len(texts))
+                own, sizes = of.flatten(), of.value_lengths().to_numpy()
+                text = np.repeat(np.arange(len(texts)), sizes)
+                at, side = own.field("at").to_numpy(), own.field("side").to_numpy()
+                here = found.bounds[text] + at
+                room = np.minimum(np.where(side > 0, found.bounds[text + 1] - here, at), BESIDE)
+                # From the place outwards: words here, here + 1, ... or here - 1, here - 2, ...
+                step = ragged(np.zeros(len(room), np.int64), room)
+                word = np.repeat(here, room) + np.where(np.repeat(side, room) > 0, step, -1 - step)
+                stops = np.concatenate([[0], np.cumsum(room)])
+                beside = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array((found.hashes[word] >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text + first)), own.field("at"), own.field("side"), beside], ["row_key", "at", "side", "words"])
+
+    beside = texts.select("row_key", "places", "text").mapInArrow(run, "row_key long, at int, side int, words array<int>")
+    beside = stash(beside, folder, "beside")
     discard(folder, "end-places")
-    discard(folder, "end-occurrences")
-    release(source.sparkSession)
-    key = ["cluster", "side", "more", "words"]
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key", "start")
-    groups = beyond.groupBy(key).agg(F.min(place).alias("first"), F.min("row_key").alias("x"), F.max("row_key").alias("y")).where("x <> y").drop("x", "y")
-    groups = stash(groups, folder, "beside-groups")
     release(source.sparkSession)
-    own = beyond.join(ends.drop("beside"), ["row_key", "start", "n_words", "cluster", "side"]).join(groups, key)
-    first = (F.col("row_key") == F.col("first.row_key")) & (F.col("start") == F.col("first.start"))
-    return own.where(F.col("removed") != first).groupBy("row_key", "removed", "run", "side").agg(F.max("more").alias("more"))
+    first = beside.select(F.col("row_key").alias("first_key"), F.col("at").alias("first_at"), "side", F.col("words").alias("first_words"))
+    both = ends.join(beside, ["row_key", "at", "side"]).join(first, ["first_key", "first_at", "side"])
+    unlike = F.array_position(F.zip_with("words", "first_words", lambda x, y: F.coalesce(x == y, F.lit(False))), False)
+    return both.select("row_key", "run", "side", F.when(unlike > 0, unlike - 1).otherwise(F.size("words")).alias("more"))
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
@@ -374,27 +349,32 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """The documents without the passages that are removed; a document of nothing else goes, all others stay."""
+    """The documents without the passages that are removed; all columns stay, and length_col, if the table has it, counts the new text's code points.
+
+    A document of nothing else than removed passages goes, all others stay: those with a null, empty
+    or wordless text as they are, and rows that repeat an id and text alike.  An empty table gives an empty one.
+    """
     spark = docs.sparkSession
     ready(spark)
-    spans = repeats(docs, id_col, text_col).where("removed").groupBy("row_key").agg(F.array_sort(F.collect_list(F.struct("start_word", "n_words"))).alias("_spans"))
-    spans = stash(spans, shared_dir(spark, "removals"), "spans").withColumnRenamed("row_key", "_row_key")
-    joined = docs.withColumn("_row_key", row_key(id_col, text_col)).join(spans, "_row_key", "left").drop("_row_key")
+    key, spans_of = free_name(docs, "row_key", "spans")
+    spans = repeats(docs, id_col, text_col).where("removed").groupBy("row_key").agg(F.array_sort(F.collect_list(F.struct("start_word", "n_words"))).alias(spans_of))
+    spans = stash(spans.withColumnRenamed("row_key", key), shared_dir(spark, "removals"), "spans")
+    joined = docs.withColumn(key, row_key(id_col, text_col)).join(spans, key, "left").drop(key)
     names, schema = docs.columns, docs.schema
     text_at, spans_at = names.index(text_col), len(names)
     length_at = names.index(length_col) if length_col in names else None
 
     def run(batches):
         for batch in batches:
-            texts, spans_of = batch.column(text_at), batch.column(spans_at)
+            texts, spans = batch.column(text_at), batch.column(spans_at)
             new, sizes, keep = [], [], []
             old = batch.column(length_at) if length_at is not None else None
             for i in range(batch.num_rows):
-                if spans_of[i].is_valid:
-                    text = cut(texts[i].as_py(), [(x["start_word"], x["n_words"]) for x in spans_of[i].as_py()])
+                if spans[i].is_valid:
+                    text = cut(texts[i].as_py(), [(x["start_word"], x["n_words"]) for x in spans[i].as_py()])
                     new.append(text)
                     sizes.append(len(text))
-                    keep.append(bool(text.split()))
+                    keep.append(bool(text.encode().split()))
                 else:
                     new.append(texts[i].as_py())
                     sizes.append(old[i].as_py() if old is not None else None)
