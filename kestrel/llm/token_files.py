@@ -19,12 +19,14 @@ import struct
 import uuid
 import zlib
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from kestrel.llm.common import open_fs, partitions, ready, shared_dir, stash, text_or_empty
+from kestrel.llm.words import Words, ragged, together
 
 MAGIC, END_MAGIC = b"KTOKIDS1", b"KTOKIDSX"
 HEAD, INDEX_ROW, TAIL = struct.Struct("<8sI32s"), np.dtype([("doc_id", "<i8"), ("has_id", "<u8"), ("offset", "<u8"), ("size", "<u8"), ("n", "<u8")]), struct.Struct("<QQ8s")
@@ -37,10 +39,14 @@ class WordEncoder:
     """Whole texts through the tokenizers library, one call per distinct word.
 
     Only for vocabularies whose tokens never span white space and that drop it: then the ids of a
-    text are those of its white-space separated words.  Others are encoded text by text.
+    text are those of its words.  Others are encoded text by text.  The words of a part of a batch
+    are told apart by 64-bit hashes, known ones are found by their bytes.
     """
 
-    cache_limit = 800_000
+    #: Words and ids that are remembered; beyond that all are forgotten.
+    limit, ids_limit, longest = 800_000, 1 << 24, 64
+    #: Bytes of text whose words are told apart at once.
+    part = 1 << 22
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -49,61 +55,111 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.by_word: dict[str, bytes] = {}
-        self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.width = 2 if size <= 1 << 16 else 4
         self.dtype = f"<u{self.width}"
+        self._forget()
         probe = ["a b", "a \n\tb", "ab  c. d"]
         ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
         self.by_words = all(ids(p) == [i for w in p.split() for i in ids(w)] for p in probe)
         plain = [t for t in self.tokenizer.get_added_tokens_decoder().items() if t[1].special and not (t[1].lstrip or t[1].rstrip or t[1].single_word or t[1].normalized)]
         self.border = next(((i, t.content) for i, t in plain if ids(f"a{t.content}b") == [*ids("a"), i, *ids("b")]), None)
+        # Words are remembered here; the library's own cache would only be filled and emptied.
+        getattr(self.tokenizer.model, "_resize_cache", lambda _: None)(0)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.closes = np.array([(self.tokenizer.id_to_token(i) or "").endswith(suffix) for i in range(size)]) if suffix else None
 
-    def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.starts, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.dtype)
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """The packed ids of each word.  Words go to the library many at once, a special token between any two: it splits text before all else."""
+    def _apart(self, words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """(ids of the words in pieces, sizes of the words in pieces), a special token between any two in one text: it splits text before all else."""
         if self.border is None or any(self.border[1] in w for w in words):
-            return [self._pack(e.ids) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            every = [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            return every, [np.fromiter(map(len, every), np.int64, len(every))]
         border, mark = self.border
-        out = []
-        texts = [mark.join(words[i : i + 200]) for i in range(0, len(words), 200)]
-        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-            ids = np.array(e.ids, self.dtype)
-            packed, at = ids.tobytes(), 0
-            for stop in (np.flatnonzero(ids == border) * self.width).tolist():
-                out.append(packed[at:stop])
-                at = stop + self.width
-            out.append(packed[at:])
-        return out
-
-    def encode(self, texts: list[str], end: int | None) -> list[bytes]:
-        tail = b"" if end is None else self._pack([end])
-        out: list[bytes | None] = [None] * len(texts)
-        for first in range(0, len(texts), 256):
-            self._some(texts, range(first, min(first + 256, len(texts))), tail, out)
-        return out
-
-    def _some(self, texts, which, tail, out) -> None:
-        known, words = self.by_word, {}
-        for i in which:
-            text = texts[i]
-            # U+001C to U+001F separate words for str.split, but not for the vocabularies
-            if self.by_words and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
-                words[i] = text.split()
+        ids, sizes = [], []
+        for e in self.tokenizer.encode_batch_fast([mark.join(words[i : i + 200]) for i in range(0, len(words), 200)], add_special_tokens=False):
+            own = np.array(e.ids, self.dtype)
+            at = own == border
+            sizes.append(np.diff(np.concatenate([[-1], np.flatnonzero(at), [len(own)]])) - 1)
+            ids.append(own[~at])
+        return ids, sizes
+
+    def _learn(self, words: list[bytes]) -> np.ndarray:
+        """Numbers of new words.
+
+        Where each word of letters is one piece for the vocabulary, its last id says so, and blanks
+        are enough between them; the others go apart.
+        """
+        texts = [w.decode() for w in words]
+        letters = np.array([self.closes is not None and t.isalpha() for t in texts], bool)
+        plain, rest = np.flatnonzero(letters).tolist(), [np.flatnonzero(~letters)]
+        parts = [plain[i : i + 200] for i in range(0, len(plain), 200)]
+        order, ids, sizes = [], [], []
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in part]) for part in parts], add_special_tokens=False), strict=True):
+            own = np.array(e.ids, self.dtype)
+            stops = np.flatnonzero(self.closes[own]) + 1
+            if len(stops) == len(part) and stops[-1] == len(own):  # no word gives fewer than one
+                order.append(np.array(part))
+                ids.append(own)
+                sizes.append(np.diff(stops, prepend=0))
             else:
-                out[i] = self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids) + tail
-        if len(known) >= self.cache_limit:
-            known.clear()
-        new = list(set().union(*words.values()).difference(known)) if words else []
+                rest.append(np.array(part))
+        if len(rest := np.concatenate(rest)):
+            more_ids, more_sizes = self._apart([texts[i] for i in rest.tolist()])
+            order, ids, sizes = [*order, rest], ids + more_ids, sizes + more_sizes
+        sizes, first, numbers = np.concatenate(sizes), len(self.sizes), np.empty(len(words), np.int64)
+        numbers[np.concatenate(order)] = np.arange(first, first + len(words))
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.ids = np.concatenate([self.ids, *ids])
+        self.known.update((w, n) for w, n in zip(words, numbers.tolist(), strict=True) if len(w) <= self.longest)
+        return numbers
+
+    def _numbers(self, found: Words) -> np.ndarray:
+        """For each word of a part the number that its ids are kept under."""
+        if len(self.known) > self.limit or len(self.ids) > self.ids_limit:
+            self._forget()
+        _, first, back = np.unique(found.hashes, return_index=True, return_inverse=True)
+        data = found.data.tobytes()
+        words = [data[a:b] for a, b in zip(found.starts[first].tolist(), found.ends[first].tolist(), strict=True)]
+        numbers = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(numbers < 0)
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
-            known.update(zip(part, self._words(part), strict=True))
-        for i, w in words.items():
-            out[i] = b"".join(map(known.__getitem__, w)) + tail
-        for w in new:
-            if len(w) > 64:
-                del known[w]
+            numbers[part] = self._learn([words[i] for i in part.tolist()])
+        return numbers[back]
+
+    def encode(self, texts: pa.Array):
+        """(first row, ids of the texts one after another, bounds between texts) of parts of an array of strings."""
+        for first, part in together(texts, self.part):
+            if self.by_words:
+                found = Words(part, lower=False)
+                numbers = self._numbers(found)
+                sizes = self.sizes[numbers]
+                stops = np.concatenate([[0], np.cumsum(sizes)])[found.bounds]
+                yield first, self.ids[ragged(self.starts[numbers], sizes)], stops
+            else:
+                ids = [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.dtype) for t in part.to_pylist()]
+                yield first, np.concatenate(ids), np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """The number of ids of each text."""
+        if not self.by_words:
+            return np.concatenate([np.diff(stops) for _, _, stops in self.encode(texts)] or [np.zeros(0, np.int64)])
+        out = [np.zeros(0, np.int64)]
+        for _, part in together(texts, self.part):
+            found = Words(part, lower=False)
+            numbers = self._numbers(found)
+            out.append(np.diff(np.concatenate([[0], np.cumsum(self.sizes[numbers])])[found.bounds]))
+        return np.concatenate(out)
+
+    def packed(self, texts: pa.Array, end: int | None) -> list[bytes]:
+        """The ids of each text, and the end id, as bytes."""
+        tail = b"" if end is None else np.array([end], self.dtype).tobytes()
+        return [ids[a:b].tobytes() + tail for _, ids, stops in self.encode(texts) for a, b in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -111,20 +167,36 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id and n_tokens, the number of token ids of its text; null text has none."""
+def _encoded(docs: DataFrame, path: str, text_col: str, ids_col: str | None, count_col: str) -> DataFrame:
     ready(docs.sparkSession)
+    new = [c for c in (count_col, ids_col) if c]
+    keep = [c for c in docs.columns if c.lower() not in {x.lower() for x in (text_col, *new)}]
+    own = [F.col(f"`{c}`") for c in keep]
+    source = docs.select(*own, text_or_empty(F.col(f"`{text_col}`")).alias(text_col))
+    schema = source.select(*own, F.lit(None).cast("long").alias(count_col), *([F.lit(None).cast("binary").alias(ids_col)] if ids_col else [])).schema
 
     def run(batches):
-        own = word_encoder(path)
+        encoder = word_encoder(path)
         for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                part = batch.slice(first, 256)
-                sizes = [len(x) // own.width for x in own.encode(part.column(1).to_pylist(), None)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64())], ["doc_id", "n_tokens"])
+            texts = batch.column(len(keep))
+            if not ids_col:
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(encoder.counts(texts), pa.int64())], schema.names)
+                continue
+            for first, ids, stops in encoder.encode(texts):
+                packed = [ids[a:b].tobytes() for a, b in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(c.slice(first, len(packed)) for c in batch.columns[:-1]), pa.array(np.diff(stops), pa.int64()), pa.array(packed, pa.binary())], schema.names)
+
+    return source.mapInArrow(run, schema)
+
+
+def with_counts(docs: DataFrame, path: str, text_col: str = "text", count_col: str = "n_tokens") -> DataFrame:
+    """The rows without their text, with the number of token ids of it; null text has none.  A column of that name is replaced."""
+    return _encoded(docs, path, text_col, None, count_col)
+
 
-    source = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(F.col(text_col)).alias("text"))
-    return source.mapInArrow(run, f"doc_id {dict(source.dtypes)['doc_id']}, n_tokens long")
+def with_ids(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", count_col: str = "n_tokens") -> DataFrame:
+    """The rows without their text, with its number of token ids and the ids (little-endian, two bytes each for vocabularies of up to 2^16, else four); null text has none.  Columns of those names are replaced."""
+    return _encoded(docs, path, text_col, ids_col, count_col)
 
 
 def _put(uri: str, data: bytes) -> None:
@@ -140,7 +212,7 @@ def _dictionary(docs: DataFrame, path: str, end: int | None) -> bytes:
     n = docs.count()
     short = docs.where(F.octet_length("text") <= DICTIONARY_DOC_BYTES)
     rows = short.sample(fraction=min(1.0, DICTIONARY_DOCS / max(1, n)), seed=17).limit(2 * DICTIONARY_DOCS).select("text").collect()
-    samples = [x for x in word_encoder(path).encode([r[0] for r in rows], end) if x]
+    samples = [x for x in word_encoder(path).packed(pa.array([r[0] for r in rows], pa.string()), end) if x]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):  # too little to train on: the ids themselves serve as content
@@ -176,7 +248,7 @@ def write(docs: DataFrame, path: str, end: int | None = 2, id_col: str = "doc_id
         shared.precompute_compress(level=3)  # else every frame digests the dictionary again
         pack = zstandard.ZstdCompressor(dict_data=shared)
         for batch in batches:
-            ids = words.encode(batch.column(1).to_pylist(), end)
+            ids = words.packed(batch.column(1), end)
             docs_ids = batch.column(0)
             raw = docs_ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays(
