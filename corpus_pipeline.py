@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kestrel.llm import jaccard_join, language, packing, secrets, substring_dedup, token_files
+from kestrel.llm import jaccard_join, language, packing, secrets, substring_dedup
 from kestrel.llm.common import shared_dir, stash
 
 
@@ -29,10 +29,13 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's length bucket, batch and slot; lengths are token ids."""
+    """Each document's length bucket, batch and slot, with its token ids.
+
+    A null or empty text has no ids and takes a slot; repeated rows have a slot each; no documents give no rows.
+    """
     import public_tokenizers
 
-    return packing.pack(token_files.counts(docs, public_tokenizers.path("word_bpe_49k.json")), length_col="n_tokens")
+    return packing.pack_ids(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("secret_scans", secret_scans), ("packing", packed)]

@@ -49,8 +49,8 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from kestrel.llm import packing, token_files
 
-    counted = token_files.counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
-    return packing.pack(counted, length_col="n_tokens")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(token_files.with_counts(docs, public_tokenizers.path("word_bpe_49k.json")), length_col="n_tokens")
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,5 +83,32 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_token_files": op1_token_files, "op2_warc": op2_warc, "op3_secrets": op3_secrets, "op4_neighbours": op4_neighbours, "op7_jaccard_join": op7_jaccard_join, "op8_packing": op8_packing, "op5_fingerprints": op5_fingerprints, "op6_bpe": op6_bpe, "op9_substrings": op9_substrings, "op10_language": op10_language}
 
 
+def _secrets_sql() -> str:
+    """op3_secrets in DuckDB's SQL: places are sums of the lengths of matches and of what lies between them."""
+    from kestrel.llm import secrets
+
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    # Matches of these two are followed by no letter that they could take, so they need no possessive mark here.
+    shapes = [(secrets.ASSIGN, 2), (secrets.ACCESS.removesuffix("+"), 0), (secrets.HEX.removesuffix("+"), 0)]
+    found = " UNION ALL ".join(
+        f"SELECT r, owner, {no} AS no, unnest(range(len(h))) AS pos, unnest(h) AS hit, unnest(v) AS val, unnest(g[1:len(h)]) AS gap "
+        f"FROM (SELECT r, owner, regexp_extract_all(t, {quoted(p)}, 0) AS h, regexp_extract_all(t, {quoted(p)}, {group}) AS v, string_split_regex(t, {quoted(p)}) AS g FROM d)"
+        for no, (p, group) in enumerate(shapes)
+    )
+    kinds = "[" + ", ".join(map(quoted, secrets.KINDS)) + "]"
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS owner FROM documents), m AS ({found}),
+  placed AS (SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY r, no ORDER BY pos) AS stop, len(list_distinct(string_split(val, ''))) AS chars FROM m),
+  hits AS (SELECT r, owner, no, stop - length(hit) AS start, stop, val, NOT regexp_matches(val, {quoted(secrets.PLACEHOLDER)}) AND CASE WHEN length(val) >= {secrets.LIVE_LENGTH} THEN chars >= {secrets.LIVE_CHARS}
+    ELSE regexp_matches(val, '[A-Za-z]') AND regexp_matches(val, '[0-9]') AND chars * 2 >= length(val) END AS looks FROM placed WHERE no > 0 OR length(val) >= {secrets.LEAST_VALUE}),
+  spread AS (SELECT val, count(DISTINCT owner) AS owners FROM hits GROUP BY val),
+  judged AS (SELECT r, no, start, stop, length(val) AS width, CASE WHEN owners >= {secrets.EXAMPLE_OWNERS} THEN 'example' WHEN looks THEN 'live' ELSE 'shared' END AS verdict FROM hits JOIN spread USING (val)),
+  spans AS (SELECT r, no, start, stop, verdict FROM judged UNION ALL SELECT DISTINCT r, 3, stop - width, stop, verdict FROM judged WHERE verdict = 'live'),
+  named AS (SELECT *, {kinds}[no + 1] || ':' || start || ':' || stop AS span FROM spans)
+SELECT any_value(doc_id) AS doc_id, count(*) FILTER (WHERE no = 0) AS n_assign, count(*) FILTER (WHERE no = 1) AS n_access, count(*) FILTER (WHERE no = 2) AS n_hex,
+  sha256(coalesce(string_agg(span, ',' ORDER BY start, no, stop) FILTER (WHERE no < 3), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY start, no, stop), '') AS spans,
+  count(*) FILTER (WHERE no = 3) AS n_live, count(*) FILTER (WHERE no < 3 AND verdict = 'example') AS n_example, count(*) FILTER (WHERE no < 3 AND verdict = 'shared') AS n_shared
+FROM d LEFT JOIN named USING (r) GROUP BY r"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_secrets": _secrets_sql()}
