@@ -10,14 +10,13 @@ Only text enters a prediction.  The weights are fitted on a bounded sample of la
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from kestrel.llm.common import ready, text_or_empty
+from kestrel.llm.common import free_name, ready
 
 #: Bounds of the fit: labelled documents (twice that at most), bytes of the longest, words taken from each.
 FIT_DOCS, FIT_DOC_BYTES, FIT_WORDS = 3000, 1 << 15, 96
@@ -27,13 +26,12 @@ BUCKETS, EPOCHS, RATE, DECAY = 1 << 18, 6, 0.3, 1e-6
 UNDECIDED = "und"
 #: Words to a block of the parallel scan; a batch of words that goes through it at once.
 BLOCK, AT_ONCE = 32, 150_000
-LETTERS = re.compile(r"[^\W\d_]+")
 STRONGEST = 12.0
 
 
 def _core(word: str) -> bytes:
-    """The letters of a word in lower case; none if it has no letter."""
-    return "".join(LETTERS.findall(word)).lower().encode("utf-8", "replace")
+    """The letters of a word (Unicode's categories L*, so no digits, numerals or marks) in lower case; none if it has no letter."""
+    return (word if word.isalpha() else "".join(filter(str.isalpha, word))).lower().encode("utf-8", "replace")
 
 
 def features(cores: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -96,15 +94,21 @@ class Model:
 
 
 def marginals(evidence: np.ndarray, lengths: np.ndarray, start: np.ndarray, transitions: np.ndarray) -> np.ndarray:
-    """Forward-backward over many sequences that lie end to end: each word's distribution over labels.
+    """Forward-backward over many sequences that lie end to end: each word's distribution over labels.  Evidence is held to STRONGEST below a word's best label, and exact else."""
+    forward, backward, _ = _messages(evidence, lengths, start, transitions)
+    p = forward * backward
+    return p / p.sum(axis=1, keepdims=True)
 
-    Exact: words are cut into blocks, the blocks' products of transition and evidence matrices are
-    chained per sequence, then all blocks run forward and backward at once.  Evidence is held to
-    STRONGEST below a word's best label.
+
+def _messages(evidence: np.ndarray, lengths: np.ndarray, start: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(forward, backward, own factor) of each word, each up to a factor of its own.
+
+    Words are cut into blocks, the blocks' products of transition and evidence matrices are chained
+    per sequence, then all blocks run forward and backward at once.
     """
     n, labels = evidence.shape
     if not n:
-        return evidence.copy()
+        return evidence.copy(), evidence.copy(), evidence.copy()
     own = np.exp(np.maximum(evidence - evidence.max(axis=1, keepdims=True), -STRONGEST))
     step = np.exp(transitions - transitions.max())
     begin = np.exp(start - start.max())
@@ -165,15 +169,15 @@ def marginals(evidence: np.ndarray, lengths: np.ndarray, start: np.ndarray, tran
         v = moved / moved.max(axis=1, keepdims=True)
         forward[:, t] = v
     v = behind
-    out = np.empty_like(evidence)
+    ahead_of, behind_of = np.empty_like(evidence), np.empty_like(evidence)
+    ahead_of[where[real]] = forward[real]
     for t in range(BLOCK - 1, -1, -1):
         live = real[:, t]
-        p = forward[live, t] * v[live]
-        out[where[live, t]] = p / p.sum(axis=1, keepdims=True)
+        behind_of[where[live, t]] = v[live]
         moved = (v * e[:, t]) @ step.T
         moved /= moved.max(axis=1, keepdims=True)
         v = np.where(live[:, None], moved, v)
-    return out
+    return ahead_of, behind_of, own
 
 
 def fit(texts: list[str], labels: list[str], seed: int = 7) -> Model:
@@ -213,7 +217,9 @@ def fit(texts: list[str], labels: list[str], seed: int = 7) -> Model:
             owner, bucket = np.repeat(np.arange(len(used)), hi - lo), f_bucket[span]
             ev = np.stack([np.bincount(owner, model.weights[bucket, j], len(used)) for j in range(len(languages))], axis=1)[back]
             lengths = np.array(sizes)
-            p = marginals(ev, lengths, model.start, model.transitions)
+            ahead, behind, own = _messages(ev, lengths, model.start, model.transitions)
+            p = ahead * behind
+            p /= p.sum(axis=1, keepdims=True)
             truth = np.eye(len(languages))[y]
             error = truth - p
             word_error = np.stack([np.bincount(back, error[:, j], len(used)) for j in range(len(languages))], axis=1)
@@ -224,9 +230,7 @@ def fit(texts: list[str], labels: list[str], seed: int = 7) -> Model:
             inner[opens] = False
             here = np.flatnonzero(inner)
             seen = truth[here - 1].T @ truth[here]
-            # Expected pairs of neighbours under the model, from the marginals on both sides and the transition.
-            own = np.exp(np.maximum(ev - ev.max(axis=1, keepdims=True), -STRONGEST))
-            pair = _pairs(p, own, model.transitions, here)
+            pair = _pairs(ahead[here - 1], own[here] * behind[here], model.transitions)
             grad_t = (seen - pair) / len(part)
             for x, g, s in zip((model.weights, model.start, model.transitions), (grad_w - DECAY * model.weights, grad_s, grad_t), sums, strict=True):
                 s += g * g
@@ -234,19 +238,15 @@ def fit(texts: list[str], labels: list[str], seed: int = 7) -> Model:
     return model
 
 
-def _pairs(p: np.ndarray, own: np.ndarray, transitions: np.ndarray, here: np.ndarray) -> np.ndarray:
-    """Sum over neighbours of their joint distribution: the transition matrix scaled to both words' marginals (a chain's joint has this form)."""
-    joint = np.broadcast_to(np.exp(transitions - transitions.max()), (len(here), *transitions.shape)).copy()
-    left, right = p[here - 1], p[here]
-    for _ in range(12):
-        joint *= (left / np.maximum(joint.sum(axis=2), 1e-300))[:, :, None]
-        joint *= (right / np.maximum(joint.sum(axis=1), 1e-300))[:, None, :]
-    return joint.sum(axis=0)
+def _pairs(left: np.ndarray, right: np.ndarray, transitions: np.ndarray) -> np.ndarray:
+    """Sum over neighbours of their joint distribution under the model, from the left one's forward vector and the right one's factor and backward vector."""
+    joint = left[:, :, None] * np.exp(transitions - transitions.max()) * right[:, None, :]
+    return (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
 
 
 def held_out(id_col: str = "doc_id"):
     """Null ids have no checksum and are held out."""
-    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(True))
+    return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", docs_bound: int = FIT_DOCS) -> Model | None:
@@ -345,14 +345,24 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", pred_c
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
-    """One row per document: doc_id, held_out, lang_pred, score."""
+    """One row per document: doc_id, held_out, lang_pred, score.
+
+    Null, empty and letterless texts are `und` with score 0, and all texts if no row has a label to
+    learn from; ties between languages go to the first in alphabetical order.  Repeated rows have a row
+    each, rows with a null id are held out, an empty table gives no rows.
+    """
     model = train(docs, id_col, text_col, label_col)
-    own = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return predict(own, model).drop("text")
 
 
 def keep_decided(docs: DataFrame, least_score: float = 0.5, **columns: str) -> DataFrame:
-    """The documents whose language could be told with at least this score; all columns as they were."""
+    """The documents whose language could be told with at least this score; all columns and the order of rows as they were.
+
+    Null, empty and letterless texts go, and all if no row has a label to learn from; repeated rows
+    stay or go alike; an empty table gives an empty one.
+    """
     model = train(docs, **columns)
-    found = predict(docs, model, columns.get("text_col", "text"), "_lang_pred", "_score")
-    return found.where((F.col("_lang_pred") != UNDECIDED) & (F.col("_score") >= least_score)).drop("_lang_pred", "_score")
+    pred, score = free_name(docs, "lang_pred", "score")
+    found = predict(docs, model, columns.get("text_col", "text"), pred, score)
+    return found.where((F.col(pred) != UNDECIDED) & (F.col(score) >= least_score)).drop(pred, score)

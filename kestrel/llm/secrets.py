@@ -41,19 +41,19 @@ def _pieces(text: Column, pattern: str, group: int) -> Column:
 def scan(docs: DataFrame, text_col: str = "text", owner_col: str = "source", repository_col: str = "doc_id", folder: str | None = None, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents, spans) of whole texts.
 
-    documents: the columns to keep, and _row, a number for each row (repeated rows have their own).
+    documents: the columns to keep as one struct doc, and _row, a number for each row (repeated rows have their own).
     spans: _row, kind, start, end (code points, end exclusive), verdict (live, example or shared)
     and owners and repositories that hold the value; the base kinds, and "live" spans besides.
     Null or empty text has no spans; a null owner or repository counts as one owner or repository.
     """
     folder = folder or shared_dir(docs.sparkSession, "secrets")
     keep = docs.columns if keep is None else keep
-    text = text_or_empty(F.col(text_col))
+    text = text_or_empty(F.col(f"`{text_col}`"))
     found = docs.select(
         F.monotonically_increasing_id().alias("_row"),
-        *(F.col(f"`{c}`") for c in keep),
-        F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("_owner"),
-        F.coalesce(F.col(repository_col).cast("string"), F.lit("")).alias("_repository"),
+        F.struct(*(F.col(f"`{c}`") for c in keep)).alias("doc"),
+        F.coalesce(F.col(f"`{owner_col}`").cast("string"), F.lit("")).alias("_owner"),
+        F.coalesce(F.col(f"`{repository_col}`").cast("string"), F.lit("")).alias("_repository"),
         _pieces(text, ASSIGN, 2).alias("_assign"),
         _pieces(text, ACCESS, 0).alias("_access"),
         _pieces(text, HEX, 0).alias("_hex"),
@@ -96,15 +96,23 @@ def _joined(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
 
 
+def _matched():
+    return F.col("_assign").isNotNull() | F.col("_access").isNotNull() | F.col("_hex").isNotNull()
+
+
 def report(docs: DataFrame, id_col: str = "doc_id", **columns: str) -> DataFrame:
-    """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, n_shared."""
+    """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, n_shared.
+
+    Null and empty texts have counts of 0, empty spans and the digest of an empty string.  Repeated
+    rows have a row each, which count as one holder of their secrets; an empty table gives no rows.
+    """
     found, spans = scan(docs, keep=[id_col], **columns)
+    own_id = F.col("doc")[id_col].alias("doc_id")
     ordered = F.array_sort(F.collect_list(F.struct("start", "no", "end", "kind", "verdict")))
     per_row = spans.groupBy("_row").agg(ordered.alias("s"))
     # Rows without a match skip the join.
-    some = F.col("_assign").isNotNull() | F.col("_access").isNotNull() | F.col("_hex").isNotNull()
-    rows = found.where(some).select("_row", id_col).join(per_row, "_row", "left")
-    rows = rows.unionByName(found.where(~some).select("_row", id_col, F.lit(None).cast(dict(per_row.dtypes)["s"]).alias("s")))
+    rows = found.where(_matched()).select("_row", own_id).join(per_row, "_row", "left")
+    rows = rows.unionByName(found.where(~_matched()).select("_row", own_id, F.lit(None).cast(dict(per_row.dtypes)["s"]).alias("s")))
     s = F.coalesce(F.col("s"), F.array().cast(dict(per_row.dtypes)["s"]))
     base = F.filter(s, lambda x: x["no"] < 3)
 
@@ -112,7 +120,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", **columns: str) -> DataFrame
         return F.size(F.filter(s, lambda x: (x["no"] <= upto) & (x[field] == value))).cast("long")
 
     return rows.select(
-        F.col(id_col).alias("doc_id"),
+        "doc_id",
         *(count("kind", k).alias(f"n_{k}") for k in KINDS[:3]),
         F.sha2(_joined(base), 256).alias("base_sha256"),
         _joined(s).alias("spans"),
@@ -122,22 +130,26 @@ def report(docs: DataFrame, id_col: str = "doc_id", **columns: str) -> DataFrame
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", text_col: str = "text", length_col: str | None = "n_chars", **columns: str) -> DataFrame:
-    """The documents with each live credential in the text put out by the mark; texts without one stay as they are."""
+    """The documents with each live credential in the text put out by the mark; all columns stay, and length_col, if the table has it, counts the new text's code points.
+
+    Texts without a live credential, null and empty ones among them, stay as they are, and repeated
+    rows are changed alike; an empty table gives an empty one.
+    """
     found, spans = scan(docs, text_col=text_col, **columns)
     live = spans.where("kind = 'live'").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans"))
-    some = F.col("_assign").isNotNull() | F.col("_access").isNotNull() | F.col("_hex").isNotNull()
-    rows = found.where(some).join(live, "_row", "left")
+    text = F.col("doc")[text_col]
     empty = F.array().cast(dict(live.dtypes)["_spans"])
     before = F.concat(F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"))), F.coalesce(F.col("_spans"), empty))
     # Text from the end of each span to the start of the next; spans that overlap leave nothing between them.
     ends = F.transform(before, lambda x, i: F.struct(F.array_max(F.transform(F.slice(before, 1, i + 1), lambda y: y["end"])).alias("at"), F.get(before, i + 1)["start"].alias("stop")))
     kept = F.transform(
         F.filter(ends, lambda x: x["stop"].isNull() | (x["stop"] >= x["at"])),
-        lambda x: F.substring(F.col(f"`{text_col}`"), (x["at"] + 1).cast("int"), F.coalesce(x["stop"] - x["at"], F.length(f"`{text_col}`").cast("long")).cast("int")),
+        lambda x: F.substring(text, (x["at"] + 1).cast("int"), F.coalesce(x["stop"] - x["at"], F.length(text).cast("long")).cast("int")),
     )
-    text = F.when(F.col("_spans").isNotNull(), F.array_join(kept, mark)).otherwise(F.col(f"`{text_col}`"))
-    rows = rows.withColumn(text_col, text)
-    if length_col:
-        rows = rows.withColumn(length_col, F.when(F.col("_spans").isNotNull(), F.length(f"`{text_col}`").cast("long")).otherwise(F.col(f"`{length_col}`")))
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    return rows.select(own).unionByName(found.where(~some).select(own))
+    rows = found.where(_matched()).join(live, "_row", "left").withColumn("_text", F.when(F.col("_spans").isNotNull(), F.array_join(kept, mark)).otherwise(text))
+    new = {text_col: F.col("_text")}
+    if length_col in docs.columns:
+        old = F.col("doc")[length_col]
+        new[length_col] = F.when(F.col("_spans").isNotNull(), F.length("_text").cast(docs.schema[length_col].dataType)).otherwise(old)
+    changed = rows.select(*(new.get(c, F.col("doc")[c]).alias(c) for c in docs.columns))
+    return changed.unionByName(found.where(~_matched()).select(*(F.col("doc")[c].alias(c) for c in docs.columns)))

@@ -5,12 +5,14 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from kestrel.llm import bpe, fingerprints, jaccard_join, language, neighbours, packing, secrets, substring_dedup, token_files, warc
-from kestrel.llm.common import WordHashes, shared_dir
+from kestrel.llm import bpe, fingerprints, jaccard_join, language, neighbours, packing, secrets, substring_dedup, token_files, warc, words as scan
+from kestrel.llm.common import shared_dir
 from kestrel.llm.graph import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row_key string, n_tokens int"
@@ -212,23 +214,73 @@ def test_near_duplicates_of_the_pipeline(spark, monkeypatch):
     assert {r.doc_id for r in kept} == {name.index(n) for n in name}
 
 
-def test_packing(docs, empty):
-    got = packing.pack(docs.drop("n_tokens"), buckets=3, budget=500).toPandas()
-    assert sorted(got.n_tokens) == sorted(len(t.encode().split()) for _, t in all_rows(docs))
-    per_batch = got.groupby(["bucket", "batch"]).agg(n=("n_tokens", "size"), top=("padded_tokens", "max"))
-    assert ((per_batch.n * per_batch.top <= 500) | (per_batch.n == 1)).all() and (got.n_tokens <= got.padded_tokens).all()
+def least_padding(lengths, buckets):
+    """The least padding by trying where each bucket ends, bin by bin."""
+    tops = sorted(set(lengths))
+    pad = lambda i, j: sum(tops[j - 1] - x for x in lengths if tops[i] <= x <= tops[j - 1])
+    best = [0, *[float("inf")] * len(tops)]
+    for _ in range(buckets):
+        best = [0, *(min(best[i] + pad(i, j) for i in range(j)) for j in range(1, len(tops) + 1))]
+    return best[-1]
+
+
+def check_packed(rows, lengths, buckets, budget):
+    """rows: (n_tokens, bucket, padded_tokens, batch, slot)."""
+    assert sorted(r[0] for r in rows) == sorted(lengths)
+    short = [r for r in rows if r[0] <= budget]
+    edges = sorted({r[2] for r in short})
+    assert len(edges) <= buckets and all(r[2] == min(e for e in edges if e >= r[0]) and edges.index(r[2]) == r[1] for r in short)
+    assert sum(r[2] - r[0] for r in short) == least_padding([x for x in lengths if x <= budget], buckets)
+    per_batch = {}
+    for n, bucket, padded, batch, slot in rows:
+        per_batch.setdefault((bucket, batch), []).append((slot, padded))
+        assert n <= budget or padded == n
+    last = {}
+    for bucket, batch in per_batch:
+        last[bucket] = max(last.get(bucket, 0), batch)
+    for (bucket, batch), held in per_batch.items():
+        padded = held[0][1]
+        full = max(1, budget // max(1, padded))
+        assert sorted(s for s, _ in held) == list(range(len(held))) and len(held) <= full
+        assert batch == last[bucket] or len(held) == full
+
+
+def test_packing(spark, docs, empty):
+    places = ["n_tokens", "bucket", "padded_tokens", "batch", "slot"]
+    got = packing.pack(docs.drop("n_tokens"), buckets=3, budget=500)
+    check_packed([tuple(r) for r in got.select(places).collect()], [len(t.encode().split()) for _, t in all_rows(docs)], 3, 500)
+    pick = np.random.default_rng(3)
+    lengths = [*pick.integers(0, 5000, 150).tolist(), *[4999] * 30, 16384, 16385, 40_000, 0, 0]
+    table = spark.createDataFrame(list(enumerate(lengths)), "doc_id long, words long")
+    for buckets in (1, 5, 16):
+        found = packing.pack(table, text_col="none", length_col="words", buckets=buckets)
+        check_packed([tuple(r) for r in found.select(places).collect()], lengths, buckets, packing.BUDGET)
+    again = packing.pack(table.repartition(7), text_col="none", length_col="words")
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, found.collect()))
     assert packing.pack(empty).count() == 0
+    odd = spark.createDataFrame([(1, None), (1, None), (None, -3)], "doc_id long, words long")
+    assert sorted(map(tuple, packing.pack(odd, text_col="none", length_col="words").select("n_tokens", "batch", "slot").collect())) == [(0, 0, 0), (0, 0, 1), (0, 0, 2)]
 
 
-def test_packing_counts_token_ids(spark, docs, tmp_path):
+def test_packing_counts_and_packs_token_ids(spark, docs, empty, tmp_path):
     import corpus_pipeline
     from kestrel.llm import queries
 
-    own = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    want = sorted(len(own.encode(t, add_special_tokens=False).ids) for _, t in all_rows(docs))
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own = Tokenizer.from_file(path)
+    ids = [(i, own.encode(t, add_special_tokens=False).ids) for i, t in all_rows(docs)]
     docs.write.parquet(f"file://{tmp_path}/documents.parquet")
-    for got in (queries.op8_packing(spark, f"file://{tmp_path}"), corpus_pipeline.packed(spark, docs, "")):
-        assert sorted(r.n_tokens for r in got.collect()) == want
+    counted = queries.op8_packing(spark, f"file://{tmp_path}")
+    places = ["doc_id", "n_tokens", "bucket", "padded_tokens", "batch", "slot"]
+    whole = corpus_pipeline.packed(spark, docs, "")
+    check_packed([tuple(r)[1:] for r in counted.select(places).collect()], [len(x) for _, x in ids], 16, packing.BUDGET)
+    # rows of one id and length may change places
+    assert sorted(map(tuple, counted.select(places).collect()), key=repr) == sorted(map(tuple, whole.select(places).collect()), key=repr)
+    assert sorted(((r.doc_id, np.frombuffer(r.ids, "<u2").tolist()) for r in whole.collect()), key=repr) == sorted(ids, key=repr)
+    for batch in packing.batches(whole).collect():
+        assert batch.n_docs == 1 or batch.n_docs * batch.padded_tokens <= packing.BUDGET
+        assert all(len(x) // 2 <= batch.padded_tokens for x in batch.ids)
+    assert corpus_pipeline.packed(spark, empty, "").count() == 0
 
 
 def test_packing_boundaries_are_optimal():
@@ -236,12 +288,11 @@ def test_packing_boundaries_are_optimal():
 
     lengths = [1, 1, 2, 5, 5, 6, 9, 14, 14, 20]
     tops = sorted(set(lengths))
-    bins = [(t, lengths.count(t), t * lengths.count(t)) for t in tops]
     pad = lambda edges: sum(min(e for e in edges if e >= x) - x for x in lengths)
     for k in range(1, len(tops) + 1):
         best = min(pad([*c, tops[-1]]) for c in combinations(tops[:-1], k - 1))
-        edges, padding = packing.boundaries(bins, k)
-        assert padding == best == pad(edges) and len(edges) <= k
+        edges, padding = packing.boundaries([(t, lengths.count(t)) for t in tops], k)
+        assert padding == best == pad(edges) == least_padding(lengths, k) and len(edges) <= k
 
 
 def test_substrings(spark, docs, empty):
@@ -292,7 +343,7 @@ def test_substrings_join_lines_that_are_unlike_their_leaders(spark, monkeypatch)
     for i in range(len(rows)):
         for k in range(i):
             alike = 100 * len(sets[i] & sets[k]) >= 80 * len(sets[i] | sets[k])
-            if alike and set(zip(range(8), lines[i].bands)) & set(zip(range(8), lines[k].bands)):
+            if alike and set(lines[i].bands) & set(lines[k].bands):
                 checked += 1
                 assert held[i] == held[k]
     assert checked > 0
@@ -339,6 +390,190 @@ def test_marginals_equal_brute_force():
     assert np.allclose(whole, p / p.sum(axis=1, keepdims=True))
 
 
+def test_letters_are_unicode_letters(spark):
+    rows = [(i, "abc def ghi abc", "aa") for i in range(20)] + [(100, "² ½ Ⅷ 12", "aa"), (101, "١٢ ー̃", "aa"), (102, "़ ़", "aa"), (103, "", "aa"), (104, "ß", "aa")]
+    got = {r.doc_id: r.lang_pred for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[100] == got[102] == got[103] == "und" and got[101] == got[104] == got[0] == "aa"
+
+
+def test_expected_pairs_equal_brute_force():
+    from itertools import product
+
+    pick = np.random.default_rng(6)
+    ev, start, step = pick.normal(size=(5, 3)), pick.normal(size=3), pick.normal(size=(3, 3))
+    ahead, behind, own = language._messages(ev, np.array([5]), start, step)
+    here = np.arange(1, 5)
+    want, total = np.zeros((3, 3)), 0.0
+    for path in product(range(3), repeat=5):
+        p = np.exp(sum(ev[t, y] for t, y in enumerate(path)) + start[path[0]] + sum(step[a, b] for a, b in zip(path, path[1:])))
+        total += p
+        for a, b in zip(path, path[1:]):
+            want[a, b] += p
+    assert np.allclose(language._pairs(ahead[here - 1], own[here] * behind[here], step), want / total)
+
+
+def test_fingerprints_equal_a_second_version(spark):
+    import xxhash
+
+    mask = (1 << 64) - 1
+
+    def scramble(h):
+        h = ((h ^ (h >> 32)) * 0xD6E8FEB86659FD93) & mask
+        h = ((h ^ (h >> 29)) * 0xA0761D6478BD642F) & mask
+        return h ^ (h >> 32)
+
+    def print_of(text):
+        w = [xxhash.xxh3_64_intdigest(x) for x in text.encode().lower().split()]
+        if not w:
+            return ""
+        k, least = min(5, len(w)), {}
+        for i in range(len(w) - k + 1):
+            h = 0
+            for j in range(k):
+                h = (h * 0x9E3779B97F4A7C15 + scramble((w[i + j] + j + 1) & mask)) & mask
+            h = scramble((h + k) & mask)
+            least[h >> 56] = min(least.get(h >> 56, mask), h)
+        low = []
+        for b in range(256):
+            at, attempt = b, 0
+            while at not in least:
+                at = scramble((b * 0x9E3779B97F4A7C15 + 2 * attempt + 1) & mask) >> 56
+                attempt += 1
+            low.append(scramble(least[at]) & 15)
+        return bytes(low[i] | low[i + 1] << 4 for i in range(0, 256, 2)).hex()
+
+    texts = ["", "one", "one two three", words(1, 30), words(2, 700), words(2, 690) + " changed end here", "a " * 50]
+    got = sorted(fingerprints.compare_with_next(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect(), key=lambda r: r.doc_id)
+    for i, (r, text) in enumerate(zip(got, texts, strict=True)):
+        following = texts[(i + 1) % len(texts)]
+        changed = text[: len(text) - len(text) // 4] + following[: len(text) // 4]
+        assert (r.fingerprint, r.edited_fingerprint, r.n_chars, r.edited_sha256) == (print_of(text), print_of(changed), len(text), hashlib.sha256(changed.encode()).hexdigest())
+        for near, other in ((r.near_edited, changed), (r.near_next, following)):
+            a, b = print_of(text), print_of(other)
+            same = sum(x == y for x, y in zip(a, b)) / 256
+            assert abs(near - (float(a == b) if not a or not b else min(1.0, max(0.0, (same - 1 / 16) / (15 / 16))))) < 1e-12
+
+
+def test_secrets_equal_sql(spark):
+    import duckdb
+
+    from kestrel.llm import queries
+
+    pick = np.random.default_rng(9)
+    value = lambda n: "".join(pick.choice(list("abcdefABC0123456789"), n))
+    shared = [value(20), value(9), "changeme1234", "f" * 30, "AKIA" + "Q" * 20, "exampleexample", value(40)]
+    parts = lambda: pick.choice([f"token={shared[pick.integers(0, 7)]}", f"password : '{value(pick.integers(3, 30))}'", value(30).lower(), "API_KEY==x", f"AKIA{value(18).upper()}", shared[4], "é 日本", "secret:" + shared[2], "apikey=\"" + value(12) + "\" tokens"], 4)
+    rows = [(i % 70 if i % 9 else None, None if i % 11 == 0 else " ".join(parts()), None if i % 13 == 0 else f"s{pick.integers(0, 6)}") for i in range(90)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = secrets.report(table).toPandas()
+    con = duckdb.connect()
+    con.register("documents", table.toPandas().astype({"doc_id": "Int64"}))
+    want = con.execute(queries.oracle_sql()["op3_secrets"]).fetchdf()
+    key = lambda frame: sorted((tuple(None if pd.isna(x) else x if isinstance(x, str) else int(x) for x in r) for r in frame[sorted(frame.columns)].astype(object).itertuples(index=False)), key=repr)
+    assert sorted(got.columns) == sorted(want.columns) and key(got) == key(want)
+    assert got.n_example.sum() > 0 and got.n_live.sum() > 0 and got.n_shared.sum() > 0
+
+
+CLASHING = ["_row", "_owner", "_repository", "_assign", "_spans", "_text", "doc", "spans", "row_key", "_row_key", "lang_pred", "_lang_pred", "score", "_score", "token", "class", "cluster", "ids", "n_tokens", "bucket", "chunk", "kind"]
+
+
+def stage_functions():
+    import corpus_pipeline
+
+    return corpus_pipeline.STAGES
+
+
+def clashing_table(spark):
+    texts = [None, "", " ", "no words twice", LONG, LONG, words(31, 90) + " " + SECRET, words(32, 200) + " " + LONG, "日本 ½", "short"]
+    rows = [(i, t, "en", f"s{i % 4}", len(t or ""), *(f"{c}-{i}" for c in CLASHING)) for i, t in enumerate(texts)] + [(None,) * (5 + len(CLASHING)), (4, LONG, "en", "s0", len(LONG), *(f"{c}-4" for c in CLASHING))]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHING))
+
+
+@pytest.mark.parametrize("name", [n for n, _ in stage_functions()[:-1]])
+def test_stages_keep_columns_of_clashing_names(spark, name):
+    table, stage = clashing_table(spark), dict(stage_functions())[name]
+    out = stage(spark, table, "")
+    assert out.schema.names == table.schema.names and [f.dataType for f in out.schema] == [f.dataType for f in table.schema]
+    rows = out.collect()
+    kept = {r.doc_id for r in rows}
+    assert all(r[c] == f"{c}-{r.doc_id}" for r in rows if r.doc_id is not None for c in CLASHING)
+    assert {"language_id": {3, 4, 5, 6, 7, 8, 9} <= kept and not {0, 1, 2} & kept, "near_duplicates": 4 in kept and 5 not in kept, "repeated_passages": 4 in kept and 5 not in kept and {0, 1, 2, 7} <= kept, "secret_scans": len(rows) == 12}[name]
+    text = {r.doc_id: r.text for r in rows}
+    if name == "repeated_passages":
+        assert text[7].split() == words(32, 200).split()
+    if name == "secret_scans":
+        assert SECRET not in text[6] and text[6].startswith(words(31, 90))
+    bare = stage(spark, table.select("doc_id", "text", "lang", "source"), "")
+    assert bare.columns == ["doc_id", "text", "lang", "source"] and bare.count() == len(rows)
+
+
+def test_last_stage_with_clashing_names(spark):
+    rows = dict(stage_functions())["packing"](spark, clashing_table(spark), "").collect()
+    assert len(rows) == 12 and sorted((r.bucket, r.batch, r.slot) for r in rows) == sorted({(r.bucket, r.batch, r.slot) for r in rows})
+
+
+@pytest.mark.parametrize("name", [n for n, _ in stage_functions()])
+def test_stages_of_empty_tables(spark, empty, name):
+    assert dict(stage_functions())[name](spark, empty, "").count() == 0
+
+
+def test_very_long_texts(spark):
+    long = words(51, 250_000)
+    rows = [(0, long, "en", "a", len(long)), (1, "x" * 1_500_000, "en", "b", 1_500_000), (2, long[:-6] + "zzzzz", "en", "c", len(long)), (3, words(52, 100) + " " + long[:600_000], "en", "d", 0), (4, "token=abc1234defX " * 30_000, "en", "e", 0)]
+    short = [(100 + i, words(600 + i, 20), "en", "f", 0) for i in range(20)]  # the longest texts are not learned from
+    table = spark.createDataFrame(rows + short, "doc_id long, text string, lang string, source string, n_chars long").repartition(5).cache()
+    stages = dict(stage_functions())
+    assert {0, 1, 2, 3, 4} <= {r.doc_id for r in stages["language_id"](spark, table, "").select("doc_id").collect()}
+    table = table.where("doc_id < 100")
+    assert {r.doc_id for r in stages["near_duplicates"](spark, table, "").select("doc_id").collect()} == {0, 1, 3, 4}
+    left = {r.doc_id: r.text for r in stages["repeated_passages"](spark, table, "").collect()}
+    assert left[0] == long and 2 not in left and left[3].split()[:100] == words(52, 100).split() and len(left[3].split()) <= 102
+    assert {r.doc_id: r.text for r in stages["secret_scans"](spark, table, "").collect()}[4] == "token=[SECRET] " * 30_000
+    packed = {r.doc_id: r for r in stages["packing"](spark, table, "").collect()}
+    assert packed[0].padded_tokens == packed[0].n_tokens > 250_000 and len(packed) == 5
+
+
+def test_tree_gives_all_pairs_that_can_link():
+    pick = np.random.default_rng(12)
+    base = pick.integers(0, 1 << 63, 400).astype(np.uint64)
+    sets = []
+    for i in range(300):
+        own = base[pick.random(400) > 0.03] if i % 3 else pick.integers(0, 1 << 63, pick.integers(1, 400)).astype(np.uint64)
+        sets.append(np.unique(own))
+    stops = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    counts = jaccard_join._counts_of(np.concatenate(sets), stops)
+    tree = jaccard_join.Tree(np.diff(stops), counts)
+    found = [tuple(sorted(p)) for x, y in tree.pairs(tree, 90) for p in zip(x.tolist(), y.tolist())]
+    assert len(found) == len(set(found)) and all(a != b for a, b in found)
+    links = {(i, k) for k in range(300) for i in range(k) if 100 * len(np.intersect1d(sets[i], sets[k])) >= 90 * len(np.union1d(sets[i], sets[k]))}
+    assert links and links <= set(found) and len(found) < 300 * 299 / 4
+    halves = [jaccard_join.Tree(np.diff(stops)[p], counts[p]) for p in (np.arange(0, 150), np.arange(150, 300))]
+    across = {(a, b + 150) for x, y in halves[0].pairs(halves[1], 90) for a, b in zip(x.tolist(), y.tolist())}
+    assert {(i, k) for i, k in links if i < 150 <= k} <= across
+
+
+def test_substrings_equal_brute_force(spark):
+    pick = np.random.default_rng(17)
+    shared = [words(9000 + i, int(pick.integers(50, 76))).split() for i in range(10)]
+    rows = []
+    for i in range(40):
+        parts = [words(7000 + 10 * i + k, int(pick.integers(5, 50))).split() for k in range(3)]
+        middle = [shared[pick.integers(0, 10)], shared[pick.integers(0, 10)]] if i % 4 else [words(8000 + i, 60).split(), []]
+        rows.append((i, " ".join([*parts[0], *middle[0], *parts[1], *middle[1], *parts[2]])))
+    got = {i: set() for i, _ in rows}
+    for r in substring_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).where("removed").collect():
+        got[r.doc_id] |= set(range(r.start_word, r.start_word + r.n_words))
+    seen, want = {}, {i: set() for i, _ in rows}
+    for i, text in rows:
+        w = text.split()
+        for at in range(len(w) - 49):
+            run = tuple(w[at : at + 50])
+            if run in seen and seen[run] != (i, at):
+                want[i] |= set(range(at, at + 50))
+            seen.setdefault(run, (i, at))
+    assert got == want and sum(map(len, want.values())) > 1000
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7), (200, 200)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
@@ -346,9 +581,23 @@ def test_components(spark):
 
 
 def test_shingle_sets():
-    one = jaccard_join.shingle_set("A b\x0bc  d", WordHashes(), 3)
-    assert len(one) == 2 and (one == jaccard_join.shingle_set("a B c d", WordHashes(), 3)).all()
-    assert len(jaccard_join.shingle_set("a b", WordHashes(), 3)) == 1 and len(jaccard_join.shingle_set(" ", WordHashes(), 3)) == 0
+    one, two, three, none = (x.tolist() for x in np.split(*(lambda v, at: (v, at[1:-1]))(*scan.shingle_sets(pa.array(["A b\x0bc  d", "a B c d", "a b", " "]), 3))))
+    assert len(one) == 2 and one == two and len(three) == 1 and none == []
+
+
+def test_words_of_many_texts():
+    pick = np.random.default_rng(5)
+    texts = ["skipped", "", " ", "A b", "  x\n\ty  ", "é ü日本 \x0bZ", "word " * 60_000, "x" * scan.PIECE, f" {'y' * (scan.PIECE - 1)} z", "\x1c a", "q" * (3 * scan.PIECE + 5) + " tail"]
+    texts += ["".join(pick.choice(list("ab \n"), 40)) for _ in range(200)]
+    hashes = {}
+    for most in (1 << 20, 50):
+        for _, part in scan.together(pa.array(texts)[1:], most):
+            found = scan.Words(part)
+            for i, text in enumerate(part.to_pylist()):
+                own = range(found.bounds[i], found.bounds[i + 1])
+                assert [bytes(found.data[found.starts[k] : found.ends[k]]).lower() for k in own] == text.encode().lower().split()
+                assert all(hashes.setdefault(w, found.hashes[k]) == found.hashes[k] for k, w in zip(own, text.encode().lower().split(), strict=True))
+    assert len(set(hashes.values())) == len(hashes)
 
 
 def test_pipeline(spark):
