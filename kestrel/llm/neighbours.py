@@ -3,9 +3,9 @@
 Fit (bounded sample, on the driver): balanced two-means splits give posting lists of equal size;
 their centroids form a graph of near neighbours and a few far links.  Index (every row, on the
 executors): a vector goes to the list of its nearest centroid and, near a border, to those of
-centroids that are hardly farther.  Search: a best-first walk over the graph of centroids finds
-those within a ratio of the nearest one, their lists are compared exactly.  Lists are cut into
-blocks of bounded size, so no list meets in one task.
+centroids that are hardly farther.  Search: the lists of the centroids within a ratio of the nearest
+one are compared exactly.  Both find centroids by a best-first walk over the graph, many vectors at
+a time.  Lists are cut into blocks of bounded size, so no list meets in one task.
 """
 
 from __future__ import annotations
@@ -17,41 +17,78 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from kestrel.llm.common import partitions, ready, shared_dir, stash
+from kestrel.llm.common import discard, partitions, ready, shared_dir, stash
 
 #: Vectors to a list in the mean, lists at most, and sampled vectors to fit a list on.
-LIST_SIZE, MOST_LISTS, SAMPLE_PER_LIST = 256, 4096, 64
+LIST_SIZE, MOST_LISTS, SAMPLE_PER_LIST = 128, 4096, 64
 #: A vector joins lists whose centroids are at most so much farther than its nearest one, COPIES at most.
-BORDER, COPIES = 0.02, 8
-#: A query reads lists whose centroids are at most so much farther than its nearest one.
-RATIO = 0.12
+BORDER, COPIES = 0.02, 2
+#: A query reads the nearest lists, and those whose centroids are at most so much farther than its nearest one, LISTS_READ at most.
+RATIO, LEAST_READ, LISTS_READ = 0.11, 112, 192
 #: Vectors to a block, and queries to a block.
 BLOCK, QUERY_BLOCK = 1024, 128
-LINKS, FAR_LINKS = 24, 4
+#: Near and far links of a centroid, centroids that a walk starts from, vectors that walk together, and centroids that a walk of the index holds.
+LINKS, FAR_LINKS, STARTS, TOGETHER, HELD = 24, 4, 16, 1024, 24
+#: A walk goes on to centroids that are at most so much farther than the nearest one it has found.
+WALK = 0.15
 
 
 @dataclass
 class Centroids:
     points: np.ndarray
-    links: np.ndarray
-
-    def near(self, query: np.ndarray, ratio: float) -> list[int]:
-        """Numbers of the centroids that the walk finds within (1 + ratio) times the distance of the nearest one."""
-        entry = 0
-        d = float(np.linalg.norm(self.points[entry] - query))
-        seen, heap, found, best = {entry}, [(d, entry)], [(d, entry)], d
-        while heap:
-            d, c = heapq.heappop(heap)
-            if d > best * (1 + ratio) and len(found) > LINKS:
+    links: np.ndarray  # a row per centroid, all different; what is missing is the centroid itself
+
+    def walk(self, x: np.ndarray, held: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+        """(centroids, distances) of the nearest `held` that a walk finds for each vector, nearest first; -1 and infinity where it found fewer.
+
+        A walk goes on to the links of the nearest centroid that it has not been at, as long as one lies within the ratio of the nearest of all.
+        """
+        n, rows = len(self.points), len(x)
+        held = min(held, n)
+        own = (self.points * self.points).sum(axis=1)
+        squares = (x * x).sum(axis=1)
+        starts = np.linspace(0, n - 1, min(STARTS, n)).astype(np.int64)
+        near = squares[:, None] + own[starts] - 2 * x @ self.points[starts].T
+        width = max(held, len(starts))
+        at = np.full((rows, width), -1, np.int64)
+        dist = np.full((rows, width), np.inf)
+        at[:, : len(starts)], dist[:, : len(starts)] = starts, np.sqrt(np.maximum(near, 0))
+        seen = np.zeros((rows, n), bool)
+        seen[:, starts] = True
+        been = np.zeros((rows, width), bool)
+        live = np.arange(rows)
+        while len(live):
+            d = np.where(been[live], np.inf, dist[live])
+            pick = d.argmin(axis=1)
+            best = d[np.arange(len(live)), pick]
+            go = np.isfinite(best) & (best <= dist[live].min(axis=1) * (1 + ratio) + 1e-12)
+            live, pick = live[go], pick[go]
+            if not len(live):
                 break
-            new = [x for x in self.links[c].tolist() if x not in seen]
-            if new:
-                seen.update(new)
-                for x, e in zip(new, np.sqrt(((self.points[new] - query) ** 2).sum(axis=1)).tolist(), strict=True):
-                    heapq.heappush(heap, (e, x))
-                    found.append((e, x))
-                    best = min(best, e)
-        return sorted(c for d, c in found if d <= best * (1 + ratio))
+            been[live, pick] = True
+            new = self.links[at[live, pick]]
+            fresh = ~seen[live[:, None], new]
+            seen[live[:, None], new] = True
+            e = squares[live, None] + own[new] - 2 * np.einsum("rd,rld->rl", x[live], self.points[new])
+            e = np.where(fresh, np.sqrt(np.maximum(e, 0)), np.inf)
+            every, every_at = np.concatenate([dist[live], e], axis=1), np.concatenate([at[live], new], axis=1)
+            every_been = np.concatenate([been[live], np.zeros(new.shape, bool)], axis=1)
+            keep = np.argpartition(every, width - 1, axis=1)[:, :width]
+            dist[live], at[live], been[live] = (np.take_along_axis(v, keep, axis=1) for v in (every, every_at, every_been))
+        order = np.argsort(dist, axis=1, kind="stable")[:, :held]
+        dist, at = np.take_along_axis(dist, order, axis=1), np.take_along_axis(at, order, axis=1)
+        return np.where(np.isfinite(dist), at, -1), dist
+
+    def within(self, x: np.ndarray, least: int, most: int, ratio: float, held: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, centroid) pairs: for each vector the nearest `least` centroids and those within the ratio of its nearest one, `most` at most."""
+        rows, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for first in range(0, len(x), TOGETHER):
+            at, dist = self.walk(x[first : first + TOGETHER], max(most, held), max(ratio, WALK))
+            at, dist = at[:, :most], dist[:, :most]
+            r, c = np.nonzero(np.isfinite(dist) & ((dist <= dist[:, :1] * (1 + ratio)) | (np.arange(dist.shape[1]) < least)))
+            rows.append(r + first)
+            found.append(at[r, c])
+        return np.concatenate(rows), np.concatenate(found)
 
 
 def _distances(x: np.ndarray, points: np.ndarray) -> np.ndarray:
@@ -78,7 +115,9 @@ def fit(sample: np.ndarray, lists: int, seed: int = 5) -> Centroids:
     near = np.argsort(_distances(points, points), axis=1, kind="stable")[:, : min(LINKS + 1, n)]
     far = pick.integers(0, n, (n, FAR_LINKS))
     ring = ((np.arange(n) + 1) % n)[:, None]  # keeps the graph connected
-    return Centroids(points, np.concatenate([near, far, ring], axis=1))
+    links = np.sort(np.concatenate([near, far, ring], axis=1), axis=1)
+    links[:, 1:][links[:, 1:] == links[:, :-1]] = -1
+    return Centroids(points, np.where(links < 0, np.arange(n)[:, None], links))
 
 
 def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -121,37 +160,21 @@ def search(vectors: DataFrame, is_query=None, k: int = 10, id_col: str = "vec_id
     centroids = fit(_matrix(sample, dims), lists)
     shared = spark.sparkContext.broadcast(centroids)  # at most MOST_LISTS points
 
-    def assign(batches):
-        points = shared.value.points
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _matrix(batch.column(1), dims)
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            d = _distances(x, points)
-            copies = min(COPIES, len(points))
-            near = np.argpartition(d, copies - 1, axis=1)[:, :copies]
-            dist = np.take_along_axis(d, near, axis=1)
-            r, c = np.nonzero(dist <= dist.min(axis=1, keepdims=True) * (1 + border))
-            yield pa.RecordBatch.from_arrays([pa.array(near[r, c], pa.int32()), pa.array(ids[r]), pa.array([x[i].tobytes() for i in r.tolist()], pa.binary())], ["list", "vec_id", "v"])
-
-    def choose(batches):
-        graph = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _matrix(batch.column(1), dims)
-            owner, chosen = [], []
-            for i in range(len(x)):
-                some = graph.near(x[i], ratio)
-                owner += [i] * len(some)
-                chosen += some
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(chosen, pa.int32()), pa.array(ids[owner]), pa.array([x[i].tobytes() for i in owner], pa.binary())], ["list", "vec_id", "v"])
+    def walked(least: int, most: int, within: float, held: int):
+        def run(batches):
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x = _matrix(batch.column(1), dims)
+                r, c = shared.value.within(x, least, most, within, held)
+                ids = batch.column(0).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array(ids[r]), pa.array([x[i].tobytes() for i in r.tolist()], pa.binary())], ["list", "vec_id", "v"])
+
+        return run
 
     shape = "list int, vec_id long, v binary"
-    queries = stash(rows.where(is_query).select("vec_id", "v").repartition(partitions(spark)).mapInArrow(choose, shape), folder, "queries")
-    postings = stash(rows.select("vec_id", "v").mapInArrow(assign, shape), folder, "postings")
+    queries = stash(rows.where(is_query).select("vec_id", "v").repartition(partitions(spark)).mapInArrow(walked(LEAST_READ, LISTS_READ, ratio, LISTS_READ), shape), folder, "queries")
+    postings = stash(rows.select("vec_id", "v").mapInArrow(walked(1, COPIES, border, HELD), shape), folder, "postings")
 
     def blocks(df: DataFrame, most: int, name: str) -> DataFrame:
         """Rows of a list in blocks of about `most`, dealt by the hash of the id."""
