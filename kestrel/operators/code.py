@@ -225,11 +225,16 @@ def unused_imports(files: DataFrame, found: DataFrame) -> DataFrame:
     imports = found.where("kind = 'import' AND NOT flag").where(~F.col("path").endswith("__init__.py")).select(*key, "line", "name", "statement")
     imports = imports.join(found.where("kind = 'star'").select(key).distinct(), key, "left_anti")
     imports = imports.join(found.where("kind = 'use'").select(*key, "name"), [*key, "name"], "left_anti")
-    rows = imports.join(files.select(*key, "content"), key).withColumn("lines", F.split("content", "\r?\n"))
-    elsewhere = F.exists(F.transform("lines", lambda text, i: F.struct(text.alias("t"), (i + 1).alias("i"))), lambda x: (x.i != F.col("line")) & _word_on(x.t, F.col("name")))
-    rows = rows.where(~((F.octet_length("name") >= 2) & elsewhere) & ~silenced(F.coalesce(F.get("lines", F.col("line").cast("int") - 1), F.lit(""))))
-    rows = rows.where(~(F.col("content").contains("create_all") & F.lower("statement").contains("model")))
-    return rows.where(~(F.col("name").isin("pytest", "unittest") & is_test_scope(F.col("path")))).select(*key, "line", "name")
+    # A file's imports travel together, so that its text does once.
+    own = imports.groupBy(*key).agg(F.collect_list(F.struct("line", "name", "statement")).alias("imports"))
+    rows = own.join(files.select(*key, "content"), key).withColumn("lines", F.split("content", "\r?\n"))
+    numbered = F.transform("lines", lambda text, i: F.struct(text.alias("t"), (i + 1).alias("i")))
+    elsewhere = lambda x: F.exists(numbered, lambda y: (y["i"] != x["line"]) & _word_on(y["t"], x["name"]))
+    own_line = lambda x: F.coalesce(F.get(F.col("lines"), x["line"].cast("int") - 1), F.lit(""))
+    model = lambda x: F.col("content").contains("create_all") & F.lower(x["statement"]).contains("model")
+    framework = lambda x: x["name"].isin("pytest", "unittest") & is_test_scope(F.col("path"))
+    left = F.filter("imports", lambda x: ~((F.octet_length(x["name"]) >= 2) & elsewhere(x)) & ~silenced(own_line(x)) & ~model(x) & ~framework(x))
+    return rows.select(*key, F.inline(left)).select(*key, "line", "name")
 
 
 def unused_definitions(found: DataFrame) -> DataFrame:

@@ -147,16 +147,21 @@ def _state(bare: str) -> Iterator[tuple[int, str, str]]:
         stop = _end(bare, start)
         body = bare[start + 1 : stop]
         setters = set(re.findall(r"\[\s*\w+\s*,\s*(\w+)\s*\]\s*=\s*(?:\w+\.)?useState\b", body))
-        plain: list[bool] = []
+        plain: list[tuple[int, bool]] = []  # where a bracket opens, and whether it is a block
+        closed = (-1, -1)  # the last bracket that closed, and where it opened
         for token in re.finditer(r"[()\[\]{}]|\b\w+(?=\s*\()", body):
-            word, before = token.group(), body[: token.start()].rstrip()
+            word, last = token.group(), token.start() - 1
+            while last >= 0 and body[last].isspace():
+                last -= 1
+            end = body[max(0, last - 4) : last + 1]
+            after_else = bool(re.search(r"\belse$", end)) or end == "else"
             if word in CLOSING:
-                block = word == "{" and (before[-1:] in ("", ";", "{", "}") or before.endswith("else") or bool(re.search(r"\bif\s*\([^()]*(\([^()]*\)[^()]*)*\)$", before)))
-                plain.append(block)
+                after_if = end.endswith(")") and closed[0] == last and bool(re.search(r"\bif\s*$", body[max(0, closed[1] - 40) : closed[1]]))
+                plain.append((token.start(), word == "{" and (end[-1:] in ("", ";", "{", "}") or after_else or after_if)))
             elif word in CLOSING.values():
                 if plain:
-                    plain.pop()
-            elif word in setters and all(plain) and (before[-1:] in ("", ";", "{", "}", ")") or before.endswith("else") or "\n" in body[len(before) : token.start()]) and not before.endswith("=>"):
+                    closed = (token.start(), plain.pop()[0])
+            elif word in setters and all(p for _, p in plain) and (end[-1:] in ("", ";", "{", "}", ")") or after_else or "\n" in body[last + 1 : token.start()]) and not end.endswith("=>"):
                 yield start + 1 + token.start(), "ux.setstate-in-render", word
 
 

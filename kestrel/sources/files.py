@@ -43,24 +43,32 @@ def read_tree(spark: SparkSession, root: str) -> DataFrame:
 
     Spark's file sources hide names that begin with a dot or an underscore and leave out empty files, so
     the tree is read with pyarrow's file systems (any store they know; all machines must reach it).  The
-    driver lists the top folder only; each task walks folders of its own and holds a file at a time.
+    driver lists the top folder only, tasks list the folders below it, and the files that they find are
+    dealt out anew, so that one large folder is read by many tasks; a task holds a file at a time.
     """
     store, base = _store(root)
     top = [(i.path, i.type == fs.FileType.Directory) for i in store.get_file_info(fs.FileSelector(base))]
     schema = pa.schema([("path", pa.string()), ("content", pa.string()), ("modified", pa.timestamp("us", "UTC"))])
 
-    def read(batches):
-        store, base = _store(root)
+    def listed(batches):
+        store, _ = _store(root)
         for batch in batches:
             for entry in batch.to_pylist():
                 found = store.get_file_info(fs.FileSelector(entry["path"], recursive=True)) if entry["folder"] else [store.get_file_info(entry["path"])]
-                for i in (i for i in found if i.type == fs.FileType.File):
-                    with store.open_input_stream(i.path, compression=None) as stream:
-                        row = {"path": i.path[len(base) + 1 :], "content": stream.read().decode("utf-8", "replace"), "modified": i.mtime}
-                    yield pa.RecordBatch.from_pylist([row], schema=schema)
+                rows = [{"path": i.path, "modified": i.mtime} for i in found if i.type == fs.FileType.File]
+                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([schema.field("path"), schema.field("modified")]))
 
-    tasks = max(1, min(len(top), 4 * spark.sparkContext.defaultParallelism))
-    return spark.createDataFrame(top, "path string, folder boolean").repartition(tasks).mapInArrow(read, "path string, content string, modified timestamp")
+    def read(batches):
+        store, base = _store(root)
+        for batch in batches:
+            for i in batch.to_pylist():
+                with store.open_input_stream(i["path"], compression=None) as stream:
+                    row = {"path": i["path"][len(base) + 1 :], "content": stream.read().decode("utf-8", "replace"), "modified": i["modified"]}
+                yield pa.RecordBatch.from_pylist([row], schema=schema)
+
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    files = spark.createDataFrame(top, "path string, folder boolean").repartition(max(1, min(len(top), tasks))).mapInArrow(listed, "path string, modified timestamp")
+    return files.repartition(tasks, "path").mapInArrow(read, "path string, content string, modified timestamp")
 
 
 def ignored_by(path: Column, patterns: list[str]) -> Column:
