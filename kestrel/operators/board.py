@@ -166,14 +166,6 @@ def version_changes(seen: DataFrame, tool: str, version: str, order: str, dismis
     return changed.join(dismissed.select(tool, version).distinct(), [tool, version], "left_anti")
 
 
-def branches(lines: DataFrame, days: int = 30, line: str = "line") -> DataFrame:
-    """(repo, branch, current, age_days, stale) of `git branch` lines `* name|age` (S10, D29); the current branch is never stale."""
-    current = F.col(line).startswith("*")
-    name = S.stripped(F.substring_index(F.expr(f"substring({line}, 3)"), "|", 1))
-    age = F.substring_index(line, "|", -1).try_cast("int")
-    return lines.select("repo", name.alias("branch"), current.alias("current"), age.alias("age_days"), (~current & (age > days)).alias("stale"))
-
-
 def blame(lines: DataFrame, path: str, order: str, line: str = "line") -> DataFrame:
     """(path, line_no, day) of porcelain blame lines in order (S10, D14): a heading names the line, its author's time follows."""
     w = Window.partitionBy(path).orderBy(order)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Severities from worst to least.
@@ -13,6 +15,11 @@ def rank(severity: Column) -> Column:
     return F.coalesce(*(F.when(severity == s, i) for i, s in enumerate(SEVERITIES)), F.lit(len(SEVERITIES)))
 
 
+def union(findings: list[DataFrame]) -> DataFrame:
+    """All findings of several detectors, repeated ones included (U1); columns go by name."""
+    return reduce(lambda a, b: a.unionByName(b), findings)
+
+
 def select(findings: DataFrame, severity: str | None = None, check: str | None = None, prefix: str | None = None) -> DataFrame:
     """Findings by severity, exact check or a check's prefix."""
     for column, value in (("severity", severity), ("check_id", check)):

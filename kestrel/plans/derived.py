@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from kestrel.functions import scalars
-from kestrel.operators import board, code, graph, incremental, interface, project, reports, security, state, text, usage
+from kestrel.operators import board, code, graph, host, incremental, interface, project, reports, security, state, text, usage
 from kestrel.plans.catalogue import _billable, _edges, BILLABLE, EDGES, SEVERITY, register
 from kestrel.sources import files as trees, logs, parsed
 from kestrel.streaming import alerts, rollups
@@ -662,12 +662,6 @@ def _version_changes(spark, read):
     return board.version_changes(seen, "tool", "version", "seen", spark.createDataFrame([(3, "v1")], "tool long, version string"))
 
 
-@register(f"WITH {PARTS} SELECT concat('r', k % 4) AS repo, concat('b', k) AS branch, k % 5 = 0 AS current, CASE WHEN k % 5 = 0 THEN 0 ELSE k % 60 END AS age_days, k % 5 <> 0 AND k % 60 > 30 AS stale FROM k")
-def _git_branches(spark, read):
-    line = "concat(CASE WHEN k % 5 = 0 THEN '* ' ELSE '  ' END, 'b', k, '|', CASE WHEN k % 5 = 0 THEN 0 ELSE k % 60 END)"
-    return board.branches(_made(read, repo="concat('r', k % 4)", line=line))
-
-
 @register(f"WITH {PARTS} SELECT 'a.py' AS path, k AS line_no, concat('2024-01-', lpad((k % 28 + 1)::VARCHAR, 2, '0')) AS day FROM k")
 def _git_blame(spark, read):
     times = "concat('author-time ', 1704067200 + (k % 28) * 86400 + 3600)"
@@ -697,3 +691,121 @@ def _html_titles(spark, read):
 def _map_values(spark, read):
     rows = _billable(read).select(F.col("l_suppkey").alias("key"), F.create_map(F.lit("tokens"), F.col("tokens")).alias("m"))
     return rows.select("key", F.floor(board.value_of(F.col("m"), "tokens", 0) / 1000).cast("long").alias("thousands"))
+
+
+# ---- host texts
+
+@register(f"WITH {PARTS} SELECT k AS name, 'running' AS status, 'db:1' AS image, CASE WHEN k % 2 = 0 THEN 'healthy' END AS health, k % 3 AS exit_code, 0 AS restart_count, k % 5 = 0 AS privileged, '' AS binds, 'host' AS network_mode, '' AS \"user\" FROM k")
+def _container_attributes(spark, read):
+    health = """CASE WHEN k % 2 = 0 THEN ', "Health": {"Status": "healthy"}' ELSE '' END"""
+    json = f"""concat('{{"State": {{"Status": "running", "ExitCode": ', k % 3, {health}, '}}, "HostConfig": {{"Privileged": ', CASE WHEN k % 5 = 0 THEN 'true' ELSE 'false' END, ', "NetworkMode": "host"}}, "Config": {{"Image": "db:1"}}}}')"""
+    return host.containers(_made(read, name="k", json=json)).withColumn("binds", F.array_join("binds", ","))
+
+
+@register(f"WITH {PARTS} SELECT k AS pid, 1.5::DOUBLE AS cpu, k * 2 AS run_seconds, 'worker' AS name, concat('/bin/worker --n ', k) AS cmdline FROM k")
+def _process_table(spark, read):
+    lines = _made(read, line="concat('  ', k, '  1.5 ', k * 2, ' worker /bin/worker --n ', k)")
+    return host.process_table(lines.union(spark.createDataFrame([("  PID %CPU ELAPSED COMMAND",)], "line string")))
+
+
+@register(f"WITH {PARTS} SELECT concat('u', k) AS source, concat(k % 60, ' * * * *') AS schedule, concat('run ', k, ' now') AS command FROM k")
+def _crontab_entries(spark, read):
+    return host.crontab(_made(read, path="concat('u', k)", content="concat('# c', chr(10), 'A=1', chr(10), k % 60, ' * * * * run ', k, ' now', chr(10))"))
+
+
+@register(f"WITH {PARTS} SELECT concat('cron:/etc/cron.daily/j', k) AS source, '/etc/cron.daily' AS schedule, concat('run ', k) AS command FROM k WHERE k % 2 = 0")
+def _cron_folder_entries(spark, read):
+    return host.cron_folders(_made(read, path="concat(CASE WHEN k % 2 = 0 THEN '/etc/cron.daily' ELSE '/etc/other' END, '/j', k)", content="concat('#!/bin/sh', chr(10), 'run ', k)"))
+
+
+@register(f"WITH {PARTS} SELECT k AS pid, 'A' AS name, concat('x=', k) AS value FROM k UNION ALL SELECT k, 'B', '' FROM k")
+def _environments(spark, read):
+    return host.environs(_made(read, pid="k", environ="concat('A=x=', k, char(0), 'B=', char(0), 'odd')"))
+
+
+@register(f"WITH {PARTS} SELECT k, CASE WHEN k % 3 = 0 THEN 'minor' ELSE 'unknown' END AS indicator, CASE k % 3 WHEN 0 THEN 'slow' WHEN 1 THEN 'Unexpected indicator: odd' ELSE 'Parse error' END AS description FROM k")
+def _service_status(spark, read):
+    json = """CASE k % 3 WHEN 0 THEN '{"status": {"indicator": "minor", "description": "slow"}}' WHEN 1 THEN '{"status": {"indicator": "odd", "description": "x"}}' ELSE 'no json' END"""
+    return host.service_status(_made(read, k="k", json=json), "k", "json")
+
+
+@register(f"WITH {PARTS} SELECT k, CASE k % 3 WHEN 0 THEN 'pro' WHEN 1 THEN 'free' ELSE 'unknown' END AS type, CASE k % 3 WHEN 0 THEN 't1' WHEN 1 THEN '' ELSE 'unknown' END AS tier, k % 3 = 1 AS paid_tokens FROM k")
+def _subscriptions(spark, read):
+    json = """CASE k % 3 WHEN 0 THEN '{"claudeAiOauth": {"subscriptionType": "pro", "rateLimitTier": "t1"}}' WHEN 1 THEN '{"apiKey": "x"}' ELSE '{broken' END"""
+    return host.subscription(_made(read, k="k", json=json), "k", "json")
+
+
+@register(f"WITH {PARTS} SELECT concat('f', k, '.py') AS path, k AS line_no, concat('hit ', k) AS text FROM k WHERE k % 2 = 0")
+def _search_events(spark, read):
+    event = """CASE WHEN k % 2 = 0 THEN concat('{"type":"match","data":{"path":{"text":"f', k, '.py"},"lines":{"text":"hit ', k, '\\\\n"},"line_number":', k, '}}') ELSE '{"type":"begin","data":{}}' END"""
+    return host.search_events(_made(read, line=event))
+
+
+@register(f"WITH {PARTS} SELECT concat('work/p', k) AS project, concat('p', k) AS name, k % 3 = 0 AS compose, k % 3 = 1 AS package FROM k WHERE k % 2 = 0")
+def _projects(spark, read):
+    heads = _made(read, path="CASE WHEN k % 2 = 0 THEN concat('work/p', k, '/.git/HEAD') ELSE concat('work/a/b/c', k, '/.git/HEAD') END")
+    below = _made(read, path="CASE WHEN k % 2 = 0 THEN concat('work/p', k, '/sub/.git/HEAD') ELSE concat('.cache/q', k, '/.git/HEAD') END")
+    return host.projects(heads.union(below).union(_made(read, path="concat('work/p', k, CASE k % 3 WHEN 0 THEN '/docker-compose.yml' WHEN 1 THEN '/package.json' ELSE '/x' END)")))
+
+
+@register(f"SELECT event_id FROM (SELECT event_id, ts, {SEVERITY} AS severity FROM events) WHERE severity IN ('critical', 'high') AND NOT (hour(ts) * 60 + minute(ts) >= 1320 OR hour(ts) * 60 + minute(ts) < 450)")
+def _notified_alerts(spark, read):
+    return read("events").where(host.notifiable(state.severity(F.col("value")), F.col("ts"), 1320, 450)).select("event_id")
+
+
+@register(
+    f"WITH {PARTS} SELECT k AS host, 'system' AS type, 'high' AS severity, CASE WHEN k % 2 = 0 THEN 'No firewall' ELSE 'ufw is inactive: off' END AS message, 'firewall' AS source FROM k WHERE k % 3 > 0 "
+    "UNION ALL SELECT k, 'system', 'high', 'SSH: root login', 'sshd_config' FROM k WHERE k % 2 = 0 UNION ALL SELECT k, 'system', 'critical', 'SSH: empty passwords', 'sshd_config' FROM k WHERE k % 5 = 0 "
+    "UNION ALL SELECT k, 'system', CASE WHEN k % 2 = 0 THEN 'high' ELSE 'medium' END, CASE WHEN k % 2 = 0 THEN 'Security fix' ELSE 'libx 2' END, 'updates' FROM k "
+    "UNION ALL SELECT k, 'system', 'medium', 'Passwordless admin access for all commands', 'sudoers' FROM k WHERE k % 4 = 0 UNION ALL SELECT k, 'system', 'high', '/opt/bin is world-writable', 'path' FROM k WHERE k & 2 <> 0"
+)
+def _system_findings(spark, read):
+    walls = _made(read, host="k", tool="CASE WHEN k % 2 = 0 THEN 'none' ELSE 'ufw' END", active="k % 3 = 0", details="'off'")
+    ssh = _made(read, host="k", content="concat(CASE WHEN k % 2 = 0 THEN 'PermitRootLogin yes' ELSE '#PermitRootLogin yes' END, chr(10), CASE WHEN k % 5 = 0 THEN 'PermitEmptyPasswords yes' ELSE '' END)")
+    found = [
+        host.firewall(walls), host.ssh_settings(ssh), host.updates(_made(read, host="k", update="CASE WHEN k % 2 = 0 THEN 'Security fix' ELSE 'libx 2' END")),
+        host.sudoers(_made(read, host="k", content="CASE WHEN k % 4 = 0 THEN 'u ALL=(ALL) NOPASSWD: ALL' ELSE '# u ALL=(ALL) NOPASSWD: ALL' END")), host.writable_path(_made(read, host="k", folder="'/opt/bin'", mode="k")),
+    ]
+    return reports.union(found)
+
+
+@register(f"WITH {PARTS} SELECT concat('r', k) AS repo, 'low' AS severity, 'Working directly on main' AS title FROM k WHERE k % 2 = 0 AND k % 3 > 0 UNION ALL SELECT concat('r', k), 'info', concat(k % 4, ' unmerged branches') FROM k WHERE k % 4 > 0")
+def _git_branches(spark, read):
+    unmerged = _made(read, repo="concat('r', k)", line="explode(sequence(0, CAST(k % 4 AS INT)))").withColumn("line", F.when(F.col("line") > 0, F.concat(F.lit("  b"), F.col("line").cast("string"))).otherwise(""))
+    return host.branch_findings(_made(read, repo="concat('r', k)", branch="CASE WHEN k % 2 = 0 THEN 'main' ELSE 'dev' END", commits="k % 3"), unmerged)
+
+
+@register(
+    f"WITH {PARTS} SELECT concat('r', k) AS repo, CASE k % 4 WHEN 0 THEN 'git init,git add .,git commit' WHEN 1 THEN 'git log,git diff' WHEN 2 THEN 'git add (new file),git stash,git checkout -b' ELSE 'git add (change),git stash' END AS commands FROM k"
+)
+def _git_cheat_sheet(spark, read):
+    status = _made(read, repo="concat('r', k)", k="k", line="CASE k % 4 WHEN 2 THEN '?? x' ELSE ' M y' END").where("k % 4 >= 2")
+    repos = _made(read, repo="concat('r', k)", branch="CASE k % 4 WHEN 2 THEN 'main' ELSE 'dev' END", is_git="k % 4 > 0")
+    return host.cheat_sheet(status, repos).withColumn("commands", F.array_join("commands", ","))
+
+
+@register(f"WITH {PARTS} SELECT concat('p', k) AS project, k % 4 < 2 AS devtools, k % 4 IN (0, 2) AS ui_dictionary FROM k WHERE k % 4 < 3")
+def _frontend_projects(spark, read):
+    return host.frontends(_files(read, "CASE k % 4 WHEN 0 THEN 'src/a.tsx' WHEN 1 THEN 'vite.config.ts' WHEN 2 THEN 'a/index.html' ELSE 'a.py' END", project="concat('p', k)"))
+
+
+@register(f"WITH {PARTS} SELECT 'npm' AS ecosystem, concat('lib', k % 90) AS name, concat('v', min(k)) AS version FROM k WHERE k % 90 >= 50 AND k < 90 GROUP BY 2")
+def _unknown_packages(spark, read):
+    deps = _made(read, k="k", ecosystem="'npm'", name="concat('Lib', k % 90)", version="concat('v', k)").where("k < 90")
+    return host.unknown_packages(deps, _made(read, k="k", ecosystem="'npm'", name="concat('lib', k)").where("k < 50"))
+
+
+@register(f"WITH {PARTS} SELECT concat('src/m', k) AS a, concat('src/n', k) AS b FROM k WHERE k % 3 > 0")
+def _plain_cycles(spark, read):
+    return host.plain_cycles(_made(read, a="concat('src/m', k)", b="CASE WHEN k % 3 = 0 THEN concat('src/mocks/n', k) ELSE concat('src/n', k) END"))
+
+
+@register("SELECT DISTINCT source AS project, 'brake.opensource_check' AS check_id, 'info' AS severity, 'Search for an existing solution before building' AS title FROM documents")
+def _standing_reminder(spark, read):
+    return host.reminder(read("documents").select(F.col("source").alias("project")))
+
+
+@register(f"WITH {PARTS}, t AS (SELECT concat('timer:t', k, '.timer') AS source, concat('t', k, '.timer') AS schedule, concat('/bin/job ', k) AS command, k FROM k) SELECT source, schedule, command FROM t WHERE k % 2 = 0")
+def _systemd_timers(spark, read):
+    lines = _made(read, line="CASE WHEN k % 2 = 0 THEN concat('Mon 1h Sun 2h t', k, '.timer t', k, '.service') ELSE 'n/a' END")
+    return host.timers(lines, _made(read, path="concat('/etc/systemd/t', k, '.service')", content="concat('[Service]', chr(10), 'ExecStart=/bin/job ', k)"))

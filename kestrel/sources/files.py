@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import stat
 from pathlib import Path
 
 import pyarrow as pa
@@ -71,6 +72,28 @@ def read_tree(spark: SparkSession, root: str) -> DataFrame:
     return files.repartition(tasks, "path").mapInArrow(read, "path string, content string, modified timestamp")
 
 
+def read_meta(spark: SparkSession, root: str) -> DataFrame:
+    """(path, mode, size, modified) of all files below a folder that every machine mounts (S21); what vanishes meanwhile is left out."""
+    top = sorted(str(p) for p in Path(root).iterdir())
+    kinds = [("path", pa.string()), ("mode", pa.int32()), ("size", pa.int64()), ("modified", pa.timestamp("us", "UTC"))]
+
+    def walk(batches):
+        for batch in batches:
+            for entry in batch.column(0).to_pylist():
+                rows = []
+                for path in [Path(entry)] if not Path(entry).is_dir() else Path(entry).rglob("*"):
+                    try:
+                        found = path.lstat()
+                    except OSError:
+                        continue
+                    if stat.S_ISREG(found.st_mode):
+                        rows.append({"path": str(path), "mode": stat.S_IMODE(found.st_mode), "size": found.st_size, "modified": int(found.st_mtime * 1e6)})
+                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(kinds))
+
+    tasks = max(1, min(len(top), 4 * spark.sparkContext.defaultParallelism))
+    return spark.createDataFrame([(t,) for t in top], "path string").repartition(tasks).mapInArrow(walk, "path string, mode int, size long, modified timestamp")
+
+
 def ignored_by(path: Column, patterns: list[str]) -> Column:
     """Whether ignore patterns hide a path: the last that matches decides, `!` takes back, `/` at the end means folders."""
     hidden = F.lit(False)

@@ -9,6 +9,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -43,12 +44,24 @@ def cooldown(alerts: DataFrame, keys: list[str], ts: str = "ts", seconds: int =
         alerts = alerts.join(dismissed.select(keys).distinct(), keys, "left_anti")
     alerts = alerts.where(F.col(ts).isNotNull())
 
-    def keep(last, now):
-        now_us = int(now.value // 1000) if hasattr(now, "value") else int(now.timestamp() * 1e6)
-        fires = last is None or now_us - last > seconds * 1_000_000
-        return fires, now_us if fires else last
+    names, pause = alerts.columns, np.timedelta64(seconds, "s")
 
-    return _by_key(alerts, keys, ts, keep, "fired long", ts)
+    def walk(key, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        fired = np.datetime64(held.get[0], "us") if held.exists else None
+        rows = pd.concat(list(frames)).sort_values(ts, kind="stable")
+        times, kept, i = rows[ts].to_numpy("datetime64[us]"), [], 0
+        while True:  # from one that fires to the first that is late enough
+            if fired is not None:
+                i = max(i, int(times.searchsorted(fired + pause, "right")))
+            if i >= len(times):
+                break
+            fired = times[i]
+            kept.append(i)
+            i += 1
+        held.update((int(fired.astype("int64")),))
+        yield rows.iloc[kept][names]
+
+    return alerts.groupBy(*keys).applyInPandasWithState(walk, alerts.schema, "fired long", "append", GroupStateTimeout.NoTimeout)
 
 
 def transitions(samples: DataFrame, keys: list[str], value: str, ts: str = "ts") -> DataFrame:

@@ -39,3 +39,14 @@ def test_autostart_and_odd_files(spark):
     assert sorted((r.subject, r.rule, r.detail) for r in security.autostart(files).collect()) == [("a", "autostart.path", "/tmp/x"), ("d", "autostart.temp_exec", "/var/tmp/run")]
     meta = spark.createDataFrame([("/usr/bin/su", 0o4755, 1), ("/home/x", 0o4755, 1), ("/tmp/y", 0o755, 30), ("/tmp/z", 0o755, 3)], "path string, mode int, age_hours int")
     assert sorted((r.subject, r.rule) for r in security.odd_files(meta).collect()) == [("/home/x", "file.suid"), ("/tmp/z", "file.temp_executable")]
+
+
+def test_file_metadata(spark, tmp_path):
+    from kestrel.sources import files
+
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / "a" / "b" / "x").write_text("abc")
+    (tmp_path / "y").write_text("")
+    (tmp_path / "y").chmod(0o755)
+    got = {r.path.removeprefix(f"{tmp_path}/"): (r.mode & 0o111, r.size) for r in files.read_meta(spark, str(tmp_path)).collect()}
+    assert got == {"a/b/x": (0, 3), "y": (0o111, 0)}
