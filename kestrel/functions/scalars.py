@@ -78,11 +78,15 @@ def _ipv6(digits: Column) -> Column:
     """32 hexadecimal digits, four little-endian words, as an address with its longest run of zeros cut short."""
     byte = lambda i: F.substring(digits, 8 * (i // 4) + 2 * (3 - i % 4) + 1, 2)
     text = F.concat_ws(":", *(F.regexp_replace(F.lower(F.concat(byte(2 * g), byte(2 * g + 1))), "^0{1,3}", "") for g in range(8)))
-    out = text
-    for n in range(2, 9):  # the longest run comes last and wins
-        run = f"^(.*?)(^|:)0(:0){{{n - 1}}}(:|$)(.*)$"
-        out = F.when(text.rlike(run), F.regexp_replace(text, run, "$1::$5")).otherwise(out)
-    return out
+
+    def shortened(whole: Column) -> Column:
+        out = whole
+        for n in range(2, 9):  # the longest run comes last and wins
+            run = f"^(.*?)(^|:)0(:0){{{n - 1}}}(:|$)(.*)$"
+            out = F.when(whole.rlike(run), F.regexp_replace(whole, run, "$1::$5")).otherwise(out)
+        return out
+
+    return F.element_at(F.transform(F.array(text), shortened), 1)
 
 
 def hex_address(address: Column) -> Column:

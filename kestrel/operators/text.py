@@ -2,23 +2,33 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
+def _split(text: Column) -> Column:
+    """Lines of a text without a trailing empty one.  Plain replacements and one-character splits run without a regular expression."""
+    plain = F.replace(text, F.lit("\r\n"), F.lit("\n"))
+    return F.split(F.when(plain.endswith("\n"), F.substring(plain, F.lit(1), F.length(plain) - 1)).otherwise(plain), "\n")
+
+
 def lines(files: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, line_no from 1, line); a trailing empty line is dropped."""
-    split = files.select(key, F.posexplode(F.split(F.regexp_replace(text, "\r?\n$", ""), "\r?\n")).alias("pos", "line"))
+    split = files.select(key, F.posexplode(_split(F.col(text))).alias("pos", "line"))
     return split.select(key, (F.col("pos") + 1).cast("long").alias("line_no"), "line")
 
 
 def _plain(line: Column) -> Column:
     """A line with white space collapsed."""
-    return F.trim(F.regexp_replace(line, "[ \t]+", " "))
+    uneven = line.contains("  ") | line.contains("\t")  # most lines are not
+    return F.trim(F.when(uneven, F.regexp_replace(line, "[ \t]+", " ")).otherwise(line))
 
 
 def _counts(line: Column) -> Column:
     """Whether a collapsed line is no comment, import or trivial one."""
-    return ~line.rlike("^(#|//|import |from )") & (F.octet_length(line) >= 3)
+    left = reduce(lambda a, b: a | b, (line.startswith(x) for x in ("#", "//", "import ", "from ")))
+    return ~left & (F.octet_length(line) >= 3)
 
 
 def normalized(rows: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -33,13 +43,14 @@ def windows(files: DataFrame, size: int, key: str = "doc_id", text: str = "text"
     A file's lines are split, normalized and joined in arrays of its own row; only hashes leave it.
     The hash is MD5: it names groups only.
     """
-    split = F.split(F.regexp_replace(text, "\r?\n$", ""), "\r?\n")
-    kept = F.filter(F.transform(split, lambda x, i: F.struct((i + 1).cast("long").alias("line_no"), _plain(x).alias("line"))), lambda x: _counts(x["line"]))
-    rows = files.select(key, kept.alias("kept")).where(F.size("kept") >= size)
-    last = F.size("kept") - size + 1
-    run = lambda i: F.array_join(F.slice(F.col("kept.line"), i, size), "\n")
-    found = F.transform(F.sequence(F.lit(1), last), lambda i: F.struct(i.cast("long").alias("seq"), F.element_at("kept", i)["line_no"].alias("line_no"), F.md5(run(i)).alias("hash")))
-    return rows.select(key, F.inline(found))
+    kept = F.filter(F.transform(_split(F.col(text)), lambda x, i: F.struct((i + 1).cast("long").alias("line_no"), _plain(x).alias("line"))), lambda x: _counts(x["line"]))
+    rows = files.select(key, kept.alias("kept")).where(F.size("kept") >= size).withColumn("lines", F.transform("kept", lambda x: x["line"]))
+    run = F.col("lines")
+    for k in range(1, size):  # each line with the k-th after it, for all lines at once
+        run = F.zip_with(run, F.slice("lines", F.lit(k + 1), F.size("lines")), lambda x, y: F.concat(x, F.lit("\n"), y))
+    hashed = F.zip_with("kept", run, lambda x, r: F.struct(x["line_no"].alias("line_no"), F.md5(r).alias("hash")))
+    found = rows.select(key, F.posexplode(F.slice(hashed, F.lit(1), F.size("lines") - size + 1)).alias("seq", "w"))
+    return found.select(key, (F.col("seq") + 1).cast("long").alias("seq"), "w.line_no", "w.hash")
 
 
 def duplicate_windows(found: DataFrame, key: str = "doc_id") -> DataFrame:
