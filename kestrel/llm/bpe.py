@@ -34,6 +34,24 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
+def _check(spec: dict, path: str) -> None:
+    """Raises an error for a file that asks for what is not done here: then ids would be wrong."""
+    pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    wrong = [
+        what
+        for what, bad in (
+            ("a normalizer", spec.get("normalizer")),
+            ("another pre-tokenizer than ByteLevel with its pattern and without a space in front", pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True)),
+            ("another model than BPE", model.get("type", "BPE") != "BPE"),
+            ("dropout, byte fallback, whole words before merges, prefixes or suffixes", any(model.get(k) for k in ("dropout", "byte_fallback", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix"))),
+            ("added tokens that take white space, match single words or normalized text", any(a.get(k) for a in spec.get("added_tokens", []) for k in ("lstrip", "rstrip", "single_word"))),
+        )
+        if bad
+    ]
+    if wrong:
+        raise ValueError(f"{path} has {'; '.join(wrong)}")
+
+
 class PrefixBPE:
     """Encoder and decoder of a byte-level BPE file of the tokenizers library."""
 
@@ -46,6 +64,7 @@ class PrefixBPE:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        _check(spec, path)
         alphabet, vocab = byte_alphabet(), spec["model"]["vocab"]
         self.bytes_of = {i: bytes(alphabet[c] for c in t) for t, i in vocab.items()}
         self.special = {a["content"]: a["id"] for a in spec.get("added_tokens", [])}

@@ -141,7 +141,11 @@ def page_row(fields: dict[str, str], block: bytes) -> tuple | None:
 
 
 def read(manifest: DataFrame) -> DataFrame:
-    """One row per page record of the archives: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """One row per page record of the archives: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    Records of repeated rows and of pages without an id or payload have a row like others; no archives
+    give no rows.  A record that is cut short, or whose digest is wrong, raises an error.
+    """
     spark = manifest.sparkSession
     ready(spark)
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]

@@ -180,6 +180,17 @@ def test_keep_first_of_repeated_ids(spark):
     assert sorted(map(tuple, kept)) == sorted([rows[0], rows[1], rows[3]])
 
 
+def test_vocabularies_that_ask_for_more_are_refused(tmp_path):
+    import json
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": spec["model"] | {"byte_fallback": True}}):
+        (tmp_path / "v.json").write_text(json.dumps(spec | change), encoding="utf-8")
+        with pytest.raises(ValueError):
+            bpe.PrefixBPE(str(tmp_path / "v.json"))
+
+
 def test_jaccard_join_of_near_copies(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "UNIT", 20)  # large buckets are cut into tiles
     pick = np.random.default_rng(4)
@@ -600,6 +611,47 @@ def test_words_of_many_texts():
     assert len(set(hashes.values())) == len(hashes)
 
 
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    passage, secret = words(4000, 60), "q8Zt3LmP0xVb7Rk2Yw"
+    texts = [words(4100 + i, 60 + 3 * i) for i in range(20)] + ["12 %% 34 --", None, ""]
+    for g in range(3):
+        base = words(4200 + g, 150).split()
+        texts += [" ".join([*base[:40], f"edit{k}", *base[41:]]) if k else " ".join(base) for k in range(4)]
+    texts += [f"{words(4300 + k, 70)} {passage} {words(4400 + k, 30)}" for k in range(4)]
+    texts += [f"{words(4500 + k, 50)} token = {secret} {words(4600 + k, 20)}" for k in range(3)]
+    rows = [(i * 3 % 101, t, "aa", f"s{i % 2}" if t and secret in t else f"s{i % 7}", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4).write.parquet(f"file://{tmp_path}/documents.parquet")
+
+    kept = [(i, t) for i, t, *_ in sorted(rows) if t and any(c.isalpha() for c in t)]
+    shingles = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in kept}
+    alike = lambda a, b: 100 * len(shingles[a] & shingles[b]) >= 80 * len(shingles[a] | shingles[b])
+    name = {i: i for i in shingles}
+    for a in sorted(name):
+        for b in sorted(name):
+            if a < b and alike(a, b) and name[a] != name[b]:
+                low, high = sorted((name[a], name[b]))
+                name = {k: low if v == high else v for k, v in name.items()}
+    want, seen = {}, set()
+    for i, t in kept:
+        if name[i] != i:
+            continue
+        w, gone = t.split(), set()
+        for at in range(len(w) - 49):
+            if tuple(w[at : at + 50]) in seen:
+                gone |= set(range(at, at + 50))
+        seen |= {tuple(w[at : at + 50]) for at in range(len(w) - 49)}
+        want[i] = " ".join(x for k, x in enumerate(w) if k not in gone).replace(secret, "[SECRET]")
+    assert len(want) < len(kept) - 8 and sum("[SECRET]" in t for t in want.values()) == 3
+
+    own = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    ids = {i: own.encode(t, add_special_tokens=False).ids for i, t in want.items()}
+    out = corpus_pipeline.run(spark, f"file://{tmp_path}").collect()
+    assert {r.doc_id: np.frombuffer(r.ids, "<u2").tolist() for r in out} == ids and len(out) == len(ids)
+    check_packed([(r.n_tokens, r.bucket, r.padded_tokens, r.batch, r.slot) for r in out], [len(x) for x in ids.values()], packing.BUCKETS, packing.BUDGET)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
