@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 import tempfile
@@ -9,6 +11,7 @@ import uuid
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,9 +48,9 @@ def stash(df: DataFrame, folder: str, name: str, codec: str = "zstd") -> DataFra
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(folder: str, name: str) -> None:
-    """Deletes a stash that nothing reads any more."""
-    fs, path = open_fs(f"{folder}/{name}")
+def discard(folder: str, name: str = "") -> None:
+    """Deletes a stash that nothing reads any more, or a whole folder of them."""
+    fs, path = open_fs(f"{folder}/{name}".rstrip("/"))
     fs.delete_dir(path)
 
 
@@ -66,6 +69,22 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+_kept: dict = {}
+
+
+def only(key, make=None):
+    """What a worker keeps from task to task, under one key at a time: asking for another key drops it, so that an operator does not hold the memory of the one before."""
+    if key not in _kept:
+        _kept.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):  # where the C library can, it gives freed memory back
+            ctypes.CDLL(None).malloc_trim(0)
+        if make is not None:
+            _kept[key] = make()
+    return _kept.get(key)
+
+
 def free_name(df: DataFrame, *names: str):
     """Names for helping columns that df has no column of, in any case: one, or a list where several are asked for."""
     taken = {c.lower() for c in df.columns}

@@ -14,9 +14,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from kestrel.llm.common import free_name, ready
+from kestrel.llm.common import free_name, only, ready
 
 #: Bounds of the fit: labelled documents (twice that at most), bytes of the longest, words taken from each.
 FIT_DOCS, FIT_DOC_BYTES, FIT_WORDS = 3000, 1 << 15, 96
@@ -261,7 +262,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
 class Words:
     """Remembers each word's evidence: a row of a table that is emptied when it is full."""
 
-    limit = 400_000
+    limit = 300_000
 
     def __init__(self, model: Model):
         self.model, self.rows = model, {}
@@ -325,21 +326,20 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", pred_c
     names = schema.names
 
     def run(batches):
+        only("language")
         m = shared.value
         words = Words(m) if m else None
         for batch in batches:
-            texts = ["" if t is None else str(t) for t in batch.column(text_at).to_pylist()]
-            langs, scores = [], []
-            first, held = 0, 0
-            for i, t in enumerate(texts):
-                held += len(t)
-                if held >= 6 * AT_ONCE or i == len(texts) - 1:
-                    some = texts[first : i + 1]
-                    a, b = _decide(some, words, m) if m else ([UNDECIDED] * len(some), [0.0] * len(some))
-                    langs += a
-                    scores += b
+            sizes = pc.binary_length(batch.column(text_at).cast(pa.string())).fill_null(0).to_numpy(zero_copy_only=False)
+            first = held = 0
+            for i, size in enumerate(sizes.tolist()):
+                held += size
+                if held >= 6 * AT_ONCE or i == len(sizes) - 1:
+                    part = batch.slice(first, i + 1 - first)
+                    texts = ["" if t is None else str(t) for t in part.column(text_at).to_pylist()]
+                    langs, scores = _decide(texts, words, m) if m else ([UNDECIDED] * len(texts), [0.0] * len(texts))
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names)
                     first, held = i + 1, 0
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names)
 
     return docs.mapInArrow(run, schema)
 

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from kestrel.llm.common import open_fs, partitions, ready, shared_dir, stash, text_or_empty
+from kestrel.llm.common import only, open_fs, partitions, ready, shared_dir, stash, text_or_empty
 from kestrel.llm.words import Words, ragged, together
 
 MAGIC, END_MAGIC = b"KTOKIDS1", b"KTOKIDSX"
@@ -162,9 +162,8 @@ class WordEncoder:
         return [ids[a:b].tobytes() + tail for _, ids, stops in self.encode(texts) for a, b in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True)]
 
 
-@lru_cache(maxsize=2)
 def word_encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+    return only(("words", path), lambda: WordEncoder(path))
 
 
 def _encoded(docs: DataFrame, path: str, text_col: str, ids_col: str | None, count_col: str) -> DataFrame:
@@ -269,7 +268,7 @@ def write(docs: DataFrame, path: str, end: int | None = 2, id_col: str = "doc_id
             yield opened.close()
 
     encoded = docs.mapInArrow(encode, "file int, doc_id long, n long, frame binary")
-    ordered = encoded.repartition(partitions(spark), "file").sortWithinPartitions("file", F.col("doc_id").asc_nulls_first(), "n", "frame")
+    ordered = encoded.repartitionById(len(bounds) + 1, "file").sortWithinPartitions("file", F.col("doc_id").asc_nulls_first(), "n", "frame")
     files = stash(ordered.mapInArrow(save, "file int, path string, n_docs long, n_tokens long"), folder, "manifest").collect()  # a row per file
     rows, start = [], 0
     for r in sorted(files, key=lambda r: r.file):
