@@ -1,4 +1,8 @@
-"""Documents to packed training batches: five stages, each on what the one before it kept."""
+"""Documents to packed training batches: five stages, each on what the one before it kept.
+
+All stages but the last return the columns of documents as they are, with whatever others the table
+has, of any name; null ids, sources, languages and lengths are kept, and an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -9,22 +13,34 @@ from kestrel.llm.common import shared_dir, stash
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told (no letters, or a score under one half) go."""
+    """Documents whose language can't be told (no letters, or a score under one half) go.
+
+    So do null and empty texts, and all documents if none has a language to learn from; repeated rows stay or go alike.
+    """
     return language.keep_decided(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (0.8 of their shingles of five words) stays, the one of the smallest id."""
+    """One document of each group of near copies (0.8 of their shingles of five words) stays, the one of the smallest id.
+
+    Rows that repeat an id and a text are one document; null and empty texts are in no group and stay.
+    """
     return jaccard_join.keep_first(docs, words=5, hundredths=80)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that stand in an earlier document are cut out; a document of nothing else goes."""
+    """Passages that stand in an earlier document are cut out; a document of nothing else goes.
+
+    Null and empty texts stay as they are; repeated rows are cut alike, and of two equal texts that of the smaller id stays whole.
+    """
     return substring_dedup.remove(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Live-looking credentials of one owner are put out by a mark."""
+    """Live-looking credentials of fewer than three owners are put out by a mark.
+
+    All documents stay, null and empty texts as they are; a null source counts as one owner.
+    """
     return secrets.redact(docs)
 
 

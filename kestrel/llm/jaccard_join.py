@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from kestrel.llm.common import discard, free_name, partitions, ready, release, shared_dir, stash, text_or_empty
+from kestrel.llm.common import discard, free_name, only, partitions, ready, release, shared_dir, stash, text_or_empty
 from kestrel.llm.graph import components
 from kestrel.llm.words import ragged, shingle_sets, together
 
@@ -37,7 +37,7 @@ FREQUENT, OFTEN = 1 << 20, 2
 #: Classes to a unit of comparison, and children to an R-tree node.
 UNIT, FANOUT = 512, 32
 #: First rounds, and classes to a unit there.
-ROUNDS, FIRST_UNIT = 2, 256
+ROUNDS, FIRST_UNIT = 2, 128
 #: Width of the bands of set sizes.
 BAND = 0.05
 
@@ -83,6 +83,7 @@ def _frequent_tokens(docs: DataFrame, words: int, hundredths: int, folder: str)
     """The commonest of the tokens that come first by hash, FREQUENT at most.  Any choice gives the same links; a good one gives small buckets."""
 
     def count(batches):
+        only("jaccard")
         held, n = [], 0
 
         def often():
@@ -97,7 +98,7 @@ def _frequent_tokens(docs: DataFrame, words: int, hundredths: int, folder: str)
                 # Twice the prefix: what moves up when frequent tokens go last is counted too.
                 held.append(tokens[ragged(stops[:-1], np.minimum(sizes, 2 * _prefix_size(sizes, hundredths)))])
                 n += len(held[-1])
-                if n >= 1 << 22:
+                if n >= 1 << 21:
                     yield often()
                     held, n = [], 0
         if held:
@@ -268,6 +269,7 @@ def _near(keyed: DataFrame, hundredths: int, folder: str, name: str) -> DataFram
     bands = bands.select("token", "band", "rows", "most", "least", below.alias("below"), above.alias("above"))
     with_others = (F.col("rows") > 1) | (F.col("below") * 100 >= hundredths * F.col("least")) | (F.col("most") * 100 >= hundredths * F.col("above"))
     bands = stash(bands.where(with_others).select("token", "band", "rows", "below", "above"), folder, f"near-{name}")
+    release(keyed.sparkSession)
     own = (F.col("rows") > 1) | (F.col("below") * 100 >= hundredths * F.col("n_shingles")) | (F.col("n_shingles") * 100 >= hundredths * F.col("above"))
     return keyed.join(bands.hint("merge"), ["token", "band"]).where(own).drop("band", "rows", "below", "above")
 
@@ -402,7 +404,7 @@ def join(docs: DataFrame, words: int = WORDS, hundredths: int = HUNDREDTHS, id_c
     return grouped(docs, words, hundredths, id_col, text_col).drop("group")
 
 
-def grouped(docs: DataFrame, words: int = WORDS, hundredths: int = HUNDREDTHS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def grouped(docs: DataFrame, words: int = WORDS, hundredths: int = HUNDREDTHS, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id that links lead to), row_key (of id and text), group (null for empty sets).
 
     Two groups have one component_id where rows repeat an id with unlike texts.
@@ -410,13 +412,13 @@ def grouped(docs: DataFrame, words: int = WORDS, hundredths: int = HUNDREDTHS, i
     A text with fewer words than a shingle is one shingle of all of them.  Null, empty and wordless
     texts have no shingles and are in no group: their component is their own id.  Repeated rows are
     equal sets and so are in one group.  A null id is in its group's component but never names one,
-    unless the whole group has none.  An empty table gives an empty result.
+    unless the whole group has none.  An empty table gives an empty result.  The result is read from the folder.
     """
     if not 80 <= hundredths <= 100:
         raise ValueError("thresholds are from 80 hundredths on")
     spark = docs.sparkSession
     ready(spark)
-    folder = shared_dir(spark, "jaccard")
+    folder = folder or shared_dir(spark, "jaccard")
     text = text_or_empty(F.col(text_col))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("row_key"), text.alias("text"))
     frequent = spark.sparkContext.broadcast(_frequent_tokens(source, words, hundredths, folder))  # FREQUENT tokens at most
@@ -491,6 +493,8 @@ def grouped(docs: DataFrame, words: int = WORDS, hundredths: int = HUNDREDTHS, i
     discard(folder, "sets")
     release(spark)
     more = stash(_verified(pairs, sets, hundredths), folder, "links-more")
+    for name in ("pair-sets", "points-open", "still", "buckets", "wanted", "firsts"):
+        discard(folder, name)
     release(spark)
     final = components(links.unionByName(more), f"{folder}/components-2")
 
@@ -509,10 +513,12 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stays; groups in which no row has an id lose only repeated rows.
     """
     spark = docs.sparkSession
-    groups = grouped(docs, id_col=id_col, text_col=text_col, **parameters)
+    folder = shared_dir(spark, "jaccard")
+    groups = grouped(docs, id_col=id_col, text_col=text_col, folder=folder, **parameters)
     key = free_name(docs, "row_key")
     named = groups.where("doc_id = component_id").groupBy("component_id", "group").agg(F.min("row_key").alias(key)).select(key)
     unnamed = groups.where("component_id is null").select(F.col("row_key").alias(key)).distinct()
     kept = stash(named.unionByName(unnamed), shared_dir(spark, "kept"), "kept")
+    discard(folder)
     keyed = docs.withColumn(key, F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")))
     return keyed.join(kept.hint("merge"), key).dropDuplicates([key]).drop(key)

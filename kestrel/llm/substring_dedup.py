@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from kestrel.llm.common import discard, free_name, mix, partitions, ready, release, shared_dir, stash, text_or_empty
+from kestrel.llm.common import discard, free_name, mix, only, partitions, ready, release, shared_dir, stash, text_or_empty
 from kestrel.llm.graph import components
 from kestrel.llm.words import BASE, Words, ragged, runs_of, together
 
@@ -35,7 +35,7 @@ WORDS, HUNDREDTHS = 5, 80
 BANDS, ROWS = 8, 3
 LINE_WORDS, CUT, WINDOW = 20, 30, 20
 #: Lines to a tile of a bucket.
-TILE = 512
+TILE = 256
 #: A passage goes on beyond its outermost window by fewer words, or another window would be there.
 BESIDE = CUT + WINDOW
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -104,6 +104,7 @@ def window_units(found: Words) -> tuple[np.ndarray, np.ndarray]:
 
 def _units(source: DataFrame) -> DataFrame:
     def run(batches):
+        only("substrings")
         for batch in batches:
             for first, texts in together(batch.column(2)):
                 found = Words(texts)
@@ -125,6 +126,7 @@ def _near_lines(units: DataFrame, source: DataFrame, folder: str) -> DataFrame:
     """(class, component) of lines that are like another line but not equal to it."""
     lines = units.where("bands is not null").groupBy("class").agg(F.min(F.struct("row_key", "start", "n_words")).alias("at"), F.first("bands").alias("bands"))
     lines = stash(lines, folder, "lines")
+    release(source.sparkSession)
     keyed = lines.select("class", F.explode("bands").alias("key"))  # the band is part of its key
     # Each bucket has a leader, another one from band to band.
     leader = F.min_by("class", F.xxhash64("class", "key"))
@@ -147,7 +149,7 @@ def _near_lines(units: DataFrame, source: DataFrame, folder: str) -> DataFrame:
                 sets = [np.unique(every[a : a + k - WORDS + 1]).tobytes() for a, k in zip(start.tolist(), n.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([at.field("class"), pa.array(sets, pa.binary())], ["class", "shingles"])
 
-    texts = source.select("row_key", "text").join(wanted, "row_key").groupBy("row_key").agg(F.first("text").alias("text"), F.first("lines").alias("lines"))
+    texts = source.select("row_key", "text").join(wanted.hint("merge"), "row_key").groupBy("row_key").agg(F.first("text").alias("text"), F.first("lines").alias("lines"))
     # Every line of a bucket is in a pair with its leader, so all lines that the tiles need are here.
     sets = stash(texts.select("text", "lines").mapInArrow(shingles, "class long, shingles binary"), folder, "line-sets")
     release(source.sparkSession)
@@ -234,18 +236,18 @@ def row_key(id_col: str, text_col: str):
     return F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`"))
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
     """The runs of repeated passages: doc_id, start_word, n_words, removed, cluster, row_key.
 
     Words are runs without ASCII white space, counted from 0 over the whole text.  A run with
     removed = false holds first occurrences and stays.  Documents without a repeated passage have
     no row, so null, empty and wordless texts have none, nor has an empty table.  Rows that repeat an
     id and text are one document; null ids come last in the choice of first occurrences, ties go by
-    content.
+    content.  The result is read from the folder.
     """
     spark = docs.sparkSession
     ready(spark)
-    folder = shared_dir(spark, "substrings")
+    folder = folder or shared_dir(spark, "substrings")
     source = docs.select(row_key(id_col, text_col).alias("row_key"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_or_empty(F.col(f"`{text_col}`")).alias("text"))
     units = stash(_units(source), folder, "units")
     near = stash(_near_lines(units, source, folder), folder, "near-lines")
@@ -258,7 +260,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     many = named.groupBy("cluster").agg(F.min("row_key").alias("x"), F.max("row_key").alias("y")).where("x <> y").select("cluster")
     many = stash(many, folder, "clusters")
     release(spark)
-    found = stash(named.join(many, "cluster"), folder, "repeated")
+    found = stash(named.join(many.hint("merge"), "cluster"), folder, "repeated")
     discard(folder, "units")
     release(spark)
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key", "start")
@@ -307,7 +309,7 @@ def _extensions(ends: DataFrame, source: DataFrame, folder: str) -> DataFrame:
     """
     places = ends.select("row_key", "at", "side").unionByName(ends.select(F.col("first_key").alias("row_key"), F.col("first_at").alias("at"), "side")).distinct()
     per_text = stash(places.groupBy("row_key").agg(F.collect_list(F.struct("at", "side")).alias("places")), folder, "end-places")
-    texts = source.select("row_key", "text").join(per_text, "row_key").groupBy("row_key").agg(F.first("places").alias("places"), F.first("text").alias("text"))
+    texts = source.select("row_key", "text").join(per_text.hint("merge"), "row_key").groupBy("row_key").agg(F.first("places").alias("places"), F.first("text").alias("text"))
 
     def run(batches):
         for batch in batches:
@@ -357,8 +359,11 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     spark = docs.sparkSession
     ready(spark)
     key, spans_of = free_name(docs, "row_key", "spans")
-    spans = repeats(docs, id_col, text_col).where("removed").groupBy("row_key").agg(F.array_sort(F.collect_list(F.struct("start_word", "n_words"))).alias(spans_of))
+    folder = shared_dir(spark, "substrings")
+    spans = repeats(docs, id_col, text_col, folder).where("removed").groupBy("row_key").agg(F.array_sort(F.collect_list(F.struct("start_word", "n_words"))).alias(spans_of))
     spans = stash(spans.withColumnRenamed("row_key", key), shared_dir(spark, "removals"), "spans")
+    discard(folder)
+    release(spark)
     joined = docs.withColumn(key, row_key(id_col, text_col)).join(spans, key, "left").drop(key)
     names, schema = docs.columns, docs.schema
     text_at, spans_at = names.index(text_col), len(names)
