@@ -117,7 +117,7 @@ def compare_with_next(docs: DataFrame, bins: int = 256, bits: int = 4, words: in
     copy = F.struct(F.col("_m.b").alias("r"), F.lit(1).alias("after"))
     sent = ranged.withColumn("_to", F.explode(F.when(F.col("doc_id").eqNullSafe(F.col("_m.f")), F.array(own, copy)).otherwise(F.array(own))))
     sent = sent.select(F.col("_to.r").alias("r"), F.col("_to.after").alias("after"), "doc_id", "text")
-    ordered = sent.repartition(partitions(spark), "r").sortWithinPartitions("r", "after", F.col("doc_id").asc_nulls_first(), "text")
+    ordered = sent.repartitionById(len(bounds) + 1, "r").sortWithinPartitions("r", "after", F.col("doc_id").asc_nulls_first(), "text")
 
     def run(batches):
         made = OnePermutation(bins, bits, words)
