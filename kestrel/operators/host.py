@@ -72,10 +72,10 @@ def environs(rows: DataFrame, key: str = "pid", text: str = "environ") -> DataFr
     return found.select(key, F.substring_index("entry", "=", 1).alias("name"), F.expr("substring(entry, locate('=', entry) + 1)").alias("value"))
 
 
-def subscription(rows: DataFrame, key: str, json: str) -> DataFrame:
-    """(key, type, tier, paid_tokens) of credential files (S9); texts that are no JSON are unknown."""
+def subscription(rows: DataFrame, key: str, json: str, section: str) -> DataFrame:
+    """(key, type, tier, paid_tokens) of credential files, whose plan stands in a section (S9); texts that are no JSON are unknown."""
     whole = F.get_json_object(json, "$").isNotNull()
-    of = lambda name, default: F.when(whole, F.coalesce(F.get_json_object(json, f"$.claudeAiOauth.{name}"), F.lit(default))).otherwise("unknown")
+    of = lambda name, default: F.when(whole, F.coalesce(F.get_json_object(json, f"$.{section}.{name}"), F.lit(default))).otherwise("unknown")
     return rows.select(key, of("subscriptionType", "free").alias("type"), of("rateLimitTier", "").alias("tier"), (whole & F.get_json_object(json, "$.apiKey").isNotNull()).alias("paid_tokens"))
 
 

@@ -731,8 +731,8 @@ def _service_status(spark, read):
 
 @register(f"WITH {PARTS} SELECT k, CASE k % 3 WHEN 0 THEN 'pro' WHEN 1 THEN 'free' ELSE 'unknown' END AS type, CASE k % 3 WHEN 0 THEN 't1' WHEN 1 THEN '' ELSE 'unknown' END AS tier, k % 3 = 1 AS paid_tokens FROM k")
 def _subscriptions(spark, read):
-    json = """CASE k % 3 WHEN 0 THEN '{"claudeAiOauth": {"subscriptionType": "pro", "rateLimitTier": "t1"}}' WHEN 1 THEN '{"apiKey": "x"}' ELSE '{broken' END"""
-    return host.subscription(_made(read, k="k", json=json), "k", "json")
+    json = """CASE k % 3 WHEN 0 THEN '{"oauth": {"subscriptionType": "pro", "rateLimitTier": "t1"}}' WHEN 1 THEN '{"apiKey": "x"}' ELSE '{broken' END"""
+    return host.subscription(_made(read, k="k", json=json), "k", "json", "oauth")
 
 
 @register(f"WITH {PARTS} SELECT concat('f', k, '.py') AS path, k AS line_no, concat('hit ', k) AS text FROM k WHERE k % 2 = 0")
