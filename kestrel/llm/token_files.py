@@ -44,9 +44,9 @@ class WordEncoder:
     """
 
     #: Words and ids that are remembered; beyond that all are forgotten.
-    limit, ids_limit, longest = 800_000, 1 << 24, 64
+    limit, ids_limit, longest = 700_000, 1 << 24, 64
     #: Bytes of text whose words are told apart at once.
-    part = 1 << 22
+    part = 1 << 21
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -229,7 +229,7 @@ def write(docs: DataFrame, path: str, end: int | None = 2, id_col: str = "doc_id
     ready(spark)
     folder = folder or shared_dir(spark, "token-ids")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(F.col(text_col)).alias("text"))
-    content = _dictionary(docs, path, end)
+    content, width = _dictionary(docs, path, end), word_encoder(path).width
     sha = hashlib.sha256(content).digest()
     open_fs(folder)[0].create_dir(open_fs(folder)[1], recursive=True)
     _put(f"{folder}/dictionary-{sha.hex()}.zdict", content)
@@ -256,7 +256,7 @@ def write(docs: DataFrame, path: str, end: int | None = 2, id_col: str = "doc_id
             )
 
     def save(batches):
-        width, opened = word_encoder(path).width, None
+        opened = None
         for batch in batches:
             for file, doc_id, n, frame in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if opened is None or opened.file != file:
@@ -268,7 +268,7 @@ def write(docs: DataFrame, path: str, end: int | None = 2, id_col: str = "doc_id
             yield opened.close()
 
     encoded = docs.mapInArrow(encode, "file int, doc_id long, n long, frame binary")
-    ordered = encoded.repartitionById(len(bounds) + 1, "file").sortWithinPartitions("file", F.col("doc_id").asc_nulls_first(), "n", "frame")
+    ordered = encoded.repartition(partitions(spark), "file").sortWithinPartitions("file", F.col("doc_id").asc_nulls_first(), "n", "frame")
     files = stash(ordered.mapInArrow(save, "file int, path string, n_docs long, n_tokens long"), folder, "manifest").collect()  # a row per file
     rows, start = [], 0
     for r in sorted(files, key=lambda r: r.file):
