@@ -85,8 +85,14 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(_table(spark, sf_dir, "documents"))
 
 
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kestrel.llm import resampling
+
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_files": op1_token_files, "op2_warc": op2_warc, "op3_secrets": op3_secrets, "op4_neighbours": op4_neighbours, "op7_jaccard_join": op7_jaccard_join, "op8_packing": op8_packing, "op5_fingerprints": op5_fingerprints, "op6_bpe": op6_bpe, "op9_substrings": op9_substrings, "op10_language": op10_language, "op11_exact_dedup": op11_exact_dedup}
+    return {"op1_token_files": op1_token_files, "op2_warc": op2_warc, "op3_secrets": op3_secrets, "op4_neighbours": op4_neighbours, "op7_jaccard_join": op7_jaccard_join, "op8_packing": op8_packing, "op5_fingerprints": op5_fingerprints, "op6_bpe": op6_bpe, "op9_substrings": op9_substrings, "op10_language": op10_language, "op11_exact_dedup": op11_exact_dedup, "op12_resampling": op12_resampling}
 
 
 def _secrets_sql() -> str:

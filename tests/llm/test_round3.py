@@ -1,11 +1,15 @@
 """The operators for copies, resampling and conversations against brute-force versions."""
 
 import hashlib
+import math
 import random
+import re
+import zlib
+from collections import Counter
 
 import pytest
 
-from kestrel.llm import exact_dedup
+from kestrel.llm import exact_dedup, resampling
 from kestrel.llm.queries import EXACT_DEDUP_SQL
 
 TEXTS = [None, "", " ", "One two", "one TWO", "ONE TWO", "Ünï É", "Ünï é", "x" * 300_000, "X" * 300_000, "\x00A", "\x00a", "One two"]
@@ -83,3 +87,60 @@ def test_cuckoo_filter():
     for k in keys[::2]:
         assert full.remove(k)
     assert all(map(full.has, keys[1::2])) and sum(map(bool, full.slots)) == 1500
+
+
+def features(text, orders=2):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered(text))
+    runs = [" ".join(words[i : i + k]) for k in range(1, orders + 1) for i in range(len(words) - k + 1)]
+    return len(words), Counter(zlib.crc32(r.encode()) % 10_000 for r in runs)
+
+
+def resampled(rows, target):
+    read, s, t = [(i, *features(x)) for i, x in rows], Counter(), Counter()
+    for _, _, f in read:
+        s.update(f)
+    for x in target:
+        t.update(features(x)[1])
+    all_s, all_t, out = sum(s.values()), sum(t.values()), []
+    gain = [math.floor(1000 * math.log((t[b] + 1) * (all_s + 10_000) / ((s[b] + 1) * (all_t + 10_000)))) for b in range(10_000)]
+    for i, n, f in read:
+        weight = sum(gain[b] * c for b, c in f.items()) // sum(f.values()) if f else 0
+        h = int(hashlib.sha256(f"7:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        out.append((i, n, sum(f.values()), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))))
+    able = sorted((x for x in out if x[1] >= 20), key=lambda x: (-x[4], x[0] is None, x[0] or 0))
+    k = 25 * len(able) // 100
+    drawn = [(i, f, w, sc, r + 1) for r, (i, n, f, w, sc) in enumerate(able[:k])]
+    return sorted(drawn + [(i, f, w, sc, None) for i, n, f, w, sc in able[k:] + [x for x in out if x[1] < 20]], key=repr)
+
+
+def prose(seed, n):
+    pick = random.Random(seed)
+    return " ".join(pick.choice(["the", "cat", "Über", "x" * 70, "12", "dog's", "日本"]) + str(int(pick.paretovariate(0.7))) * pick.randint(0, 1) for _ in range(n))
+
+
+def test_resampling(spark, monkeypatch):
+    rows = [(i, prose(i, i % 60)) for i in range(400)] + [(500, None), (501, ""), (None, prose(3, 40)), (None, "a b"), (7, prose(7, 30)), (502, prose(9, 30_000)), (503, "z" * 70_000 + " " + "y" * 100), (504, "the " * 40)]
+    rows += [(600 + i, "hot words " * 12) for i in range(300)]
+    table = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, row_key string, rank int").repartition(4)
+    target = [prose(1000 + i, 50) for i in range(20)] + [None]
+    wanted_texts = spark.createDataFrame([(t,) for t in target], "text string")
+    shape = ["doc_id", "n_features", "weight", "score", "rank"]
+    run = lambda d, t: sorted(map(tuple, resampling.resample(d, t).select(shape).collect()), key=repr)
+    assert run(table, wanted_texts) == resampled(rows, target)
+    assert run(table.where("doc_id < 50"), wanted_texts.limit(0)) == resampled([r for r in rows if r[0] is not None and r[0] < 50], [])
+    assert run(table.limit(0), wanted_texts) == []
+
+
+def test_features_in_pieces(monkeypatch):
+    text = prose(4, 3000)
+    for orders in (1, 2, 3):
+        monkeypatch.setattr(resampling, "PIECE", 300)
+        n, found = resampling.Features(orders).counts(text.encode())
+        assert (n, {b: c for b, c in enumerate(found.tolist()) if c}) == (lambda x: (x[0], dict(sorted(x[1].items()))))(features(text, orders))
+
+
+def test_postings_pack():
+    import numpy as np
+
+    bucket, doc, count = np.array([0, 0, 3]), np.array([1, 9, 0]), np.array([1, 255, 1 << 40])
+    assert [x.tolist() for x in resampling._unpacked(resampling._packed(bucket, doc, count, 5), 5)] == [[0, 0, 3], [1, 9, 0], [1, 255, 1 << 40]]
