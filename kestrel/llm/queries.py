@@ -91,8 +91,14 @@ def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kestrel.llm import conversations
+
+    return conversations.repair(conversations.damaged(_table(spark, sf_dir, "conversations"))).withColumnRenamed("conv", "conv_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_files": op1_token_files, "op2_warc": op2_warc, "op3_secrets": op3_secrets, "op4_neighbours": op4_neighbours, "op7_jaccard_join": op7_jaccard_join, "op8_packing": op8_packing, "op5_fingerprints": op5_fingerprints, "op6_bpe": op6_bpe, "op9_substrings": op9_substrings, "op10_language": op10_language, "op11_exact_dedup": op11_exact_dedup, "op12_resampling": op12_resampling}
+    return {"op1_token_files": op1_token_files, "op2_warc": op2_warc, "op3_secrets": op3_secrets, "op4_neighbours": op4_neighbours, "op7_jaccard_join": op7_jaccard_join, "op8_packing": op8_packing, "op5_fingerprints": op5_fingerprints, "op6_bpe": op6_bpe, "op9_substrings": op9_substrings, "op10_language": op10_language, "op11_exact_dedup": op11_exact_dedup, "op12_resampling": op12_resampling, "op13_conversations": op13_conversations}
 
 
 def _secrets_sql() -> str:

@@ -6,10 +6,11 @@ import random
 import re
 import zlib
 from collections import Counter
+from itertools import groupby, product
 
 import pytest
 
-from kestrel.llm import exact_dedup, resampling
+from kestrel.llm import conversations, exact_dedup, resampling
 from kestrel.llm.queries import EXACT_DEDUP_SQL
 
 TEXTS = [None, "", " ", "One two", "one TWO", "ONE TWO", "Ünï É", "Ünï é", "x" * 300_000, "X" * 300_000, "\x00A", "\x00a", "One two"]
@@ -144,3 +145,134 @@ def test_postings_pack():
 
     bucket, doc, count = np.array([0, 0, 3]), np.array([1, 9, 0]), np.array([1, 255, 1 << 40])
     assert [x.tolist() for x in resampling._unpacked(resampling._packed(bucket, doc, count, 5), 5)] == [[0, 0, 3], [1, 9, 0], [1, 255, 1 << 40]]
+
+
+GRAMMAR = re.compile(r"(s?(ua)+)?")
+
+
+def cheapest(rows):
+    """rows: (role, text, fault); all edit sequences with at most two inserted rows in a gap are tried."""
+    best = None
+    gaps = ["", "u", "a", "ua", "au"]
+    choices = [["D"] if f in (1, 2) else ["D", "K", "Ru", "Ra"] for _, _, f in rows]
+    for edits in product(*choices):
+        cost = sum(4 if e == "D" else 3 * (e[0] == "R") + 3 * (rows[i][2] == 3) for i, e in enumerate(edits))
+        if best and cost > best[0]:
+            continue
+        for fill in product(gaps, repeat=len(rows) + 1):
+            total = cost + 3 * sum(map(len, fill))
+            if best and total > best[0]:
+                continue
+            audit, initials, lines = "", "", []
+            for i, gap in enumerate(fill):
+                audit += "I" * len(gap)
+                initials += gap
+                lines += [("user:" if g == "u" else "assistant:") for g in gap]
+                if i < len(rows):
+                    e, (role, text, _) = edits[i], rows[i]
+                    audit += e[0]
+                    if e != "D":
+                        role = role if e == "K" else "user" if e == "Ru" else "assistant"
+                        initials += role[:1] or "-"
+                        lines.append(f"{role}:{text}")
+            if GRAMMAR.fullmatch(initials) and (best is None or (total, audit) < best[:2]):
+                best = (total, audit, lines)
+    return best
+
+
+def relaxed(rows):
+    """The same by relaxing every edit until nothing gets better, for conversations of any length."""
+    step, forced = conversations.STEP, conversations.FORCED
+    layer = {0: (0, "", ())}
+
+    def inserts(layer):
+        for _ in range(3):
+            for q, (c, a, lines) in list(layer.items()):
+                to = forced[q]
+                new = (c + 3, a + "I", lines + (("user:", "assistant:")[to == 3],))
+                if to not in layer or new[:2] < layer[to][:2]:
+                    layer[to] = new
+        return layer
+
+    layer = inserts(layer)
+    for role, text, fault in rows:
+        new = {}
+        for q, (c, a, lines) in layer.items():
+            found = [(q, (c + 4, a + "D", lines))]
+            if fault in (0, 3):
+                d = c + (3 if fault == 3 else 0)
+                if (q, role[:1]) in step:
+                    found.append((step[q, role[:1]], (d, a + "K", lines + (f"{role}:{text}",))))
+                found.append((forced[q], (d + 3, a + "R", lines + (("user:", "assistant:")[forced[q] == 3] + text,))))
+            for to, x in found:
+                if to not in new or x[:2] < new[to][:2]:
+                    new[to] = x
+        layer = inserts(new)
+    return min(layer[q] for q in (0, 3) if q in layer)
+
+
+def damage(rows):
+    for conv, turn, role, text in rows:
+        what = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        role, text = " " if role is None else role, " " if text is None else text
+        if what == 0:
+            continue
+        text = "" if what == 1 else re.sub("[.!?]", "", text) if what == 2 else text
+        for _ in range(1 + (what == 3)):
+            yield conv, turn, "user" if what == 4 else role, text
+
+
+def mended(table):
+    out = []
+    left = {c: list(r) for c, r in groupby(sorted(damage(table), key=lambda r: (repr(r[0]), r[1] is not None, r[1] or 0, r[2].encode(), r[3].encode())), key=lambda r: r[0])}
+    for conv in {r[0] for r in table}:
+        rows, seen, faulty = left.get(conv, []), set(), []
+        for _, turn, role, text in rows:
+            said = re.findall(r"[^\x20\x09-\x0D]", text)
+            fault = 1 if not said else 2 if (role, text) in seen else 3 if said[-1] not in ".!?" else 0
+            seen.add((role, text))
+            faulty.append((role, text, fault))
+        turns = [r[1] for r in rows if r[1] is not None]
+        gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+        illegal = sum(a[2][:1] + b[2][:1] not in ("su", "ua", "au") for a, b in zip(rows, rows[1:], strict=False))
+        cost, audit, lines = relaxed(faulty)
+        count = Counter(f for _, _, f in faulty)
+        out.append((conv, gaps, count[1], count[2], count[3], illegal, cost, audit, hashlib.sha256("\n".join(lines).encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def test_edit_search():
+    pick = random.Random(1)
+    for n in range(60):
+        rows = [(pick.choice(["user", "assistant", "system", "tool", ""]), str(i), pick.choice([0, 0, 0, 1, 2, 3])) for i in range(n % 5)]
+        want = cheapest(rows)
+        (cost, audit), *rest = conversations.search([r[:1] for r, _, _ in rows], [f for _, _, f in rows]).values()
+        assert (cost, audit) == want[:2] == relaxed(rows)[:2] and not rest
+        assert conversations.repaired(0, audit, [r for r, _, _ in rows], [t for _, t, _ in rows]) == want[2] == list(relaxed(rows)[2])
+
+
+def test_chunks_compose():
+    pick = random.Random(2)
+    for n in range(40):
+        rows = [(pick.choice(["user", "assistant", "assistant", "system", "tool"]), str(i), pick.choice([0, 0, 0, 1, 3])) for i in range(n * 2)]
+        made, size = conversations.Composer(), pick.randint(1, 6)
+        for at in range(0, len(rows), size):
+            part = rows[at : at + size]
+            made.add({(e, x): found for e in range(4) for x, found in conversations.search([r[:1] for r, _, _ in part], [f for _, _, f in part], e, None).items()})
+        cost, steps = made.done()
+        assert (cost, "".join(a for _, a in steps)) == relaxed(rows)[:2]
+
+
+@pytest.mark.parametrize("chunk", [512, 7])
+def test_conversations(spark, monkeypatch, chunk):
+    monkeypatch.setattr(conversations, "CHUNK", chunk)
+    pick = random.Random(3)
+    texts = ["Hi.", "So?", "no end", "", " \t", "Yes!\u2028", "ok. \x0b", "…", "A.B", None, "Bye."]
+    rows = [(c, t, pick.choice(["user", "assistant", "assistant", "system", "tool", None, ""]), pick.choice(texts)) for c in range(300) for t in range(pick.randint(1, 9))]
+    rows += [(1000, t, ["user", "assistant"][t % 2] if t % 11 else "system", f"line {t % 500}.") for t in range(3000)] + [(1001, None, "user", f"x{i}.") for i in range(40)]
+    rows += [(None, 1, "user", "a."), (None, 2, "assistant", "b."), (None, 2, "assistant", "b."), (3, 1, "user", "twice."), (3, 10**12, "user", "far."), (1002, 1, "user", "y" * 100_000 + ".")]
+    rows += [(c, 0, "user", "only.") for c in range(2000, 2060)]
+    table = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, conv string").repartition(6)
+    got = sorted(map(tuple, conversations.repair(conversations.damaged(table)).collect()), key=repr)
+    assert got == mended(rows)
+    assert conversations.repair(conversations.damaged(table.limit(0))).count() == 0
