@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kestrel.functions import scalars
-from kestrel.operators import code, graph, incremental, reports, security, state, text, usage
+from kestrel.operators import blocks, code, graph, incremental, reports, security, state, text, usage
 from kestrel.sources import files as trees, parsed
 from kestrel.streaming import alerts
 
@@ -408,6 +408,25 @@ def _dup_blocks(spark, read):
     return text.duplicate_blocks(text.windows(read("documents"), 3), 3)
 
 
+#: All lengths of every repeated run, one line at a time; blocks are what branches on both sides.
+WHOLE_BLOCKS = """w AS (SELECT * FROM windows WHERE hash IN (SELECT hash FROM windows GROUP BY hash HAVING count(DISTINCT doc_id) > 1)),
+  runs(n, doc_id, seq, name) AS (SELECT 1, doc_id, seq, hash FROM w UNION ALL SELECT n + 1, runs.doc_id, runs.seq, md5(name || hash) FROM runs JOIN w ON w.doc_id = runs.doc_id AND w.seq = runs.seq + n),
+  r AS (SELECT a.n, a.doc_id, a.seq, a.name, coalesce(b.name, a.doc_id || '/' || a.seq) AS after, coalesce(p.hash, a.doc_id || '/' || a.seq) AS before
+    FROM runs a LEFT JOIN runs b ON b.n = a.n + 1 AND b.doc_id = a.doc_id AND b.seq = a.seq LEFT JOIN w p ON p.doc_id = a.doc_id AND p.seq = a.seq - 1),
+  b AS (SELECT n, name, min({'d': doc_id, 's': seq}) AS f, count(*) AS places FROM r GROUP BY n, name HAVING min(doc_id) <> max(doc_id) AND min(after) <> max(after) AND min(before) <> max(before)),
+  held AS (SELECT r.doc_id, r.seq, b.* FROM r JOIN b USING (n, name)),
+  own AS (SELECT doc_id, seq, f, n FROM held QUALIFY row_number() OVER (PARTITION BY doc_id, seq ORDER BY n DESC) = 1),
+  up AS (SELECT f, n, places, lag(f) OVER c AS sf, lag(n) OVER c AS sn FROM held WINDOW c AS (PARTITION BY doc_id, seq ORDER BY n) QUALIFY doc_id = f.d AND seq = f.s)"""
+
+
+@register(
+    f"WITH RECURSIVE {LINES}, {NORMALIZED}, {WINDOWS}, {WHOLE_BLOCKS} SELECT up.f.d AS first, up.f.s AS first_seq, l.line_no AS first_line, (up.n + 2)::BIGINT AS length, places, up.sf.d AS shorter_first, up.sf.s AS shorter_seq, (up.sn + 2)::BIGINT AS shorter_length, o.doc_id, o.seq, o.line_no "
+    "FROM up JOIN windows l ON l.doc_id = up.f.d AND l.seq = up.f.s LEFT JOIN (SELECT own.*, line_no FROM own JOIN windows USING (doc_id, seq)) o ON o.f = up.f AND o.n = up.n"
+)
+def _whole_blocks(spark, read):
+    return blocks.listed(*blocks.whole_blocks(text.windows(read("documents"), 3), 3))
+
+
 @register(f"WITH {LINES} SELECT doc_id, line_no, last_value(CASE WHEN length(line) < 60 THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no) AS section FROM lines")
 def _section_forward_fill(spark, read):
     return text.section_fill(text.lines(read("documents")), F.length("line") < 60).select("doc_id", "line_no", "section")
