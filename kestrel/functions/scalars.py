@@ -80,10 +80,12 @@ def _ipv6(digits: Column) -> Column:
     text = F.concat_ws(":", *(F.regexp_replace(F.lower(F.concat(byte(2 * g), byte(2 * g + 1))), "^0{1,3}", "") for g in range(8)))
 
     def shortened(whole: Column) -> Column:
-        out = whole
+        padded, out = F.concat(F.lit(":"), whole, F.lit(":")), whole
         for n in range(2, 9):  # the longest run comes last and wins
-            run = f"^(.*?)(^|:)0(:0){{{n - 1}}}(:|$)(.*)$"
-            out = F.when(whole.rlike(run), F.regexp_replace(whole, run, "$1::$5")).otherwise(out)
+            run = ":" + "0:" * n
+            at = F.instr(padded, run)
+            rest = F.substring(padded, at + len(run), F.length(padded) - at - len(run))
+            out = F.when(at > 0, F.concat(F.substring(padded, F.lit(2), at - 2), F.lit("::"), rest)).otherwise(out)
         return out
 
     return F.element_at(F.transform(F.array(text), shortened), 1)

@@ -6,11 +6,10 @@ scan without a join.  Texts may be null: they match nothing.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kestrel.functions import scalars as S
+from kestrel.operators import patterns
 
 #: Parts of process names, with severity.
 PROCESS_NAMES = [
@@ -61,6 +60,11 @@ CREDENTIALS = [
     ("Slack Token", r"xox[bporas]-[A-Za-z0-9\-]{10,}"),
     ("Database URL with creds", "(postgres|mysql|mongodb)://[^:]+:[^@]+@"),
 ]
+#: What every text with such a credential holds.
+CREDENTIAL_NEEDS = {
+    "AWS Access Key": ("AKIA",), "GitHub Token": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), "Anthropic API Key": ("sk-ant-",), "OpenAI API Key": ("sk-",),
+    "Stripe Key": ("sk_live_", "rk_live_"), "Slack Token": ("xox",), "Database URL with creds": ("postgres://", "mysql://", "mongodb://"),
+}
 #: Addresses and commands that lock files should not hold.
 LOCK_ADDRESSES = ["pastebin.com", "bit.ly", "tinyurl.com", "ngrok.io", "serveo.net", "localhost:", "127.0.0.1", "0.0.0.0"]
 LOCK_COMMANDS = ["curl ", "wget ", "powershell ", "child_process", "net.connect", "/dev/tcp/", "base64 -d", "base64 --decode"]
@@ -103,7 +107,8 @@ def _hit(rule: str, severity: str | Column, detail: str | Column) -> Column:
 
 def _first(text: Column, table: list[tuple[str, str]], rule: str) -> Column:
     """The first entry that the text contains, null without one."""
-    return F.coalesce(*(F.when(text.contains(part), _hit(rule, severity, part)) for part, severity in table))
+    hits = F.array(*(_hit(rule, severity, part) for part, severity in table))  # folds into one constant
+    return F.get(F.filter(hits, lambda hit: text.contains(hit["detail"])), F.lit(0))
 
 
 def _each(text: Column, parts: list[str], rule: str, severity: str) -> list[Column]:
@@ -112,7 +117,7 @@ def _each(text: Column, parts: list[str], rule: str, severity: str) -> list[Colu
 
 
 def _any(text: Column, parts: list[str], how: str = "contains") -> Column:
-    return reduce(lambda a, b: a | b, (getattr(text, how)(p) for p in parts))
+    return F.exists(F.array(*map(F.lit, parts)), lambda part: getattr(text, how)(part))
 
 
 def _lookup(key: Column, table: dict) -> Column:
@@ -130,7 +135,8 @@ def processes(df: DataFrame) -> DataFrame:
 
     One row per table at most (Q8).  An empty command line marks a kernel thread: its name is not judged.
     """
-    name, cmd, cpu = F.lower("name"), F.col("cmdline"), F.col("cpu")
+    df = df.withColumn("_low", F.lower("name"))
+    name, cmd, cpu = F.col("_low"), F.col("cmdline"), F.col("cpu")
     busy = (cpu > 50) & (F.col("run_seconds") > 60) & ~_any(name, HEAVY)
     return _rows(
         df,
@@ -146,8 +152,10 @@ def processes(df: DataFrame) -> DataFrame:
 
 def sockets(lines: DataFrame, line: str = "value") -> DataFrame:
     """(local_ip, local_port, remote_ip, remote_port, state) of /proc/net/tcp and tcp6 lines; headings and others go."""
-    part = F.split(F.trim(line), r"\s+")
-    parsed = lines.select(S.hex_address(F.get(part, F.lit(1))).alias("l"), S.hex_address(F.get(part, F.lit(2))).alias("r"), F.upper(F.get(part, F.lit(3))).alias("state"))
+    part = F.col("part")
+    fields = F.struct(S.hex_address(F.get(part, F.lit(1))).alias("l"), S.hex_address(F.get(part, F.lit(2))).alias("r"), F.upper(F.get(part, F.lit(3))).alias("state"))
+    # Unnested, so that what follows reads the fields of addresses that were parsed once.
+    parsed = lines.select(F.split(F.trim(line), r"\s+").alias("part")).select(F.inline(F.array(fields)))
     return parsed.where("l is not null and r is not null").select(*(F.col(f"{a}.{b}").alias(f"{n}_{b}") for a, n in (("l", "local"), ("r", "remote")) for b in ("ip", "port")), "state")
 
 
@@ -173,9 +181,12 @@ def scheduled(df: DataFrame, key: str = "source", command: str = "command") -> D
     return _rows(df, key, [_first(F.col(command), SCHEDULED, "scheduled.command")])
 
 
-def credentials(df: DataFrame, key: str, text: str, more: list[tuple[str, str]] = ()) -> DataFrame:
+def credentials(df: DataFrame, key: str, text: str, more: list[tuple | patterns.Pattern] = ()) -> DataFrame:
     """The first vendor credential in each text, or else of more (name, pattern) shapes."""
-    return _rows(df, key, [F.coalesce(*(F.when(F.col(text).rlike(p), _hit("credential", "high", n)) for n, p in [*CREDENTIALS, *more]))])
+    table = [*(patterns.Pattern(n, p, CREDENTIAL_NEEDS[n]) for n, p in CREDENTIALS), *more]
+    name = patterns.first_match(F.col(text), table)
+    found = df.select(F.col(key).alias("subject"), name.alias("detail")).where("detail is not null")
+    return found.select("subject", F.lit("credential").alias("rule"), F.lit("high").alias("severity"), "detail")
 
 
 def lock_files(files: DataFrame) -> DataFrame:

@@ -91,20 +91,6 @@ def lookahead_missing(rows: DataFrame, opening: str, closing: str, ahead: int =
     return rows.withColumn("_near", near).where(F.col("line").contains(opening) & ~F.col("_near")).drop("_near")
 
 
-def first_match(text: Column, patterns: list[tuple[str, str]], default: str | None = None) -> Column:
-    """Name of the first pattern of an ordered table that matches (J10, Q8): one native expression, no join."""
-    out = F.when(text.rlike(patterns[0][1]), patterns[0][0])
-    for name, pattern in patterns[1:]:
-        out = out.when(text.rlike(pattern), name)
-    return out.otherwise(F.lit(default)) if default is not None else out
-
-
-def all_matches(files: DataFrame, patterns: list[tuple[str, str]], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, pattern) for every pattern that matches."""
-    hits = F.array(*(F.when(F.col(text).rlike(p), F.lit(n)) for n, p in patterns))
-    return files.select(key, F.explode(F.array_compact(hits)).alias("pattern"))
-
-
 def keyword_hits(rows: DataFrame, keywords: list[str], per_keyword: int, key: str = "doc_id") -> DataFrame:
     """First keyword that a line contains, the first `per_keyword` lines of each (J9, W1): a top-k report."""
     low = F.lower("line")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kestrel.functions import scalars
-from kestrel.operators import blocks, code, graph, incremental, reports, security, state, text, usage
+from kestrel.operators import blocks, code, graph, incremental, patterns, reports, security, state, text, usage
 from kestrel.sources import files as trees, parsed
 from kestrel.streaming import alerts
 
@@ -220,18 +220,23 @@ def _dup_groups(spark, read):
     return text.duplicate_windows(text.windows(read("documents"), 3))
 
 
-PATTERNS = [("license", "(?i)licen[sc]e"), ("credential", "(?i)(password|token|api_key) *="), ("mail", "[a-z.]+@[a-z0-9.]+"), ("number", "[0-9]{3}")]
-PATTERN_CASE = " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{n}'" for n, p in PATTERNS)
+PATTERNS = [
+    patterns.Pattern("license", "(?i)licen[sc]e", ("licen",), True),
+    patterns.Pattern("credential", "(?i)(password|token|api_key) *=", ("password", "token", "api_key"), True),
+    patterns.Pattern("mail", "[a-z.]+@[a-z0-9.]+", ("@",)),
+    patterns.Pattern("number", "[0-9]{3}"),
+]
+PATTERN_CASE = " ".join(f"WHEN regexp_matches(text, '{p.regex}') THEN '{p.name}'" for p in PATTERNS)
 
 
 @register(f"SELECT doc_id, CASE {PATTERN_CASE} ELSE 'none' END AS pattern FROM documents")
 def _priority_pattern_match(spark, read):
-    return read("documents").select("doc_id", text.first_match(F.col("text"), PATTERNS, "none").alias("pattern"))
+    return read("documents").select("doc_id", patterns.first_match(F.col("text"), PATTERNS, "none").alias("pattern"))
 
 
-@register(" UNION ALL ".join(f"SELECT doc_id, '{n}' AS pattern FROM documents WHERE regexp_matches(text, '{p}')" for n, p in PATTERNS))
+@register(" UNION ALL ".join(f"SELECT doc_id, '{p.name}' AS pattern FROM documents WHERE regexp_matches(text, '{p.regex}')" for p in PATTERNS))
 def _all_pattern_match(spark, read):
-    return text.all_matches(read("documents"), PATTERNS)
+    return patterns.all_matches(read("documents"), PATTERNS)
 
 
 @register(
@@ -369,8 +374,8 @@ def _hardcoded_values(spark, read):
 
 
 #: A generic shape besides the vendors': the tables hold made-up credentials.
-GENERIC = ("Assigned secret", "(?i)(password|token|api_key) *=")
-CREDENTIAL_CASE = " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{n}'" for n, p in [*security.CREDENTIALS, GENERIC])
+GENERIC = patterns.Pattern("Assigned secret", "(?i)(password|token|api_key) *=", ("password", "token", "api_key"), True)
+CREDENTIAL_CASE = " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{n}'" for n, p, *_ in [*security.CREDENTIALS, GENERIC])
 CREDENTIALS_SQL = f"c AS (SELECT doc_id, CASE {CREDENTIAL_CASE} END AS detail FROM documents)"
 
 

@@ -63,3 +63,19 @@ def test_containers(spark):
 def test_usage_alerts_both_fire(spark):
     df = spark.createDataFrame([("d1", 900_000), ("d2", 2_000_001), ("d3", 5)], "day string, tokens long")
     assert rows(security.usage_alerts(df, "day", "tokens"), "subject", "severity") == [("d1", "warning"), ("d2", "critical"), ("d2", "warning")]
+
+
+def test_pattern_index_gives_the_rows_of_plain_patterns(spark):
+    import re
+
+    from kestrel.operators import patterns, security
+
+    table = [patterns.Pattern(n, p, security.CREDENTIAL_NEEDS[n]) for n, p in security.CREDENTIALS]
+    table += [patterns.Pattern("word", "(?i)licen[sc]e", ("licen",), True), patterns.Pattern("mail", "[a-z.]+@[a-z0-9.]+", ("@",)), ("digits", "[0-9]{3}"), ("tail", "x[a-c]+")]
+    texts = ["", None, "AKIA" + "A1" * 8, "AKIA12", "ghp_" + "a" * 36, "gho_" + "b_" * 17, "sk-ant-" + "a-" * 25, "sk-" + "Z" * 40, "rk_live_" + "9" * 20, "xoxb-1234567890", "mysql://u:p@h", "mysql://u:p", "LICENCE", "a@b", "@b 123", "xc", "licen@s"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {(i, p[0]) for i, t in enumerate(texts) if t is not None for p in table if re.search(p[1], t)}
+    assert {tuple(r) for r in patterns.all_matches(rows, table).collect()} == want
+    first = {r.doc_id: r.p for r in rows.select("doc_id", patterns.first_match(rows.text, table, "none").alias("p")).collect()}
+    assert first == {i: next((p[0] for p in table if (i, p[0]) in want), "none") for i in range(len(texts))}
+    assert patterns.shortest("[a-z.]+@[a-z0-9.]+") == "[a-z.]@[a-z0-9.]" and patterns.shortest("gh_[a-z]{36,}") == "gh_[a-z]{36}" and patterns.shortest("[a]++b[c]+?") == "[a]++b[c]+?"
