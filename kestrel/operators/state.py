@@ -6,6 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from kestrel.operators import shared
+
 
 def transitions(samples: DataFrame, key: str, state: str, order: list[str]) -> DataFrame:
     """Samples whose state differs from the one before it in the same entity; the first one counts.
@@ -69,40 +71,131 @@ def debounce(events: DataFrame, key: str, ts: str, quiet: str) -> DataFrame:
     return events.groupBy(key, F.session_window(ts, quiet).alias("w")).agg(F.count("*").alias("events"), F.min(ts).alias("first"), F.max(ts).alias("last")).drop("w")
 
 
+#: Entry of a chunk's function for a key without an alert that fired yet.
+_NEVER = np.iinfo(np.int64).min
+
+
+def _micros(pdf: pd.DataFrame, ts: str) -> np.ndarray:
+    return pdf[ts].to_numpy("datetime64[us]").astype(np.int64)
+
+
+def _fires(times: np.ndarray, pause: int, last: int) -> tuple[list[int], int]:
+    """(alerts that fire, last time fired) of sorted times after one that fired at `last`: leaps from one to the first that is late enough."""
+    out, i = [], 0 if last == _NEVER else int(times.searchsorted(last + pause, "right"))
+    while i < len(times):
+        last = int(times[i])
+        out.append(i)
+        i += max(1, int(times[i:].searchsorted(last + pause, "right")))
+    return out, last
+
+
+def _passage(times: np.ndarray, pause: int) -> tuple[list[int], list[int]]:
+    """What sorted times make of the last time fired before them: (bounds, results).  With n bounds up to last + pause it becomes results[n]; _NEVER leaves it as it is.
+
+    Only alerts up to one pause after the first can be the first to fire.  Where a chain from each ends
+    is found by jumping along the next ones, doubled each time; neighbours with one end are one piece.
+    """
+    n = len(times)
+    jump = times.searchsorted(times + pause, "right")
+    jump = np.where(jump < n, jump, np.arange(n))
+    while (jump[jump] != jump).any():
+        jump = jump[jump]
+    most = int(times.searchsorted(times[0] + pause, "right"))
+    ends = np.append(times[jump[: min(most + 1, n)]], [_NEVER] * (most == n))
+    new = np.flatnonzero(np.diff(ends)) + 1
+    return times[new - 1].tolist(), [int(ends[0]), *ends[new].tolist()]
+
+
 def cooldown(alerts: DataFrame, key: list[str], ts: str, seconds: int) -> DataFrame:
     """Alerts that fire: more than `seconds` after the last one of the key that fired.
 
-    Alerts without a time never fire.  Each decision hangs on the one before, so a key's alerts are
-    walked in order: rows arrive sorted, the walk leaps from one that fires to the first that is late
-    enough by binary search, and only the last time fired is held between batches.
+    Alerts without a time never fire.  Alerts are dealt in ranges of key and time, so the alerts of one
+    key may lie in many ranges.  A key that begins in a range is walked there.  For one that goes on from
+    the range before, the range gives a function of the last time fired; these are composed in order, a
+    row to a range, and then every range is walked from its own entry.  So one key with all rows is
+    the work of all tasks.
     """
-    names, schema = alerts.columns, alerts.schema
+    spark, names, pause = alerts.sparkSession, alerts.columns, seconds * 1_000_000
+    folder, n = shared.folder(spark, "cooldown"), shared.partitions(spark)
     at = [names.index(k) for k in key]
+    nullable = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in alerts.schema)
+    made = f"{nullable}, _part int, _kind int, _bounds array<long>, _results array<long>"
+    ranged = alerts.where(F.col(ts).isNotNull()).repartitionByRange(n, *key, ts).sortWithinPartitions(*key, ts)
 
     def walk(batches):
-        held, fired = None, None
+        """Kinds of rows: 0 fires, 1 hangs on the range before, 2 what the range's first key makes of the last time fired, 3 what its last key, which began in it, hands on."""
+        from pyspark import TaskContext
+
+        part, held, first, fired, waiting, sample = TaskContext.get().partitionId(), None, True, _NEVER, [], None
+
+        def marked(rows, kind, bounds=None, results=None):
+            empty = lambda x: pd.Series([x] * len(rows), index=rows.index, dtype=object)
+            return rows.assign(_part=part, _kind=kind, _bounds=empty(bounds), _results=empty(results))
+
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            keys, times, kinds = pdf.iloc[:, at], _micros(pdf, ts), np.full(len(pdf), -1)
+            after, before = keys.iloc[1:].reset_index(drop=True), keys.iloc[:-1].reset_index(drop=True)
+            differ = ((after != before) & ~(after.isna() & before.isna())).any(axis=1).to_numpy()
+            starts = [0, *(differ.nonzero()[0] + 1).tolist(), len(pdf)]
+            own = tuple(None if pd.isna(x) else x for x in keys.iloc[0])
+            for i, j in zip(starts[:-1], starts[1:], strict=True):
+                if i or sample is None or own != held:
+                    if sample is not None and first:
+                        yield marked(sample, 2, *_passage(np.concatenate(waiting), pause))
+                        first, waiting = False, []
+                    fired, sample = _NEVER, pdf.iloc[i : i + 1]
+                if first:
+                    waiting.append(times[i:j])
+                    kinds[i:j] = 1
+                else:
+                    keep, fired = _fires(times[i:j], pause, fired)
+                    kinds[[i + k for k in keep]] = 0
+            held = tuple(None if pd.isna(x) else x for x in keys.iloc[-1])
+            yield marked(pdf[kinds >= 0], kinds[kinds >= 0])
+        if sample is not None:
+            yield marked(sample, 2, *_passage(np.concatenate(waiting), pause)) if first else marked(sample, 3, [], [fired])
+
+    out = shared.stash(ranged.mapInPandas(walk, made), f"{folder}/walked")
+
+    def compose(batches):
+        """The last time fired before each range whose first key goes on from the one before."""
+        held, fired = None, _NEVER
+        for pdf in batches:
+            parts, entries = [], []
+            for row in pdf.itertuples(index=False):
+                own = tuple(None if pd.isna(row[i]) else row[i] for i in at)
+                if held is None or own != held:
+                    held, fired = own, _NEVER
+                if row[-3] == 2:
+                    parts.append(row[-4])
+                    entries.append(fired)
+                bounds, results = np.asarray(row[-2], np.int64), row[-1]
+                after = int(results[0 if fired == _NEVER else int(bounds.searchsorted(fired + pause, "right"))])
+                fired = fired if after == _NEVER else after
+            yield pd.DataFrame({"_part": parts, "_entry": entries})
+
+    borders = out.where("_kind >= 2").repartition(n, *key).sortWithinPartitions(*key, "_part")
+    entries = borders.mapInPandas(compose, "_part int, _entry long")  # a row to a range
+    waiting = out.where("_kind = 1").select(*names, "_part").join(F.broadcast(entries), "_part")
+
+    def finish(batches):
+        held, fired = None, _NEVER
         for pdf in batches:
-            times = pdf[ts].to_numpy("datetime64[us]")
-            keys = pdf.iloc[:, at]
-            starts = [0, *(((keys != keys.shift()) & ~(keys.isna() & keys.shift().isna())).any(axis=1).to_numpy()[1:].nonzero()[0] + 1).tolist(), len(pdf)] if len(pdf) else [0]
-            keep = []
-            for first, stop in zip(starts[:-1], starts[1:], strict=True):
-                own = tuple(None if pd.isna(x) else x for x in keys.iloc[first])
-                if own != held:
-                    held, fired = own, None
-                i = first
-                while True:
-                    if fired is not None:
-                        i = max(i, first + int(times[first:stop].searchsorted(fired + pause, "right")))
-                    if i >= stop:
-                        break
-                    fired = times[i]
-                    keep.append(i)
-                    i += 1
-            yield pdf.iloc[keep]
-
-    pause = np.timedelta64(seconds, "s")
-    return alerts.where(F.col(ts).isNotNull()).repartition(*key).sortWithinPartitions(*key, ts).mapInPandas(walk, schema)
+            if not len(pdf):
+                continue
+            own = pdf["_part"].to_numpy()
+            starts = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(pdf)]
+            for i, j in zip(starts[:-1], starts[1:], strict=True):
+                rows = pdf.iloc[i:j]
+                if own[i] != held:
+                    held, fired = own[i], int(rows["_entry"].iloc[0])
+                keep, fired = _fires(_micros(rows, ts), pause, fired)
+                yield rows.iloc[keep][names]
+
+    rest = waiting.repartitionById(n, "_part").sortWithinPartitions("_part", ts).mapInPandas(finish, nullable)
+    return out.where("_kind = 0").select(names).unionByName(rest)
 
 
 def severity(score: Column) -> Column:

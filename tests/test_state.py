@@ -42,6 +42,37 @@ def test_cooldown_over_many_batches(spark):
     assert sorted((r.k, r.ts) for r in fired) == want
 
 
+def test_cooldown_of_one_key_over_all_ranges(spark):
+    """The alerts of a constant key lie in every range, those of others begin or end at borders; ties and gaps of all sizes."""
+    pick = __import__("random").Random(5)
+    for step, keys in ((90, 1), (3, 1), (600, 1), (40, 3), (2000, 9)):
+        rows, at = [], 0
+        for i in range(1500):
+            at += pick.choice([0, 1, step, pick.randrange(step)])
+            rows.append((pick.randrange(keys), i, T0 + dt.timedelta(seconds=at)))
+        got = state.cooldown(spark.createDataFrame(rows, "k int, i int, ts timestamp"), ["k"], "ts", 300)
+        want, last = [], {}
+        for k, _, t in sorted(rows, key=lambda r: (r[0], r[2])):
+            if k not in last or t - last[k] > dt.timedelta(seconds=300):
+                want.append((k, t))
+                last[k] = t
+        assert sorted((r.k, r.ts) for r in got.collect()) == want
+    assert state.cooldown(spark.createDataFrame([], "k int, ts timestamp"), ["k"], "ts", 300).count() == 0
+
+
+def test_passage_of_a_chunk():
+    import numpy as np
+
+    pick = np.random.default_rng(1)
+    for _ in range(300):
+        times = np.sort(pick.integers(0, 300, pick.integers(1, 40)))
+        pause = int(pick.integers(1, 120))
+        bounds, results = state._passage(times, pause)
+        for last in [state._NEVER, *range(int(times[0]) - 150, int(times[0]) + 1)]:
+            found = results[0 if last == state._NEVER else int(np.asarray(bounds, np.int64).searchsorted(last + pause, "right"))]
+            assert (last if found == state._NEVER else found) == state._fires(times, pause, last)[1]
+
+
 def test_transitions_to_and_from_null(spark):
     rows = spark.createDataFrame([(1, i, s) for i, s in enumerate(["x", None, None, "x", "x"])] + [(2, 0, None), (2, 1, None)], "k int, i int, s string")
     assert sorted((r.k, r.i) for r in state.transitions(rows, "k", "s", ["i"]).collect()) == [(1, 0), (1, 1), (1, 3), (2, 0)]
