@@ -89,6 +89,46 @@ def _fires(times: np.ndarray, pause: int, last: int) -> tuple[list[int], int]:
     return out, last
 
 
+def run_starts(times: np.ndarray, length: int, last: int | None) -> tuple[list[int], int | None]:
+    """(starts, last start) of runs that sorted requests make after one that started at `last`: at once if none is on, else once at its end.
+
+    Requests at a run's start are its own; those after it and before its end make the next one.
+    """
+    out, i = [], 0
+    while i < len(times):
+        if last is not None and times[i] <= last:  # an earlier one has made this run, or it has not begun
+            i += max(1, int(times[i:].searchsorted(last, "right")))
+            continue
+        last = int(times[i]) if last is None else max(int(times[i]), last + length)
+        out.append(last)
+        i += 1
+    return out, last
+
+
+def coalesced_runs(requests: DataFrame, keys: list[str], ts: str, seconds: int) -> DataFrame:
+    """(keys, run): starts of runs of a fixed length, one rerun at the end of each that requests came during (R5).  Requests without a time make none.
+
+    Where no request came for the length of a run nothing is on, whatever came before; keys are walked in
+    order of time, one value at a time.
+    """
+    kinds, length = dict(requests.dtypes), seconds * 1_000_000
+
+    def walk(batches):
+        held, last = None, None
+        for pdf in batches:
+            out = []
+            for own, rows in pdf.groupby(keys, sort=False, dropna=False):
+                if own != held and str(own) != str(held):
+                    held, last = own, None
+                starts, last = run_starts(_micros(rows, ts), length, last)
+                out.append(pd.DataFrame({k: [rows[k].iloc[0]] * len(starts) for k in keys} | {"run": pd.to_datetime(np.array(starts, "int64").astype("datetime64[us]"))}))
+            if out:
+                yield pd.concat(out)
+
+    ordered = requests.where(F.col(ts).isNotNull()).select(*keys, ts).repartition(*keys).sortWithinPartitions(*keys, ts)
+    return ordered.mapInPandas(walk, ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"run {kinds[ts]}"]))
+
+
 def _passage(times: np.ndarray, pause: int) -> tuple[list[int], list[int]]:
     """What sorted times make of the last time fired before them: (bounds, results).  With n bounds up to last + pause it becomes results[n]; _NEVER leaves it as it is.
 

@@ -175,6 +175,14 @@ def _alert_cooldown(spark, read):
     return state.cooldown(read("events").select("user_id", "event_type", known), ["user_id", "event_type"], "ts", 86400)
 
 
+@register(
+    "WITH RECURSIVE r(user_id, run) AS (SELECT user_id, min(ts) FROM events WHERE ts IS NOT NULL GROUP BY 1 UNION ALL "
+    "SELECT r.user_id, greatest(min(e.ts), r.run + INTERVAL 6 HOUR) FROM r JOIN events e ON e.user_id = r.user_id AND e.ts > r.run GROUP BY r.user_id, r.run) SELECT user_id, run FROM r"
+)
+def _coalesced_runs(spark, read):
+    return state.coalesced_runs(read("events"), ["user_id"], "ts", 6 * 3600)
+
+
 SEVERITY = "CASE WHEN value >= 90 THEN 'critical' WHEN value >= 70 THEN 'high' WHEN value >= 40 THEN 'medium' ELSE 'low' END"
 
 

@@ -1,7 +1,9 @@
 """Stateful alert handling over streams: cooldown, transitions, throttling, retention and snapshots.
 
-State is kept by key, so a key's events meet in one task and their number in a batch is the bound; a
-state holds one value.  Batches of a key come in event-time order within a micro-batch.
+State is kept by key in RocksDB, one value to a key, and a timer on event time drops it when it can
+matter no more.  A key's rows of one micro-batch are held in memory while they are put in order, so the
+source's limit on a batch is the bound.  Sinks are idempotent by batch number: a batch that runs again
+after a failure leaves what it would have left the first time.
 """
 
 from __future__ import annotations
@@ -12,61 +14,99 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from kestrel.operators import reports, state
 
 
-def _by_key(events: DataFrame, keys: list[str], ts: str, keep: Callable[[object, object], tuple[bool, object]], schema: str, value: str) -> DataFrame:
-    """Rows for which `keep(last, value)` says so; it also gives the value to remember."""
-    names = events.columns
+class _Walk(StatefulProcessor):
+    """A key's rows of a batch in the order of their times, beside one value of state.
 
-    def walk(key, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        last = held.get[0] if held.exists else None
-        rows = pd.concat(list(frames)).sort_values(ts, kind="stable")
-        kept = []
-        for v in rows[value]:
-            fires, last = keep(last, v)
-            kept.append(fires)
-        if last is not None:
-            held.update((last,))
-        yield rows[pd.Series(kept, index=rows.index, dtype=bool)][names]
+    `step(times, rows, last)` gives (rows to emit, value to keep, when it may go).  The state is a value of
+    one long or string; a timer drops it once the watermark has passed that time.
+    """
+
+    def __init__(self, schema: str, ts: str, names: list[str], step: Callable[[np.ndarray, pd.DataFrame, object], tuple[object, object, int]]):
+        self.schema, self.ts, self.names, self.step = schema, ts, names, step
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.last = handle, handle.getValueState("last", self.schema)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = pd.concat(list(rows)).sort_values(self.ts, kind="stable")
+        times = held[self.ts].to_numpy("datetime64[us]").astype(np.int64)
+        found, last, until = self.step(times, held, self.last.get()[0] if self.last.exists() else None)
+        self.last.update((last,))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(max(-(-until // 1000), timerValues.getCurrentWatermarkInMs() + 1))
+        if len(found):
+            yield found[self.names]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
 
-    return events.groupBy(*keys).applyInPandasWithState(walk, events.schema, schema, "append", GroupStateTimeout.NoTimeout)
 
+def _walked(rows: DataFrame, keys: list[str], ts: str, schema: str, step, output: str | None = None) -> DataFrame:
+    """Needs a watermark on ts.  Sets the session's state store to RocksDB, which state with timers needs."""
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    names = rows.columns if output is None else [c.split()[0] for c in output.split(", ")]
+    walk = _Walk(schema, ts, names, step)
+    return rows.groupBy(*keys).transformWithStateInPandas(walk, rows.schema if output is None else output, "Append", "EventTime")
 
-def cooldown(alerts: DataFrame, keys: list[str], ts: str = "ts", seconds: int = 300, dismissed: DataFrame | None = None) -> DataFrame:
+
+def cooldown(alerts: DataFrame, keys: list[str], ts: str = "ts", seconds: int = 300, dismissed: DataFrame | None = None, lateness: str = "10 minutes") -> DataFrame:
     """Alerts more than `seconds` after the last of their key that fired (R1, Q20); dismissed keys never fire.
 
-    `dismissed` is a static table of keys.  With a constant key this throttles (R6).
+    `dismissed` is a static table of keys.  With a constant key this throttles (R6).  A key's state goes
+    when the watermark is past its cooldown: from then on whatever comes would fire.
     """
     if dismissed is not None:
         alerts = alerts.join(dismissed.select(keys).distinct(), keys, "left_anti")
-    alerts = alerts.where(F.col(ts).isNotNull())
+    pause = seconds * 1_000_000
+
+    def step(times, rows, last):
+        keep, fired = state._fires(times, pause, state._NEVER if last is None else last)
+        return rows.iloc[keep], fired, fired + pause
+
+    return _walked(alerts.where(F.col(ts).isNotNull()).withWatermark(ts, lateness), keys, ts, "fired long", step)
+
+
+def transitions(samples: DataFrame, keys: list[str], value: str, ts: str = "ts", lateness: str = "10 minutes", remember: int = 7 * 86400) -> DataFrame:
+    """Samples whose value differs from the one before it of the same key; the first one counts (R2).
+
+    Samples without a value or a time are left aside.  A key that is silent for `remember` seconds is
+    forgotten: its next sample counts as a first one.
+    """
+
+    def step(times, rows, last):
+        values = rows[value].astype(str).tolist()
+        keep = [n for n, (x, before) in enumerate(zip(values, [last, *values], strict=False)) if x != before]
+        return rows.iloc[keep], values[-1], int(times[-1]) + remember * 1_000_000
+
+    known = samples.where(F.col(value).isNotNull() & F.col(ts).isNotNull())
+    return _walked(known.withWatermark(ts, lateness), keys, ts, "last string", step)
 
-    names, pause = alerts.columns, np.timedelta64(seconds, "s")
 
-    def walk(key, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        fired = np.datetime64(held.get[0], "us") if held.exists else None
-        rows = pd.concat(list(frames)).sort_values(ts, kind="stable")
-        times, kept, i = rows[ts].to_numpy("datetime64[us]"), [], 0
-        while True:  # from one that fires to the first that is late enough
-            if fired is not None:
-                i = max(i, int(times.searchsorted(fired + pause, "right")))
-            if i >= len(times):
-                break
-            fired = times[i]
-            kept.append(i)
-            i += 1
-        held.update((int(fired.astype("int64")),))
-        yield rows.iloc[kept][names]
+def coalesced_runs(requests: DataFrame, keys: list[str], seconds: int, ts: str = "ts", lateness: str = "10 minutes") -> DataFrame:
+    """(keys, run): when runs of a fixed length start (R5).  A request while none is on starts one; requests while one is on make one more at its end.
 
-    return alerts.groupBy(*keys).applyInPandasWithState(walk, alerts.schema, "fired long", "append", GroupStateTimeout.NoTimeout)
+    A run's rerun is known when the first request that it serves is read, so its start may lie ahead of that.
+    """
+    length = seconds * 1_000_000
+    kinds = dict(requests.dtypes)
 
+    def step(times, rows, last):
+        starts, last = state.run_starts(times, length, last)
+        found = pd.DataFrame({k: [rows[k].iloc[0]] * len(starts) for k in keys} | {"run": pd.to_datetime(np.array(starts, "int64").astype("datetime64[us]"))})
+        return found, last, last + length
 
-def transitions(samples: DataFrame, keys: list[str], value: str, ts: str = "ts") -> DataFrame:
-    """Samples whose value differs from the one before it of the same key; the first one counts (R2).  Samples without a value are left aside."""
-    return _by_key(samples.where(F.col(value).isNotNull()), keys, ts, lambda last, now: (now != last, now), "last string", value)
+    known = requests.where(F.col(ts).isNotNull()).withWatermark(ts, lateness)
+    return _walked(known, keys, ts, "run long", step, ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"run {kinds[ts]}"]))
 
 
 def startup_grace(events: DataFrame, started: dt.datetime, seconds: int = 15, ts: str = "ts") -> DataFrame:
@@ -128,6 +168,19 @@ def diff_sink(path: str, keys: list[str], emit: Callable[[DataFrame], None]) ->
     return sink
 
 
+def once_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink that leaves each row once: a batch's rows are the folder of its number, which a batch that runs again replaces.
+
+    `spark.read.parquet(path)` reads all batches; batch is a column of theirs.  A batch that broke off has
+    no `_SUCCESS` mark and is replaced when the query starts again, before any later one is written.
+    """
+
+    def sink(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number:012d}")
+
+    return sink
+
+
 def upsert_sink(path: str, keys: list[str], day: str, newest: list[Column] | None = None) -> Callable[[DataFrame, int], None]:
     """A foreachBatch sink (R10): each day's rows of a batch replace those of the same keys, other days are not touched.
 

@@ -1,8 +1,9 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
-from kestrel.operators import code, incremental, reports
+from kestrel.operators import code, incremental, reports, state
 from kestrel.streaming import alerts
 
 T0 = dt.datetime(2024, 1, 1)
@@ -112,3 +113,80 @@ def test_sinks(spark, tmp_path):
 def test_reruns_coalesce():
     assert alerts.coalesced([(0, 10), (1, 10), (2, 10), (30, 5)]) == [0, 10, 30]
     assert alerts.coalesced([(0, 10), (1, 10)]) == [0, 10]
+
+
+def test_requests_during_a_run_make_one_more(spark, tmp_path):
+    pick = __import__("random").Random(3)
+    times = sorted(pick.randrange(400) for _ in range(60))
+    want, busy = [], None
+    for t in times:  # a run at a time
+        if busy is None or t >= busy + 10:
+            busy = t
+        elif t > busy:
+            busy += 10
+        else:
+            continue
+        want.append(busy)
+    rows_ = [("a", T0 + dt.timedelta(seconds=t)) for t in times] + [("a", None), ("b", T0)]
+    second = lambda df: sorted((r.k, (r.run - T0).total_seconds()) for r in df.collect())
+    assert second(state.coalesced_runs(spark.createDataFrame(rows_, "k string, ts timestamp"), ["k"], "ts", 10)) == [*(("a", t) for t in want), ("b", 0)]
+    df = stream(spark, tmp_path, [r for r in rows_ if r[1]][-9:], "k string, ts timestamp")
+    found = second(run(alerts.coalesced_runs(df, ["k"], 10), tmp_path))
+    last = spark.createDataFrame([r for r in rows_ if r[1]][-9:], "k string, ts timestamp")
+    assert found == second(state.coalesced_runs(last, ["k"], "ts", 10))
+
+
+def test_old_keys_leave_the_state(spark, tmp_path):
+    """A batch a file: the watermark passes the cooldown of a and b, whose state goes; c's stays."""
+    at = [("a", T0), ("b", T0), ("c", T0 + dt.timedelta(hours=3)), ("c", T0 + dt.timedelta(hours=3, seconds=1)), ("c", T0 + dt.timedelta(hours=3, seconds=2))]
+    for r in at:
+        spark.createDataFrame([r], "k string, ts timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    df = spark.readStream.schema("k string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    fired = run(alerts.cooldown(df, ["k"]), tmp_path)
+    assert sorted(r.k for r in fired.collect()) == ["a", "b", "c"]
+    kept = spark.read.format("statestore").option("path", str(tmp_path / "c")).option("stateVarName", "last").load()
+    assert {r.key.k for r in kept.select("key").collect()} == {"c"}
+
+
+def test_restart_gives_each_row_once(spark, tmp_path):
+    """A batch breaks off after its rows were written; the query that starts again runs it anew, with the state it had."""
+    at = [("a", T0 + dt.timedelta(seconds=s)) for s in (0, 200, 301, 500, 602, 700, 910)]
+    df = stream(spark, tmp_path, at, "k string, ts timestamp")
+    sink, out, broken = alerts.once_sink(str(tmp_path / "out")), [], []
+
+    def once_broken(batch, number):
+        sink(batch, number)
+        out.append(number)
+        if number == 1 and not broken:
+            broken.append(number)
+            raise RuntimeError("lost")
+
+    def start():
+        query = alerts.cooldown(df, ["k"]).writeStream.foreachBatch(once_broken).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        return query.awaitTermination(120)
+
+    with pytest.raises(Exception, match="lost"):
+        start()
+    start()
+    assert out.count(1) == 2
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted((r.ts - T0).total_seconds() for r in got.collect()) == [0, 301, 602, 910]
+
+
+def test_sinks_take_a_batch_twice(spark, tmp_path):
+    events = []
+    sink = alerts.diff_sink(str(tmp_path / "s"), ["port"], lambda df: events.append(rows(df)))
+    for n, ports in ((0, [1, 2]), (1, [2, 3]), (1, [2, 3]), (2, [3])):
+        sink(spark.createDataFrame([(p,) for p in ports], "port int"), n)
+    assert events == [[(1, "up"), (2, "up")], [(1, "down"), (3, "up")], [(1, "down"), (3, "up")], [(2, "down")]]
+    sink = alerts.upsert_sink(str(tmp_path / "u"), ["day", "k"], "day")
+    for n, batch in ((0, [("d1", 1, 10)]), (1, [("d1", 1, 11), ("d2", 2, 7)]), (1, [("d1", 1, 11), ("d2", 2, 7)])):
+        sink(spark.createDataFrame(batch, "day string, k int, v int"), n)
+    assert rows(spark.read.parquet(str(tmp_path / "u")).select("day", "k", "v")) == [("d1", 1, 11), ("d2", 2, 7)]
+
+
+def test_grace_and_throttle(spark):
+    at = spark.createDataFrame([(T0 + dt.timedelta(seconds=s),) for s in (0, 14, 15, 16)] + [(None,)], "ts timestamp")
+    assert [(r.ts - T0).total_seconds() for r in alerts.startup_grace(at, T0).orderBy("ts").collect()] == [15, 16]
+    calls = at.where("ts is not null").select(F.lit("call").alias("k"), "ts")
+    assert [(r.ts - T0).total_seconds() for r in state.cooldown(calls, ["k"], "ts", 5).orderBy("ts").collect()] == [0, 14]
