@@ -276,3 +276,24 @@ def test_conversations(spark, monkeypatch, chunk):
     got = sorted(map(tuple, conversations.repair(conversations.damaged(table)).collect()), key=repr)
     assert got == mended(rows)
     assert conversations.repair(conversations.damaged(table.limit(0))).count() == 0
+
+
+def test_join_of_two_long_texts(spark, tmp_path, monkeypatch):
+    """Intermediate tables grow with the length of alike texts, not with its square."""
+    import os
+
+    from kestrel.llm import jaccard_join
+
+    sizes = {}
+    for n in (25_000, 100_000):
+        pick = random.Random(n)
+        first = [f"w{pick.randrange(10**6)}" for _ in range(n)]
+        second = [w if pick.random() > 0.015 else f"v{i}" for i, w in enumerate(first)]
+        third = [w if pick.random() > 0.06 else f"u{i}" for i, w in enumerate(first)]
+        rows = [(1, " ".join(first)), (2, " ".join(second)), (3, " ".join(third)), (4, "some other text here")]
+        monkeypatch.setattr(jaccard_join, "discard", lambda *a: None)
+        folder = f"file://{tmp_path}/{n}"
+        got = jaccard_join.grouped(spark.createDataFrame(rows, "doc_id long, text string"), folder=folder)
+        assert {r.doc_id: r.component_id for r in got.collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+        sizes[n] = sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(f"{tmp_path}/{n}") for f in files)
+    assert sizes[100_000] < 6 * sizes[25_000] and sizes[100_000] < 60 << 20
