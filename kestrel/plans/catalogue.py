@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kestrel.functions import scalars
-from kestrel.operators import blocks, code, graph, incremental, patterns, reports, security, state, text, usage
+from kestrel.operators import blocks, code, graph, incremental, patterns, reports, security, shared, state, text, usage, versions
 from kestrel.sources import files as trees, parsed
 from kestrel.streaming import alerts
 
@@ -183,6 +183,22 @@ def _coalesced_runs(spark, read):
     return state.coalesced_runs(read("events"), ["user_id"], "ts", 6 * 3600)
 
 
+@register(
+    "SELECT doc_id, sha256(text) AS digest, length(text) AS chars FROM documents LEFT JOIN (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY 1) USING (doc_id) WHERE coalesce(toxic, 0) = 0"
+)
+def _versioned_state(spark, read):
+    """A full run over texts that lack their last letters, then a delta to what they are now, without toxic ones."""
+    docs = read("documents").select("doc_id", "text")
+    store = versions.Store(spark, shared.folder(spark, "versions"), ["doc_id"], "doc_id long, digest string, chars int", 16)
+    facts = lambda files: files.select("doc_id", F.length("text").alias("chars"))
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    cut = F.when(F.col("doc_id") % 3 == 0, F.substring("text", 1, 40)).otherwise(F.col("text"))
+    versions.evaluate(store, docs.withColumn("text", cut), digest, facts)
+    toxic = read("labels").where("toxic = 1").select("doc_id")
+    version, _ = versions.evaluate(store, docs.join(toxic, "doc_id", "left_anti"), digest, facts)
+    return store.read(version)
+
+
 SEVERITY = "CASE WHEN value >= 90 THEN 'critical' WHEN value >= 70 THEN 'high' WHEN value >= 40 THEN 'medium' ELSE 'low' END"
 
 
