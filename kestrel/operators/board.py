@@ -10,25 +10,55 @@ from kestrel.functions import scalars as S
 
 #: Names of files and folders that are no work of their own.
 JUNK = ["__pycache__", ".pyc", ".pyo", ".DS_Store", "Thumbs.db", ".idea", ".vscode", "node_modules", ".pytest_cache", ".mypy_cache", ".ruff_cache", "dist", "build", ".egg-info"]
-#: What a file is for: patterns on its path in order, then its extension.
+#: What a file is for, by patterns on its path in either case, the first that matches.
 PURPOSES = [
-    (r"(^|/)test_[^/]*$|_test\.[a-z]+$|\.(test|spec)\.[a-z]+$", "Test"),
-    (r"(^|/)(conftest\.py|pytest\.ini)$", "Test settings"),
-    (r"(^|/)requirements[^/]*\.txt$|(^|/)(pyproject\.toml|setup\.py|setup\.cfg|Pipfile)$", "Python dependencies"),
-    (r"(^|/)package\.json$", "JavaScript dependencies"),
-    (r"(package-lock\.json|yarn\.lock|pnpm-lock\.yaml|poetry\.lock|Cargo\.lock)$", "Exact versions of dependencies"),
-    (r"(^|/)Dockerfile[^/]*$|(^|/)docker-compose[^/]*\.ya?ml$", "Container settings"),
-    (r"(^|/)\.env[^/]*$", "Environment variables"),
-    (r"(^|/)\.gitignore$", "Files that git ignores"),
-    (r"(^|/)\.github/workflows/", "Continuous integration"),
-    (r"(^|/)migrations/", "Database migration"),
-    (r"(?i)(^|/)readme[^/]*$", "Project description"),
-    (r"(?i)(^|/)licen[sc]e[^/]*$", "License"),
+    (r"(^|/)docker-compose[^/]*\.ya?ml$", "Docker config — which services run"),
+    (r"(^|/)Dockerfile(\.[^/]*)?$", "Docker image — how container is built"),
+    (r"(^|/)\.dockerignore$", "Docker ignore — files excluded from build"),
+    (r"\.github/workflows/.*\.ya?ml$", "GitHub Actions CI/CD pipeline"),
+    (r"\.gitlab-ci\.ya?ml$", "GitLab CI/CD pipeline"),
+    (r"(^|/)Jenkinsfile$", "Jenkins CI/CD pipeline"),
+    (r"(^|/)requirements.*\.txt$", "Python dependencies — what gets installed"),
+    (r"(^|/)pyproject\.toml$", "Python project config — dependencies & tools"),
+    (r"(^|/)setup\.(py|cfg)$", "Python package config"),
+    (r"(^|/)Pipfile(\.lock)?$", "Python dependencies (Pipenv)"),
+    (r"(^|/)poetry\.lock$", "Python dependency lock — exact versions pinned"),
+    (r"/migrations/.*\.py$", "DB migration — changes database structure"),
+    (r"alembic/versions/.*\.py$", "DB migration (Alembic) — changes database structure"),
+    (r"(^|/)package\.json$", "Node.js/JS project config — dependencies & scripts"),
+    (r"(^|/)package-lock\.json$", "JS dependency lock — exact versions pinned"),
+    (r"(^|/)yarn\.lock$", "JS dependency lock (Yarn) — exact versions pinned"),
+    (r"(^|/)pnpm-lock\.yaml$", "JS dependency lock (pnpm) — exact versions pinned"),
+    (r"(^|/)tsconfig.*\.json$", "TypeScript config"),
+    (r"(^|/)webpack\.config\.", "Webpack bundler config"),
+    (r"(^|/)vite\.config\.", "Vite bundler config"),
+    (r"(^|/)\.env\.example$", "Env template — example config (no real secrets)"),
+    (r"(^|/)\.env(\.[^/]*)?$", "Environment variables — secrets, keys, settings"),
+    (r"(^|/)\.gitignore$", "Git ignore — files excluded from version control"),
+    (r"(^|/)\.gitattributes$", "Git attributes — line endings, diff settings"),
+    (r"(^|/)Makefile$", "Makefile — build/automation commands"),
+    (r"(^|/)Procfile$", "Procfile — how app runs in production"),
+    (r"(^|/)nginx.*\.conf$", "Nginx web server config"),
+    (r"(^|/)\.eslintrc", "ESLint config — JS code style rules"),
+    (r"(^|/)\.prettierrc", "Prettier config — code formatting rules"),
+    (r"(^|/)CLAUDE\.md$", "Claude Code instructions — AI assistant config"),
+    (r"\.tf$", "Terraform — infrastructure as code"),
+    (r"(^|/)terraform\.tfvars", "Terraform variables"),
+    (r"(^|/)k8s/.*\.ya?ml$", "Kubernetes config"),
+    (r"(^|/)helm/.*\.ya?ml$", "Helm chart — Kubernetes package config"),
 ]
+#: What a file is for by its extension, where no pattern matches, and else.
 PURPOSES_BY_EXTENSION = {
-    "py": "Python source", "js": "JavaScript source", "jsx": "React component", "ts": "TypeScript source", "tsx": "React component", "rs": "Rust source", "go": "Go source", "java": "Java source",
-    "css": "Styles", "scss": "Styles", "html": "Page", "md": "Text", "json": "Data", "yaml": "Settings", "yml": "Settings", "toml": "Settings", "sql": "Database queries", "sh": "Shell script",
+    "py": "Python source code", "js": "JavaScript source code", "ts": "TypeScript source code", "jsx": "React component (JSX)", "tsx": "React component (TypeScript)",
+    "vue": "Vue.js component", "svelte": "Svelte component", "html": "HTML page", "css": "Stylesheet", "scss": "SASS stylesheet", "sql": "SQL query/script",
+    "sh": "Shell script", "bash": "Bash script", "ps1": "PowerShell script", "bat": "Windows batch script", "cmd": "Windows command script",
+    "md": "Documentation (Markdown)", "rst": "Documentation (reStructuredText)", "json": "JSON data/config", "yaml": "YAML config", "yml": "YAML config",
+    "toml": "TOML config", "ini": "INI config", "cfg": "Config file", "xml": "XML data/config", "go": "Go source code", "rs": "Rust source code",
+    "java": "Java source code", "kt": "Kotlin source code", "rb": "Ruby source code", "php": "PHP source code", "c": "C source code", "cpp": "C++ source code",
+    "h": "C/C++ header file", "cs": "C# source code", "swift": "Swift source code", "r": "R script", "dart": "Dart source code", "lua": "Lua script",
+    "ex": "Elixir source code", "erl": "Erlang source code",
 }
+OTHER_PURPOSE = "Project file"
 
 
 def counts(rows: DataFrame, keys: list[str], name: str = "n") -> DataFrame:
@@ -92,9 +122,59 @@ def without_junk(files: DataFrame) -> DataFrame:
 
 
 def explanation(path: Column) -> Column:
-    """What a file is for: the first pattern that its path matches, else by extension, else `File`."""
-    by_extension = F.element_at(F.create_map(*(F.lit(x) for pair in PURPOSES_BY_EXTENSION.items() for x in pair)), S.extension(path))
-    return F.coalesce(*(F.when(path.rlike(p), F.lit(what)) for p, what in PURPOSES), by_extension, F.lit("File"))
+    """What a file is for: the first pattern that its path matches, else by extension, else a fixed text (P4).  Either slash parts a path."""
+    path = F.replace(path, F.lit("\\"), F.lit("/"))
+    extension = F.lower(F.regexp_extract(path, r"[^/.][^/]*[.]([^/.]+)/*$", 1))  # a name that only begins with a dot has none
+    by_extension = F.element_at(F.create_map(*(F.lit(x) for pair in PURPOSES_BY_EXTENSION.items() for x in pair)), extension)
+    return F.coalesce(*(F.when(path.rlike(f"(?i){p}"), F.lit(what)) for p, what in PURPOSES), by_extension, F.lit(OTHER_PURPOSE))
+
+
+def context_summary(files: DataFrame, entries: DataFrame, hubs: DataFrame, configs: DataFrame, by: str = "project", shown: int = 5, budget: int | None = None) -> DataFrame:
+    """(by, context): a project in a few lines, for a language model.
+
+    files (by, path) give stack and size; entries and configs (by, path, description) and hubs (by, path,
+    importers) the first `shown` lines of a section each, in order of their paths, hubs by importers.
+    With a budget of characters sections go in from the first until the next does not fit; the heading
+    always stays.  Sections without rows are left out, and so are projects without files.
+    """
+    path = F.col("path")
+    ends = lambda *found: F.max(F.lower(path).rlike(rf"[.]({'|'.join(found)})$"))
+    root = lambda *names: F.max(path.isin(*names))
+    folders = F.filter(F.transform(F.sequence(F.lit(1), F.size(F.split(path, "/"))), lambda i: F.array_join(F.slice(F.split(path, "/"), F.lit(1), i - 1), "/")), lambda d: d != "")
+    seen = files.groupBy(by).agg(
+        F.count_distinct("path").alias("n"), ends("py").alias("py"), root("manage.py").alias("django"), ends("js", "ts").alias("js"), ends("jsx", "tsx").alias("react"),
+        ends("vue").alias("vue"), root("docker-compose.yml", "docker-compose.yaml").alias("docker"),
+    )
+    dirs = files.select(by, F.explode(folders).alias("dir")).distinct().groupBy(by).agg(F.count("*").alias("dirs"))
+    names = [("py", "Python"), ("py and django", "Django"), ("js", "JavaScript/TypeScript"), ("js and react", "React"), ("js and vue", "Vue"), ("docker", "Docker")]
+    stack = F.array_join(F.array_compact(F.array(*(F.when(F.expr(test), name) for test, name in names))), ", ")
+
+    def section(rows: DataFrame, title: str, line: Column, order: list[Column], name: str) -> DataFrame:
+        ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_n") <= shown)
+        listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", line.alias("line")))), lambda x: x["line"]), "\n")
+        return ranked.groupBy(by).agg(F.concat(F.lit(f"\n\n**{title}:**\n"), listed).alias(name))
+
+    described = F.concat(F.lit("- `"), path, F.lit("` — "), F.coalesce("description", F.lit("")))
+    imported = F.concat(F.lit("- `"), path, F.lit("` (imported by "), F.col("importers").cast("string"), F.lit(" files)"))
+    sections = {
+        "entries": section(entries, "Entry points", described, [path, F.col("description")], "entries"),
+        "hubs": section(hubs, "Key modules", imported, [F.desc("importers"), path], "hubs"),
+        "configs": section(configs, "Config files", described, [path, F.col("description")], "configs"),
+    }
+    out = seen.join(dirs, by, "left")
+    for found in sections.values():
+        out = out.join(found, by, "left")
+    head = F.concat(F.lit("# Project: "), F.col(by).cast("string"))
+    made = F.when(stack != "", F.concat(F.lit("\n\n**Stack:** "), stack))
+    size = F.concat(F.lit("\n\n**Size:** "), F.col("n").cast("string"), F.lit(" files, "), F.coalesce("dirs", F.lit(0)).cast("string"), F.lit(" dirs"))
+    parts = F.array_compact(F.array(made, size, *sections))
+    if budget is not None:
+        room = F.aggregate(parts, F.struct(head.alias("text"), F.lit(True).alias("open")), lambda held, part: F.struct(
+            F.when(held["open"] & (F.length(held["text"]) + F.length(part) <= budget), F.concat(held["text"], part)).otherwise(held["text"]).alias("text"),
+            (held["open"] & (F.length(held["text"]) + F.length(part) <= budget)).alias("open"),
+        ))
+        return out.select(by, room["text"].alias("context"))
+    return out.select(by, F.concat(head, F.array_join(parts, "")).alias("context"))
 
 
 def traffic(containers: DataFrame, networks: str = "networks") -> DataFrame:

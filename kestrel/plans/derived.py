@@ -640,9 +640,39 @@ def _message_templates(spark, read):
     return _made(read, k="k", name="concat('p', k)", cpu="k % 100").select("k", board.message("High CPU: {name} at {cpu}%", "name", "cpu").alias("message"))
 
 
-@register(f"WITH {PARTS} SELECT k, CASE k % 5 WHEN 0 THEN 'Python dependencies' WHEN 1 THEN 'Test' WHEN 2 THEN 'Python source' WHEN 3 THEN 'TypeScript source' ELSE 'File' END AS what FROM k")
+#: Names of files that the parts' names are put before, in turns of their own by size and price.
+_NAMES = "requirements-dev.txt|REQUIREMENTS.TXT|main.PY|migrations/0001.py|x.tsx|.env|.env.example|.env.local|docker-compose.prod.yml|Dockerfile|Dockerfile.dev|a.b.rs|k8s/pod.yaml|helm/values.yml|nginx-a.conf|none|.hidden|x.zzz|yarn.lock|tsconfig.app.json|a.tf|terraform.tfvars.json|setup.cfg|webpack.config.ts|.eslintrc.json|Pipfile|Makefile|readme.md|style.scss|.github/workflows/ci.yml|x.py/|x.yaml"
+_PATHED = f"concat(replace(p_name, ' ', '/'), CASE WHEN p_size % 2 = 0 THEN '/' ELSE '-' END, split_part('{_NAMES}', '|', CAST(floor(p_retailprice) % 32 AS INT) + 1))"
+_BY_PATTERN = " ".join(f"WHEN regexp_matches(path, '{p}', 'i') THEN '{what}'" for p, what in board.PURPOSES)
+_BY_EXTENSION = " ".join(f"WHEN '{e}' THEN '{what}'" for e, what in board.PURPOSES_BY_EXTENSION.items())
+
+
+@register(
+    f"WITH f AS (SELECT p_partkey, {_PATHED} AS path FROM part), n AS (SELECT *, string_split(rtrim(path, '/'), '/')[-1] AS name FROM f) "
+    f"SELECT p_partkey AS k, CASE {_BY_PATTERN} ELSE coalesce(CASE lower(CASE WHEN contains(ltrim(name, '.'), '.') OR (contains(name, '.') AND name[1] <> '.') THEN string_split(name, '.')[-1] END) {_BY_EXTENSION} END, 'Project file') END AS what FROM n"
+)
 def _file_explanations(spark, read):
-    return _made(read, k="k", path="concat('d', k, CASE k % 5 WHEN 0 THEN '/requirements.txt' WHEN 1 THEN '/test_a.py' WHEN 2 THEN '/a.py' WHEN 3 THEN '/a.ts' ELSE '/a.zzz' END)").select("k", board.explanation(F.col("path")).alias("what"))
+    return read("part").select(F.col("p_partkey").alias("k"), board.explanation(F.expr(_PATHED)).alias("what"))
+
+
+_TREE = "SELECT p_brand AS project, CASE WHEN p_size = 1 AND p_partkey % 3 = 0 THEN 'manage.py' WHEN p_size = 2 AND p_partkey % 5 = 0 THEN 'docker-compose.yml' ELSE concat(lower(p_type), '/', replace(p_name, ' ', '/'), '/', p_partkey, '.', split_part('py|js|md|css|tsx|vue|rs', '|', CAST(p_size % CASE WHEN p_brand < 'Brand#3' THEN 3 ELSE 7 END AS INT) + 1)) END AS path, p_type AS description, CAST(floor(p_retailprice) AS BIGINT) AS importers, p_size FROM part WHERE p_brand <> 'Brand#55' OR p_size > 25"
+
+
+@register(
+    f"""WITH f AS ({_TREE}),
+  d AS (SELECT DISTINCT project, unnest(list_transform(range(1, len(s)), lambda i: array_to_string(s[1:i], '/'))) AS dir FROM (SELECT project, string_split(path, '/') AS s FROM f)),
+  n AS (SELECT project, count(DISTINCT path) AS files, bool_or(path LIKE '%.py') AS py, bool_or(path = 'manage.py') AS dj, bool_or(path LIKE '%.js' OR path LIKE '%.ts') AS js, bool_or(path LIKE '%.jsx' OR path LIKE '%.tsx') AS react, bool_or(path LIKE '%.vue') AS vue, bool_or(path = 'docker-compose.yml') AS docker FROM f GROUP BY 1),
+  e AS (SELECT project, string_agg('- `' || path || '` — ' || description, chr(10) ORDER BY i) AS t FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY path, description) AS i FROM f WHERE p_size % 10 = 0) WHERE i <= 5 GROUP BY 1),
+  h AS (SELECT project, string_agg('- `' || path || '` (imported by ' || importers || ' files)', chr(10) ORDER BY i) AS t FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY importers DESC, path) AS i FROM f WHERE p_size > 45) WHERE i <= 5 GROUP BY 1),
+  c AS (SELECT project, string_agg('- `' || path || '` — ' || description, chr(10) ORDER BY i) AS t FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY path, description) AS i FROM f WHERE p_size = 7 AND project <> 'Brand#11') WHERE i <= 5 GROUP BY 1)
+SELECT project, '# Project: ' || project || coalesce(chr(10) || chr(10) || '**Stack:** ' || nullif(concat_ws(', ', CASE WHEN py THEN 'Python' END, CASE WHEN py AND dj THEN 'Django' END, CASE WHEN js THEN 'JavaScript/TypeScript' END, CASE WHEN js AND react THEN 'React' END, CASE WHEN js AND vue THEN 'Vue' END, CASE WHEN docker THEN 'Docker' END), ''), '')
+  || chr(10) || chr(10) || '**Size:** ' || files || ' files, ' || (SELECT count(*) FROM d WHERE d.project = n.project) || ' dirs' || coalesce(chr(10) || chr(10) || '**Entry points:**' || chr(10) || e.t, '') || coalesce(chr(10) || chr(10) || '**Key modules:**' || chr(10) || h.t, '') || coalesce(chr(10) || chr(10) || '**Config files:**' || chr(10) || c.t, '') AS context
+FROM n LEFT JOIN e USING (project) LEFT JOIN h USING (project) LEFT JOIN c USING (project)"""
+)
+def _context_summary(spark, read):
+    read("part").createOrReplaceTempView("part_tree")
+    files = spark.sql(_TREE.replace("FROM part", "FROM part_tree"))
+    return board.context_summary(files, files.where("p_size % 10 = 0"), files.where("p_size > 45"), files.where("p_size = 7 and project <> 'Brand#11'"))
 
 
 @register("SELECT event_type, count(*) FILTER (WHERE value >= 90) AS critical, count(*) FILTER (WHERE value >= 70 AND value < 90) AS high FROM events WHERE user_id % 2 = 0 GROUP BY 1 HAVING count(*) FILTER (WHERE value >= 70) > 0")

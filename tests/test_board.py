@@ -50,3 +50,15 @@ def test_file_metadata(spark, tmp_path):
     (tmp_path / "y").chmod(0o755)
     got = {r.path.removeprefix(f"{tmp_path}/"): (r.mode & 0o111, r.size) for r in files.read_meta(spark, str(tmp_path)).collect()}
     assert got == {"a/b/x": (0, 3), "y": (0o111, 0)}
+
+
+def test_context_summary(spark):
+    files = spark.createDataFrame([("a", "manage.py"), ("a", "src/x/y.py"), ("a", "src/z.tsx"), ("a", "src/z.ts"), ("b", "notes.md"), ("c", "docker-compose.yaml")], "project string, path string")
+    entries = spark.createDataFrame([("a", f"e{i}.py", "starts") for i in range(7)], "project string, path string, description string")
+    hubs = spark.createDataFrame([("a", "low.py", 1), ("a", "high.py", 9)], "project string, path string, importers int")
+    configs = spark.createDataFrame([("c", "c.toml", None)], "project string, path string, description string")
+    got = {r.project: r.context for r in board.context_summary(files, entries, hubs, configs).collect()}
+    assert got["a"] == "# Project: a\n\n**Stack:** Python, Django, JavaScript/TypeScript, React\n\n**Size:** 4 files, 2 dirs\n\n**Entry points:**\n" + "\n".join(f"- `e{i}.py` — starts" for i in range(5)) + "\n\n**Key modules:**\n- `high.py` (imported by 9 files)\n- `low.py` (imported by 1 files)"
+    assert got["b"] == "# Project: b\n\n**Size:** 1 files, 0 dirs" and got["c"] == "# Project: c\n\n**Stack:** Docker\n\n**Size:** 1 files, 0 dirs\n\n**Config files:**\n- `c.toml` — "
+    short = {r.project: r.context for r in board.context_summary(files, entries, hubs, configs, budget=100).collect()}
+    assert short["a"] == got["a"][: got["a"].index("\n\n**Entry")] and short["b"] == got["b"]
