@@ -99,6 +99,28 @@ def hex_address(address: Column) -> Column:
     return F.when(address.rlike("^[0-9A-Fa-f]{8}:[0-9A-Fa-f]{4}$"), four).when(address.rlike("^[0-9A-Fa-f]{32}:[0-9A-Fa-f]{4}$"), F.struct(_ipv6(digits).alias("ip"), port))
 
 
+def fnv1a_64(text: Column) -> Column:
+    """FNV-1a of a text's UTF-8 bytes, 16 hexadecimal digits.
+
+    Each step multiplies by 2^40 + 435 modulo 2^64, on two halves of 32 bits, so no product is too
+    large for a long.
+    """
+    low32 = (1 << 32) - 1
+    digits = F.lower(F.hex(F.encode(text, "UTF-8")))
+    byte = lambda i: F.instr(F.lit("0123456789abcdef"), F.substring(digits, 2 * i + 1, 1)) * 16 + F.instr(F.lit("0123456789abcdef"), F.substring(digits, 2 * i + 2, 1)) - 17
+    places = F.when(F.length(digits) > 0, F.sequence(F.lit(0), F.floor(F.length(digits) / 2).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+
+    def step(h: Column, i: Column) -> Column:
+        low = h["low"].bitwiseXOR(byte(i).cast("long"))
+        product = low * 435
+        high = h["high"] * 435 + F.shiftright(product, 32) + F.shiftleft(low, 8)
+        return F.struct(high.bitwiseAND(F.lit(low32)).alias("high"), product.bitwiseAND(F.lit(low32)).alias("low"))
+
+    start = F.struct(F.lit(0xCBF29CE4).cast("long").alias("high"), F.lit(0x84222325).cast("long").alias("low"))
+    half = lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")
+    return F.when(text.isNotNull(), F.aggregate(places, start, step, lambda h: F.concat(half(h["high"]), half(h["low"]))))
+
+
 def is_private_ip(ip: Column) -> Column:
     """Loopback, private, link-local and unspecified addresses."""
     return ip.rlike(r"^(127\.|10\.|192\.168\.|169\.254\.|172\.(1[6-9]|2[0-9]|3[01])\.)") | ip.isin("0.0.0.0", "::", "::1")

@@ -289,6 +289,35 @@ def is_typosquat(name: Column, popular: list[str]) -> Column:
     return out.otherwise(False)
 
 
+def _deletions(word: Column, most: int) -> Column:
+    """The words that up to `most` deletions leave of a word, itself included."""
+    without = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
+    out = last = F.array(word)
+    for _ in range(most):
+        last = F.array_distinct(F.flatten(F.transform(last, lambda w: F.when(F.length(w) > 0, without(w)).otherwise(F.array()))))
+        out = F.concat(out, last)
+    return F.array_distinct(out)
+
+
+def typosquats(names: DataFrame, popular: DataFrame, edits: int = 2) -> DataFrame:
+    """Distinct names with the popular name that decides, and whether they squat on it (J15, X6, D57, Q6): the decisions of is_typosquat for lists of any length.
+
+    names (name), popular (name, position).  Words within `edits` of one another share a word that as many
+    deletions leave of each, so names meet popular ones by equality on those, and only what meets is
+    measured.  Of the popular names that are near the first by position decides: the same one (no) or
+    another (yes).  Short names never squat and have no row, nor have those that are near none.
+    """
+    low = names.where(F.length("name") > 3).select("name", F.lower("name").alias("low")).distinct()
+    words = low.select("low").distinct().select("low", F.explode(_deletions(F.col("low"), edits)).alias("left"))
+    # A popular name that stands there twice counts at its first position.
+    known = popular.groupBy(F.lower("name").alias("popular")).agg(F.min("position").alias("position"))
+    known = known.select("popular", "position", F.explode(_deletions(F.col("popular"), edits)).alias("left"))
+    met = words.join(known, "left").select("low", "popular", "position").distinct()
+    near = met.withColumn("distance", F.levenshtein("low", "popular")).where(F.col("distance") <= edits)
+    first = near.groupBy("low").agg(F.min(F.struct("position", "popular", "distance")).alias("p"))
+    return low.join(first, "low").select("name", F.col("p.popular").alias("popular"), (F.col("p.distance") > 0).alias("squats"))
+
+
 def packages(df: DataFrame, key: str = "path", name: str = "package", ecosystem: str = "ecosystem") -> DataFrame:
     """Known malicious packages, else near namesakes of popular ones, of (path, package, ecosystem)."""
     hits = []

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from kestrel.functions import scalars
 from kestrel.operators import blocks, code, graph, incremental, patterns, reports, security, shared, state, text, usage, versions
@@ -199,6 +199,32 @@ def _versioned_state(spark, read):
     return store.read(version)
 
 
+@register(
+    "SELECT doc_id, lower(to_hex(h // 4294967296::HUGEINT)).lpad(8, '0') || lower(to_hex(h % 4294967296::HUGEINT)).lpad(8, '0') AS hash FROM (SELECT doc_id, "
+    "list_reduce([14695981039346656037::HUGEINT] || [instr('0123456789abcdef', d[2 * i + 1]) * 16 + instr('0123456789abcdef', d[2 * i + 2]) - 17 FOR i IN range(len(d) // 2)]::HUGEINT[], lambda h, b: xor(h, b) * 1099511628211::HUGEINT % 18446744073709551616::HUGEINT) AS h "
+    "FROM (SELECT doc_id, lower(hex(encode(left(text, 40)))) AS d FROM documents))"
+)
+def _fnv_hash(spark, read):
+    """Of each text's first characters: the hash names short keys, such as paths and lines."""
+    return read("documents").select("doc_id", scalars.fnv1a_64(F.substring("text", 1, 40)).alias("hash"))
+
+
+#: The words of all documents, and the most frequent ones of them as popular names.
+WORD_NAMES = "words AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS name FROM documents), popular AS (SELECT name, row_number() OVER (ORDER BY count(*) DESC, name) AS position FROM words WHERE length(name) > 4 GROUP BY name QUALIFY position <= 300)"
+
+
+@register(
+    f"WITH {WORD_NAMES}, n AS (SELECT DISTINCT name FROM words WHERE length(name) > 3), m AS (SELECT n.name, p.name AS popular, position, levenshtein(n.name, p.name) AS d FROM n JOIN popular p ON abs(length(n.name) - length(p.name)) <= 2 AND levenshtein(n.name, p.name) <= 2) "
+    "SELECT name, popular, d > 0 AS squats FROM m QUALIFY row_number() OVER (PARTITION BY name ORDER BY position) = 1"
+)
+def _typosquat_index(spark, read):
+    words = read("documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("name"))
+    counted = words.groupBy("name").agg(F.count("*").alias("n"))
+    top = counted.where(F.length("name") > 4).orderBy(F.desc("n"), "name").limit(300)
+    popular = top.select("name", F.row_number().over(Window.orderBy(F.desc("n"), "name")).alias("position"))  # 300 rows
+    return security.typosquats(counted.select("name"), popular)
+
+
 SEVERITY = "CASE WHEN value >= 90 THEN 'critical' WHEN value >= 70 THEN 'high' WHEN value >= 40 THEN 'medium' ELSE 'low' END"
 
 

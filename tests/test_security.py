@@ -79,3 +79,32 @@ def test_pattern_index_gives_the_rows_of_plain_patterns(spark):
     first = {r.doc_id: r.p for r in rows.select("doc_id", patterns.first_match(rows.text, table, "none").alias("p")).collect()}
     assert first == {i: next((p[0] for p in table if (i, p[0]) in want), "none") for i in range(len(texts))}
     assert patterns.shortest("[a-z.]+@[a-z0-9.]+") == "[a-z.]@[a-z0-9.]" and patterns.shortest("gh_[a-z]{36,}") == "gh_[a-z]{36}" and patterns.shortest("[a]++b[c]+?") == "[a]++b[c]+?"
+
+
+def test_typosquats_by_index_decide_as_the_chain_does(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from kestrel.operators import security
+
+    pick = random.Random(2)
+    popular = [*security.POPULAR_PYTHON, *("".join(pick.choice("abcde") for _ in range(pick.randint(3, 7))) for _ in range(60)), "Flask", "aab"]
+    names = {"requestss", "Requests", "reqests", "rqests", "req", "flask", "djnago", "numpyy", "xxabcdexx", "", "日本語語", "a", "abcd", "aabc"} | {"".join(pick.choice("abcde") for _ in range(pick.randint(2, 8))) for _ in range(500)}
+    rows = spark.createDataFrame([(n,) for n in [*names, None]], "name string")
+    lowered = list(dict.fromkeys(p.lower() for p in popular))
+    want = {r.name for r in rows.where(security.is_typosquat(F.col("name"), lowered)).collect()}
+    listed = spark.createDataFrame([(p, i) for i, p in enumerate(popular)], "name string, position int")
+    got = {r.name: r.squats for r in security.typosquats(rows, listed).collect()}
+    assert {n for n, squats in got.items() if squats} == want and got["flask"] is False and "req" not in got
+
+
+def test_fnv(spark):
+    """Published values of FNV-1a, 64 bits."""
+    from pyspark.sql import functions as F
+
+    from kestrel.functions import scalars
+
+    known = {"": "cbf29ce484222325", "a": "af63dc4c8601ec8c", "b": "af63df4c8601f1a5", "foobar": "85944171f73967e8", "chongo was here!\n": "46810940eff5f915", None: None}
+    rows = spark.createDataFrame([(t,) for t in known], "t string")
+    assert {r.t: r.h for r in rows.select("t", scalars.fnv1a_64(F.col("t")).alias("h")).collect()} == known
