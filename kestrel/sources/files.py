@@ -6,6 +6,7 @@ import re
 import stat
 from pathlib import Path
 
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -109,6 +110,39 @@ def ignored_by(path: Column, patterns: list[str]) -> Column:
     return hidden
 
 
+def without_ignored(tree: DataFrame, name: str = ".gitignore") -> DataFrame:
+    """Files of (path, content, ...) that no ignore file of their folder or one above hides; those of deeper folders decide, then later lines.
+
+    Rules come from the tree itself: files meet those of their folders by equality, and a rule is tried
+    on the path below its own folder.
+    """
+
+    def rules(batches):
+        for pdf in batches:
+            out = []
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                folder = path.rpartition("/")[0]
+                for no, line in enumerate((content or "").splitlines()):
+                    body = line.rstrip().removeprefix("!")
+                    if not body or body.startswith("#"):
+                        continue
+                    inner = body.strip("/")
+                    steps = [".*" if s == "**" else glob_regex(s)[1:-1] for s in inner.split("/")]
+                    core = "/".join(steps).replace(".*/", "(.*/)?").replace("/.*", "/.*")
+                    start = "^" if "/" in body.rstrip("/") else "(^|/)"
+                    out.append((folder, folder.count("/") + bool(folder), no, start + core + ("/" if body.endswith("/") else "(/|$)"), line.startswith("!")))
+            yield pd.DataFrame(out, columns=["folder", "depth", "no", "regex", "back"])
+
+    own = tree.where(S.basename(F.col("path")) == name).select("path", "content").mapInPandas(rules, "folder string, depth int, no int, regex string, back boolean")
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    paths = tree.select("path", F.explode(above).alias("folder"))
+    below = F.when(F.col("folder") == "", F.col("path")).otherwise(F.expr("substring(path, length(folder) + 2)"))
+    met = paths.join(own, "folder").withColumn("below", below).where(F.expr("below rlike regex"))
+    hidden = met.groupBy("path").agg(F.max_by("back", F.struct("depth", "no")).alias("back")).where("not back").select("path")
+    return tree.join(hidden, "path", "left_anti")
+
+
 def source_files(files: DataFrame, extensions: list[str] | None = None, skip_generated: bool = True, max_depth: int | None = None, ignore: list[str] | None = None) -> DataFrame:
     """Source files outside skipped, ignored and virtual-environment folders (S1); a depth is folders above the file."""
     path = F.col("path")
