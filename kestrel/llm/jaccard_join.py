@@ -18,6 +18,8 @@ sets are needed, since stored sets would take twice the input.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -36,6 +38,8 @@ FREQUENT, OFTEN = 1 << 20, 2
 UNIT, FANOUT = 512, 32
 #: First rounds, and classes to a unit there.
 ROUNDS, FIRST_UNIT = 2, 128
+#: Tokens before a bucket's own that a class brings along.
+EARLIER = 32
 #: Width of the bands of set sizes.
 BAND = 0.05
 
@@ -295,9 +299,11 @@ def _units(rows: DataFrame, hundredths: int, folder: str) -> DataFrame:
 
 
 def _candidates(units: DataFrame, hundredths: int, ends: bool = False) -> DataFrame:
-    """Pairs of classes of different groups that the bounds allow, once each, however many tokens they share; or just the classes that are in such pairs (a = b), once for each batch.
+    """Pairs of classes of different groups that the bounds allow; or just the classes that are in such pairs (a = b), once for each batch.
 
-    Side 0 is compared with itself, side 1 with side 2.  A unit of up to FANOUT classes is a tree
+    before: up to EARLIER tokens of a class's open buckets that come next before this one, null if only
+    classes are asked for.  A pair that shares one of these met there; so alike texts of any length
+    meet once or a few times, and what a row carries is bounded.  Side 0 is compared with itself, side 1 with side 2.  A unit of up to FANOUT classes is a tree
     with one leaf; many of those are compared at once.
     """
 
@@ -338,7 +344,13 @@ def _candidates(units: DataFrame, hundredths: int, ends: bool = False) -> DataFr
         columns = {x: table.column(x).to_numpy() for x in ("class", "group", "n_shingles", "side")}
         rows = {"sizes": columns["n_shingles"], "groups": columns["group"], "sides": columns["side"], "counts": _counts(table.column("counts").to_pylist())}
         out = [np.zeros((2, 0), np.int64)]
+        before = table.column("before").combine_chunks()
+        values, stops = before.flatten().to_numpy(), np.concatenate([[0], np.cumsum(before.value_lengths().fill_null(0).to_numpy())])
+        earlier = lru_cache(maxsize=None)(lambda i: set(values[stops[i] : stops[i + 1]].tolist()))
         for x, y in pairs(rows, cuts):
+            if not ends:
+                keep = np.array([earlier(i).isdisjoint(earlier(k)) for i, k in zip(x.tolist(), y.tolist(), strict=True)], bool)
+                x, y = x[keep], y[keep]
             a, b = columns["class"][x], columns["class"][y]
             out.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
         out = np.concatenate(out, axis=1)
@@ -364,13 +376,13 @@ def _candidates(units: DataFrame, hundredths: int, ends: bool = False) -> DataFr
 
     n = partitions(units.sparkSession)
     dealt = units.repartition(n, "token", "unit").sortWithinPartitions("token", "unit")
-    return dealt.select("token", "unit", "side", "class", "group", "n_shingles", "counts").mapInArrow(run, "a long, b long")
+    return dealt.select("token", "unit", "side", "class", "group", "n_shingles", "counts", "before").mapInArrow(run, "a long, b long")
 
 
 def _hopeful(rows: DataFrame, hundredths: int, folder: str) -> DataFrame:
     """(class) of rows (token, class, n_shingles, counts) that have a partner in one of their buckets, as far as the bounds tell; all of buckets of more than UNIT classes."""
     large = stash(rows.groupBy("token").agg(F.count("*").alias("rows")).where(F.col("rows") > UNIT).select("token"), folder, "large-buckets")
-    small = rows.join(large, "token", "left_anti").select("*", F.lit(0).cast("long").alias("unit"), F.lit(0).alias("side"), F.col("class").alias("group"))
+    small = rows.join(large, "token", "left_anti").select("*", F.lit(0).cast("long").alias("unit"), F.lit(0).alias("side"), F.col("class").alias("group"), F.lit(None).cast("array<long>").alias("before"))
     found = _candidates(small, hundredths, ends=True).select(F.col("a").alias("class"))
     return found.unionByName(rows.join(large, "token", "left_semi").select("class")).distinct()
 
@@ -474,9 +486,10 @@ def grouped(docs: DataFrame, words: int = WORDS, hundredths: int = HUNDREDTHS, i
     open_tokens = stash(by_group.groupBy("token").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y").select("token"), folder, "open")
     still = stash(by_group.join(open_tokens, "token"), folder, "still")
     discard(folder, "grouped")
-    points = still.groupBy("class").agg(F.first("group").alias("group"), F.collect_list("token").alias("open"))
+    points = still.groupBy("class").agg(F.first("group").alias("group"), F.sort_array(F.collect_list("token")).alias("open"))
     points = stash(points.join(classes.select("class", "n_shingles", "counts"), "class"), folder, "points-open")
-    rows = points.select("class", "group", "n_shingles", "counts", F.explode("open").alias("token"))
+    rows = points.select("class", "group", "n_shingles", "counts", "open", F.posexplode("open").alias("at", "token"))
+    rows = rows.withColumn("before", F.slice("open", F.greatest(F.lit(1), F.col("at") - EARLIER + 1), F.least("at", F.lit(EARLIER)))).drop("open", "at")
     pairs = stash(_candidates(_units(rows, hundredths, folder), hundredths).distinct(), folder, "pairs")
     release(spark)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
