@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kestrel.functions import scalars as S
+from kestrel.operators import scripts
 
 FACTS = "project string, path string, kind string, name string, module string, original string, owner string, statement string, line long, n long, top boolean, flag boolean"
 
@@ -442,7 +443,9 @@ def overengineered(files: DataFrame, found: DataFrame) -> DataFrame:
     framework = path.rlike(f"/({'|'.join(SINGLE_METHOD_FOLDERS)})/") | name.rlike(f"[.]({'|'.join(SINGLE_METHOD_ROLES)})[.](ts|js)$|-({'|'.join(SINGLE_METHOD_ROLES)})([.][^.]*)?$")
     framework = framework | name.rlike("|".join(e.replace(".", r"\.") + "$" for e in SINGLE_METHOD_ENDINGS))
     plain = ~S.is_test_path(path) & ~S.is_generated(path) & ~framework
-    single = found.where((F.col("kind") == "single_method") & plain).select("project", "path", "line", F.lit("single_method_class").alias("kind"))
+    single = found.where(F.col("kind") == "single_method").select("project", "path", "line")
+    single = single.union(scripts.single_method(scripts.script_classes(files)).select("project", "path", "line"))
+    single = single.where(plain).select("project", "path", "line", F.lit("single_method_class").alias("kind"))
     lines = F.size(F.filter(F.split("content", "\r?\n"), lambda x: S.stripped(x) != ""))
     top = found.where("top AND NOT coalesce(flag, false)").groupBy("project", "path").agg(F.count_if(F.col("kind") == "function").alias("f"), F.count_if(F.col("kind") == "class").alias("c"))
     tiny = files.where(plain & path.endswith(".py") & ~path.endswith("__init__.py")).where(lines.between(1, 14)).join(top.where("f = 1 AND c = 0"), ["project", "path"], "left_semi")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kestrel.operators import security
+from kestrel.operators import scripts, security
 from kestrel.plans.catalogue import register
 
 
@@ -97,3 +97,21 @@ _KEY_CASE = "CASE " + " ".join(f"WHEN regexp_matches(t, {_quoted(p)}) THEN {_quo
 def _planted_credentials(spark, read):
     texts = read("documents").select("doc_id", F.explode(F.array(F.expr(_ENVIRON))).alias("t"))  # made once, not once a pattern
     return security.credentials(texts, "doc_id", "t")
+
+
+#: A script with the text in a comment, a template, a string and a method's body, and with members that are no methods.
+_SAFE = "translate(replace(text, '*/', ''), concat('`', chr(36), chr(92)), '   ')"
+_HEAD = f"concat('/* class No {{ a() {{}} }} ', {_SAFE}, ' */', chr(10), 'const s = `class X {{ ', {_SAFE}, '${{a ? `}}` : 1}}`;', chr(10))"
+_SCRIPT = (
+    f"concat({_HEAD}, 'export class K', doc_id, CASE WHEN doc_id % 7 = 0 THEN ' extends Error' WHEN doc_id % 7 = 1 THEN ' extends a.Base<{{x: 1}}>' ELSE '' END, ' {{', chr(10), CASE WHEN doc_id % 5 = 0 THEN 'constructor(private a = 1) {{}}' ELSE 'b = () => {{ go() }};' END, chr(10),"
+    f" CASE WHEN length(text) % 4 > 0 THEN concat('run<T>(x?: T): {{y: 1}} | null {{ return `', {_SAFE}, '` }}', chr(10)) ELSE '' END, CASE WHEN length(text) % 4 > 1 THEN 'static async *go() {{ if (a < b) {{ /}}/.test(x) }} }} c(): void;' ELSE '' END, CASE WHEN length(text) % 4 > 2 THEN concat(chr(10), 'get d() {{ return 1 }}') ELSE '' END, '}}', chr(10))"
+).replace("{{", "{").replace("}}", "}")
+_HEAD = _HEAD.replace("{{", "{").replace("}}", "}")
+
+
+@register(
+    f"SELECT 'p' AS project, concat('d', doc_id, '.ts') AS path, length({_HEAD}) - length(replace({_HEAD}, chr(10), '')) + 1 AS line, concat('K', doc_id) AS name, CASE doc_id % 7 WHEN 0 THEN 'Error' WHEN 1 THEN 'Base' END AS base, length(text) % 4 AS methods, CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS constructors FROM documents"
+)
+def _script_classes(spark, read):
+    files = read("documents").select(F.lit("p").alias("project"), F.expr("concat('d', doc_id, '.ts')").alias("path"), F.expr(_SCRIPT.replace("'${a", "'$' || '{a")).alias("content"))
+    return scripts.script_classes(files)
