@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from kestrel.plans import catalogue, derived, planted  # noqa: F401  (both register their queries)
+from kestrel.plans import catalogue, derived, evaluated, planted  # noqa: F401  (all register their queries)
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
