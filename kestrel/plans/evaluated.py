@@ -72,12 +72,12 @@ def _markdown_reports(spark, read):
 
 
 @register(
-    "WITH m AS (SELECT event_id, 'p' AS project, concat('f', user_id) AS path, event_id AS line_no, CASE WHEN event_id % 5 > 0 THEN CAST(ts AS DATE) END AS day FROM events) SELECT path, line_no, datediff('day', day, DATE '2024-03-01') AS age, CASE WHEN datediff('day', day, DATE '2024-03-01') > 30 THEN 'medium' ELSE 'low' END AS severity FROM m"
+    "WITH m AS (SELECT event_id, 'p' AS project, concat('f', user_id) AS path, event_id AS line_no, CASE WHEN event_id % 5 > 0 THEN CAST(ts AS DATE) END AS day FROM events) SELECT path, line_no, coalesce(datediff('day', day, DATE '2024-03-01'), -1) AS age, CASE WHEN datediff('day', day, DATE '2024-03-01') > 30 THEN 'medium' ELSE 'low' END AS severity FROM m"
 )
 def _marker_ages(spark, read):
     rows = read("events").select(F.lit("p").alias("project"), F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("path"), F.col("event_id").alias("line_no"), F.to_date("ts").alias("day"))
     found = rows.drop("day")
-    return code.todo_ages(found, rows.where("line_no % 5 > 0 and day is not null"), F.lit("2024-03-01").cast("date")).select("path", "line_no", F.col("age").cast("long").alias("age"), "severity")
+    return code.todo_ages(found, rows.where("line_no % 5 > 0 and day is not null"), F.lit("2024-03-01").cast("date")).select("path", "line_no", F.coalesce(F.col("age").cast("long"), F.lit(-1)).alias("age"), "severity")
 
 
 _WORD = "regexp_extract(lower(text), '[a-z]+', 0)"
