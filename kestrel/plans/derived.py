@@ -329,7 +329,7 @@ def _session_summary(spark, read):
     user = """concat('{"type":"user","sessionId":"s', k, '","timestamp":"1","message":{"content":"ask ', k, ' /go"}}')"""
     reply = """concat('{"type":"assistant","sessionId":"s', k, '","timestamp":"2","message":{"model":"m1","usage":{"input_tokens":', k, ',"output_tokens":2}}}')"""
     system = """concat('{"type":"system","sessionId":"s', k, '","timestamp":"3","durationMs":40}')"""
-    rows = _made(read, file="'/a/x.jsonl'", lines=f"array({user}, {reply}, {reply}, {system})").select("file", F.explode("lines").alias("line"))
+    rows = _made(read, file="concat('/a/', k, '.jsonl')", lines=f"array({user}, {reply}, {reply}, {system})").select("file", F.explode("lines").alias("line"))
     return logs.session_summaries(logs.entries(rows)).withColumn("commands", F.array_join("commands", ","))
 
 
