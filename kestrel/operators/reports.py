@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from kestrel.operators import shared
+
 #: Severities from worst to least.
 SEVERITIES = ["critical", "high", "medium", "low", "info"]
 
@@ -94,18 +96,25 @@ def replace_section(text: Column, name: str, body: Column) -> Column:
     return F.when(has, F.concat(before, block, after)).otherwise(F.concat(F.when(text == "", "").otherwise(F.concat(F.rtrim(text), F.lit("\n\n"))), block, F.lit("\n")))
 
 
-def append_numbered(base: DataFrame, rows: DataFrame, id_column: str, order: list[Column]) -> DataFrame:
-    """Base with new rows that go on from its greatest id (K4).
+def positions(rows: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
+    """Rows with their place in an order, from 1 (T10): ports by number, projects by name or time, for a display that pages.
 
     Ranks are counted in ranges of the order: a range's rows number on from the sum of those before it,
-    so no task sees all rows.
+    so no task sees all rows.  They are written once: ranges that are sampled anew may be others.  An order
+    with ties leaves the places among them open.
     """
-    top = base.agg(F.coalesce(F.max(id_column), F.lit(0)).alias("_top"))
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
+    placed = shared.stash(placed, shared.folder(rows.sparkSession, "positions"))
     sizes = placed.groupBy("_p").agg(F.count("*").alias("_c"))
     starts = sizes.select("_p", (F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).alias("_start"))
-    numbered = placed.join(F.broadcast(starts), "_p").join(F.broadcast(top))
-    return base.unionByName(numbered.withColumn(id_column, F.col("_top") + F.col("_start") + F.col("_i") + 1).select(base.columns))
+    return placed.join(F.broadcast(starts), "_p").withColumn(name, F.col("_start") + F.col("_i") + 1).drop("_p", "_i", "_start")
+
+
+def append_numbered(base: DataFrame, rows: DataFrame, id_column: str, order: list[Column]) -> DataFrame:
+    """Base with new rows that go on from its greatest id (K4)."""
+    top = base.agg(F.coalesce(F.max(id_column), F.lit(0)).alias("_top"))
+    numbered = positions(rows, order, "_position").join(F.broadcast(top))
+    return base.unionByName(numbered.withColumn(id_column, F.col("_top") + F.col("_position")).select(base.columns))
 
 
 def replace_partitions(rows: DataFrame, path: str, by: list[str]) -> None:

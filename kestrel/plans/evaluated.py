@@ -80,6 +80,12 @@ def _marker_ages(spark, read):
     return code.todo_ages(found, rows.where("line_no % 5 > 0 and day is not null"), F.lit("2024-03-01").cast("date")).select("path", "line_no", F.coalesce(F.col("age").cast("long"), F.lit(-1)).alias("age"), "severity")
 
 
+@register("SELECT event_id, row_number() OVER (ORDER BY floor(value), event_id) AS by_number, row_number() OVER (ORDER BY ts DESC NULLS LAST, event_id) AS by_time FROM events")
+def _listing_positions(spark, read):
+    rows = reports.positions(read("events").select("event_id", "ts", F.floor("value").alias("port")), [F.col("port"), F.col("event_id")], "by_number")
+    return reports.positions(rows, [F.col("ts").desc_nulls_last(), F.col("event_id")], "by_time").select("event_id", "by_number", "by_time")
+
+
 _WORD = "regexp_extract(lower(text), '[a-z]+', 0)"
 
 
