@@ -364,8 +364,8 @@ def _scheduled_commands(spark, read):
 
 @register(f"WITH {PARTS} SELECT '127.0.0.1' AS local_ip, k AS local_port, '8.8.8.8' AS remote_ip, 80 AS remote_port, '0A' AS state FROM k WHERE k % 2 = 0 UNION ALL SELECT '::1', k, '2001:db8::', 443, '01' FROM k WHERE k % 2 = 1")
 def _proc_sockets(spark, read):
-    four = "concat('  ', k, ': 0100007F:', lpad(hex(k), 4, '0'), ' 08080808:0050 0A 0:0')"
-    six = "concat('  ', k, ': 00000000000000000000000001000000:', lpad(hex(k), 4, '0'), ' B80D0120000000000000000000000000:01BB 01 0:0')"
+    four = "concat('  ', k, ': 0100007F:', format_string('%04X', k), ' 08080808:0050 0A 0:0')"
+    six = "concat('  ', k, ': 00000000000000000000000001000000:', format_string('%04X', k), ' B80D0120000000000000000000000000:01BB 01 0:0')"
     lines = _made(read, value=f"CASE WHEN k % 2 = 0 THEN {four} ELSE {six} END")
     return security.sockets(lines.union(spark.createDataFrame([("  sl  local_address rem_address   st",)], "value string")))
 
