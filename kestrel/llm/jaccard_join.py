@@ -5,7 +5,9 @@ order for all (frequent ones last, else by hash); two sets that link share a tok
 n - ceil(t n) + 1 of each, so buckets of those prefix tokens hold every pair.  In a bucket each
 class is a point, its counts of tokens by hash group.  The summed minima of two points bound the
 overlap of the sets, those of two rectangles' upper corners bound it for all pairs below: pairs of
-R-tree nodes that can't reach the threshold are passed over.  What survives is verified on the sets.
+R-tree nodes that can't reach the threshold are passed over.  Pairs of points are held against finer
+groups that follow the order of the tokens: at the first token that two sets share, nothing before it
+is shared, so only the groups from its own on count.  What survives is verified on the sets.
 
 All links come from the trees, which are gone down three times.  First they tell which classes have
 any partner that the bounds allow; only their sets are made (those of large buckets count as such).
@@ -21,6 +23,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -31,7 +34,8 @@ from kestrel.llm.words import ragged, shingle_sets, together
 
 #: Production parameters: words to a shingle, and the threshold in hundredths.
 WORDS, HUNDREDTHS = 3, 90
-GROUPS = 64
+#: Groups of the trees' points; of the finer ones, RARE for tokens by hash and the rest for frequent ones.
+GROUPS, FINE, RARE = 64, 256, 192
 #: Tokens that are put last in the order, at most; and how often one occurs in a task to be counted.
 FREQUENT, OFTEN = 1 << 20, 2
 #: Classes to a unit of comparison, and children to an R-tree node.
@@ -180,8 +184,7 @@ def _sets(docs: DataFrame, words: int, hundredths: int, frequent) -> DataFrame:
                 n = np.diff(stops)
                 prefix, prefix_stops = _prefixes(tokens, stops, often, hundredths)
                 classes = [xxhash.xxh3_64_intdigest(tokens[a:b]) if b > a else 0 for a, b in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True)]
-                counts = _counts_of(tokens, stops)
-                packed = [c.astype("<u4" if k >= 1 << 16 else "<u2").tobytes() for c, k in zip(counts, n.tolist(), strict=True)]
+                packed = [c.astype("<u1" if k < 1 << 8 else "<u2" if k < 1 << 16 else "<u4").tobytes() for c, k in _fine_counts_of(tokens, stops, often)]
                 none = n == 0
                 arrays = [batch.column(0).slice(first, len(n)), batch.column(1).slice(first, len(n)), pa.array(n, pa.int64())]
                 arrays += [pa.array(np.array(classes, np.uint64).view(np.int64), mask=none), pa.array(packed, pa.binary(), mask=none), pa.ListArray.from_arrays(pa.array(prefix_stops, pa.int32()), pa.array(prefix.view(np.int64)), mask=pa.array(none))]
@@ -197,11 +200,45 @@ def _counts_of(tokens: np.ndarray, stops: np.ndarray) -> np.ndarray:
     return np.bincount(owner * GROUPS + (tokens >> np.uint64(58)).astype(np.int64), minlength=n * GROUPS).reshape(n, GROUPS)
 
 
-def _counts(packed: list[bytes]) -> np.ndarray:
-    narrow, wide = 2 * GROUPS, 4 * GROUPS
-    if all(len(x) == narrow for x in packed):
-        return np.frombuffer(b"".join(packed), "<u2").reshape(-1, GROUPS).astype(np.int32)
-    return np.stack([np.frombuffer(x, "<u4" if len(x) == wide else "<u2").astype(np.int64) for x in packed])
+def _fine_group(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Number of each token's fine group; it never falls along the order of the tokens (by hash, frequent ones last)."""
+    rare = ((tokens >> np.uint64(32)) * np.uint64(RARE) >> np.uint64(32)).astype(np.int64)
+    often = RARE + ((tokens >> np.uint64(32)) * np.uint64(FINE - RARE) >> np.uint64(32)).astype(np.int64)
+    return np.where(_known(tokens, frequent), often, rare)
+
+
+def _in_order(tokens: Column, frequent) -> Column:
+    """Arrays of tokens in the order of the sets: by hash, frequent ones last."""
+
+    @F.pandas_udf("array<long>")
+    def ordered(lists: pd.Series) -> pd.Series:
+        often = frequent.value
+
+        def one(tokens):
+            tokens = np.asarray(tokens, np.int64).view(np.uint64)
+            return tokens[np.lexsort((tokens, _known(tokens, often)))].view(np.int64)
+
+        return lists.map(one)
+
+    return ordered(tokens)
+
+
+def _fine_counts_of(tokens: np.ndarray, stops: np.ndarray, frequent: np.ndarray):
+    """(counts of a set's tokens by fine group, the largest of them) of each set; a few thousand sets at once."""
+    group = _fine_group(tokens, frequent)
+    for first in range(0, len(stops) - 1, 4096):
+        some = stops[first : first + 4097]
+        n = len(some) - 1
+        owner = np.repeat(np.arange(n), np.diff(some))
+        counts = np.bincount(owner * FINE + group[some[0] : some[-1]], minlength=n * FINE).reshape(n, FINE)
+        yield from zip(counts, counts.max(axis=1).tolist(), strict=True)
+
+
+def _fine_counts(packed: list[bytes]) -> np.ndarray:
+    widths = {len(x) // FINE for x in packed}
+    if len(widths) == 1:
+        return np.frombuffer(b"".join(packed), f"<u{widths.pop()}").reshape(-1, FINE)
+    return np.stack([np.frombuffer(x, f"<u{len(x) // FINE}").astype(f"<u{max(widths)}") for x in packed])
 
 
 def _overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -298,10 +335,12 @@ def _units(rows: DataFrame, hundredths: int, folder: str) -> DataFrame:
     return small.unionByName(met.select(*small.columns))
 
 
-def _candidates(units: DataFrame, hundredths: int, ends: bool = False) -> DataFrame:
+def _candidates(units: DataFrame, hundredths: int, frequent, ends: bool = False) -> DataFrame:
     """Pairs of classes of different groups that the bounds allow; or just the classes that are in such pairs (a = b), once for each batch.
 
-    before: up to EARLIER tokens of a class's open buckets that come next before this one, null if only
+    A pair that links is allowed in the bucket of the first token that both have; elsewhere it may be passed over.
+
+    before: up to EARLIER tokens of a class's open buckets that come next before this one in the order of the sets, null if only
     classes are asked for.  A pair that shares one of these met there; so alike texts of any length
     meet once or a few times, and what a row carries is bounded.  Side 0 is compared with itself, side 1 with side 2.  A unit of up to FANOUT classes is a tree
     with one leaf; many of those are compared at once.
@@ -331,6 +370,15 @@ def _candidates(units: DataFrame, hundredths: int, ends: bool = False) -> DataFr
             keep = rows["groups"][x] != rows["groups"][y]
             yield x[keep], y[keep]
 
+    def from_here(rows, x, y):
+        """Whether the fine groups from the bucket's token on hold enough that both may have, of each pair."""
+        keep = np.zeros(len(x), bool)
+        for first in range(0, len(x), 1 << 14):
+            i, k = x[first : first + (1 << 14)], y[first : first + (1 << 14)]
+            both = np.minimum(rows["fine"][i], rows["fine"][k]) * (rows["place"][i, None] <= np.arange(FINE))
+            keep[first : first + (1 << 14)] = both.sum(axis=1, dtype=np.int64) >= _least_overlap(rows["sizes"][i], rows["sizes"][k], hundredths)
+        return keep
+
     def pairs(rows, cuts):
         """Pairs of rows of one unit; units lie between cuts."""
         sizes = np.diff(cuts)
@@ -342,12 +390,16 @@ def _candidates(units: DataFrame, hundredths: int, ends: bool = False) -> DataFr
 
     def found(table, cuts):
         columns = {x: table.column(x).to_numpy() for x in ("class", "group", "n_shingles", "side")}
-        rows = {"sizes": columns["n_shingles"], "groups": columns["group"], "sides": columns["side"], "counts": _counts(table.column("counts").to_pylist())}
+        fine = _fine_counts(table.column("counts").to_pylist())
+        rows = {"sizes": columns["n_shingles"], "groups": columns["group"], "sides": columns["side"], "fine": fine, "counts": fine.reshape(len(fine), GROUPS, -1).sum(axis=2, dtype=np.int32)}
+        rows["place"] = _fine_group(table.column("token").to_numpy().view(np.uint64), frequent.value)
         out = [np.zeros((2, 0), np.int64)]
         before = table.column("before").combine_chunks()
         values, stops = before.flatten().to_numpy(), np.concatenate([[0], np.cumsum(before.value_lengths().fill_null(0).to_numpy())])
         earlier = lru_cache(maxsize=None)(lambda i: set(values[stops[i] : stops[i + 1]].tolist()))
         for x, y in pairs(rows, cuts):
+            keep = from_here(rows, x, y)
+            x, y = x[keep], y[keep]
             if not ends:
                 keep = np.array([earlier(i).isdisjoint(earlier(k)) for i, k in zip(x.tolist(), y.tolist(), strict=True)], bool)
                 x, y = x[keep], y[keep]
@@ -379,11 +431,11 @@ def _candidates(units: DataFrame, hundredths: int, ends: bool = False) -> DataFr
     return dealt.select("token", "unit", "side", "class", "group", "n_shingles", "counts", "before").mapInArrow(run, "a long, b long")
 
 
-def _hopeful(rows: DataFrame, hundredths: int, folder: str) -> DataFrame:
+def _hopeful(rows: DataFrame, hundredths: int, frequent, folder: str) -> DataFrame:
     """(class) of rows (token, class, n_shingles, counts) that have a partner in one of their buckets, as far as the bounds tell; all of buckets of more than UNIT classes."""
     large = stash(rows.groupBy("token").agg(F.count("*").alias("rows")).where(F.col("rows") > UNIT).select("token"), folder, "large-buckets")
     small = rows.join(large, "token", "left_anti").select("*", F.lit(0).cast("long").alias("unit"), F.lit(0).alias("side"), F.col("class").alias("group"), F.lit(None).cast("array<long>").alias("before"))
-    found = _candidates(small, hundredths, ends=True).select(F.col("a").alias("class"))
+    found = _candidates(small, hundredths, frequent, ends=True).select(F.col("a").alias("class"))
     return found.unionByName(rows.join(large, "token", "left_semi").select("class")).distinct()
 
 
@@ -439,7 +491,7 @@ def grouped(docs: DataFrame, words: int = WORDS, hundredths: int = HUNDREDTHS, i
     for name in ("classes", "near-buckets"):
         discard(folder, name)
     release(spark)
-    hopeful = stash(_hopeful(shared.join(classes.select("class", "n_shingles", "counts"), "class"), hundredths, folder), folder, "hopeful")
+    hopeful = stash(_hopeful(shared.join(classes.select("class", "n_shingles", "counts"), "class"), hundredths, frequent, folder), folder, "hopeful")
     release(spark)
     buckets = stash(shared.join(hopeful, "class", "left_semi"), folder, "buckets")
     discard(folder, "shared")
@@ -486,11 +538,11 @@ def grouped(docs: DataFrame, words: int = WORDS, hundredths: int = HUNDREDTHS, i
     open_tokens = stash(by_group.groupBy("token").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y").select("token"), folder, "open")
     still = stash(by_group.join(open_tokens, "token"), folder, "still")
     discard(folder, "grouped")
-    points = still.groupBy("class").agg(F.first("group").alias("group"), F.sort_array(F.collect_list("token")).alias("open"))
+    points = still.groupBy("class").agg(F.first("group").alias("group"), F.collect_list("token").alias("open")).withColumn("open", _in_order(F.col("open"), frequent))
     points = stash(points.join(classes.select("class", "n_shingles", "counts"), "class"), folder, "points-open")
     rows = points.select("class", "group", "n_shingles", "counts", "open", F.posexplode("open").alias("at", "token"))
     rows = rows.withColumn("before", F.slice("open", F.greatest(F.lit(1), F.col("at") - EARLIER + 1), F.least("at", F.lit(EARLIER)))).drop("open", "at")
-    pairs = stash(_candidates(_units(rows, hundredths, folder), hundredths).distinct(), folder, "pairs")
+    pairs = stash(_candidates(_units(rows, hundredths, folder), hundredths, frequent).distinct(), folder, "pairs")
     release(spark)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     sets = stash(sets.select("class", "tokens").join(ends.hint("merge"), "class"), folder, "pair-sets", "none")
