@@ -1,5 +1,7 @@
 """Classes of scripts: what counts as a method, and what only looks like one."""
 
+import time
+
 import pytest
 
 from kestrel.operators import code, scripts
@@ -47,3 +49,17 @@ def test_single_method_classes_in_scripts(spark):
     )
     got = code.overengineered(files, code.facts(files)).where("kind = 'single_method_class'")
     assert sorted((r.path, r.line) for r in got.collect()) == [("src/a.ts", 1), ("src/b.js", 2)]
+
+
+def test_long_templates_and_comments_take_a_moment():
+    text = "word {} ' " * 1_000_000
+    began = time.process_time()
+    found = scripts.classes(f"/* {text} */ const s = `{text}${{`{text}`}}`;\nclass K {{ a() {{ return `{text}` }} }}")
+    assert [(c["line"], c["name"], c["methods"]) for c in found] == [(2, "K", 1)]
+    # A step for each of the 40 million characters took about 8 seconds.
+    assert time.process_time() - began < 2
+
+
+def test_ends_of_templates():
+    for text, end in [("``", 2), ("`a\\`b`c", 6), ("`${'`'}`x", 8), ("`${{}`a}`}`x", 11), ("`${`${1}`}`x", 11), ("`$`", 3), ("`a", 2), ("`\\", 2), ("`${", 3), ("`${'a`", 6)]:
+        assert scripts._template_end(text, 0) == end
