@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kestrel.functions import scalars as S
+from kestrel.operators import shared
 
 #: Names of files and folders that are no work of their own.
 JUNK = ["__pycache__", ".pyc", ".pyo", ".DS_Store", "Thumbs.db", ".idea", ".vscode", "node_modules", ".pytest_cache", ".mypy_cache", ".ruff_cache", "dist", "build", ".egg-info"]
@@ -247,12 +248,27 @@ def version_changes(seen: DataFrame, tool: str, version: str, order: str, dismis
 
 
 def blame(lines: DataFrame, path: str, order: str, line: str = "line") -> DataFrame:
-    """(path, line_no, day) of porcelain blame lines in order (S10, D14): a heading names the line, its author's time follows."""
-    w = Window.partitionBy(path).orderBy(order)
+    """(path, line_no, day) of porcelain blame lines in order (S10, D14): a heading names the line, its author's time follows.
+
+    Lines are dealt in ranges of path and order, so those of one path may lie in many.  A range takes the
+    last heading before it from the ranges before, a row to each range that a path goes on into.
+    """
+    spark = lines.sparkSession
     number = F.regexp_extract(line, r"^[0-9a-f]{40} \d+ (\d+)", 1).try_cast("long")
-    rows = lines.withColumn("line_no", F.last(number, ignorenulls=True).over(w))
     seconds = F.regexp_extract(line, r"^author-time (\d+)$", 1).try_cast("long")
-    return rows.where(seconds.isNotNull()).select(path, "line_no", F.to_date(F.timestamp_seconds(seconds)).alias("day"))
+    rows = lines.select(path, F.col(order).alias("_at"), number.alias("line_no"), seconds.alias("_seconds")).where("line_no IS NOT NULL OR _seconds IS NOT NULL")
+    folder = shared.folder(spark, "blame")
+    rows = shared.stash(rows, f"{folder}/rows")  # the ranges are found in one pass and dealt in another
+    ranged = rows.repartitionByRange(shared.partitions(spark), path, "_at").withColumn("_part", F.spark_partition_id())
+    ranged = shared.stash(ranged, f"{folder}/ranges")
+    last = F.max_by("line_no", F.when(F.col("line_no").isNotNull(), F.struct("_at")))
+    earlier = Window.partitionBy(path).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    entry = ranged.groupBy(path, "_part").agg(last.alias("_last")).withColumn("_entry", F.last("_last", ignorenulls=True).over(earlier))
+    entry = entry.where("_entry IS NOT NULL").select(F.col(path).alias("_path"), F.col("_part").alias("_of"), "_entry")
+    own = F.last("line_no", ignorenulls=True).over(Window.partitionBy(path, "_part").orderBy("_at"))
+    found = ranged.withColumn("line_no", own).where("_seconds IS NOT NULL")
+    found = found.join(F.broadcast(entry), (F.col("_part") == F.col("_of")) & F.col(path).eqNullSafe(F.col("_path")), "left")
+    return found.select(path, F.coalesce("line_no", "_entry").alias("line_no"), F.to_date(F.timestamp_seconds("_seconds")).alias("day"))
 
 
 def tracked(lines: DataFrame, line: str = "line") -> DataFrame:

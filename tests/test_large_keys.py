@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kestrel.functions import scalars
+from kestrel.operators import board
 from kestrel.plans import catalogue, derived  # noqa: F401  (registers its queries)
 from test_catalogue import rows
 
@@ -32,3 +33,17 @@ def test_addresses_that_are_none(spark):
     texts = ["0100007F:1F9", "0100007F:", "0100007F", "0100007F:1F90:1", "0100007F:123456789", "100007F:1F90"]
     found = spark.createDataFrame([(x,) for x in texts], "a string").select(scalars.hex_address(F.col("a")).alias("a"))
     assert found.where("a IS NOT NULL").count() == 0
+
+
+def test_blame_of_one_path_lies_in_many_ranges(spark):
+    heading = "concat(repeat('a', 40), ' 1 ', id)"
+    # Line 1 has times for long, so whole ranges have no heading of their own; a second path has none at first.
+    text = f"CASE WHEN id % 1000 = 0 THEN {heading} WHEN id % 2 = 0 THEN concat('author-time ', id * 86400) ELSE 'author x' END"
+    lines = spark.range(20_000).selectExpr("IF(id < 15000, 'a', 'b') AS path", "id AS at", f"{text} AS line").where("at <> 15000")
+    got = board.blame(lines, "path", "at")
+    assert {(r.path, r.line_no) for r in got.select("path", "line_no").distinct().collect()} == {("a", i * 1000) for i in range(15)} | {("b", None)} | {("b", i * 1000) for i in range(16, 20)}
+    assert got.count() == 9_980
+    wrong = got.where("line_no <> floor(datediff(day, DATE'1970-01-01') / 1000) * 1000 OR (line_no IS NULL) <> (datediff(day, DATE'1970-01-01') BETWEEN 15000 AND 15999)")
+    assert wrong.count() == 0
+    # No window takes a path whole.
+    assert "hashpartitioning(path#" in str(got._jdf.queryExecution().executedPlan()) and all("_part#" in x for x in str(got._jdf.queryExecution().executedPlan()).splitlines() if "Window" in x)
