@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kestrel.functions import scalars as S
+from kestrel.operators import shared
 
 USAGE = "struct<input_tokens: long, output_tokens: long, cache_read_input_tokens: long, cache_creation_input_tokens: long>"
 ENTRY = f"type string, sessionId string, timestamp string, durationMs long, message struct<model: string, content: string, usage: {USAGE}>"
 BLOCKS = "array<struct<type: string, text: string>>"
+#: Rows of one session that go to a task together.
+BLOCK = 1 << 17
 
 
 def read_lines(spark: SparkSession, glob: str) -> DataFrame:
@@ -77,7 +80,10 @@ def session_summaries(rows: DataFrame) -> DataFrame:
     rows = rows.where(~F.col("file").contains("subagents") & F.col("session").isNotNull()).withColumn("at", F.coalesce("timestamp", F.lit("")))
     of = lambda kind, value, order: F.when((F.col("type") == kind) & value.isNotNull(), order)
     text = F.when(F.col("type") == "user", F.nullif(text_of(F.col("content")), F.lit("")))
-    rows = rows.withColumn("text", text)
+    # Texts make the sums sort their rows: what a task sorts is dealt out first, a session's neighbouring rows together and a long session in blocks.
+    rows = rows.select(F.col("session"), "type", "at", "model", text.alias("text"), "duration_ms", "input_tokens", "output_tokens", "cache_read", "cache_write")
+    block = F.floor(F.monotonically_increasing_id() / BLOCK)
+    rows = rows.withColumn("_block", block).repartition(shared.partitions(rows.sparkSession), "session", "_block")
     found = rows.groupBy(F.col("session").alias("session_id")).agg(
         F.min_by("model", of("assistant", F.col("model"), F.struct("at", "model"))).alias("model"),
         F.min_by("text", of("user", F.col("text"), F.struct("at", "text"))).alias("first"),

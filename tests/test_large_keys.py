@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from kestrel.functions import scalars
 from kestrel.operators import board
 from kestrel.plans import catalogue, derived  # noqa: F401  (registers its queries)
+from kestrel.sources import logs
 from test_catalogue import rows
 
 
@@ -47,3 +48,13 @@ def test_blame_of_one_path_lies_in_many_ranges(spark):
     assert wrong.count() == 0
     # No window takes a path whole.
     assert "hashpartitioning(path#" in str(got._jdf.queryExecution().executedPlan()) and all("_part#" in x for x in str(got._jdf.queryExecution().executedPlan()).splitlines() if "Window" in x)
+
+
+def test_session_sums_sort_what_was_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(logs, "BLOCK", 16, raising=False)
+    line = """concat('{"type":"assistant","sessionId":"s', id % 2, '","timestamp":"', id, '","message":{"model":"m', id, '","usage":{"input_tokens":1}}}')"""
+    rows = logs.entries(spark.range(100, 200, 1, 1).selectExpr("'/a/x.jsonl' AS file", f"{line} AS line"))
+    got = logs.session_summaries(rows)
+    assert sorted((r.session_id, r.model, r.turns, r.input_tokens) for r in got.collect()) == [("s0", "m100", 50, 50), ("s1", "m101", 50, 50)]
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert plan.rindex("Aggregate") < plan.index("REPARTITION_BY_NUM")
